@@ -29,14 +29,7 @@ NAMED_ENTITIES = {
     "&laquo;": "«", "&raquo;": "»", "&bull;": "•",
 }
 
-JUNK_RE = (r"(?is)<!--.*?(?:-->|\z)"
-           r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-           r"|<style\b[^>]*>.*?(?:</style\s*>|\z)")
-TAG_RE = r"<[A-Za-z/!?][^>]*>"
-BODY_OPEN_RE = r"(?i)<body\b"
-BODY_RE = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
-HEAD_RE = r"(?is)<head\b[^>]*>.*?(?:</head\s*>|\z)"
-TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+from pagelake.functions.patterns import BODY_OPEN_RE, BODY_RE, HEAD_RE, JUNK_RE, TAG_RE, TITLE_RE  # noqa: E402
 
 
 def _col(c) -> Column:

@@ -109,12 +109,16 @@ def decode_body(body, content_type) -> Column:
     declared = F.when(declared.isin("utf8"), F.lit("utf-8")).when(
         declared.isin("latin1", "latin-1", "iso8859-1"), F.lit("iso-8859-1")).otherwise(declared)
     as_utf8 = b.cast("string")
+    has_cs = F.lower(F.coalesce(ct, F.lit(""))).contains("charset")
     return (
-        F.when(F.lower(F.coalesce(ct, F.lit(""))).contains("charset") & (declared == "utf-8"),
+        F.when(has_cs & (declared == "utf-8"),
                F.try_validate_utf8(as_utf8))
-        .when(F.lower(F.coalesce(ct, F.lit(""))).contains("charset") & declared.isin(
-            "iso-8859-1", "us-ascii", "utf-16", "utf-16le", "utf-16be", "utf-32"),
-            F.decode(b, F.upper(declared)))
+        .when(has_cs & (declared == "iso-8859-1"), F.decode(b, "ISO-8859-1"))
+        .when(has_cs & (declared == "us-ascii"), F.decode(b, "US-ASCII"))
+        .when(has_cs & (declared == "utf-16"), F.decode(b, "UTF-16"))
+        .when(has_cs & (declared == "utf-16le"), F.decode(b, "UTF-16LE"))
+        .when(has_cs & (declared == "utf-16be"), F.decode(b, "UTF-16BE"))
+        .when(has_cs & (declared == "utf-32"), F.decode(b, "UTF-32"))
         .when(F.is_valid_utf8(as_utf8), as_utf8)
         .otherwise(F.decode(b, "ISO-8859-1"))
     )
