@@ -36,6 +36,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda binding), so
+    that an expensive input used several times is neither recomputed per use
+    nor copied into the expression tree."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: trim Unicode whitespace at both ends."""
     return F.regexp_replace(_col(c), rf"^{WS}+|{WS}+$", "")
@@ -71,13 +78,15 @@ def _decode_numeric(c: Column) -> Column:
 
 def decode_entities(c) -> Column:
     """Decode named and numeric character references; ``&amp;`` last."""
-    c = _col(c)
-    out = c
-    for ent, ch in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    out = F.when(out.contains("&#"), _decode_numeric(out)).otherwise(out)
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(c.contains("&"), out).otherwise(c)
+    def body(x):
+        out = x
+        for ent, ch in NAMED_ENTITIES.items():
+            out = F.replace(out, F.lit(ent), F.lit(ch))
+        out = let(out, lambda o: F.when(o.contains("&#"), _decode_numeric(o)).otherwise(o))
+        out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+        return F.when(x.contains("&"), out).otherwise(x)
+
+    return let(_col(c), body)
 
 
 def strip_junk(html) -> Column:
@@ -87,11 +96,11 @@ def strip_junk(html) -> Column:
 
 def html_text(html) -> Column:
     """Visible text of the body (whole document minus head without a body)."""
-    clean = strip_junk(html)
-    body = (
-        F.when(clean.rlike(BODY_OPEN_RE), F.regexp_extract(clean, BODY_RE, 1))
-        .otherwise(F.regexp_replace(clean, HEAD_RE, " "))
-    )
+    def body_of(clean):
+        return (F.when(clean.rlike(BODY_OPEN_RE), F.regexp_extract(clean, BODY_RE, 1))
+                .otherwise(F.regexp_replace(clean, HEAD_RE, " ")))
+
+    body = let(strip_junk(html), body_of)
     return collapse_ws(decode_entities(F.regexp_replace(body, TAG_RE, " ")))
 
 

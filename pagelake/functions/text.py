@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.functions.html import WS, strip_ws
+from pagelake.functions.html import WS, let, strip_ws
 
 # Chunk size and overlap of the overlap chunker (characters).
 CHUNK_SIZE = 500
@@ -32,16 +32,18 @@ def chunk_windows(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) ->
     ``size <= overlap`` is rejected, but only for non-empty text (as the
     reference does), so it raises at run time on the first such row.
     """
-    t = strip_ws(_col(text))
-    n = F.length(t)
     if size <= overlap:
-        return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-            F.raise_error(F.lit("chunk_size must be greater than overlap")).cast("array<string>"))
+        return let(strip_ws(_col(text)), lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(
+            F.raise_error(F.lit("chunk_size must be greater than overlap")).cast("array<string>")))
     stride = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((n - F.lit(size)) / F.lit(stride)).cast("int"))
-    starts = F.sequence(F.lit(0), last)
-    pieces = F.transform(starts, lambda k: strip_ws(F.substring(t, k * stride + 1, size)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(pieces, lambda p: p != ""))
+
+    def windows(t):
+        n = F.length(t)
+        last = F.greatest(F.lit(0), F.ceil((n - F.lit(size)) / F.lit(stride)).cast("int"))
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda k: strip_ws(F.substring(t, k * stride + 1, size)))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(pieces, lambda p: p != ""))
+
+    return let(strip_ws(_col(text)), windows)
 
 
 def serialize_table(entries) -> Column:
@@ -53,16 +55,20 @@ def serialize_table(entries) -> Column:
 def snippet(text, q, context: int = SNIPPET_CONTEXT) -> Column:
     """First case-insensitive literal hit of ``q`` with ``context`` chars on
     each side and '...' on cut sides; no literal hit → first 2*context chars."""
-    t = _col(text)
     q = F.lit(q) if isinstance(q, str) else q
-    pos = F.call_function("instr", F.lower(t), F.lower(q))
-    idx = pos - 1
-    start = F.greatest(F.lit(0), idx - context)
-    end = F.least(F.length(t), idx + F.length(q) + context)
-    body = F.substring(t, start + 1, end - start)
-    hit = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), body,
-                   F.when(end < F.length(t), F.lit("...")).otherwise(F.lit("")))
-    return F.when(pos == 0, F.substring(t, 1, 2 * context)).otherwise(hit)
+
+    def body(s):
+        t, qq = s["t"], s["q"]
+        pos = F.call_function("instr", F.lower(t), F.lower(qq))
+        idx = pos - 1
+        start = F.greatest(F.lit(0), idx - context)
+        end = F.least(F.length(t), idx + F.length(qq) + context)
+        mid = F.substring(t, start + 1, end - start)
+        hit = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), mid,
+                       F.when(end < F.length(t), F.lit("...")).otherwise(F.lit("")))
+        return F.when(pos == 0, F.substring(t, 1, 2 * context)).otherwise(hit)
+
+    return let(F.struct(_col(text).alias("t"), q.alias("q")), body)
 
 
 def citation_numbers(answer) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelake.functions.html import let
+
 # RFC 3986 appendix B splitter; the scheme must look like a scheme, as in
 # Python's urlsplit.
 URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -55,7 +57,11 @@ def _remove_dot_segments(segments: Column) -> Column:
 
 def resolve_url(href, base) -> Column:
     """``urllib.parse.urljoin(base, href)`` for http(s)-style URLs."""
-    h, b = _col(href), _col(base)
+    pair = F.struct(_col(href).alias("h"), _col(base).alias("b"))
+    return let(pair, lambda s: _resolve(s["h"], s["b"]))
+
+
+def _resolve(h: Column, b: Column) -> Column:
     h_scheme, h_net, h_path = url_part(h, "scheme"), url_part(h, "netloc"), url_part(h, "path")
     h_query, h_frag = url_part(h, "query"), url_part(h, "fragment")
     h_has_scheme = h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")

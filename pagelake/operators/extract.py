@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.functions.html import (content_hash, decode_entities, html_text, html_title,
+from pagelake.functions.html import (content_hash, decode_entities, html_text, html_title, let,
                                      node_text_stripped, strip_junk)
 from pagelake.functions.urls import domain, origin, resolve_url
 
@@ -76,7 +76,7 @@ def next_link(html, page_url) -> Column:
     """Absolute URL of the first ``li.next a[href]``; null on the last page."""
     block = F.regexp_extract(strip_junk(html), NEXT_LI_RE, 1)
     href = decode_entities(F.regexp_extract(block, A_HREF_RE, 1))
-    return F.when(href != "", resolve_url(href, _col(page_url)))
+    return let(href, lambda h: F.when(h != "", resolve_url(h, _col(page_url))))
 
 
 def _hrefs(fragment) -> Column:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelake.session import materialize
+
 
 def _local_scan_fn(lag_cols, cummax, schema_names):
     def fn(it):
@@ -129,7 +131,7 @@ def ordered_scan(df: DataFrame, key, order: list[str], lag_cols: list[str] | Non
     local = ranged.mapInPandas(_local_scan_fn(lag_cols, cummax, [f.name for f in fields]), schema)
     # Cut lineage: the local pass is read twice (summary + fix-up) and must not
     # be recomputed; checkpoint() writes to the shared spark.checkpoint.dir.
-    local = local.checkpoint(eager=True)
+    local = materialize(local, "ordered-scan")
 
     summary_cols = ["_pid", "_k", "_fk", "_rn", "_first_run"] + lag_cols + [c for c, _, _ in cummax]
     # At most one row per partition: a bounded, driver-sized table.

@@ -67,3 +67,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as Parquet into the shared checkpoint folder and read it
+    back: one job, lineage cut, and the data survives the loss of executors
+    (unlike cached blocks).  Used where a plan would otherwise be recomputed."""
+    import os
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "pagelake-stages", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
