@@ -63,8 +63,13 @@ def new_versions(stored: DataFrame, incoming: DataFrame, key: str = "url",
     """V5: versions of an incoming batch against the stored log.
 
     The first incoming observation of a URL is compared with the latest stored
-    version; later ones with their predecessor inside the batch."""
-    scanned = ordered_scan(incoming, key=key, order=list(order), lag_cols=[hash_col])
+    version; later ones with their predecessor inside the batch.  Observations
+    not newer than the stored head of their URL were already seen (stored or
+    skipped as unchanged), so a replayed batch yields nothing."""
+    head = stored.groupBy(key).agg(F.max(F.struct(*[F.col(c) for c in order])).alias("_head"))
+    newer = incoming.join(head, key, "left").filter(
+        F.col("_head").isNull() | (F.struct(*[F.col(c) for c in order]) > F.col("_head"))).drop("_head")
+    scanned = ordered_scan(newer, key=key, order=list(order), lag_cols=[hash_col])
     last_stored = stored.join(latest_ids(stored, key=key, order=order), "id", "left_semi").select(
         F.col(key), F.col(hash_col).alias("_stored_hash"))
     prev = F.coalesce(F.col(f"prev_{hash_col}"), F.col("_stored_hash"))

@@ -81,7 +81,13 @@ def _conform(df: DataFrame, schema: T.StructType | None) -> DataFrame:
     extra = [c for c in df.columns if c not in schema.fieldNames()]
     if extra:
         raise ValueError(f"unknown columns for sink: {extra}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    def conform(f):
+        cur = df.schema[f.name].dataType
+        if cur.simpleString() == f.dataType.simpleString():  # differs at most in nullability
+            return F.col(f.name)
+        return F.col(f.name).cast(f.dataType).alias(f.name)
+
+    return df.select(*[conform(f) for f in schema.fields])
 
 
 def append(df: DataFrame, path: str, schema: T.StructType | None = None) -> None:
