@@ -53,6 +53,6 @@ def page_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Import the query modules so that they register themselves.
-from pagelake.plans import q_columns, q_pipeline, q_planning, q_retrieval, q_streaming, q_versions  # noqa: E402,F401,I001
+from pagelake.plans import q_columns, q_pipeline, q_planning, q_retrieval, q_sources, q_streaming, q_versions  # noqa: E402,F401,I001
 
 __all__ = ["QUERIES", "ORACLE", "query", "with_views"]
