@@ -185,8 +185,9 @@ def run_pipeline(spark: SparkSession, obs: DataFrame, paths: dict[str, str], as_
     valid = valid.select(F.col("page_id").alias("id"), "page_id", "text", "tables",
                          F.lit(as_of).cast("timestamp").alias("processed_at"))
     io.append_processed(valid, paths["processed"])
-    dead = attach_url(rejected, pages)
-    io.append_dead_letters(dead_letters(dead, "process_page", as_of), paths["dead_letters"])
+    dead = dead_letters(attach_url(rejected, pages), "process_page", as_of)
+    known = _read_or_empty(spark, paths["dead_letters"], io.DEAD_LETTER_SCHEMA).select("id")
+    io.append_dead_letters(dead.join(known, "id", "left_anti"), paths["dead_letters"])
 
     processed = _read_or_empty(spark, paths["processed"], io.PROCESSED_SCHEMA)
     chunks_done = _read_or_empty(spark, paths["chunks"], io.CHUNK_SCHEMA)
