@@ -80,21 +80,34 @@ def chunk_pages(processed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHU
                             .alias("chunk_index", "chunk_text"))
 
 
+_BUCKETS: dict = {}
+
+
 def _hashing_batch(texts, dim: int):
+    """Vectors for one Arrow batch; token → bucket is memoised per worker
+    (bounded), so MD5 runs once per distinct token, not per occurrence."""
     import hashlib
 
     import regex
 
     split = regex.compile(r"[^\p{L}\p{N}]+")
+    cache = _BUCKETS.setdefault(dim, {})
+    if len(cache) > 2_000_000:
+        cache.clear()
     out = []
     for t in texts:
         if t is None:
             out.append(None)
             continue
-        toks = [x for x in split.split(t.lower()) if x]
-        b = np.fromiter((int(hashlib.md5(x.encode("utf-8")).hexdigest()[:8], 16) % dim for x in toks),
-                        dtype=np.int64, count=len(toks))
-        v = np.bincount(b, minlength=dim).astype(np.float64)
+        ids = []
+        for x in split.split(t.lower()):
+            if not x:
+                continue
+            b = cache.get(x)
+            if b is None:
+                b = cache[x] = int(hashlib.md5(x.encode("utf-8")).hexdigest()[:8], 16) % dim
+            ids.append(b)
+        v = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float64)
         n = np.sqrt((v * v).sum())
         out.append((v / n if n > 0 else v).astype(np.float32))
     return out
