@@ -159,10 +159,11 @@ def c5(spark, sf):
 
 def _walk_inputs(spark, sf):
     lp = V(spark, sf, "listing_pages")
-    listings = lp.select("url", X.next_link(F.col("html"), F.col("url")).alias("next_url"))
-    listings = materialize(listings, "listings")
-    details = X.extract_links(lp, scope="product_pod").join(lp.select("page_id", "url"), "page_id") \
-        .select("url", "link_idx", "link_url")
+    # one pass over the listing HTML extracts both the next link and the detail links
+    parsed = materialize(lp.select("url", X.next_link(F.col("html"), F.col("url")).alias("next_url"),
+                                   X.link_column(F.col("html"), F.col("url")).alias("links")), "listings")
+    listings = parsed.select("url", "next_url")
+    details = parsed.select("url", F.posexplode("links").alias("link_idx", "link_url"))
     starts = listings.join(listings.select(F.col("next_url").alias("url")).where("url IS NOT NULL"), "url",
                            "left_anti").select("url")
     return listings, details, starts
@@ -199,6 +200,7 @@ def c6(spark, sf):
     listings, details, starts = _walk_inputs(spark, sf)
     allowed = P.robots_filter(listings.select("url").unionByName(details.select(F.col("link_url").alias("url"))),
                               V(spark, sf, "robots_v"), AGENTS[0])
+    allowed = materialize(allowed.select("url", "allowed"), "allowed")  # read by the walk cut and the detail filter
     out = P.walk_pages(listings, details, starts, MAX_PAGES, allowed)
     return out.select("start_url", F.col("seq_no").cast("long").alias("seq_no"), "url", "kind")
 
