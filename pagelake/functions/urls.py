@@ -41,6 +41,7 @@ def origin(url) -> Column:
 
 
 def _remove_dot_segments(segments: Column) -> Column:
+    """``segments`` must be a bound (lambda) variable: it is read twice."""
     resolved = F.aggregate(
         segments,
         F.array().cast("array<string>"),
@@ -51,52 +52,53 @@ def _remove_dot_segments(segments: Column) -> Column:
     )
     last = F.element_at(segments, -1)
     resolved = F.when(last.isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(resolved)
-    joined = F.array_join(resolved, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    return let(F.array_join(resolved, "/"), lambda j: F.when(j == "", F.lit("/")).otherwise(j))
+
+
+_SCHEME_PREFIX = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
+def _parts(u: Column) -> Column:
+    """All pieces of a URL in one struct (each regex evaluated once)."""
+    return F.struct(
+        u.alias("raw"), url_part(u, "scheme").alias("scheme"), url_part(u, "netloc").alias("net"),
+        url_part(u, "path").alias("path"), url_part(u, "query").alias("query"),
+        url_part(u, "fragment").alias("frag"), u.rlike(_SCHEME_PREFIX).alias("has_scheme"),
+        F.regexp_replace(u, _SCHEME_PREFIX, "").startswith("//").alias("has_net"),
+        F.regexp_replace(u, r"#.*$", "").contains("?").alias("has_query"), u.contains("#").alias("has_frag"))
 
 
 def resolve_url(href, base) -> Column:
     """``urllib.parse.urljoin(base, href)`` for http(s)-style URLs."""
-    pair = F.struct(_col(href).alias("h"), _col(base).alias("b"))
+    pair = F.struct(_parts(_col(href)).alias("h"), _parts(_col(base)).alias("b"))
     return let(pair, lambda s: _resolve(s["h"], s["b"]))
 
 
 def _resolve(h: Column, b: Column) -> Column:
-    h_scheme, h_net, h_path = url_part(h, "scheme"), url_part(h, "netloc"), url_part(h, "path")
-    h_query, h_frag = url_part(h, "query"), url_part(h, "fragment")
-    h_has_scheme = h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    h_has_net = F.regexp_replace(h, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "").startswith("//")
-    h_has_query = F.regexp_replace(h, r"#.*$", "").contains("?")
-    h_has_frag = h.contains("#")
-    b_scheme, b_net, b_path = url_part(b, "scheme"), url_part(b, "netloc"), url_part(b, "path")
-    b_query = url_part(b, "query")
-    b_has_query = F.regexp_replace(b, r"#.*$", "").contains("?")
-    b_has_net = F.regexp_replace(b, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "").startswith("//")
-
-    scheme = F.when(h_has_scheme, h_scheme).otherwise(b_scheme)
-    query_sfx = F.when(h_has_query & (h_query != ""), F.concat(F.lit("?"), h_query)).otherwise(F.lit(""))
-    frag_sfx = F.when(h_has_frag & (h_frag != ""), F.concat(F.lit("#"), h_frag)).otherwise(F.lit(""))
-    prefix = F.when(b_has_net | (b_net != ""), F.concat(scheme, F.lit("://"), b_net)).otherwise(
+    scheme = F.when(h["has_scheme"], h["scheme"]).otherwise(b["scheme"])
+    query_sfx = F.when(h["has_query"] & (h["query"] != ""), F.concat(F.lit("?"), h["query"])).otherwise(F.lit(""))
+    frag_sfx = F.when(h["has_frag"] & (h["frag"] != ""), F.concat(F.lit("#"), h["frag"])).otherwise(F.lit(""))
+    prefix = F.when(b["has_net"] | (b["net"] != ""), F.concat(scheme, F.lit("://"), b["net"])).otherwise(
         F.concat(scheme, F.lit(":")))
 
-    base_parts = F.split(b_path, "/")
-    base_parts = F.when(F.element_at(base_parts, -1) != "", F.slice(base_parts, 1, F.size(base_parts) - 1)) \
-        .otherwise(base_parts)
-    rel = F.concat(base_parts, F.split(h_path, "/"))
-    rel = F.filter(rel, lambda x, i: (i == 0) | (i == F.size(rel) - 1) | (x != ""))
-    segments = F.when(h_path.startswith("/"), F.split(h_path, "/")).otherwise(rel)
-    merged_path = _remove_dot_segments(segments)
-    merged_path = F.when(merged_path.startswith("/"), merged_path).otherwise(F.concat(F.lit("/"), merged_path))
-
-    same_doc_query = F.when(h_has_query & (h_query != ""), F.concat(F.lit("?"), h_query)).when(
-        b_has_query & (b_query != ""), F.concat(F.lit("?"), b_query)).otherwise(F.lit(""))
+    base_parts = let(F.split(b["path"], "/"), lambda bp: F.when(F.element_at(bp, -1) != "",
+                                                                 F.slice(bp, 1, F.size(bp) - 1)).otherwise(bp))
+    rel = let(F.concat(base_parts, F.split(h["path"], "/")),
+              lambda r: F.filter(r, lambda x, i: (i == 0) | (i == F.size(r) - 1) | (x != "")))
+    segments = F.when(h["path"].startswith("/"), F.split(h["path"], "/")).otherwise(rel)
+    merged_path = let(segments, _remove_dot_segments)
+    merged_path = let(merged_path, lambda m: F.when(m.startswith("/"), m).otherwise(F.concat(F.lit("/"), m)))
+
+    same_doc_query = F.when(h["has_query"] & (h["query"] != ""), F.concat(F.lit("?"), h["query"])).when(
+        b["has_query"] & (b["query"] != ""), F.concat(F.lit("?"), b["query"])).otherwise(F.lit(""))
+    hr, br = h["raw"], b["raw"]
     return (
-        F.when(h.isNull() | b.isNull(), F.lit(None).cast("string"))
-        .when(b == "", h)
-        .when(h == "", b)
-        .when(h_has_scheme & (h_scheme != b_scheme), h)
-        .when(h_has_net, F.concat(scheme, F.lit("://"), h_net, h_path, query_sfx, frag_sfx))
-        .when(h_path == "", F.concat(prefix, b_path, same_doc_query, frag_sfx))
+        F.when(hr.isNull() | br.isNull(), F.lit(None).cast("string"))
+        .when(br == "", hr)
+        .when(hr == "", br)
+        .when(h["has_scheme"] & (h["scheme"] != b["scheme"]), hr)
+        .when(h["has_net"], F.concat(scheme, F.lit("://"), h["net"], h["path"], query_sfx, frag_sfx))
+        .when(h["path"] == "", F.concat(prefix, b["path"], same_doc_query, frag_sfx))
         .otherwise(F.concat(prefix, merged_path, query_sfx, frag_sfx))
     )
 
