@@ -122,7 +122,10 @@ def content_hash(text) -> Column:
 
 def node_text_stripped(fragment) -> Column:
     """BeautifulSoup ``get_text(strip=True)`` of an HTML fragment: every text
-    node decoded and stripped, empty ones dropped, joined without separator."""
-    pieces = F.split(_col(fragment), r"<[^>]*>")
-    return F.array_join(
-        F.filter(F.transform(pieces, lambda p: strip_ws(decode_entities(p))), lambda p: p != ""), "")
+    node decoded and stripped, empty ones dropped, joined without separator.
+
+    Text nodes are cut at tags, re-joined with NUL (which markup text cannot
+    carry), entity-decoded in one pass and cut again."""
+    nodes = F.array_join(F.split(_col(fragment), r"<[^>]*>"), "\u0000")
+    pieces = F.split(decode_entities(nodes), "\u0000")
+    return F.array_join(F.filter(F.transform(pieces, strip_ws), lambda p: p != ""), "")
