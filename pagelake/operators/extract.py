@@ -30,12 +30,16 @@ def parse_pages(pages: DataFrame, html_col: str = "raw_html") -> DataFrame:
 
 def _dedup_entries(entries: Column) -> Column:
     """Dict semantics on an ordered entry list: a repeated key keeps its first
-    position and takes the last value."""
-    keys = F.transform(entries, lambda e: e["key"])
-    firsts = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.transform(firsts, lambda e: F.struct(
-        e["key"].alias("key"),
-        F.element_at(F.filter(entries, lambda x: x["key"] == e["key"]), -1)["value"].alias("value")))
+    position and takes the last value.  The list and its keys are bound once
+    (they are read inside per-element lambdas)."""
+    def body(es):
+        return let(F.transform(es, lambda e: e["key"]), lambda keys: F.transform(
+            F.filter(es, lambda e, i: F.array_position(keys, e["key"]) == i + 1),
+            lambda e: F.struct(e["key"].alias("key"),
+                               F.element_at(F.filter(es, lambda x: x["key"] == e["key"]), -1)["value"]
+                               .alias("value"))))
+
+    return let(entries, body)
 
 
 def tables_column(html) -> Column:
@@ -49,6 +53,7 @@ def tables_column(html) -> Column:
         pairs = F.transform(rows, lambda r: F.struct(
             F.when(r.rlike(TH_RE), node_text_stripped(F.regexp_extract(r, TH_RE, 1))).alias("key"),
             F.when(r.rlike(TD_RE), node_text_stripped(F.regexp_extract(r, TD_RE, 1))).alias("value")))
+        # rows with both cells only; bound once before the dedup reads it repeatedly
         kept = F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
         return _dedup_entries(kept)
 
