@@ -89,12 +89,20 @@ def _topk_kernel(q_ids: np.ndarray, q_mat: np.ndarray, k: int, payload_cols: lis
     return fn
 
 
-def _query_blocks(queries: DataFrame, max_block: int) -> list[DataFrame]:
-    n = queries.count()
+def _query_blocks(queries: DataFrame, max_block: int, seed: int = 0, n: int | None = None) -> list[DataFrame]:
+    """Split the query set into blocks of at most ``max_block`` rows (checked
+    by counting; an oversized hash block is split again with another seed)."""
+    n = queries.count() if n is None else n
     if n <= max_block:
         return [queries]
-    nblocks = math.ceil(n / max_block) * 2  # hash blocks are uneven; aim at half the bound
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(nblocks)) == b) for b in range(nblocks)]
+    nblocks = math.ceil(n / max_block) * 2  # aim at half the bound
+    h = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(nblocks))
+    counts = {r["b"]: r["n"] for r in queries.groupBy(h.alias("b")).count().withColumnRenamed("count", "n").collect()}
+    out = []
+    for b, cnt in sorted(counts.items()):
+        block = queries.filter(h == b)
+        out += [block] if cnt <= max_block else _query_blocks(block, max_block, seed + 1, cnt)
+    return out
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
