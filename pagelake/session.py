@@ -45,7 +45,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
@@ -81,3 +81,36 @@ def materialize(df, name: str = "stage"):
     path = os.path.join(base, "pagelake-stages", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pagelake`` importable in Python workers (functions defined in the
+    package are pickled by reference).  The package is zipped once and added
+    with ``addPyFile`` — the same mechanism as ``spark-submit --py-files`` —
+    once per SparkContext."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_pagelake_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    fd, zpath = tempfile.mkstemp(prefix="pagelake-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    sc._pagelake_shipped = True
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder (from the session, scratch only when unset) and the
+    package on the workers."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return spark
