@@ -172,8 +172,10 @@ def _walk(listings: DataFrame, starts: DataFrame, max_pages: int, allowed: DataF
     hops = [hop0]
     for _ in range(1, levels):
         a, b = hops[-1].alias("a"), hops[-1].alias("b")
-        hops.append(a.join(b, F.col("a._v") == F.col("b._u"), "left")
-                    .select(F.col("a._u").alias("_u"), F.col("b._v").alias("_v")))
+        # each level is written once: the next level and the expansion read it,
+        # and the plan stays linear instead of doubling with every level
+        hops.append(materialize(a.join(b, F.col("a._v") == F.col("b._u"), "left")
+                                .select(F.col("a._u").alias("_u"), F.col("b._v").alias("_v")), "jump"))
     rows = starts.select(F.col("url").alias("start_url")).distinct() \
         .withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(int(max_pages))))) \
         .withColumn("url", F.col("start_url"))
