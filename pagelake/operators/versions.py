@@ -52,10 +52,13 @@ def latest_processed(processed: DataFrame, pages: DataFrame) -> DataFrame:
 def collapse_unchanged(obs: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id"),
                        hash_col: str = "content_hash") -> DataFrame:
     """V4: keep an observation only when its hash differs from the previous
-    observation of the same URL (A→B→A is three versions)."""
-    scanned = ordered_scan(obs, key=key, order=list(order), lag_cols=[hash_col])
+    observation of the same URL (A→B→A is three versions).  Ids are unique."""
+    # scan only the narrow columns; wide rows (HTML, text) are kept by id afterwards
+    narrow = obs.select(key, *dict.fromkeys([*order, "id"]), hash_col)
+    scanned = ordered_scan(narrow, key=key, order=list(order), lag_cols=[hash_col])
     prev = F.col(f"prev_{hash_col}")
-    return scanned.filter(prev.isNull() | (prev != F.col(hash_col))).drop(f"prev_{hash_col}", "_rn")
+    kept = scanned.filter(prev.isNull() | (prev != F.col(hash_col))).select("id")
+    return obs.join(kept, "id", "left_semi")
 
 
 def new_versions(stored: DataFrame, incoming: DataFrame, key: str = "url",
@@ -69,21 +72,24 @@ def new_versions(stored: DataFrame, incoming: DataFrame, key: str = "url",
     head = stored.groupBy(key).agg(F.max(F.struct(*[F.col(c) for c in order])).alias("_head"))
     newer = incoming.join(head, key, "left").filter(
         F.col("_head").isNull() | (F.struct(*[F.col(c) for c in order]) > F.col("_head"))).drop("_head")
-    scanned = ordered_scan(newer, key=key, order=list(order), lag_cols=[hash_col])
+    narrow = newer.select(key, *dict.fromkeys([*order, "id"]), hash_col)
+    scanned = ordered_scan(narrow, key=key, order=list(order), lag_cols=[hash_col])
     last_stored = stored.join(latest_ids(stored, key=key, order=order), "id", "left_semi").select(
         F.col(key), F.col(hash_col).alias("_stored_hash"))
     prev = F.coalesce(F.col(f"prev_{hash_col}"), F.col("_stored_hash"))
     firsts = scanned.filter(F.col("_rn") == 1).join(last_stored, key, "left")
     rest = scanned.filter(F.col("_rn") > 1).withColumn("_stored_hash", F.lit(None).cast("string"))
-    both = firsts.unionByName(rest)
-    return both.filter(prev.isNull() | (prev != F.col(hash_col))).drop(f"prev_{hash_col}", "_rn", "_stored_hash")
+    kept = firsts.unionByName(rest).filter(prev.isNull() | (prev != F.col(hash_col))).select("id")
+    return newer.join(kept, "id", "left_semi")
 
 
 def version_history(pages: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id")) -> DataFrame:
     """V6: version number (1 = oldest) and version count per URL."""
-    scanned = ordered_scan(pages, key=key, order=list(order), lag_cols=[])
+    narrow = pages.select(key, *dict.fromkeys([*order, "id"]))
+    numbers = ordered_scan(narrow, key=key, order=list(order), lag_cols=[]).select(
+        "id", F.col("_rn").alias("version_no"))
     counts = pages.groupBy(key).agg(F.count(F.lit(1)).alias("n_versions"))
-    return scanned.withColumnRenamed("_rn", "version_no").join(counts, key)
+    return pages.join(numbers, "id").join(counts, key)
 
 
 def restrict_to_latest(df: DataFrame, pages: DataFrame, page_key: str = "page_id") -> DataFrame:
