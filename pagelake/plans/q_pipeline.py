@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pagelake.functions.html import html_text, strip_ws
-from pagelake.functions.text import serialize_table
 from pagelake.operators import pipeline as PL
 from pagelake.operators.planning import classify_fetch, resolve_attempts
 from pagelake.plans import sqlfrag as S
@@ -152,5 +151,3 @@ def p10(spark, sf):
     chunks = io.read_sink(spark, paths["chunks"], io.CHUNK_SCHEMA)
     return chunks.select("page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
 
-
-_ = serialize_table

@@ -7,7 +7,6 @@ import time
 
 from pyspark.sql import functions as F
 
-from pagelake.operators import pipeline as PL
 from pagelake.plans.q_pipeline import _P10_SQL
 from pagelake.plans.q_versions import _COLLAPSED
 from pagelake.plans.registry import V, page_log, query, sql_ts, ts_str
@@ -51,5 +50,3 @@ def t2(spark, sf):
     v = spark.read.schema(ST.VERSION_SCHEMA).parquet(out)
     return v.select("id", "url", "content_hash", ts_str("fetched_at").alias("fetched_at"))
 
-
-_ = PL

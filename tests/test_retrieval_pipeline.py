@@ -1,7 +1,6 @@
 """Retrieval, citations, prompts and the pipeline."""
 
 import datetime as dt
-import random
 
 import numpy as np
 import pytest
@@ -82,7 +81,6 @@ def test_validate_chunk_and_pipeline_replay(spark):
     rec = spark.createDataFrame([(1, "", []), (2, " ", [[("k", None)]]), (3, "ok", [])],
                                 "page_id long, text string, tables array<array<struct<key:string,value:string>>>")
     valid, rejected = PL.validate(rec, passthrough=("page_id",))
-    assert [r["page_id"] for r in valid.collect()] == [] or True
     assert sorted(r["page_id"] for r in valid.collect()) == [3]
     assert sorted(r["page_id"] for r in rejected.collect()) == [1, 2]
     with pytest.raises(ValueError):
@@ -109,4 +107,3 @@ def test_hashing_embedder_is_normalised(spark):
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-6 and sum(v[1]) == 0
     e = PL.embed(df, "t", embedder=lambda texts: [[float(len(t))] * 4 for t in texts], dim=4).collect()
     assert e[0]["embedding"] == [17.0] * 4
-    _ = random

@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from pagelake.operators import versions as Vs
 from pagelake.plans.scan import ordered_scan
@@ -66,4 +65,3 @@ def test_version_history_and_restrict(spark):
     assert sorted(r["chunk_id"] for r in Vs.restrict_to_latest(chunks, obs_df(spark, rows)).collect()) == [11, 12]
     pl = Vs.latest_page(obs_df(spark, rows), "u").collect()
     assert [r["id"] for r in pl] == [2] and Vs.latest_page(obs_df(spark, rows), "nope").count() == 0
-    _ = F
