@@ -262,6 +262,26 @@ def classify_fetch(status: Column, error: Column | None = None) -> Column:
             .otherwise("ok"))
 
 
+# Error kinds each pipeline stage retries (others are permanent).
+STAGE_RETRYABLE = {
+    "process": ("db_connectivity",),
+    "embed": ("request_error", "db_connectivity"),
+}
+
+
+def classify_stage(stage: str, status: Column, error: Column | None = None) -> Column:
+    """C10 helper: outcome of one attempt of a pipeline stage.
+
+    ``crawl`` uses the fetch rules of :func:`classify_fetch`; ``process`` and
+    ``embed`` retry only their transient error kinds, every other error is
+    permanent, no error is ok."""
+    if stage == "crawl":
+        return classify_fetch(status, error)
+    kinds = STAGE_RETRYABLE[stage]
+    e = F.lower(error) if error is not None else F.lit(None).cast("string")
+    return (F.when(e.isNull() | (e == ""), "ok").when(e.isin(*kinds), "retryable").otherwise("permanent"))
+
+
 def resolve_attempts(attempts: DataFrame, max_retries: int = MAX_RETRIES, outcome_col: str = "outcome",
                      job_col: str = "job_id") -> DataFrame:
     """Per job → succeeded / retrying / dead with ``attempt_count``.

@@ -85,3 +85,15 @@ def test_resolve_attempts(spark):
     b = spark.createDataFrame([(1, 0, dt.datetime(2024, 1, 1)), (1, 9, dt.datetime(2024, 1, 1))],
                               "job_id long, retries int, at timestamp")
     assert [r["countdown_s"] for r in P.next_attempt_at(b).collect()] == [1.0, 300.0]
+
+
+def test_stage_specific_retry_sets(spark):
+    rows = [("process", "db_connectivity"), ("process", "validation"), ("embed", "request_error"),
+            ("embed", "db_connectivity"), ("embed", "bad_vector"), ("process", None)]
+    df = spark.createDataFrame(rows, "stage string, e string")
+    got = []
+    for stage, e in rows:
+        r = df.filter((F.col("stage") == stage) & (F.col("e").eqNullSafe(F.lit(e)))).select(
+            P.classify_stage(stage, F.lit(None).cast("int"), F.col("e")).alias("o")).first()["o"]
+        got.append(r)
+    assert got == ["retryable", "permanent", "retryable", "retryable", "permanent", "ok"]

@@ -107,3 +107,11 @@ def test_hashing_embedder_is_normalised(spark):
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-6 and sum(v[1]) == 0
     e = PL.embed(df, "t", embedder=lambda texts: [[float(len(t))] * 4 for t in texts], dim=4).collect()
     assert e[0]["embedding"] == [17.0] * 4
+
+
+def test_keyword_wildcards_and_literal_mode(spark):
+    pages = pages_df(spark, [(1, "a", 1)])
+    processed = spark.createDataFrame([(1, 1, "x" * 200 + " then more")], "id long, page_id long, text string")
+    hit = R.keyword_search(processed, pages, "th_n").collect()
+    assert len(hit) == 1 and hit[0]["snippet"] == "x" * 160  # no literal hit: first 160 chars
+    assert R.keyword_search(processed, pages, "th_n", literal=True).count() == 0
