@@ -282,6 +282,14 @@ def classify_stage(stage: str, status: Column, error: Column | None = None) -> C
     return (F.when(e.isNull() | (e == ""), "ok").when(e.isin(*kinds), "retryable").otherwise("permanent"))
 
 
+def classify_stage_col(stage: Column, status: Column, error: Column) -> Column:
+    """:func:`classify_stage` with the stage given per row."""
+    out = F.when(stage == "crawl", classify_fetch(status, error))
+    for st in STAGE_RETRYABLE:
+        out = out.when(stage == st, classify_stage(st, status, error))
+    return out.otherwise(F.lit(None).cast("string"))
+
+
 def resolve_attempts(attempts: DataFrame, max_retries: int = MAX_RETRIES, outcome_col: str = "outcome",
                      job_col: str = "job_id") -> DataFrame:
     """Per job → succeeded / retrying / dead with ``attempt_count``.

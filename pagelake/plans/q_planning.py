@@ -316,3 +316,41 @@ def c12(spark, sf):
     return out.select(F.col("planned").cast("long").alias("planned"), F.col("stored").cast("long").alias("stored"),
                       ts_str("first_at").alias("first_at"), ts_str("last_at").alias("last_at"),
                       rnd6("elapsed_s").alias("elapsed_s"), rnd6("s_per_page").alias("s_per_page"))
+
+
+_STAGED_SQL = with_views("attempts_v") + """,
+staged AS (SELECT *, CASE job_id % 3 WHEN 0 THEN 'crawl' WHEN 1 THEN 'process' ELSE 'embed' END AS stage,
+                  CASE WHEN job_id % 3 = 0 THEN NULL
+                       ELSE CASE status WHEN 503 THEN 'db_connectivity' WHEN 429 THEN 'request_error'
+                                        WHEN 404 THEN 'validation' END END AS error_kind
+           FROM attempts_v),
+cls AS (SELECT *, CASE WHEN stage = 'crawl' THEN
+                         CASE WHEN status = 429 OR (status >= 500 AND status < 600) THEN 'retryable'
+                              WHEN status >= 400 AND status < 500 THEN 'permanent' ELSE 'ok' END
+                       WHEN error_kind IS NULL THEN 'ok'
+                       WHEN stage = 'process' AND error_kind = 'db_connectivity' THEN 'retryable'
+                       WHEN stage = 'embed' AND error_kind IN ('request_error', 'db_connectivity') THEN 'retryable'
+                       ELSE 'permanent' END AS outcome
+        FROM staged),
+term AS (SELECT job_id, min(attempt) AS t FROM cls WHERE outcome <> 'retryable' OR attempt >= 6 GROUP BY job_id),
+lastv AS (SELECT job_id, max(attempt) AS last_attempt FROM cls GROUP BY job_id)
+SELECT l.job_id, (SELECT max(stage) FROM cls c3 WHERE c3.job_id = l.job_id) AS stage,
+       CASE WHEN t.t IS NULL THEN 'retrying' WHEN c.outcome = 'ok' THEN 'succeeded' ELSE 'dead' END AS state,
+       CAST(coalesce(t.t, l.last_attempt) AS BIGINT) AS attempt_count
+FROM lastv l LEFT JOIN term t ON t.job_id = l.job_id
+LEFT JOIN cls c ON c.job_id = t.job_id AND c.attempt = t.t"""
+
+
+@query("C10_resolve_attempts_per_stage", _STAGED_SQL)
+def c10c(spark, sf):
+    """Crawl, process and embed jobs: each stage retries its own error kinds."""
+    a = V(spark, sf, "attempts_v")
+    stage = F.when(F.col("job_id") % 3 == 0, "crawl").when(F.col("job_id") % 3 == 1, "process").otherwise("embed")
+    err = (F.when(F.col("status") == 503, "db_connectivity").when(F.col("status") == 429, "request_error")
+           .when(F.col("status") == 404, "validation"))
+    a = a.withColumn("stage", stage).withColumn("error_kind", F.when(stage != "crawl", err))  # crawl: by status
+    a = a.withColumn("outcome", P.classify_stage_col(F.col("stage"), F.col("status"), F.col("error_kind")))
+    r = P.resolve_attempts(a, max_retries=5)
+    stages = a.groupBy("job_id").agg(F.max("stage").alias("stage"))
+    return r.join(stages, "job_id").select("job_id", "stage", "state",
+                                            F.col("attempt_count").cast("long").alias("attempt_count"))
