@@ -66,6 +66,12 @@ def process_pages(pages: DataFrame) -> DataFrame:
                         tables_column(F.col("raw_html")).alias("tables"))
 
 
+def chunk_text(df: DataFrame, col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+               key: str = "page_id") -> DataFrame:
+    """P4 on a DataFrame: ``(key, chunk_index, chunk_text)`` overlap chunks of one text column."""
+    return df.select(key, F.posexplode(chunk_windows(F.col(col), size, overlap)).alias("chunk_index", "chunk_text"))
+
+
 def chunk_column(text, tables, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Body chunks, then one unsplit chunk per non-empty table."""
     tabs = F.filter(F.transform(F.coalesce(tables, F.array().cast("array<array<struct<key:string,value:string>>>")),
@@ -220,6 +226,6 @@ def pipeline_paths(spark: SparkSession, name: str = "pipeline") -> dict[str, str
     return {k: f"{base}/{k}" for k in ("pages", "processed", "chunks", "dead_letters")}
 
 
-__all__ = ["pending", "validate", "process_pages", "chunk_pages", "chunk_column", "hashing_vector", "embed",
+__all__ = ["pending", "validate", "process_pages", "chunk_text", "chunk_pages", "chunk_column", "hashing_vector", "embed",
            "attach_url", "dedup_by_page", "run_pipeline", "pipeline_paths", "dead_letters"]
 

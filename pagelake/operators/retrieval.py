@@ -275,6 +275,16 @@ def get_by_id(df: DataFrame, id_value, id_col: str = "id") -> DataFrame:
     return df.filter(F.col(id_col) == F.lit(id_value))
 
 
+def get_page(pages: DataFrame, page_id) -> DataFrame:
+    """One raw page by id (empty = not found)."""
+    return get_by_id(pages, page_id)
+
+
+def get_processed(processed: DataFrame, processed_id) -> DataFrame:
+    """One processed page by id (empty = not found)."""
+    return get_by_id(processed, processed_id)
+
+
 def parse_citations(answers: DataFrame) -> DataFrame:
     """(query_id, pos, citation) for every citation number in an answer."""
     from pagelake.functions.text import citation_numbers
@@ -293,5 +303,5 @@ def highlight_matches(df: DataFrame, text_col: str, q) -> DataFrame:
 
 
 __all__ = ["knn", "retrieve", "label_sources", "sources", "build_prompts", "ask_batch", "keyword_search",
-           "list_pages", "list_processed", "get_by_id", "parse_citations", "dangling_citations",
+           "list_pages", "list_processed", "get_by_id", "get_page", "get_processed", "parse_citations", "dangling_citations",
            "highlight_matches", "latest_ids", "DEFAULT_K", "NO_CONTENT_ANSWER"]

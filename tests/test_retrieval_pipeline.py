@@ -115,3 +115,10 @@ def test_keyword_wildcards_and_literal_mode(spark):
     hit = R.keyword_search(processed, pages, "th_n").collect()
     assert len(hit) == 1 and hit[0]["snippet"] == "x" * 160  # no literal hit: first 160 chars
     assert R.keyword_search(processed, pages, "th_n", literal=True).count() == 0
+
+
+def test_named_entry_points(spark):
+    pages = pages_df(spark, [(1, "a", 1), (2, "b", 1)])
+    assert [r["url"] for r in R.get_page(pages, 2).collect()] == ["b"] and R.get_page(pages, 9).count() == 0
+    docs = spark.createDataFrame([(1, "x" * 1200)], "page_id long, text string")
+    assert [r["chunk_index"] for r in PL.chunk_text(docs).collect()] == [0, 1, 2]
