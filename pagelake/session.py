@@ -114,3 +114,15 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage folders ``materialize`` wrote under the shared
+    checkpoint folder (``pagelake-stages``).  Call it once the DataFrames read
+    from them are no longer needed (end of a job); it never touches other data."""
+    base = ensure_checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(base, "pagelake-stages"))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
