@@ -97,3 +97,13 @@ def test_stage_specific_retry_sets(spark):
             P.classify_stage(stage, F.lit(None).cast("int"), F.col("e")).alias("o")).first()["o"]
         got.append(r)
     assert got == ["retryable", "permanent", "retryable", "retryable", "permanent", "ok"]
+
+
+def test_backoff_jitter_is_bounded_and_deterministic(spark):
+    rows = [(j, r, dt.datetime(2024, 1, 1)) for j in range(50) for r in range(0, 10)]
+    df = spark.createDataFrame(rows, "job_id long, retries int, at timestamp")
+    a = {(x["job_id"], x["retries"]): x["countdown_s"] for x in P.next_attempt_at(df, jitter_seed=7).collect()}
+    b = {(x["job_id"], x["retries"]): x["countdown_s"] for x in P.next_attempt_at(df, jitter_seed=7).collect()}
+    assert a == b
+    for (_, r), c in a.items():
+        assert 0 <= c <= min(300, 2 ** r) and c == int(c)
