@@ -52,7 +52,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) is a scratch folder set.
+    Only on a ``local`` master (tests) is a scratch folder set when the session names none;
+    on a cluster that is an error, because executors do not share local folders.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -63,7 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current is not None:
         return current
-    local = tempfile.mkdtemp(prefix="pagelake-ckpt-", dir="/tmp")
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    local = tempfile.mkdtemp(prefix="pagelake-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
