@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space that separates words: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\f\r"
@@ -47,3 +48,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def q(name: str) -> Column:
     """A column by its exact name, also when it holds dots or blanks."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def add_columns(df: DataFrame, column: str, compute, added: dict[str, str]) -> DataFrame:
+    """``df`` with the columns ``added`` (name → type), which ``compute(batches)`` makes in Arrow batches: it gets
+    an iterator of the arrays of ``column`` and yields a list of arrays for each.  Columns of ``df`` pass through
+    by position, so any names will do."""
+    import pyarrow as pa
+
+    at = df.columns.index(column)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType(list(plain.schema.fields) + [T.StructField(f"n{i}", T._parse_datatype_string(kind))
+                                                       for i, kind in enumerate(added.values())])
+    names = schema.fieldNames()
+
+    def scan(batches):
+        held = []
+
+        def arrays():
+            for batch in batches:
+                held.append(batch)
+                yield batch.column(at)
+
+        for new in compute(arrays()):
+            batch = held.pop()
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+
+    return plain.mapInArrow(scan, schema).toDF(*df.columns, *fresh(df, *added))

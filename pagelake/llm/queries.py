@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pagelake.llm import quality
+from pagelake.llm import langid, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op3_sharding": sharding.op3_sharding,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op7_language_id": langid.op7_language_id,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE = {
+    "op4_mixing": mixing.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
 }
