@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pagelake.llm import langid, mixing, quality, sharding, toxicity
+from pagelake.llm import decontaminate, html_main, langid, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_language_id": langid.op7_language_id,
+    "op8_html_extraction": html_main.op8_html_extraction,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE = {
     "op4_mixing": mixing.oracle_sql(),
+    "op9_decontamination": decontaminate.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
 }
