@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pagelake.llm import decontaminate, html_main, jaccard, langid, mixing, quality, sharding, toxicity
+from pagelake.llm import decontaminate, html_main, jaccard, langid, lm, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_sharding": sharding.op3_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_language_id": langid.op7_language_id,
     "op8_html_extraction": html_main.op8_html_extraction,
     "op9_decontamination": decontaminate.op9_decontamination,
