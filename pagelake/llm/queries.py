@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagelake.llm import decontaminate, html_main, jaccard, langid, lm, mixing, quality, sharding, toxicity
+from pagelake.llm import decontaminate, html_main, jaccard, langid, lines, lm, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_sharding": sharding.op3_sharding,
     "op4_mixing": mixing.op4_mixing,
