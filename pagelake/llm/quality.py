@@ -118,7 +118,9 @@ def quality(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
             ok = ok & (m[top] <= m[bottom] * F.lit(high))
     failed = (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT_PERCENT)
     verdict = F.struct(*[m[k].alias(k) for k in stats], failed.alias("base_failed"), (~failed & ok).alias("kept"))
-    return staged.select(*[q(c) for c in df.columns], verdict.alias(out))
+    # The generator keeps a later filter on the verdict above this projection; pushed below it, the filter would
+    # repeat the statistics inside their own lambdas.
+    return staged.select(*[q(c) for c in df.columns], F.explode(F.array(verdict)).alias(out))
 
 
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
