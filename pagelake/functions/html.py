@@ -2,14 +2,15 @@
 
 Regex-based, not a tree parser: comments, scripts and styles are removed as one
 alternation so that whichever opener comes first wins; tags become a space;
-entities are decoded after the tags are gone (``&amp;`` last); whitespace is
+character references are decoded after the tags are gone, in one pass; whitespace is
 collapsed with the same character set Python's ``str.isspace`` uses.
-Nested tables, ``>`` inside attribute values and CSS-selector nesting are
-approximated (see README).
+Nested tables and CSS-selector nesting are approximated (see README).
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,17 +18,14 @@ from pyspark.sql import functions as F
 # class valid both in Java regex and in RE2.
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-# Named entities decoded (besides numeric ones); &amp; is
-# handled separately and last.
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·",
-    "&pound;": "£", "&euro;": "€", "&yen;": "¥", "&cent;": "¢",
-    "&sect;": "§", "&para;": "¶", "&deg;": "°", "&times;": "×",
-    "&divide;": "÷", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-    "&laquo;": "«", "&raquo;": "»", "&bull;": "•",
-}
+# All named character references of HTML5, from the standard library; some also stand without a semicolon.
+NAMED_REFERENCES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+BARE_REFERENCES = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+# The ones tried first: short map for the references that pages mostly use.
+COMMON_REFERENCES = ["apos", *BARE_REFERENCES]
+# Numeric references 128 to 159 mean the windows-1252 character, where there is one.
+_WINDOWS = [bytes([n]).decode("windows-1252", "ignore") or chr(n) for n in range(128, 160)]
+REPLACEMENT = "\ufffd"
 
 from pagelake.functions.patterns import BODY_OPEN_RE, BODY_RE, HEAD_RE, JUNK_RE, TAG_RE, TITLE_RE  # noqa: E402
 
@@ -59,37 +57,44 @@ def collapse_ws(c) -> Column:
 
 
 def _code_point(num: Column) -> Column:
-    """String of one Unicode code point given as an integer column."""
-    return F.decode(F.unhex(F.lpad(F.hex(num), 8, "0")), "UTF-32")
+    """The character of a numeric reference; U+FFFD for zero, surrogates and numbers beyond Unicode."""
+    bad = (num <= 0) | (num > 0x10FFFF) | ((num >= 0xD800) & (num <= 0xDFFF))
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(num)), 8, "0")), "UTF-32")
+    windows = F.array(*[F.lit(c) for c in _WINDOWS])
+    return F.when((num >= 128) & (num <= 159), F.get(windows, (num - 128).cast("int"))).otherwise(plain)
 
 
-def _decode_numeric(c: Column) -> Column:
-    parts = F.split(c, "&#")
+def _number(digits: Column, base: int, longest: int) -> Column:
+    short = F.regexp_replace(digits, "^0+", "")
+    value = F.when((short == "") | (F.length(short) > longest), F.lit("0")).otherwise(short)
+    return (value if base == 10 else F.conv(value, base, 10)).cast("bigint")
 
-    def piece(p, i):
-        dec = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        return (
-            F.when(i == 0, p)
-            .when(dec != "", F.concat(_code_point(dec.cast("bigint")),
-                                      F.regexp_replace(p, r"^[0-9]{1,7};", "")))
-            .when(hx != "", F.concat(_code_point(F.conv(hx, 16, 10).cast("bigint")),
-                                     F.regexp_replace(p, r"^[xX][0-9a-fA-F]{1,6};", "")))
-            .otherwise(F.concat(F.lit("&#"), p))
-        )
 
-    return F.array_join(F.transform(parts, piece), "")
+def _map(names) -> Column:
+    return F.create_map(*[F.lit(v) for n in names for v in (n, NAMED_REFERENCES[n])])
 
 
 def decode_entities(c) -> Column:
-    """Decode named and numeric character references; ``&amp;`` last."""
+    """Decode all character references in one pass (so ``&amp;lt;`` gives ``&lt;``)."""
+    def piece(p, i):
+        decimal = F.regexp_extract(p, "^#([0-9]+);?", 1)
+        hexadecimal = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);?", 1)
+        name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        bare = F.regexp_extract(p, "^(" + "|".join(BARE_REFERENCES) + ")", 1)
+        named = F.when(name != "", F.coalesce(F.try_element_at(_map(COMMON_REFERENCES), name),
+                                              F.try_element_at(_map(NAMED_REFERENCES), name)))
+        after = lambda used: F.substring(p, used + 1, F.length(p))
+        return (
+            F.when(i == 0, p)
+            .when(decimal != "", F.concat(_code_point(_number(decimal, 10, 7)), F.regexp_replace(p, "^#[0-9]+;?", "")))
+            .when(hexadecimal != "", F.concat(_code_point(_number(hexadecimal, 16, 6)),
+                                              F.regexp_replace(p, "^#[xX][0-9a-fA-F]+;?", "")))
+            .when(named.isNotNull(), F.concat(named, after(F.length(name) + 1)))
+            .when(bare != "", F.concat(F.try_element_at(_map(BARE_REFERENCES), bare), after(F.length(bare))))
+            .otherwise(F.concat(F.lit("&"), p)))
+
     def body(x):
-        out = x
-        for ent, ch in NAMED_ENTITIES.items():
-            out = F.replace(out, F.lit(ent), F.lit(ch))
-        out = let(out, lambda o: F.when(o.contains("&#"), _decode_numeric(o)).otherwise(o))
-        out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-        return F.when(x.contains("&"), out).otherwise(x)
+        return F.when(x.contains("&"), F.array_join(F.transform(F.split(x, "&"), piece), "")).otherwise(x)
 
     return let(_col(c), body)
 
@@ -126,6 +131,6 @@ def node_text_stripped(fragment) -> Column:
 
     Text nodes are cut at tags, re-joined with NUL (which markup text cannot
     carry), entity-decoded in one pass and cut again."""
-    nodes = F.array_join(F.split(_col(fragment), r"<[^>]*>"), "\u0000")
+    nodes = F.array_join(F.split(_col(fragment), TAG_RE), "\u0000")
     pieces = F.split(decode_entities(nodes), "\u0000")
     return F.array_join(F.filter(F.transform(pieces, strip_ws), lambda p: p != ""), "")

@@ -1,25 +1,38 @@
-"""Regular expressions of the HTML extraction (fixed values).
+"""Regular expressions of the HTML extraction (fixed values, Java syntax)."""
+
+# A tag's inside: quotes count only after "=", so that neither ">" in a quoted value nor a stray quote ends or
+# extends the tag.  Possessive, hence linear.
+_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+_TO = r"""(?:[^>=\s]++|\s|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+))*?"""
+
+
+def _open(name: str) -> str:
+    return rf"<{name}\b{_INSIDE}>"
+
+
+def _open_with_class(name: str, token: str) -> str:
+    return (rf"<{name}\b[^>]*?\sclass\s*=\s*(?:\"(?:[^\"]*\s)?{token}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{token}(?:\s[^']*)?'"
+            rf"|{token}(?=[\s>])){_INSIDE}>")
 
-Valid in Java regex (Spark) and in RE2 (DuckDB, used by the oracle).
-"""
 
 # Page-level structure.
 JUNK_RE = (r"(?is)<!--.*?(?:-->|\z)"
-           r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-           r"|<style\b[^>]*>.*?(?:</style\s*>|\z)")
-TAG_RE = r"<[A-Za-z/!?][^>]*>"
+           rf"|{_open('script')}.*?(?:</script\s*>|\z)"
+           rf"|{_open('style')}.*?(?:</style\s*>|\z)")
+TAG_RE = rf"<[A-Za-z/!?]{_INSIDE}>"
 BODY_OPEN_RE = r"(?i)<body\b"
-BODY_RE = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
-HEAD_RE = r"(?is)<head\b[^>]*>.*?(?:</head\s*>|\z)"
-TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-
-# Tables, next link and product links.
-TABLE_RE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
-TR_SPLIT_RE = r"(?i)<tr\b[^>]*>"
-TH_RE = r"(?is)<th\b[^>]*>(.*?)</th\s*>"
-TD_RE = r"(?is)<td\b[^>]*>(.*?)</td\s*>"
-NEXT_LI_RE = (r"(?is)<li\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?next(?:\s[^\"']*)?[\"'][^>]*>(.*?)</li\s*>")
-A_HREF_RE = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
-ARTICLE_RE = (r"(?is)<article\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?product_pod(?:\s[^\"']*)?[\"'][^>]*>"
-              r"(.*?)</article\s*>")
-H3_RE = r"(?is)<h3\b[^>]*>(.*?)</h3\s*>"
+BODY_RE = rf"(?is){_open('body')}(.*?)(?:</body\s*>|\z)"
+HEAD_RE = rf"(?is){_open('head')}.*?(?:</head\s*>|\z)"
+TITLE_RE = rf"(?is){_open('title')}(.*?)</title\s*>"
+
+# Tables, next link and product links.  A cell ends at its end tag, at the next cell or row, or with its table.
+TABLE_RE = rf"(?is){_open('table')}(.*?)(?:</table\s*>|\z)"
+TR_SPLIT_RE = rf"(?i){_open('tr')}"
+_CELL_END = r"(?=</?t[hdr]\b|</?t(?:able|body|head|foot)\b|\z)"
+TH_RE = rf"(?is){_open('th')}(.*?){_CELL_END}"
+TD_RE = rf"(?is){_open('td')}(.*?){_CELL_END}"
+NEXT_LI_RE = rf"(?is){_open_with_class('li', 'next')}(.*?)(?:</li\s*>|(?=<li\b)|(?=</[uo]l\b)|\z)"
+# Group 1 is the value with its quotes, if any.
+A_HREF_RE = rf"(?is)<a(?=\s){_TO}\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)"
+ARTICLE_RE = rf"(?is){_open_with_class('article', 'product_pod')}(.*?)(?:</article\s*>|\z)"
+H3_RE = rf"(?is){_open('h3')}(.*?)</h3\s*>"

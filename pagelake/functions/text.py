@@ -118,7 +118,7 @@ def decode_body(body, content_type) -> Column:
     has_cs = F.lower(F.coalesce(ct, F.lit(""))).contains("charset")
     return (
         F.when(has_cs & (declared == "utf-8"),
-               F.try_validate_utf8(as_utf8))
+               F.make_valid_utf8(as_utf8))
         .when(has_cs & (declared == "iso-8859-1"), F.decode(b, "ISO-8859-1"))
         .when(has_cs & (declared == "us-ascii"), F.decode(b, "US-ASCII"))
         .when(has_cs & (declared == "utf-16"), F.decode(b, "UTF-16"))

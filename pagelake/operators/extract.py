@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions.html import (content_hash, decode_entities, html_text, html_title, let,
-                                     node_text_stripped, strip_junk)
+                                     node_text_stripped, strip_junk, strip_ws)
 from pagelake.functions.urls import domain, origin, resolve_url
 
 from pagelake.functions.patterns import (A_HREF_RE, ARTICLE_RE, H3_RE, NEXT_LI_RE, TABLE_RE, TD_RE,  # noqa: E402
@@ -80,10 +80,16 @@ def table_facts(df: DataFrame, id_col: str = "page_id", tables_col: str = "table
 def next_link(html, page_url) -> Column:
     """Absolute URL of the first ``li.next a[href]``; null on the last page."""
     block = F.regexp_extract(strip_junk(html), NEXT_LI_RE, 1)
-    href = decode_entities(F.regexp_extract(block, A_HREF_RE, 1))
+    href = href_value(F.regexp_extract(block, A_HREF_RE, 1))
     return let(href, lambda h: F.when(h != "", resolve_url(h, _col(page_url))))
 
 
+def href_value(raw) -> Column:
+    """An attribute value as matched → without quotes, decoded, trimmed."""
+    plain = F.when(F.substring(raw, 1, 1).isin('"', "'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return strip_ws(decode_entities(plain))
+
+
 def _hrefs(fragment) -> Column:
     return F.regexp_extract_all(fragment, F.lit(A_HREF_RE), 1)
 
@@ -100,7 +106,7 @@ def link_column(html, page_url, scope: str | None = "product_pod") -> Column:
         arts = F.regexp_extract_all(clean, F.lit(ARTICLE_RE), 1)
         h3s = F.flatten(F.transform(arts, lambda a: F.regexp_extract_all(a, F.lit(H3_RE), 1)))
         hrefs = F.flatten(F.transform(h3s, _hrefs))
-    hrefs = F.filter(F.transform(hrefs, decode_entities), lambda h: h != "")
+    hrefs = F.filter(F.transform(hrefs, href_value), lambda h: h != "")
     return F.transform(hrefs, lambda h: resolve_url(h, _col(page_url)))
 
 

@@ -8,9 +8,13 @@ batch (or replaying it after a crash) writes nothing twice.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +25,11 @@ from pagelake.operators.extract import tables_column
 from pagelake.operators.versions import latest_ids, new_versions
 from pagelake.sources import tables as io
 
-# Embedding dimension of the default embedder, and the number of
-# chunk ids reserved per page version (chunk id = page_id * CHUNK_ID_SPAN + index).
+# Embedding dimension of the default embedder, and the factor of the
+# chunk id (page_id * CHUNK_ID_SPAN + index, a 38-digit decimal: any page id and any
+# chunk index fit).
 DEFAULT_DIM = 64
-CHUNK_ID_SPAN = 1_000_000
+CHUNK_ID_SPAN = 10_000_000_000
 
 TOKEN_SPLIT_RE = r"[^\p{L}\p{N}]+"
 
@@ -86,33 +91,22 @@ def chunk_pages(processed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHU
                             .alias("chunk_index", "chunk_text"))
 
 
-_BUCKETS: dict = {}
+@lru_cache(maxsize=1 << 20)
+def _bucket(token: str, dim: int) -> int:
+    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
-def _hashing_batch(texts, dim: int):
-    """Vectors for one Arrow batch; token → bucket is memoised per worker
-    (bounded), so MD5 runs once per distinct token, not per occurrence."""
-    import hashlib
+_NOT_TOKEN = re.compile(r"[\W_]+")
 
-    import regex
 
-    split = regex.compile(r"[^\p{L}\p{N}]+")
-    cache = _BUCKETS.setdefault(dim, {})
-    if len(cache) > 2_000_000:
-        cache.clear()
+def _hashing_batch(texts, dim: int):
+    """Vectors for one Arrow batch; the buckets of recent tokens are remembered per worker."""
     out = []
     for t in texts:
         if t is None:
             out.append(None)
             continue
-        ids = []
-        for x in split.split(t.lower()):
-            if not x:
-                continue
-            b = cache.get(x)
-            if b is None:
-                b = cache[x] = int(hashlib.md5(x.encode("utf-8")).hexdigest()[:8], 16) % dim
-            ids.append(b)
+        ids = [_bucket(x, dim) for x in _NOT_TOKEN.split(t.lower()) if x]
         v = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float64)
         n = np.sqrt((v * v).sum())
         out.append((v / n if n > 0 else v).astype(np.float32))
@@ -122,8 +116,8 @@ def _hashing_batch(texts, dim: int):
 def hashing_vector(text, dim: int = DEFAULT_DIM) -> Column:
     """Default embedder: lower-cased letter/digit tokens hashed into ``dim``
     buckets by the first 32 bits of their MD5, counted and L2-normalised.
-    Reproducible; not a language model.  Runs as an Arrow-batched pandas UDF
-    (numpy bincount per text), never row-at-a-time."""
+    Reproducible; not a language model.  Runs as an Arrow-batched pandas UDF that
+    loops over the texts of a batch (MD5 per distinct token, numpy counts)."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _vec(s: pd.Series) -> pd.Series:
         return pd.Series(_hashing_batch(s.tolist(), dim))
@@ -181,7 +175,9 @@ def dead_letters(rejected: DataFrame, task_name: str, as_of: dt.datetime, attemp
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - first run: the table does not exist yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -194,7 +190,7 @@ def run_pipeline(spark: SparkSession, obs: DataFrame, paths: dict[str, str], as_
     ``obs``: (id, url, raw_html, extracted_text, content_hash, fetched_at).
     ``paths``: table folders for keys pages, processed, chunks, dead_letters."""
     stored = _read_or_empty(spark, paths["pages"], io.PAGE_LOG_SCHEMA)
-    fresh = new_versions(stored, obs.join(stored.select("id"), "id", "left_anti"))
+    fresh = new_versions(stored, obs)
     io.append_pages(fresh, paths["pages"])
 
     pages = _read_or_empty(spark, paths["pages"], io.PAGE_LOG_SCHEMA)
@@ -212,7 +208,7 @@ def run_pipeline(spark: SparkSession, obs: DataFrame, paths: dict[str, str], as_
     chunks_done = _read_or_empty(spark, paths["chunks"], io.CHUNK_SCHEMA)
     to_embed = dedup_by_page(pending(processed, chunks_done, key="page_id"))
     chunks = embed(chunk_pages(to_embed), "chunk_text", embedder, dim)
-    chunks = chunks.select((F.col("page_id") * CHUNK_ID_SPAN + F.col("chunk_index")).alias("id"), "page_id",
+    chunks = chunks.select((F.col("page_id").cast("decimal(38,0)") * F.lit(CHUNK_ID_SPAN) + F.col("chunk_index")).cast("decimal(38,0)").alias("id"), "page_id",
                            "chunk_text", "embedding", "chunk_index",
                            F.lit(as_of).cast("timestamp").alias("created_at"))
     io.append_chunks(chunks, paths["chunks"])

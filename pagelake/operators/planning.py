@@ -169,12 +169,13 @@ def _walk(listings: DataFrame, starts: DataFrame, max_pages: int, allowed: DataF
     hop0 = listings.select(F.col("url").alias("_u"), F.col("next_url").alias("_v")) \
         .filter(F.col("_u").isNotNull()).dropDuplicates(["_u"])
     hop0 = materialize(hop0, "next-links")
-    hops = [hop0]
+    # ended jumps are left out, so nulls never gather in one join partition
+    hops = [hop0.filter(F.col("_v").isNotNull())]
     for _ in range(1, levels):
         a, b = hops[-1].alias("a"), hops[-1].alias("b")
         # each level is written once: the next level and the expansion read it,
         # and the plan stays linear instead of doubling with every level
-        hops.append(materialize(a.join(b, F.col("a._v") == F.col("b._u"), "left")
+        hops.append(materialize(a.join(b, F.col("a._v") == F.col("b._u"))
                                 .select(F.col("a._u").alias("_u"), F.col("b._v").alias("_v")), "jump"))
     rows = starts.select(F.col("url").alias("start_url")).distinct() \
         .withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(int(max_pages))))) \
@@ -182,7 +183,7 @@ def _walk(listings: DataFrame, starts: DataFrame, max_pages: int, allowed: DataF
     for k, hop in enumerate(hops):
         bit = F.shiftright(F.col("depth") - 1, k).bitwiseAND(F.lit(1)) == 1
         rows = rows.join(hop, rows.url == hop._u, "left").withColumn(
-            "url", F.when(bit, F.col("_v")).otherwise(F.col("url"))).drop("_u", "_v")
+            "url", F.when(bit, F.col("_v")).otherwise(F.col("url"))).drop("_u", "_v").filter(F.col("url").isNotNull())
     # a next link to a page absent from the listing table ends the walk (no HTML to store or read)
     rows = rows.join(hop0.select(F.col("_u").alias("url")), "url", "left_semi")
     if allowed is not None and stop_on_disallowed:
@@ -243,8 +244,8 @@ def sites_table(spark) -> DataFrame:
 def attach_site(jobs: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(jobs with their fetch strategy, rejected jobs with an error).
 
-    The registry is a fixed handful of rows, so it is broadcast."""
-    j = jobs.join(F.broadcast(sites), "site_key", "left")
+    The registry is the caller's table; the planner broadcasts it when it is small."""
+    j = jobs.join(sites, "site_key", "left")
     ok = j.filter(F.col("site_name").isNotNull())
     bad = j.filter(F.col("site_name").isNull()).select(
         *jobs.columns, F.concat(F.lit("unknown site key: "), F.col("site_key")).alias("error"))

@@ -83,7 +83,6 @@ def _topk_kernel(q_ids: np.ndarray, q_mat: np.ndarray, k: int, payload_cols: lis
                 best = best.sort_values(["query_id", "distance", "chunk_id"], kind="mergesort")
                 best = best.groupby("query_id", sort=False).head(k)
         if best is not None and len(best):
-            best = best[np.isfinite(best["distance"])]
             yield best
 
     return fn
@@ -96,7 +95,7 @@ def _query_blocks(queries: DataFrame, max_block: int, seed: int = 0, n: int | No
     if n <= max_block:
         return [queries]
     nblocks = math.ceil(n / max_block) * 2  # aim at half the bound
-    h = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(nblocks))
+    h = F.pmod(F.xxhash64(F.lit(seed), "query_id", "embedding"), F.lit(nblocks))
     counts = {r["b"]: r["n"] for r in queries.groupBy(h.alias("b")).count().withColumnRenamed("count", "n").collect()}
     out = []
     for b, cnt in sorted(counts.items()):
@@ -122,7 +121,7 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
          T.StructField("distance", T.DoubleType())]
         + [T.StructField(c, chunks.schema[c].dataType) for c in payload_cols])
     parts = []
-    for block in _query_blocks(queries.select("query_id", "embedding"), max_query_block):
+    for block in _query_blocks(queries.select("query_id", "embedding").distinct(), max_query_block):
         pdf = block.toPandas()  # bounded by max_query_block rows
         if len(pdf) == 0:
             continue
@@ -231,8 +230,10 @@ def keyword_search(processed: DataFrame, pages: DataFrame, queries, limit: int =
     current = restrict_to_latest(processed, pages)
 
     def pat(q):
+        # A backslash stands for itself; only the wildcards keep their meaning in the default mode.
+        q = q.replace("\\", "\\\\")
         if literal:
-            q = q.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+            q = q.replace("%", "\\%").replace("_", "\\_")
         return F.lit(f"%{q}%")
 
     hits = current.select(

@@ -52,8 +52,9 @@ def latest_processed(processed: DataFrame, pages: DataFrame) -> DataFrame:
 def collapse_unchanged(obs: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id"),
                        hash_col: str = "content_hash") -> DataFrame:
     """V4: keep an observation only when its hash differs from the previous
-    observation of the same URL (A→B→A is three versions).  Ids are unique."""
+    observation of the same URL (A→B→A is three versions).  An id delivered twice counts once."""
     # scan only the narrow columns; wide rows (HTML, text) are kept by id afterwards
+    obs = one_delivery(obs)
     narrow = obs.select(key, *dict.fromkeys([*order, "id"]), hash_col)
     scanned = ordered_scan(narrow, key=key, order=list(order), lag_cols=[hash_col])
     prev = F.col(f"prev_{hash_col}")
@@ -61,26 +62,40 @@ def collapse_unchanged(obs: DataFrame, key: str = "url", order: tuple[str, ...]
     return obs.join(kept, "id", "left_semi")
 
 
+def one_delivery(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row per id: a message delivered twice in a batch counts once."""
+    return df.dropDuplicates([id_col])
+
+
 def new_versions(stored: DataFrame, incoming: DataFrame, key: str = "url",
                  order: tuple[str, ...] = ("fetched_at", "id"), hash_col: str = "content_hash") -> DataFrame:
     """V5: versions of an incoming batch against the stored log.
 
     The first incoming observation of a URL is compared with the latest stored
-    version; later ones with their predecessor inside the batch.  Observations
-    not newer than the stored head of their URL were already seen (stored or
-    skipped as unchanged), so a replayed batch yields nothing."""
-    head = stored.groupBy(key).agg(F.max(F.struct(*[F.col(c) for c in order])).alias("_head"))
-    newer = incoming.join(head, key, "left").filter(
-        F.col("_head").isNull() | (F.struct(*[F.col(c) for c in order]) > F.col("_head"))).drop("_head")
-    narrow = newer.select(key, *dict.fromkeys([*order, "id"]), hash_col)
+    version; later ones with their predecessor inside the batch.  An observation
+    that arrives late (older than the stored head) is a version if it differs from
+    the head and from the version before its own time.  Replays add nothing:
+    stored ids and second deliveries are left out, and an observation that was
+    skipped as unchanged still equals the version before it."""
+    unseen = one_delivery(incoming).join(stored.select("id"), "id", "left_anti")
+    heads = stored.join(latest_ids(stored, key=key, order=order), "id", "left_semi").select(
+        F.col(key), F.col(hash_col).alias("_stored_hash"), F.struct(*[F.col(c) for c in order]).alias("_head"))
+    placed = unseen.select(key, *dict.fromkeys([*order, "id"]), hash_col).join(heads, key, "left")
+    behind = F.col("_head").isNotNull() & (F.struct(*[F.col(c) for c in order]) < F.col("_head"))
+    narrow = placed.filter(~behind).drop("_head", "_stored_hash")
     scanned = ordered_scan(narrow, key=key, order=list(order), lag_cols=[hash_col])
-    last_stored = stored.join(latest_ids(stored, key=key, order=order), "id", "left_semi").select(
-        F.col(key), F.col(hash_col).alias("_stored_hash"))
     prev = F.coalesce(F.col(f"prev_{hash_col}"), F.col("_stored_hash"))
-    firsts = scanned.filter(F.col("_rn") == 1).join(last_stored, key, "left")
+    firsts = scanned.filter(F.col("_rn") == 1).join(heads.drop("_head"), key, "left")
     rest = scanned.filter(F.col("_rn") > 1).withColumn("_stored_hash", F.lit(None).cast("string"))
     kept = firsts.unionByName(rest).filter(prev.isNull() | (prev != F.col(hash_col))).select("id")
-    return newer.join(kept, "id", "left_semi")
+    late = placed.filter(behind & (F.col(hash_col) != F.col("_stored_hash"))).drop("_head", "_stored_hash")
+    if late.limit(1).count():
+        log = late.withColumn("_late", F.lit(True)).unionByName(
+            stored.join(late.select(key).distinct(), key, "left_semi").select(*late.columns, F.lit(False).alias("_late")))
+        between = ordered_scan(log, key=key, order=list(order), lag_cols=[hash_col])
+        before = F.col(f"prev_{hash_col}")
+        kept = kept.unionByName(between.filter(F.col("_late") & (before.isNull() | (before != F.col(hash_col)))).select("id"))
+    return unseen.join(kept, "id", "left_semi")
 
 
 def version_history(pages: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id")) -> DataFrame:

@@ -50,3 +50,16 @@ def t2(spark, sf):
     v = spark.read.schema(ST.VERSION_SCHEMA).parquet(out)
     return v.select("id", "url", "content_hash", ts_str("fetched_at").alias("fetched_at"))
 
+
+
+@query("T3_replay", _COLLAPSED + "SELECT id, url, content_hash FROM versions")
+def t3(spark, sf):
+    """Every observation is delivered twice, and the whole batch runs twice: one row per version is stored."""
+    from pagelake.operators.pipeline import run_pipeline
+
+    base, in_dir = _staged(spark, sf, "t3")
+    paths = {k: f"{base}/{k}" for k in ("pages", "processed", "chunks", "dead_letters")}
+    batch = io.read_sink(spark, in_dir, io.PAGE_LOG_SCHEMA)
+    for _ in range(2):
+        run_pipeline(spark, batch.unionByName(batch), paths, dt.datetime(2024, 2, 1))
+    return io.read_sink(spark, paths["pages"], io.PAGE_LOG_SCHEMA).select("id", "url", "content_hash")

@@ -1,16 +1,46 @@
 """DuckDB SQL fragments used by the oracle statements.
 
-They state the same rules as the Spark expressions, independently, in DuckDB's
-dialect (RE2 regexes, list lambdas).  Each takes a *column reference*; callers
+They state the rules for the well-formed markup of the test tables with patterns of their
+own, in DuckDB's dialect; malformed markup is covered by hand-written expectations in tests/.  Each takes a *column reference*; callers
 compose them through subqueries so that expressions are not duplicated.
 """
 
 from __future__ import annotations
 
-from pagelake.functions.patterns import (A_HREF_RE, ARTICLE_RE, BODY_OPEN_RE, BODY_RE, H3_RE,
-                                                 HEAD_RE, JUNK_RE, NEXT_LI_RE, TABLE_RE, TAG_RE, TD_RE,
-                                                 TH_RE, TITLE_RE, TR_SPLIT_RE)
-from pagelake.functions.html import NAMED_ENTITIES, WS
+from pagelake.functions.html import WS
+
+# The oracle's own patterns, for the well-formed markup of the test tables only (RE2).
+# Page-level structure.
+JUNK_RE = (r"(?is)<!--.*?(?:-->|\z)"
+           r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
+           r"|<style\b[^>]*>.*?(?:</style\s*>|\z)")
+TAG_RE = r"<[A-Za-z/!?][^>]*>"
+BODY_OPEN_RE = r"(?i)<body\b"
+BODY_RE = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
+HEAD_RE = r"(?is)<head\b[^>]*>.*?(?:</head\s*>|\z)"
+TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+
+# Tables, next link and product links.
+TABLE_RE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
+TR_SPLIT_RE = r"(?i)<tr\b[^>]*>"
+TH_RE = r"(?is)<th\b[^>]*>(.*?)</th\s*>"
+TD_RE = r"(?is)<td\b[^>]*>(.*?)</td\s*>"
+NEXT_LI_RE = (r"(?is)<li\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?next(?:\s[^\"']*)?[\"'][^>]*>(.*?)</li\s*>")
+A_HREF_RE = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
+ARTICLE_RE = (r"(?is)<article\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?product_pod(?:\s[^\"']*)?[\"'][^>]*>"
+              r"(.*?)</article\s*>")
+H3_RE = r"(?is)<h3\b[^>]*>(.*?)</h3\s*>"
+
+# The named references that occur in the test tables.
+NAMED_ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0",
+    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·",
+    "&pound;": "£", "&euro;": "€", "&yen;": "¥", "&cent;": "¢",
+    "&sect;": "§", "&para;": "¶", "&deg;": "°", "&times;": "×",
+    "&divide;": "÷", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–",
+    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
+    "&laquo;": "«", "&raquo;": "»", "&bull;": "•",
+}
 
 
 def lit(s: str) -> str:

@@ -45,6 +45,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("pagelake.scan.partitions", str(shuffle_partitions))
     prepare_session(spark)
     return spark
 

@@ -37,7 +37,7 @@ PROCESSED_SCHEMA = T.StructType([
 ])
 
 CHUNK_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), False),
+    T.StructField("id", T.DecimalType(38, 0), False),
     T.StructField("page_id", T.LongType(), False),
     T.StructField("chunk_text", T.StringType(), False),
     T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
@@ -55,29 +55,15 @@ DEAD_LETTER_SCHEMA = T.StructType([
 ])
 
 
-# Inputs up to this size made of fewer files than the default parallelism are
-# spread over all cores (a single row group cannot be split by the scan).
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def spread_small_input(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Round-robin a *small, few-file* input over ``defaultParallelism``
-    partitions so that per-row work (HTML regexes, chunking, embedding) is not
-    stuck in one task.  Large inputs (many files, or more than ``max_bytes``
-    by the scan's own size estimate) are returned unchanged: they already
-    scan in parallel and a shuffle would only cost."""
-    spark = df.sparkSession
-    n = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= n:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > max_bytes:
-        return df
-    return df.repartition(n)
+# A session may ask that every table be dealt to so many partitions after its scan (tests and benches do,
+# whose files hold one row group each); unset, tables are read as they are.
+SCAN_PARTITIONS = "pagelake.scan.partitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small_input(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

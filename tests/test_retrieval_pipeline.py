@@ -67,9 +67,9 @@ def test_ask_batch_no_content_and_generator(spark):
 
 def test_keyword_search_and_paging(spark):
     pages = pages_df(spark, [(1, "a", 1), (2, "a", 2), (3, "b", 1)])
-    processed = spark.createDataFrame([(1, 1, "The Great Gatsby old"), (2, 2, "the great gatsby new"),
+    processed = spark.createDataFrame([(1, 1, "An Old Lighthouse, first text"), (2, 2, "an old LIGHTHOUSE, second text"),
                                        (3, 3, "nothing here")], "id long, page_id long, text string")
-    hits = R.keyword_search(processed, pages, "GATSBY").collect()
+    hits = R.keyword_search(processed, pages, "lighthouse").collect()
     assert [(h["page_id"], h["url"]) for h in hits] == [(2, "a")]
     with pytest.raises(ValueError):
         R.keyword_search(processed, pages, "")
@@ -85,10 +85,10 @@ def test_validate_chunk_and_pipeline_replay(spark):
     assert sorted(r["page_id"] for r in rejected.collect()) == [1, 2]
     with pytest.raises(ValueError):
         PL.validate(rec.withColumn("unexpected", F.lit(1)), passthrough=("page_id",))
-    pr = spark.createDataFrame([(1, "Short body text.", [[("UPC", "abc123")], [("Price", "£10.00")], []])],
+    pr = spark.createDataFrame([(1, " One line of prose. ", [[("Height", "4 m"), ("Width", "2 m")], [], [("Made in", "Oslo")]])],
                                "page_id long, text string, tables array<array<struct<key:string,value:string>>>")
     assert [r["chunk_text"] for r in PL.chunk_pages(pr).orderBy("chunk_index").collect()] == [
-        "Short body text.", "UPC: abc123", "Price: £10.00"]
+        "One line of prose.", "Height: 4 m\nWidth: 2 m", "Made in: Oslo"]
     html = "<html><body><p>Body</p><table><tr><th>K</th><td>V</td></tr></table></body></html>"
     obs = spark.createDataFrame(
         [(1, "u", html, "Body " * 200, "h1", dt.datetime(2024, 1, 1)),
@@ -101,6 +101,30 @@ def test_validate_chunk_and_pipeline_replay(spark):
     assert c1 == c2 == {"pages": 2, "processed": 1, "chunks": 4, "dead_letters": 1}
 
 
+def test_duplicate_deliveries_and_wide_ids(spark):
+    row = (10 ** 13, "u", "<p>x</p>", "text", "h", dt.datetime(2024, 1, 1))
+    obs = spark.createDataFrame([row, row], "id long, url string, raw_html string, extracted_text string, "
+                                            "content_hash string, fetched_at timestamp")
+    paths = PL.pipeline_paths(spark, "twice")
+    counts = PL.run_pipeline(spark, obs, paths, dt.datetime(2024, 2, 1))
+    assert counts == {"pages": 1, "processed": 1, "chunks": 1, "dead_letters": 0}
+    assert int(spark.read.parquet(paths["chunks"]).first()["id"]) == 10 ** 23
+
+
+def test_zero_vectors_rank_last_and_repeated_queries(spark):
+    chunks = spark.createDataFrame([(1, 1, 0, "zero", [0.0, 0.0]), (2, 2, 0, "near", [1.0, 0.0])],
+                                   "chunk_id long, page_id long, chunk_index int, chunk_text string, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])] * 3, "query_id long, embedding array<float>")
+    got = R.knn(q, chunks, k=2, max_query_block=2).orderBy("rank").collect()
+    assert [(r["query_id"], r["chunk_id"]) for r in got] == [(7, 2), (7, 1)]
+
+
+def test_keyword_backslash(spark):
+    pages = pages_df(spark, [(1, "a", 1)])
+    processed = spark.createDataFrame([(1, 1, "path C:\\dir here")], "id long, page_id long, text string")
+    assert R.keyword_search(processed, pages, "C:\\dir").count() == 1
+
+
 def test_hashing_embedder_is_normalised(spark):
     df = spark.createDataFrame([("Hello hello world",), ("",)], "t string")
     v = [r["e"] for r in PL.embed(df, "t", out="e").collect()]

@@ -65,3 +65,13 @@ def test_version_history_and_restrict(spark):
     assert sorted(r["chunk_id"] for r in Vs.restrict_to_latest(chunks, obs_df(spark, rows)).collect()) == [11, 12]
     pl = Vs.latest_page(obs_df(spark, rows), "u").collect()
     assert [r["id"] for r in pl] == [2] and Vs.latest_page(obs_df(spark, rows), "nope").count() == 0
+
+
+def test_late_and_repeated_observations(spark):
+    stored = obs_df(spark, [(1, "u", "A", 1), (2, "u", "B", 10)])
+    late = obs_df(spark, [(3, "u", "C", 5), (3, "u", "C", 5), (4, "u", "A", 6), (5, "u", "B", 7), (6, "v", "A", 0)])
+    assert sorted(r["id"] for r in Vs.new_versions(stored, late).collect()) == [3, 4, 6]
+    again = obs_df(spark, [(7, "u", "A", 2), (1, "u", "A", 1)])      # equals the version before it: a replay
+    assert Vs.new_versions(stored, again).count() == 0
+    twice = obs_df(spark, [(1, "u", "A", 0), (1, "u", "A", 0), (2, "u", "B", 1)])
+    assert sorted(r["id"] for r in Vs.collapse_unchanged(twice).collect()) == [1, 2]
