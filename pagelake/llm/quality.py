@@ -24,7 +24,7 @@ RULES = [
     ("mean_word_length", "word_chars", "n_words", 2.0, 14.0),
     ("symbols_per_word", "n_symbols", "n_words", None, 0.1),
     ("stop_word_ratio", "n_stop_words", "n_words", 0.02, None),
-    ("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 0.3),
+    ("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 0.5),
     ("shouting_ratio", "n_upper", "word_chars", None, 0.5),
     ("digit_ratio", "n_digits", "word_chars", None, 0.3),
     ("bullet_line_ratio", "n_bullet_lines", "n_lines", None, 0.9),
