@@ -72,23 +72,25 @@ def targeted(state: int, symbol: str) -> tuple[int, float]:
     return (1 if symbol == "target" else state), TARGETED if state else 1.0
 
 
-GRAMMAR = (negation, reported, targeted)
+def passed(machine, names: list[str]) -> list[float]:
+    """The weights that one transducer passes on, symbol by symbol."""
+    state, out = 0, []
+    for name in names:
+        state, weight = machine(state, name)
+        out.append(weight)
+    return out
 
 
 def clause_score(symbols: list[tuple[str, float]]) -> float:
-    """The best accepted path of one clause.  A target after the insult is read by a second, reversed pass."""
+    """The best accepted path of one clause: an insult, or a threat at a target, with the weights that the composed
+    transducers pass on there.  Targets are read from both ends."""
+    names = [name for name, _ in symbols]
+    aimed = zip(passed(targeted, names), passed(targeted, names[::-1])[::-1], strict=True)
     best = 0.0
-    for path in (symbols, symbols[::-1]):
-        states = [0] * len(GRAMMAR)
-        for symbol, weight in path:
-            factor = 1.0
-            for k, machine in enumerate(GRAMMAR):
-                if path is symbols or machine is targeted:
-                    states[k], passed = machine(states[k], symbol)
-                    factor *= passed
-            if symbol == "insult" or symbol == "threat" and states[2]:
-                if path is symbols or factor > 1 and best:
-                    best = max(best, min(0.99, weight * factor)) if path is symbols else max(best, min(0.99, best * factor))
+    for (name, weight), denied, told, aims in zip(symbols, passed(negation, names), passed(reported, names), aimed, strict=True):
+        aim = max(aims)
+        if name == "insult" or name == "threat" and aim > 1:
+            best = max(best, min(0.99, weight * denied * told * aim))
     return best
 
 
