@@ -23,6 +23,9 @@ REQUIRED_CONF = {
 }
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "pagelake") -> SparkSession:
     """Local session for tests and benches (UI off, loopback only)."""
@@ -83,7 +86,13 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "pagelake-stages", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    # The written table replaces the shuffles behind it, so their files go at the end of the write.
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
