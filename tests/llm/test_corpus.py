@@ -68,8 +68,9 @@ def test_near_duplicates_odd_rows(spark, odd, none):
 
 
 def test_lines(spark, odd, none):
-    base = "the quick brown fox jumps over the lazy dog near the old river bank while seven birds sing in the tall green trees"
-    near = base.replace("seven", "eleven")
+    # Long lines: one changed word of 300 moves few bits of the SimHash.
+    base = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in ("an", "el", "in", "or", "ut", "am", "ex", "is", "ol", "up", "ad", "en", "it", "os", "un"))
+    near = base.replace("aan", "eleven")
     rows = [(1, f"{base}\nunique one"), (2, f"{near.upper()}!\n\n--\nunique two"), (3, f"unique one\n{base}"), (4, None), (5, "")]
     out = lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()}
