@@ -56,7 +56,7 @@ def s4(spark, sf):
                                         "chunk_index", F.lit(dt.datetime(2024, 2, 1)).alias("created_at"))
     io.append_chunks(c, path)
     back = io.read_sink(spark, path, io.CHUNK_SCHEMA)
-    return back.select("id", "page_id", F.col("chunk_index").cast("long").alias("chunk_index"),
+    return back.select(F.col("id").cast("long").alias("id"), "page_id", F.col("chunk_index").cast("long").alias("chunk_index"),
                        F.size("embedding").cast("long").alias("dims"),
                        F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
 
