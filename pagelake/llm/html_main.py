@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import add_columns, fresh, q, read
+from pagelake.session import materialize
 
 MIN_PAGES = 5
 SHARE = 0.2
@@ -226,8 +227,9 @@ def templates(pages: DataFrame, url: str, html: str, key: str, min_pages: int, s
         "host", "subtree", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = seen.select("key", "host", F.explode("subtrees").alias("subtree"),
                       F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
-    return own.join(recurring, ["host", "subtree", "salt"], "left_semi").groupBy("key").agg(
-        F.collect_set("subtree").alias("templates"))
+    # Written, so that the counting's shuffle files are gone before the pages are shuffled.
+    return materialize(own.join(recurring, ["host", "subtree", "salt"], "left_semi").groupBy("key").agg(
+        F.collect_set("subtree").alias("templates")), "page-templates")
 
 
 def main_text(df: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
