@@ -1,7 +1,7 @@
 """Operator 6: interpolated modified Kneser-Ney language model.
 
 Training counts words and pairs of neighbouring words (order 2; the end symbol is the context of a first word) over all
-training texts in Spark.  Words and pairs are 64-bit hashes.  The model is a table in the shared checkpoint folder: by
+training texts in Spark.  Words are 64-bit hashes, pairs 56-bit ones.  The model is a table in the shared checkpoint folder: by
 shard, one sorted hash array and the arrays of its values.  The number of shards follows the input.
 
 Scoring works in batches of texts.  A batch sends each shard the sorted distinct hashes it needs, the shard's task maps
@@ -50,6 +50,17 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(_U8).ravel(), dtype=np.uint64)
 
 
+def lay(values: np.ndarray) -> bytes:
+    """Counts (one row per value) as byte planes; most are small, so the upper planes compress away."""
+    v = np.ascontiguousarray(values, _U4)
+    return np.ascontiguousarray(v.reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def lift(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(_U4).reshape(width, -1)
+
+
 def tokens(column):
     """(offset of the first row, per-row token counts, words, contexts) of slices of whole texts; END closes each text."""
     for row, off, raw in ts.slices(column):
@@ -65,7 +76,7 @@ def tokens(column):
 
 
 def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return ts.mix(context * np.uint64(3) + word)
+    return ts.mix(context * np.uint64(3) + word) >> np.uint64(8)      # 56 bits
 
 
 def pair_shards(context, word, hot: np.ndarray, shards: int) -> np.ndarray:
@@ -103,7 +114,7 @@ def _parts(kind: str, shard: np.ndarray, keys: np.ndarray, values: np.ndarray):
     for s in range(len(cuts) - 1):
         at = order[cuts[s]: cuts[s + 1]]
         if len(at):
-            rows.append((kind, s, pack(keys[at]), np.ascontiguousarray(values[at].T).tobytes()))
+            rows.append((kind, s, pack(keys[at]), lay(values[at].T)))
     return rows
 
 
@@ -139,7 +150,7 @@ def _load(table, kind: str, width: int):
     for name, k, v in zip(table["kind"].to_pylist(), table["k"], table["v"], strict=True):
         if name == kind:
             keys.append(unpack(k.as_py()))
-            values.append(np.frombuffer(v.as_py(), _U4).reshape(width, -1))
+            values.append(lift(v.as_py(), width))
     return np.concatenate(keys), np.concatenate(values, axis=1).astype(np.int64)
 
 
@@ -181,7 +192,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         keys, (times,) = _load(table, "word", 1)
         keys, (times,) = grouped(keys, times)
         return pa.table({"kind": ["word"], "shard": pa.array([key[0].as_py()], pa.int32()), "k": [pack(keys)],
-                         "v": [times.astype(_U4).tobytes()], "total": [int(times.sum())], "n": [len(keys)]})
+                         "v": [lay(times)], "total": [int(times.sum())], "n": [len(keys)]})
 
     words = materialize(column.mapInArrow(count_words, PART).groupBy("shard").applyInArrow(
         merge_words, PART + ", total bigint, n bigint"), "lm-words")
@@ -191,7 +202,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     def frequent(batches):
         for batch in batches:
             for k, v in zip(batch["k"], batch["v"], strict=True):
-                keys, times = unpack(k.as_py()), np.frombuffer(v.as_py(), _U4)
+                keys, times = unpack(k.as_py()), lift(v.as_py(), 1)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[times > n_tokens / HOT].view(np.int64))], names=["w"])
 
     # At most HOT words can have more than 1 / HOT of all tokens.
@@ -209,7 +220,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
                 at = order[cuts[s]: cuts[s + 1]]
                 if len(at):
                     planes = np.ascontiguousarray(word[at].view(np.uint8).reshape(-1, 8).T).tobytes()
-                    rows.append((s, pack(context[at]), planes, times[at].astype(_U4).tobytes()))
+                    rows.append((s, pack(context[at]), planes, lay(times[at])))
             yield _table(rows, ["shard", "c", "w", "n"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
         yield from _flushed(batches, emit)
 
@@ -217,13 +228,13 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         context = np.concatenate([unpack(x.as_py()) for x in table["c"]])
         word = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view(_U8).ravel()
                                for x in table["w"]])
-        times = np.concatenate([np.frombuffer(x.as_py(), _U4) for x in table["n"]]).astype(np.int64)
+        times = np.concatenate([lift(x.as_py(), 1)[0] for x in table["n"]]).astype(np.int64)
         keys = pair_keys(context, word)
         order = np.argsort(keys, kind="stable")
         first = runs(keys[order])
         times = np.add.reduceat(times[order], first)
         keys, context, word = keys[order][first], context[order][first], word[order][first]
-        rows = [("pair", int(key[0].as_py()), pack(keys), times.astype(_U4).tobytes())]
+        rows = [("pair", int(key[0].as_py()), pack(keys), lay(times))]
         left, stats = grouped(context, times, *[(times == i).astype(np.int64) for i in (1, 2)], (times >= 3).astype(np.int64))
         rows += _parts("context", word_shards(left, n_word), left, np.stack(stats, axis=1).astype(_U4))
         right, (contexts,) = grouped(word, np.ones(len(word), np.int64))
@@ -250,7 +261,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
             np.add.at(out[2 + i], at, stats[i])
         sizes = [int((out[1] == i).sum()) for i in (1, 2, 3, 4)]
         return pa.table({"kind": ["word"], "shard": pa.array([key[0].as_py()], pa.int32()), "k": [pack(keys)],
-                         "v": [out.astype(_U4).tobytes()], "pairs": [int(out[1].sum())], "big": [int((out[1] >= 3).sum())],
+                         "v": [lay(out)], "pairs": [int(out[1].sum())], "big": [int((out[1] >= 3).sum())],
                          **{f"n{i + 1}": [sizes[i]] for i in range(4)}})
 
     union = words.select("kind", "shard", "k", "v").unionByName(
@@ -266,6 +277,41 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     return Model(table, n_tokens, n_words, n_pairs, discounts(*of_counts), low, rest, hot, n_pair, n_word)
 
 
+def gather(rows):
+    """Rows (key, text) → rows (keys, sizes, texts): a batch of texts, compressed."""
+    import zstandard
+
+    def packed(parts):
+        keys = pa.concat_arrays([k for k, _ in parts])
+        texts = pa.concat_arrays([t for _, t in parts])
+        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+        body = texts.buffers()[2].to_pybytes()[off[0]: off[-1]] if texts.buffers()[2] is not None else b""
+        lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        return pa.RecordBatch.from_arrays([lists, pa.array([np.diff(off).astype("<i8").tobytes()], pa.binary()),
+                                           pa.array([zstandard.compress(body, 3)], pa.binary())], names=["keys", "sizes", "texts"])
+
+    parts, held = [], 0
+    for batch in rows:
+        keys, texts = batch.column(0), batch.column(1).cast(pa.large_string())
+        for a in range(0, len(texts), 256):
+            part = texts.slice(a, 256)
+            parts.append((keys.slice(a, 256), part))
+            held += part.nbytes
+            if held >= SHARD_BYTES:
+                yield packed(parts)
+                parts, held = [], 0
+    if parts:
+        yield packed(parts)
+
+
+def spread_out(sizes: bytes, texts: bytes):
+    """The string column of a compressed batch."""
+    import zstandard
+
+    off = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.tobytes()), pa.py_buffer(zstandard.decompress(texts) if off[-1] else b""))
+
+
 def _requests(column, m: dict):
     """(kind, shard, sorted distinct hashes) that a batch of texts needs."""
     parts = list(tokens(column))
@@ -299,17 +345,18 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """One row per row of ``df``: ``key``, n_tokens, n_known, base_score, score."""
     m = model.numbers()
     plain = df.select(q(key).alias("key"), F.coalesce(q(text), F.lit("")).alias("text"))
-    size = plain.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
-    n_batches = max(1, -(-int(size) // SHARD_BYTES))
-    dealt = plain.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(n_batches)).cast("int"))
+    batches = materialize(plain.mapInArrow(gather, T.StructType([
+        T.StructField("keys", T.ArrayType(plain.schema["key"].dataType)), T.StructField("sizes", T.BinaryType()),
+        T.StructField("texts", T.BinaryType())])).withColumn("batch", F.xxhash64("sizes", "texts")), "lm-batches")
 
-    def ask(group, table):
-        _, _, _, single, pair, asked = _requests(table["text"], m)
-        return pa.table({"kind": pa.array([a[0] for a in asked], pa.string()), "shard": pa.array([a[1] for a in asked], pa.int32()),
-                         "batch": pa.array([group[0].as_py()] * len(asked), pa.int32()),
-                         "k": pa.array([pack((single if a[0] == "word" else pair)[a[2]]) for a in asked], pa.binary())})
+    def ask(rows):
+        for row in rows:
+            for batch, sizes, texts in zip(row["batch"].to_pylist(), row["sizes"], row["texts"], strict=True):
+                _, _, _, single, pair, asked = _requests(spread_out(sizes.as_py(), texts.as_py()), m)
+                yield _table([(kind, s, batch, pack((single if kind == "word" else pair)[at])) for kind, s, at in asked],
+                             ["kind", "shard", "batch", "k"], [pa.string(), pa.int32(), pa.int64(), pa.binary()])
 
-    requests = dealt.groupBy("batch").applyInArrow(ask, "kind string, shard int, batch int, k binary")
+    requests = batches.select("batch", "sizes", "texts").mapInArrow(ask, "kind string, shard int, batch long, k binary")
 
     def answer(asked, held):
         out = []
@@ -318,29 +365,34 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         width = 6 if kind == "word" else 1
         if len(held):
             # A shard is one row of the model.
-            arrays = mapped(unpack(held["k"][0].as_py())), mapped(np.frombuffer(held["v"][0].as_py(), _U4).reshape(width, -1))
+            arrays = mapped(unpack(held["k"][0].as_py())), mapped(lift(held["v"][0].as_py(), width))
         for batch, raw in zip(asked["batch"].to_pylist(), asked["k"], strict=True):
             keys = unpack(raw.as_py())
             got = np.zeros((width, len(keys)), _U4)
             if arrays is not None and len(arrays[0]):
                 at = ts.member(keys, arrays[0])
                 got[:, at >= 0] = arrays[1][:, at[at >= 0]]
-            out.append((kind, asked["shard"][0].as_py(), batch, got.tobytes()))
+            out.append((kind, asked["shard"][0].as_py(), batch, lay(got)))
         return pa.table({"kind": pa.array([o[0] for o in out], pa.string()), "shard": pa.array([o[1] for o in out], pa.int32()),
-                         "batch": pa.array([o[2] for o in out], pa.int32()), "v": pa.array([o[3] for o in out], pa.binary())})
+                         "batch": pa.array([o[2] for o in out], pa.int64()), "v": pa.array([o[3] for o in out], pa.binary())})
 
     answers = materialize(requests.groupBy("kind", "shard").cogroup(model.table.groupBy("kind", "shard")).applyInArrow(
-        answer, "kind string, shard int, batch int, v binary"), "lm-answers")
-
-    def sum_up(texts, answered):
-        if not len(texts):
-            return pa.table({"key": pa.array([], texts["key"].type), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()),
-                             "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        word, context, count, single, pair, asked = _requests(texts["text"], m)
+        answer, "kind string, shard int, batch long, v binary"), "lm-answers")
+
+    def sum_up(held, answered):
+        # Batches of equal texts share their number and their answers.
+        done = [one_batch(keys, spread_out(sizes.as_py(), texts.as_py()), answered)
+                for keys, sizes, texts in zip(held["keys"], held["sizes"], held["texts"], strict=True)]
+        empty = pa.table({"key": pa.array([], held.schema.field("keys").type.value_type), **{
+            n: pa.array([], t) for n, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
+        return pa.concat_tables([empty, *done])
+
+    def one_batch(keys, texts, answered):
+        word, context, count, single, pair, asked = _requests(texts, m)
         values = {"word": np.zeros((6, len(single)), np.int64), "pair": np.zeros((1, len(pair)), np.int64)}
         places = {(kind, s): at for kind, s, at in asked}
         for kind, s, raw in zip(answered["kind"].to_pylist(), answered["shard"].to_pylist(), answered["v"], strict=True):
-            values[kind][:, places[(kind, s)]] = np.frombuffer(raw.as_py(), _U4).reshape(len(values[kind]), -1)
+            values[kind][:, places[(kind, s)]] = lift(raw.as_py(), len(values[kind]))
         w, h = np.searchsorted(single, word), np.searchsorted(single, context)
         p = np.searchsorted(pair, pair_keys(context, word))
         times, follows, total = values["word"][0], values["word"][1], values["word"][2]
@@ -354,12 +406,12 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         log_p = np.log10(kept[p] / np.maximum(total[h], 1) + rest[h] * low[w])
         first = np.cumsum(count) - count
         added = lambda x: np.add.reduceat(x, first)
-        return pa.table({"key": texts["key"], "n_tokens": pa.array(count, pa.int64()), "n_known": pa.array(added((times > 0)[w].astype(np.int64))),
+        return pa.table({"key": keys.values, "n_tokens": pa.array(count, pa.int64()), "n_known": pa.array(added((times > 0)[w].astype(np.int64))),
                          "base_score": pa.array(added(base[w])), "score": pa.array(added(log_p))})
 
     schema = T.StructType([plain.schema["key"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sum_up, schema).withColumnRenamed("key", key)
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sum_up, schema).withColumnRenamed("key", key)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
