@@ -33,7 +33,7 @@ from pagelake.session import materialize
 
 SHARD_BYTES = 16 << 20     # text per shard of pairs, and per batch
 WORD_SHARDS = 8            # shards of pairs per shard of words
-FLUSH = 4_000_000          # tokens counted before a task sends its counts
+FLUSH = 1_500_000          # tokens counted before a task sends its counts
 HOT = 1000                 # a context with more than 1 / HOT of all tokens is spread over all shards
 END = np.uint64(0x5BD1E9955BD1E995)
 _U8, _U4 = np.dtype("<u8"), np.dtype("<u4")
