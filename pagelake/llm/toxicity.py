@@ -53,6 +53,7 @@ NEGATED, REPORTED, TARGETED, NEGATION_SCOPE = 0.55, 0.6, 1.2, 3
 
 CLAUSE = re.compile(r"[.!?;:,\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+GAP = re.compile(r"[\W\d_]+")     # what no word holds, but for the apostrophe
 
 
 def negation(state: int, symbol: str) -> tuple[int, float]:
@@ -102,7 +103,8 @@ class Lexicon:
         self.stems = {w[:-1]: p for w, p in entries.items() if w.endswith("*")}
         self.seeds = {w: kind for kind, text in SEEDS.items() for w in text.split()}
         loud = {w for w, kind in self.seeds.items() if kind in ("insult", "threat")}
-        self.word_hashes = np.sort(ts.hash_words(sorted({*self.words, *loud})))
+        # A stem by itself is a hit too: the grammar reads on after an apostrophe.
+        self.word_hashes = np.sort(ts.hash_words(sorted({*self.words, *loud, *self.stems})))
         self.stem_sizes = sorted({len(s.encode()) for s in self.stems})
         self.stem_hashes = np.sort(ts.hash_words(sorted(self.stems)))
 
@@ -127,9 +129,12 @@ class Lexicon:
         return 1 - clean, matched
 
     def suspects(self, column):
-        """Rows with at least one insult or threat symbol, found by hash over whole texts."""
+        """Every row with an insult or threat symbol (and few others), found by hash over whole texts.  Texts beyond ASCII
+        are put in lower case and split at non-letters as the grammar does it, so that the bytes left are letters."""
+        plain = pa.array([t if t is None or t.isascii() else GAP.sub(" ", t.lower()) for t in column.to_pylist()],
+                         pa.large_string())
         out = []
-        for row, off, raw in ts.slices(column):
+        for row, off, raw in ts.slices(plain):
             words = ts.Words(off, ts.fold_case(raw), ts.LETTERS)
             hit = words.doc[ts.member(words.hashes(), self.word_hashes) >= 0]
             rows = [hit]

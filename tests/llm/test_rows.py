@@ -83,6 +83,15 @@ def test_toxicity_learns_and_scores(spark, odd, none):
     assert toxicity.score(none, lexicon).count() == 0 and not toxicity.learn(labelled.where("toxic = 0")).words
 
 
+def test_toxicity_next_to_unicode_punctuation(spark):
+    lexicon = toxicity.Lexicon({"zorp": 0.8, "дурак": 0.8, "vrek*": 0.9})
+    texts = ["¡idiota!", "„Trottel“", "«connard»", "idiot…", "an\u00a0idiot", "so—zorp–so", "‘ZORP’", "ДУРАК!", "“vrekken”", "vrek's",
+             "\u212aill you", "¿IMBÉCIL?", "½ zorp", "zorp½", "é vrek", "…", "日本語", "", None]
+    got = toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), lexicon).collect()
+    want = [lexicon.score(t or "") for t in texts]
+    assert [(r["score"], r["n_clauses"]) for r in got] == want and [s > 0 for s, _ in want] == [True] * 13 + [False] * 6
+
+
 def brute_hits(text, items):
     import re
     words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
