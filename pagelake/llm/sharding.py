@@ -1,6 +1,7 @@
 """Operator 3: a uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
-1. Rows are dealt into blocks by a hash of their content, and the blocks are counted.
+1. Equal rows are counted and numbered, so that each copy is a row of its own.  Rows are dealt into blocks by a hash of
+   their content and copy number, and the blocks are counted.
 2. The matrix of block-to-shard counts is drawn on the driver from the multivariate hypergeometric law: row sums
    are the block sizes, column sums the exact shard sizes (at most one apart).  It holds blocks x shards
    integers, and the number of blocks is bounded (``MAX_BLOCKS``).
@@ -9,9 +10,9 @@
    pieces are counted, and a row's slot is its piece's offset plus its rank there.  So neither permutation needs
    a whole shard in one task.
 
-Every draw is seeded and every rank ordered by content, so a task that runs again gives the same rows.
-Defined results: null and empty texts are rows like others; equal rows are told apart only by rank; an empty table
-gives an empty result.
+Every draw is seeded and every rank ordered by content and copy, so a task that runs again gives the same rows.
+Defined results: null and empty texts are rows like others; the copies of a row are spread like any rows (-0.0 and 0.0
+are equal, and come back as 0.0); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import fresh, q, read
+from pagelake.session import materialize
 
 SEED = 3
 SHARDS = 16
@@ -64,35 +66,52 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
     return matrix
 
 
+def numbered(df: DataFrame, mark: str, copy: str, seed: int) -> tuple[DataFrame, int]:
+    """``df`` with ``mark`` (a hash of the row) and ``copy`` (0, 1, ... among equal rows), and its number of rows.  Equal
+    rows are folded before the shuffle and written with their count; long counts are unfolded in many tasks."""
+    n, low = fresh(df.withColumn(mark, F.lit(0)).withColumn(copy, F.lit(0)), "n", "low")
+    columns = [q(c) for c in df.columns]
+    mark_of = F.xxhash64(F.lit(seed), *columns) if df.columns else F.lit(0).cast("long")
+    held = materialize(df.withColumn(mark, mark_of).groupBy(*columns, q(mark)).agg(F.count("*").alias(n)), "shard-rows")
+    total, most = held.agg(F.sum(q(n)), F.max(q(n))).first()
+    runs = held.withColumn(low, F.lit(0).cast("long"))
+    if (most or 0) > BLOCK_ROWS:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rest = held.where(q(n) > BLOCK_ROWS).withColumn(
+            low, F.explode(F.sequence(F.lit(BLOCK_ROWS).cast("long"), q(n) - 1, F.lit(BLOCK_ROWS).cast("long"))))
+        runs = runs.unionByName(rest.repartition(tasks, q(mark), q(low)))
+    last = F.least(q(low) + BLOCK_ROWS, q(n)) - 1
+    return runs.select(*columns, q(mark), F.explode(F.sequence(q(low), last)).alias(copy)), total or 0
+
+
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (underscored if taken)."""
     spark = df.sparkSession
-    shard_, slot, mark, block, cuts, rank, piece, first = fresh(
-        df, "shard", "slot", "mark", "block", "cuts", "rank", "piece", "first")
+    shard_, slot, mark, copy, block, cuts, rank, piece, first = fresh(
+        df, "shard", "slot", "mark", "copy", "block", "cuts", "rank", "piece", "first")
     columns = [q(c) for c in df.columns]
-    mark_of = F.xxhash64(F.lit(seed), *columns) if df.columns else F.lit(0).cast("long")
-    total = df.count()
+    rows, total = numbered(df, mark, copy, seed)
+    draw = lambda k: F.xxhash64(q(mark), q(copy), F.lit(k))
     n_blocks = max(1, min(MAX_BLOCKS, math.ceil(total / BLOCK_ROWS), max(1, total)))
-    block_of = F.pmod(F.xxhash64(q(mark), F.lit(1)), F.lit(n_blocks)).cast("int")
-    placed = df.withColumn(mark, mark_of).withColumn(block, block_of)
+    placed = rows.withColumn(block, F.pmod(draw(1), F.lit(n_blocks)).cast("int"))
     sizes = {r[0]: r[1] for r in placed.groupBy(q(block)).agg(F.count("*")).collect()}
     blocks = sorted(sizes)
     matrix = communication_matrix([sizes[b] for b in blocks], shards, seed)
     limits = [(b, [int(x) for x in np.cumsum(row)]) for b, row in zip(blocks, matrix, strict=True)]
     # At most MAX_BLOCKS rows of one integer per shard.
     table = F.broadcast(spark.createDataFrame(limits, f"`{block}` int, `{cuts}` array<bigint>"))
-    local = Window.partitionBy(q(block)).orderBy(F.xxhash64(q(mark), F.lit(2)), q(mark))
+    local = Window.partitionBy(q(block)).orderBy(draw(2), q(mark), q(copy))
     ranked = placed.withColumn(rank, F.row_number().over(local) - 1).join(table, block)
     sent = ranked.withColumn(shard_, F.size(F.filter(q(cuts), lambda c: c <= q(rank))).cast("int"))
     pieces = max(1, math.ceil(total / shards / BLOCK_ROWS))
-    sent = sent.withColumn(piece, F.pmod(F.xxhash64(q(mark), F.lit(3), q(rank)), F.lit(pieces)).cast("int"))
-    again = Window.partitionBy(q(shard_), q(piece)).orderBy(F.xxhash64(q(mark), F.lit(4), q(rank)), q(mark), q(rank))
-    sent = sent.select(*columns, q(mark), q(rank), q(shard_), q(piece))
+    sent = sent.withColumn(piece, F.pmod(draw(3), F.lit(pieces)).cast("int"))
+    again = Window.partitionBy(q(shard_), q(piece)).orderBy(draw(4), q(mark), q(copy))
+    sent = sent.select(*columns, q(mark), q(copy), q(shard_), q(piece))
     # Narrow recount of the same draw: rows per (shard, piece), then running offsets within each shard.
-    narrow = placed.select(q(mark), q(block)).withColumn(rank, F.row_number().over(local) - 1).join(table, block)
+    narrow = placed.select(q(mark), q(copy), q(block)).withColumn(rank, F.row_number().over(local) - 1).join(table, block)
     counts = narrow.select(
         F.size(F.filter(q(cuts), lambda c: c <= q(rank))).cast("int").alias(shard_),
-        F.pmod(F.xxhash64(q(mark), F.lit(3), q(rank)), F.lit(pieces)).cast("int").alias(piece),
+        F.pmod(draw(3), F.lit(pieces)).cast("int").alias(piece),
     ).groupBy(q(shard_), q(piece)).agg(F.count("*").alias("n")).withColumn(
         first, F.sum("n").over(Window.partitionBy(q(shard_)).orderBy(q(piece)).rowsBetween(
             Window.unboundedPreceding, -1))).select(q(shard_), q(piece), F.coalesce(q(first), F.lit(0)).alias(first))

@@ -140,6 +140,25 @@ def test_sharding(spark, odd, none, monkeypatch):
     assert out.columns == [*odd.columns, "_shard", "slot"] and out.count() == 12 and sharding.shard(none, 4).count() == 0
 
 
+def test_copies_spread_over_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 40)
+    blocks, drawn = [], sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda sizes, *rest: blocks.extend(sizes) or drawn(sizes, *rest))
+    few = spark.range(300).selectExpr("id AS doc_id", "explode(sequence(1, 4)) AS k").select("doc_id")
+    df = few.unionByName(spark.range(600).selectExpr("-1L AS doc_id")).unionByName(spark.range(3).selectExpr("CAST(NULL AS long) AS doc_id"))
+    rows = sharding.shard(df, 16).collect()
+    where, slots = defaultdict(list), defaultdict(list)
+    for r in rows:
+        where[r["doc_id"]].append(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert {k: len(v) for k, v in where.items()} == {**dict.fromkeys(range(300), 4), -1: 600, None: 3}
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and {len(v) for v in slots.values()} == {112, 113}
+    assert sum(len(set(where[i])) == 1 for i in range(300)) < 10 and sum(len(set(where[i])) for i in range(300)) > 1000
+    assert len(set(where[-1])) == 16 and max(Counter(where[-1]).values()) < 80
+    assert max(blocks) < 80                  # the 600 equal rows are not one block
+    assert sorted(map(str, rows)) == sorted(map(str, sharding.shard(df.repartition(5), 16).collect()))
+
+
 def brute_lm(rows, train):
     tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\0"] for i, t in rows}
     c, pairs = Counter(), Counter()
