@@ -3,7 +3,8 @@
 1. Every page is read into its element tree, and every element that could be a template (not the text flow of
    the article) gives the hash of its subtree.
 2. Spark counts the hashes per host, over pages of different content: copies of one page count once.  A subtree
-   that recurs on ``MIN_PAGES`` pages and on ``SHARE`` of the host's pages is template.
+   that recurs on ``MIN_PAGES`` pages and on ``SHARE`` of the host's pages is template, and so is one that recurs on
+   ``MANY_PAGES`` pages, however large the host: templates of a section, and variants of a block, are a small share.
 3. The pages are read again; template subtrees, and elements that are boilerplate by tag, role or class, are left
    out, and the blocks of the article (or of ``main``, or of the body, if there is none) are joined.
 
@@ -28,6 +29,7 @@ from pagelake.session import materialize
 
 MIN_PAGES = 5
 SHARE = 0.2
+MANY_PAGES = 20
 SALTS = 32
 
 # Element names by their role in HTML.
@@ -211,7 +213,8 @@ def host_of(url: str):
     return F.coalesce(F.regexp_extract(F.lower(q(url)), "^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
-def templates(pages: DataFrame, url: str, html: str, key: str, min_pages: int, share: float) -> DataFrame:
+def templates(pages: DataFrame, url: str, html: str, key: str, min_pages: int, share: float,
+              many_pages: int) -> DataFrame:
     """(key, templates): for every page that has any, the hashes of its template subtrees."""
     def compute(columns):
         for column in columns:
@@ -223,7 +226,8 @@ def templates(pages: DataFrame, url: str, html: str, key: str, min_pages: int, s
     host_pages = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = seen.select("host", "content", F.explode("subtrees").alias("subtree")).distinct().groupBy(
         "host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    recurring = counts.join(host_pages, "host").where(F.col("n") >= F.col("pages") * share).select(
+    bar = F.least(F.col("pages") * share, F.lit(many_pages))
+    recurring = counts.join(host_pages, "host").where(F.col("n") >= bar).select(
         "host", "subtree", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = seen.select("key", "host", F.explode("subtrees").alias("subtree"),
                       F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
@@ -233,11 +237,11 @@ def templates(pages: DataFrame, url: str, html: str, key: str, min_pages: int, s
 
 
 def main_text(df: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
-              share: float = SHARE) -> DataFrame:
+              share: float = SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """``df`` with ``text`` and ``n_templates`` (subtrees deleted); underscored if the names are taken."""
     key, page, own = fresh(df, "page_key", "page_pair", "own_templates")
     keyed = df.withColumn(key, F.xxhash64(*[q(c) for c in df.columns]))
-    found = templates(keyed, url, html, key, min_pages, share).select(
+    found = templates(keyed, url, html, key, min_pages, share, many_pages).select(
         F.col("key").alias(key), F.col("templates").alias(own))
     paired = keyed.join(found, key, "left").select(
         *[q(c) for c in df.columns if c != html],

@@ -158,3 +158,14 @@ def test_templates_by_host(spark):
     assert got[21]["_text"] == "Welcome to b.test, our house\nBody 21 of b.test\nShared line"
     assert got[50]["_text"] == "" and got[50]["html"] is None and got[51]["_text"] == "" and got[64]["_text"] == "Copied page"
     assert html_main.main_text(df.where("1 = 0")).count() == 0
+
+
+def test_templates_of_a_section_of_a_large_host(spark):
+    def page(i):
+        hint = "<div><p>All about gardens</p></div>" if i < 25 else ""                   # a section: 25 of 400 pages
+        variant = f"<section><p>House line number {i % 8}</p></section>"                # eight variants of 50 pages each
+        rare = "<div><p>A saying that some pages share</p></div>" if 100 <= i < 119 else ""
+        return (i, f"http://large.test/{i}", f"<body>{hint}{variant}<div><p>Body {i}</p></div>{rare}</body>")
+    out = html_main.main_text(spark.createDataFrame([page(i) for i in range(400)], "page_id long, url string, html string"))
+    got = {r["page_id"]: r["text"] for r in out.collect()}
+    assert got == {i: f"Body {i}" + ("\nA saying that some pages share" if 100 <= i < 119 else "") for i in range(400)}
