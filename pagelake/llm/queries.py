@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pagelake.llm import decontaminate, html_main, jaccard, langid, lines, lm, mixing, quality, sharding, toxicity
+from pagelake.llm import (
+    decontaminate, html_main, jaccard, langid, lines, lm, mixing, quality, sharding, suffix_sort, token_align, toxicity, whitening,
+)
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_html_extraction": html_main.op8_html_extraction,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_token_alignment": token_align.op11_token_alignment,
+    "op12_suffix_dedup": suffix_sort.op12_suffix_dedup,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE = {
