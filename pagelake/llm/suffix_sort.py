@@ -4,13 +4,15 @@ Only the first ``threshold`` bytes of a suffix count (a window).  Passes refine
 suffixes that are alone, until equal groups are exactly the repeated windows:
 
 1. Of all suffixes, those at minimizers take part: in every window one position is the least by a hash of the half
-   window behind it, and equal windows have it at the same place.  The half window there is the first digit.  A group of
-   one ends the window starts that this position stands for.
+   window behind it, and equal windows have it at the same place.  The half window there is the first digit.  A digit
+   that occurs once ends the run of window starts that its position stands for.  Digits are counted first, and the runs
+   made again and kept if their digit recurs, so that no table of all runs is written.
 2. The second digit is all text that the position's run of windows covers.  In a group with one such digit, all
    windows but the first member's are repeats, without a look at single windows.  Equal members are counted by a partial
    aggregation before the shuffle, so a passage that a third of all documents share is one row per task.
-3. Groups with several second digits are settled on whole windows: the first member of each is expanded into its
-   windows (again pre-aggregated), and a window is a repeat if it also starts earlier.
+3. Groups with several second digits are settled on whole windows, of the first member of each.  They meet with the text
+   they cover, in buckets of about ``BUCKET`` members; in a bucket, all but the first of equal windows are repeats.  Where a
+   group has several buckets, the firsts of each meet once more, as single windows.
 
 Digits are compared by fingerprints: 64 bits for the first, another 64 for the second, 128 for a whole window.  Order of
 starts is (doc_id, position); null ids come first and are one document.  Every byte of a repeated window is removed.
@@ -37,6 +39,7 @@ from pagelake.session import materialize
 
 THRESHOLD = 100
 SLICE = (1 << 20) - 4096  # positions in a slice must fit 20 bits
+BUCKET = 256
 
 
 class _Fingerprints:
@@ -100,11 +103,10 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, threshold: int):
-    """Runs of window starts with one minimizer: (text, first start, windows, first digit, second digit)."""
+    """Runs of window starts with one minimizer: (first start, windows, minimizer, first digit)."""
     half = threshold // 2
     width = threshold - half + 1
-    prints = _Fingerprints(data, 1)
-    digit = prints.each(half)
+    digit = _Fingerprints(data, 1).each(half)
     least = (digit >> np.uint64(20) << np.uint64(20)) | np.arange(len(digit), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
@@ -115,11 +117,22 @@ def _runs(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, threshold: i
     at = _spread(starts, counts)
     place = (least[at] & np.uint64((1 << 20) - 1)).astype(np.int64)
     cut = np.flatnonzero(np.diff(place, prepend=-1))
-    first, windows = at[cut], np.diff(np.append(cut, len(at)))
     place = place[cut]
+    return at[cut], np.diff(np.append(cut, len(at))), place, digit[place]
+
+
+def _second(data: np.ndarray, first: np.ndarray, windows: np.ndarray, place: np.ndarray, threshold: int) -> np.ndarray:
     whole = _Fingerprints(data, 2).of(first, first + windows + (threshold - 1))
-    second = mix(whole ^ mix((place - first).astype(np.uint64) << np.uint64(32) | windows.astype(np.uint64)))
-    return np.searchsorted(starts, first, "right") - 1, first, windows, digit[place], second
+    return mix(whole ^ mix((place - first).astype(np.uint64) << np.uint64(32) | windows.astype(np.uint64)))
+
+
+def _scan_digits(threshold: int):
+    def scan(batches):
+        for batch in batches:
+            for _, _, starts, counts, data in _slices(batch.column(0), threshold):
+                one = _runs(data, np.array(starts), np.array(counts), threshold)[3]
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64))], names=["one"])
+    return scan
 
 
 def _scan_runs(threshold: int):
@@ -127,7 +140,9 @@ def _scan_runs(threshold: int):
         for batch in batches:
             for rows, at, starts, counts, data in _slices(batch.column(2), threshold):
                 starts, counts = np.array(starts), np.array(counts)
-                text, first, windows, one, two = _runs(data, starts, counts, threshold)
+                first, windows, place, one = _runs(data, starts, counts, threshold)
+                two = _second(data, first, windows, place, threshold)
+                text = np.searchsorted(starts, first, "right") - 1
                 row = pa.array(np.array(rows)[text])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(row), batch.column(1).take(row),
@@ -137,33 +152,88 @@ def _scan_runs(threshold: int):
     return scan
 
 
-def _scan_windows(threshold: int):
-    """Rows (doc, mark, text, asked): the windows asked for by (start, windows) pairs, with fingerprints."""
+def _contexts(batches):
+    """Rows (doc, mark, text, asked): each run asked for, with the text that it covers."""
+    for batch in batches:
+        asked = batch.column(3)
+        runs, sizes = asked.flatten(), np.diff(asked.offsets.to_numpy())
+        owner = np.repeat(np.arange(batch.num_rows), sizes)
+        start, length = (runs.field(c).to_numpy(zero_copy_only=False) for c in ("start", "length"))
+        size, parts, low = 0, [], 0
+        texts = [t.as_py() for t in batch.column(2)]
+        for i, (k, s, n) in enumerate(zip(owner.tolist(), start.tolist(), length.tolist(), strict=True)):
+            parts.append(texts[k][s:s + n])
+            size += n
+            if size >= SLICE or i + 1 == len(owner):
+                row = pa.array(owner[low:i + 1])
+                mine = runs.slice(low, i + 1 - low)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), *[mine.field(c) for c in ("start", "one", "buckets")],
+                     pa.array(parts, pa.binary())], names=["doc", "mark", "start", "one", "buckets", "covered"])
+                size, parts, low = 0, [], i + 1
+
+
+def _settle(threshold: int):
+    """Rows (one, bucket, doc, mark, start, buckets, covered), a bucket's together: windows that are not the first of
+    their bucket (``repeat``), and of buckets that have others beside them the firsts, with fingerprints."""
+    def settled(t: pa.Table) -> pa.RecordBatch:
+        covered = [c.as_py() for c in t["covered"]]
+        size = np.array([len(c) for c in covered])
+        begin = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(covered), np.uint8)
+        count = size - threshold + 1
+        at = _spread(begin, count)
+        who = np.repeat(np.arange(len(size)), count)
+        prints = [_Fingerprints(data, seed).of(at, at + threshold) for seed in (3, 4)]
+        known = t["doc"].is_valid().to_numpy()
+        doc = t["doc"].fill_null(0).to_numpy()
+        start = t["start"].to_numpy()[who] + (at - begin[who])
+        order = np.lexsort((start, doc[who], known[who], prints[1], prints[0]))
+        w, s = who[order], start[order]
+        one, two = prints[0][order], prints[1][order]
+        new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (s != s[head]) | (doc[w] != doc[w[head]]) | (known[w] != known[w[head]])
+        keep = later | (t["buckets"].to_numpy()[w] > 1)
+        w, s, later, one, two = w[keep], s[keep], later[keep], one[keep], two[keep]
+        return pa.RecordBatch.from_arrays(
+            [t["doc"].combine_chunks().take(pa.array(w)), t["mark"].combine_chunks().take(pa.array(w)), pa.array(s.astype(np.int32)),
+             pa.array(later), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+            names=["doc", "mark", "start", "repeat", "one", "two"])
+
     def scan(batches):
+        held = []
         for batch in batches:
-            asked = batch.column(3)
-            offsets = asked.offsets.to_numpy()
-            pair = asked.values
-            ask_start = pair.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-            ask_count = pair.field("windows").to_numpy(zero_copy_only=False).astype(np.int64)
-            for rows, at, starts, counts, data in _slices(batch.column(2), threshold):
-                prints = [_Fingerprints(data, seed) for seed in (3, 4)]
-                picked, owner = [], []
-                for row, shift, start, count in zip(rows, at, starts, counts, strict=True):
-                    s, n = (x[offsets[row]:offsets[row + 1]] for x in (ask_start, ask_count))
-                    p = np.unique(_spread(s, n)) - shift
-                    p = p[(p >= 0) & (p < count)]
-                    picked.append(p + start)
-                    owner.append(np.full(len(p), len(owner)))
-                p, owner = np.concatenate(picked), np.concatenate(owner)
-                if not len(p):
-                    continue
-                row = pa.array(np.array(rows)[owner])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row),
-                     pa.array((p - np.array(starts)[owner] + np.array(at)[owner]).astype(np.int32)),
-                     *[pa.array(f.of(p, p + threshold).view(np.int64)) for f in prints]],
-                    names=["doc", "mark", "start", "one", "two"])
+            if not batch.num_rows:
+                continue
+            # the last bucket of a batch may go on in the next one
+            key = np.stack([batch.column(i).to_numpy() for i in (0, 1)])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+            last = (held[-1].column(0)[-1], held[-1].column(1)[-1]) if held else None
+            if held and last != (batch.column(0)[0], batch.column(1)[0]):
+                yield from parts(pa.Table.from_batches(held))
+                held = []
+            if len(cut):
+                at = int(cut[-1]) + 1
+                yield from parts(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = [batch.slice(at)]
+            else:
+                held.append(batch)
+        if held:
+            yield from parts(pa.Table.from_batches(held))
+
+    def parts(t: pa.Table):
+        """Whole buckets of about ``SLICE`` / 2 covered bytes at a time."""
+        key = np.stack([t[c].to_numpy() for c in ("one", "bucket")])
+        cut = np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, t.num_rows)
+        total = np.cumsum([len(c.as_py()) for c in t["covered"]])
+        low = 0
+        for i, end in enumerate(cut.tolist()):
+            used = total[end - 1] - (total[low - 1] if low else 0)
+            if used >= SLICE // 2 or i + 1 == len(cut):
+                yield settled(t.slice(low, end - low))
+                low = end
+
     return scan
 
 
@@ -186,25 +256,31 @@ def repeats(docs: DataFrame, doc_id: str, text: str, threshold: int = THRESHOLD)
     """Runs of repeated windows as rows (doc, mark, start, windows): windows of ``threshold`` bytes at ``windows``
     consecutive starts from ``start``, each of which also starts earlier.  ``mark`` tells texts of one id apart."""
     keyed = _keyed(docs, doc_id, text)
-    runs = materialize(keyed.mapInArrow(_scan_runs(threshold), "doc long, mark long, start int, windows int, one long, two long"),
-                       "suffix-runs")
-    groups = runs.groupBy("one", "two").agg(F.min(_start()).alias("first"), F.count("*").alias("members"))
-    groups = materialize(groups, "suffix-groups")
-    shared = groups.groupBy("one").agg(F.count("*").alias("kinds"), F.sum("members").alias("total")).where("total > 1")
-    live = groups.join(shared.drop("total"), "one")
-    found = runs.join(live.drop("members"), ["one", "two"])
+    digits = keyed.select("raw").mapInArrow(_scan_digits(threshold), "one long").groupBy("one").agg(F.count("*").alias("total"))
+    shared = materialize(digits.where("total > 1").select("one"), "suffix-digits")
+    runs = keyed.mapInArrow(_scan_runs(threshold), "doc long, mark long, start int, windows int, one long, two long")
+    runs = materialize(runs.join(shared, "one"), "suffix-runs")
+    groups = materialize(runs.groupBy("one", "two").agg(F.min(_start()).alias("first")), "suffix-groups")
+    kinds = groups.groupBy("one").agg(F.count("*").alias("kinds"))
+    found = runs.join(groups.join(kinds, "one"), ["one", "two"])
     later = _start() > F.col("first")
-    found = materialize(found.select("doc", "mark", "start", "windows", later.alias("repeat"), "kinds").where("repeat or kinds > 1"),
+    found = materialize(found.select("doc", "mark", "start", "windows", "one", later.alias("repeat"), "kinds").where("repeat or kinds > 1"),
                         "suffix-found")
     # First members of groups with several second digits: by single windows.
-    asked = found.where("not repeat").groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "windows")).alias("asked"))
-    windows = _same_text(keyed, asked, "inner").mapInArrow(
-        _scan_windows(threshold), "doc long, mark long, start int, one long, two long")
-    windows = materialize(windows, "suffix-windows")
-    firsts = windows.groupBy("one", "two").agg(F.min(_start()).alias("first"), F.max(_start()).alias("last")).where("last > first")
-    single = windows.join(firsts.drop("last"), ["one", "two"]).where(_start() > F.col("first"))
-    return found.where("repeat").select("doc", "mark", "start", "windows").unionByName(
-        single.select("doc", "mark", "start", F.lit(1).alias("windows")))
+    run = F.struct("start", (F.col("windows") + (threshold - 1)).alias("length"), "one", F.ceil(F.col("kinds") / BUCKET).alias("buckets"))
+    asked = found.where("not repeat").groupBy("doc", "mark").agg(F.collect_set(run).alias("asked"))
+    covered = _same_text(keyed, asked, "inner").mapInArrow(
+        _contexts, "doc long, mark long, start int, one long, buckets long, covered binary")
+    bucket = F.pmod(F.xxhash64("mark", "start"), "buckets")
+    dealt = covered.select("one", bucket.alias("bucket"), "doc", "mark", "start", "buckets", "covered").repartition(
+        "one", "bucket").sortWithinPartitions("one", "bucket")
+    single = materialize(dealt.mapInArrow(_settle(threshold), "doc long, mark long, start int, repeat boolean, one long, two long"),
+                         "suffix-windows")
+    heads = single.where("not repeat")
+    firsts = heads.groupBy("one", "two").agg(F.min(_start()).alias("first"), F.max(_start()).alias("last")).where("last > first")
+    rest = heads.join(firsts.drop("last"), ["one", "two"]).where(_start() > F.col("first"))
+    single = single.where("repeat").select("doc", "mark", "start").unionByName(rest.select("doc", "mark", "start"))
+    return found.where("repeat").select("doc", "mark", "start", "windows").unionByName(single.withColumn("windows", F.lit(1)))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str, text: str, threshold: int = THRESHOLD) -> DataFrame:

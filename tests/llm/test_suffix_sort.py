@@ -70,7 +70,9 @@ def test_texts_longer_than_a_slice(spark, monkeypatch):
     for threshold in (20, 100):
         seen, found = {}, {}
         for numbers, at, starts, counts, data in ss._slices(column, threshold):
-            text, first, windows, one, two = ss._runs(data, np.array(starts), np.array(counts), threshold)
+            first, windows, place, one = ss._runs(data, np.array(starts), np.array(counts), threshold)
+            two = ss._second(data, first, windows, place, threshold)
+            text = np.searchsorted(starts, first, "right") - 1
             for k, f, n in zip(text, first, windows, strict=True):
                 for p in range(f, f + n):
                     found.setdefault(numbers[k], []).append(p - starts[k] + at[k])
@@ -79,13 +81,23 @@ def test_texts_longer_than_a_slice(spark, monkeypatch):
         assert {k: sorted(v) for k, v in found.items()} == {k: list(range(len(t) - threshold + 1)) for k, (_, t) in enumerate(rows)}
 
 
+def test_groups_of_several_buckets(spark, monkeypatch):
+    # one passage in many surroundings: its group of second digits is dealt over buckets of two members
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh", k=45))
+    rows = [(i, "".join(rng.choices("abcdefgh", k=rng.randint(0, 60))) + passage + "".join(rng.choices("abcdefgh", k=40))) for i in range(40)]
+    rows += [(None, rows[3][1]), (7, rows[5][1])]
+    monkeypatch.setattr(ss, "BUCKET", 2)
+    assert order(removed(spark, rows, 30)) == order(brute(rows, 30))
+
+
 def test_equal_windows_have_equal_first_digits():
     rng = random.Random(2)
     shared = "".join(rng.choices("abcd", k=400))
     a, b = (np.frombuffer(("".join(rng.choices("abcd", k=n)) + shared).encode(), np.uint8) for n in (37, 90))
     digits = []
     for data, lead in ((a, 37), (b, 90)):
-        _, first, windows, one, _ = ss._runs(data, np.array([0]), np.array([len(data) - 99]), 100)
+        first, windows, _, one = ss._runs(data, np.array([0]), np.array([len(data) - 99]), 100)
         at = {}
         for f, n, d in zip(first, windows, one, strict=True):
             at.update(dict.fromkeys(range(f, f + n), d))
