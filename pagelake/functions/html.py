@@ -70,8 +70,13 @@ def _number(digits: Column, base: int, longest: int) -> Column:
     return (value if base == 10 else F.conv(value, base, 10)).cast("bigint")
 
 
-def _map(names) -> Column:
-    return F.create_map(*[F.lit(v) for n in names for v in (n, NAMED_REFERENCES[n])])
+def _lookup(names, key: Column) -> Column:
+    """The text of a named reference, null if ``names`` has none.  Both lists are literals after constant folding."""
+    def listed(items):
+        return F.split(F.lit("\x01".join(items)), "\x01")
+
+    at = F.array_position(listed(names), key).cast("int")
+    return F.get(listed(NAMED_REFERENCES[n] for n in names), at - 1)
 
 
 def decode_entities(c) -> Column:
@@ -81,8 +86,7 @@ def decode_entities(c) -> Column:
         hexadecimal = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);?", 1)
         name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1)
         bare = F.regexp_extract(p, "^(" + "|".join(BARE_REFERENCES) + ")", 1)
-        named = F.when(name != "", F.coalesce(F.try_element_at(_map(COMMON_REFERENCES), name),
-                                              F.try_element_at(_map(NAMED_REFERENCES), name)))
+        named = F.when(name != "", F.coalesce(_lookup(COMMON_REFERENCES, name), _lookup(list(NAMED_REFERENCES), name)))
         after = lambda used: F.substring(p, used + 1, F.length(p))
         return (
             F.when(i == 0, p)
@@ -90,7 +94,7 @@ def decode_entities(c) -> Column:
             .when(hexadecimal != "", F.concat(_code_point(_number(hexadecimal, 16, 6)),
                                               F.regexp_replace(p, "^#[xX][0-9a-fA-F]+;?", "")))
             .when(named.isNotNull(), F.concat(named, after(F.length(name) + 1)))
-            .when(bare != "", F.concat(F.try_element_at(_map(BARE_REFERENCES), bare), after(F.length(bare))))
+            .when(bare != "", F.concat(_lookup(BARE_REFERENCES, bare), after(F.length(bare))))
             .otherwise(F.concat(F.lit("&"), p)))
 
     def body(x):

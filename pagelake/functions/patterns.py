@@ -31,6 +31,16 @@ TR_SPLIT_RE = rf"(?i){_open('tr')}"
 _CELL_END = r"(?=</?t[hdr]\b|</?t(?:able|body|head|foot)\b|\z)"
 TH_RE = rf"(?is){_open('th')}(.*?){_CELL_END}"
 TD_RE = rf"(?is){_open('td')}(.*?){_CELL_END}"
+# Tags of tables that carry their depth ("<tr_2 class=x>"), so that \\1 finds the end at the same depth.  Captured in a
+# look-ahead, an outer element does not use up the inner ones.
+TABLE_TAG_RE = r"(?i)<(/?)(table|thead|tbody|tfoot|tr|th|td)(?=[\s/>])"
+TABLE_CUT_RE = r"(?i)(?=</?table[\s/>])"
+_DEEP_END = r"</table\1\b|\z"
+DEEP_TABLE_RE = rf"(?is)(?=<table(_[0-9]+)\b{_INSIDE}>(.*?)(?={_DEEP_END}))<table"
+DEEP_TR_RE = rf"(?is)(?=<tr(_[0-9]+)\b{_INSIDE}>(.*?)(?=</?t(?:r|body|head|foot)\1\b|{_DEEP_END}))<tr"
+_DEEP_CELL_END = rf"(?=</?t[hdr]\1\b|</?t(?:body|head|foot)\1\b|{_DEEP_END})"
+DEEP_TH_RE = rf"(?is)<th(_[0-9]+)\b{_INSIDE}>(.*?){_DEEP_CELL_END}"
+DEEP_TD_RE = rf"(?is)<td(_[0-9]+)\b{_INSIDE}>(.*?){_DEEP_CELL_END}"
 NEXT_LI_RE = rf"(?is){_open_with_class('li', 'next')}(.*?)(?:</li\s*>|(?=<li\b)|(?=</[uo]l\b)|\z)"
 # Group 1 is the value with its quotes, if any.
 A_HREF_RE = rf"(?is)<a(?=\s){_TO}\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)"

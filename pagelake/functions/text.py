@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelake.functions.charsets import decode_column
 from pagelake.functions.html import WS, let, strip_ws
 
 # Chunk size and overlap of the overlap chunker (characters).
@@ -107,27 +108,18 @@ def highlight(text, q) -> Column:
 
 
 def decode_body(body, content_type) -> Column:
-    """Bytes → text.  A declared charset wins; with none declared, valid
-    UTF-8 is decoded as UTF-8, anything else as ISO-8859-1 (statistical charset
-    sniffing is not reproduced)."""
-    b, ct = _col(body), _col(content_type)
-    declared = F.lower(F.regexp_extract(ct, r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9._\-]+)", 1))
-    declared = F.when(declared.isin("utf8"), F.lit("utf-8")).when(
-        declared.isin("latin1", "latin-1", "iso8859-1"), F.lit("iso-8859-1")).otherwise(declared)
-    as_utf8 = b.cast("string")
-    has_cs = F.lower(F.coalesce(ct, F.lit(""))).contains("charset")
-    return (
-        F.when(has_cs & (declared == "utf-8"),
-               F.make_valid_utf8(as_utf8))
-        .when(has_cs & (declared == "iso-8859-1"), F.decode(b, "ISO-8859-1"))
-        .when(has_cs & (declared == "us-ascii"), F.decode(b, "US-ASCII"))
-        .when(has_cs & (declared == "utf-16"), F.decode(b, "UTF-16"))
-        .when(has_cs & (declared == "utf-16le"), F.decode(b, "UTF-16LE"))
-        .when(has_cs & (declared == "utf-16be"), F.decode(b, "UTF-16BE"))
-        .when(has_cs & (declared == "utf-32"), F.decode(b, "UTF-32"))
-        .when(F.is_valid_utf8(as_utf8), as_utf8)
-        .otherwise(F.decode(b, "ISO-8859-1"))
-    )
+    """Bytes → text.  A declared charset wins, whichever Python knows, and bad bytes become U+FFFD.  With none declared
+    the body tells: a byte-order mark, valid UTF-8, or the charset whose characters fit best (:mod:`.charsets`).
+
+    Valid UTF-8 without a mark, declared as such or not at all, is a cast; only other bodies go through Python."""
+    b, ct = _col(body), F.coalesce(_col(content_type), F.lit(""))
+    has_cs = F.lower(ct).contains("charset")
+    declared = F.lower(F.regexp_extract(ct, r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9._:\-]+)", 1))
+    declared = F.when(has_cs, F.when(declared == "", "utf-8").otherwise(declared))
+    text = b.cast("string")
+    marked = F.hex(F.substring(b, 1, 3)).rlike("^(EFBBBF|FFFE|FEFF)")
+    plain = F.is_valid_utf8(text) & F.when(has_cs, declared.isin("utf-8", "utf8")).otherwise(~marked & ~F.contains(b, F.lit(b"\x00")))
+    return F.when(plain, text).otherwise(decode_column(F.when(~plain, b), declared))
 
 
 def repair_mojibake(text) -> Column:

@@ -13,7 +13,8 @@ from pagelake.functions.html import (content_hash, decode_entities, html_text, h
                                      node_text_stripped, strip_junk, strip_ws)
 from pagelake.functions.urls import domain, origin, resolve_url
 
-from pagelake.functions.patterns import (A_HREF_RE, ARTICLE_RE, H3_RE, NEXT_LI_RE, TABLE_RE, TD_RE,  # noqa: E402
+from pagelake.functions.patterns import (A_HREF_RE, ARTICLE_RE, DEEP_TABLE_RE, DEEP_TD_RE, DEEP_TH_RE,  # noqa: E402
+                                         DEEP_TR_RE, H3_RE, NEXT_LI_RE, TABLE_CUT_RE, TABLE_RE, TABLE_TAG_RE, TD_RE,
                                          TH_RE, TR_SPLIT_RE)
 
 
@@ -42,22 +43,50 @@ def _dedup_entries(entries: Column) -> Column:
     return let(entries, body)
 
 
+def _with_depth(html: Column) -> Column:
+    """Table tags renamed to carry the depth of their table: the pieces between table tags are scanned with a counter."""
+    def scan(pieces):
+        step = lambda p: F.when(p.rlike(r"(?i)^<table[\s/>]"), 1).when(p.rlike(r"(?i)^</table[\s/>]"), -1).otherwise(0)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("depths"))
+        # the depth of a piece: of its own table after an opener, of the table that it closes at an end tag
+        depths = F.aggregate(pieces, start, lambda s, p: let(step(p), lambda d: F.struct(
+            F.greatest(s["at"] + d, F.lit(0)).alias("at"),
+            F.array_append(s["depths"], F.when(d < 0, s["at"]).otherwise(s["at"] + d)).alias("depths"))))["depths"]
+
+        def renamed(p, d):
+            name = lambda text, depth: F.regexp_replace(text, F.lit(TABLE_TAG_RE), F.concat(F.lit("<$1$2_"), depth.cast("string")))
+            closes = p.rlike(r"(?i)^</table[\s/>]")
+            return F.when(closes, F.concat(F.lit("</table_"), d.cast("string"), name(F.substring(p, 8, F.length(p)), F.greatest(d - 1, F.lit(0))))
+                          ).otherwise(name(p, d))
+
+        return F.array_join(F.zip_with(pieces, depths, renamed), "")
+
+    return let(F.split(html, TABLE_CUT_RE), scan)
+
+
 def tables_column(html) -> Column:
     """``array<array<struct<key,value>>>`` — per ``<table>``, per ``<tr>``,
     the first ``th`` text → key and the first ``td`` text → value; rows missing
-    either are skipped and tables without any pair are dropped."""
-    tables = F.regexp_extract_all(strip_junk(html), F.lit(TABLE_RE), 1)
-
-    def rows_of(t):
-        rows = F.slice(F.split(t, TR_SPLIT_RE), 2, 1 << 30)
-        pairs = F.transform(rows, lambda r: F.struct(
-            F.when(r.rlike(TH_RE), node_text_stripped(F.regexp_extract(r, TH_RE, 1))).alias("key"),
-            F.when(r.rlike(TD_RE), node_text_stripped(F.regexp_extract(r, TD_RE, 1))).alias("value")))
-        # rows with both cells only; bound once before the dedup reads it repeatedly
-        kept = F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
-        return _dedup_entries(kept)
-
-    return F.filter(F.transform(tables, rows_of), lambda t: F.size(t) > 0)
+    either are skipped and tables without any pair are dropped.
+
+    Tables inside tables count by themselves, and their rows and text also belong to the tables around them."""
+    def facts(tables, rows_of, th, td, group):
+        def of(t):
+            pairs = F.transform(rows_of(t), lambda r: F.struct(
+                F.when(r.rlike(th), node_text_stripped(F.regexp_extract(r, th, group))).alias("key"),
+                F.when(r.rlike(td), node_text_stripped(F.regexp_extract(r, td, group))).alias("value")))
+            # rows with both cells only; bound once before the dedup reads it repeatedly
+            return _dedup_entries(F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull()))
+        return F.transform(tables, of)
+
+    def body(clean):
+        flat = facts(F.regexp_extract_all(clean, F.lit(TABLE_RE), 1), lambda t: F.slice(F.split(t, TR_SPLIT_RE), 2, 1 << 30), TH_RE, TD_RE, 1)
+        deep = facts(F.regexp_extract_all(_with_depth(clean), F.lit(DEEP_TABLE_RE), 2),
+                     lambda t: F.regexp_extract_all(t, F.lit(DEEP_TR_RE), 2), DEEP_TH_RE, DEEP_TD_RE, 2)
+        ends = F.array_join(F.regexp_extract_all(clean, F.lit(r"(?i)<(/?t)able[\s/>]"), 1), "")
+        return F.when(F.lower(ends).contains("tt"), deep).otherwise(flat)
+
+    return F.filter(let(strip_junk(html), body), lambda t: F.size(t) > 0)
 
 
 def extract_tables(df: DataFrame, html_col: str = "raw_html", out: str = "tables") -> DataFrame:

@@ -8,13 +8,9 @@ batch (or replaying it after a crash) writes nothing twice.
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
-import re
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +18,10 @@ from pyspark.sql import types as T
 from pagelake.functions.html import let
 from pagelake.functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_windows, serialize_table
 from pagelake.operators.extract import tables_column
-from pagelake.operators.versions import latest_ids, new_versions
+from pagelake.operators.versions import heads_of, latest_ids, versions_on_arrival
+from pagelake.session import materialize
 from pagelake.sources import tables as io
+from pagelake.sources.ledger import COUNTED, Ledger
 
 # Embedding dimension of the default embedder, and the factor of the
 # chunk id (page_id * CHUNK_ID_SPAN + index, a 38-digit decimal: any page id and any
@@ -91,38 +89,21 @@ def chunk_pages(processed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHU
                             .alias("chunk_index", "chunk_text"))
 
 
-@lru_cache(maxsize=1 << 20)
-def _bucket(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
-
-
-_NOT_TOKEN = re.compile(r"[\W_]+")
-
-
-def _hashing_batch(texts, dim: int):
-    """Vectors for one Arrow batch; the buckets of recent tokens are remembered per worker."""
-    out = []
-    for t in texts:
-        if t is None:
-            out.append(None)
-            continue
-        ids = [_bucket(x, dim) for x in _NOT_TOKEN.split(t.lower()) if x]
-        v = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float64)
-        n = np.sqrt((v * v).sum())
-        out.append((v / n if n > 0 else v).astype(np.float32))
-    return out
-
-
 def hashing_vector(text, dim: int = DEFAULT_DIM) -> Column:
     """Default embedder: lower-cased letter/digit tokens hashed into ``dim``
     buckets by the first 32 bits of their MD5, counted and L2-normalised.
-    Reproducible; not a language model.  Runs as an Arrow-batched pandas UDF that
-    loops over the texts of a batch (MD5 per distinct token, numpy counts)."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _vec(s: pd.Series) -> pd.Series:
-        return pd.Series(_hashing_batch(s.tolist(), dim))
+    Reproducible; not a language model.  Built-in expressions only."""
+    tokens = F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), TOKEN_SPLIT_RE), lambda t: t != "")
+    buckets = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+
+    def normalised(counts):
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
+        return let(length, lambda n: F.transform(counts, lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0)).cast("float")))
+
+    def counted(found):
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(found, lambda b: b == d)).cast("double"))
 
-    return _vec(F.col(text) if isinstance(text, str) else text)
+    return let(buckets, lambda found: F.when(found.isNotNull(), let(counted(found), normalised)))
 
 
 def embed(df: DataFrame, col: str = "chunk_text", embedder=None, dim: int = DEFAULT_DIM,
@@ -149,6 +130,40 @@ def embed(df: DataFrame, col: str = "chunk_text", embedder=None, dim: int = DEFA
     return df.mapInPandas(fn, schema)
 
 
+# Errors of an embedder that may go away by themselves.
+RETRYABLE = (ConnectionError, TimeoutError)
+
+
+def _vectors(embedder, texts: list[str], dim: int) -> list[tuple]:
+    """(vector, error, retryable) per text; a failing batch is halved until the failing texts stand alone."""
+    try:
+        vecs = np.asarray(embedder(texts), dtype=np.float32)
+        if vecs.shape != (len(texts), dim):
+            raise ValueError(f"embedder returned {vecs.shape}, expected {(len(texts), dim)}")
+    except Exception as e:  # noqa: BLE001 - any failure of the hook becomes a dead letter of its page
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}", isinstance(e, RETRYABLE))]
+        half = len(texts) // 2
+        return _vectors(embedder, texts[:half], dim) + _vectors(embedder, texts[half:], dim)
+    sound = np.isfinite(vecs).all(axis=1)
+    return [(v, None, None) if ok else (None, "vector has an entry that is not finite", False) for v, ok in zip(vecs, sound, strict=True)]
+
+
+def try_embed(df: DataFrame, col: str, embedder, dim: int = DEFAULT_DIM) -> DataFrame:
+    """P7 with failures as rows: adds ``embedding``, ``error`` and ``retryable``; either a vector or an error is set."""
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+                           T.StructField("error", T.StringType()), T.StructField("retryable", T.BooleanType())])
+
+    def fn(it):
+        for pdf in it:
+            rows = _vectors(embedder, pdf[col].tolist(), dim) if len(pdf) else []
+            yield pdf.assign(embedding=pd.Series([r[0] for r in rows], index=pdf.index, dtype=object),
+                             error=pd.Series([r[1] for r in rows], index=pdf.index, dtype=object),
+                             retryable=pd.Series([r[2] for r in rows], index=pdf.index, dtype=object))
+
+    return df.mapInPandas(fn, schema)
+
+
 def attach_url(dead: DataFrame, pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Add the page URL to failures that only know a ``page_id`` (null when unknown)."""
     urls = pages.select(F.col("id").alias(key), F.col("url").alias("url"))
@@ -163,65 +178,134 @@ def dedup_by_page(processed: DataFrame) -> DataFrame:
     return processed.join(keep, "id", "left_semi")
 
 
-def dead_letters(rejected: DataFrame, task_name: str, as_of: dt.datetime, attempt_count: int = 1) -> DataFrame:
+def dead_letters(rejected: DataFrame, task_name: str, as_of: dt.datetime, attempt_count: int | Column = 1) -> DataFrame:
     """Rows for the dead-letter table (``rejected`` carries url and error)."""
+    attempts = F.lit(attempt_count) if isinstance(attempt_count, int) else attempt_count
     return rejected.select(
         F.xxhash64(F.lit(task_name), *[F.col(c) for c in ("page_id", "url") if c in rejected.columns],
                    F.col("error")).alias("id"), "url",
         F.lit(task_name).alias("task_name"), "error", F.lit(as_of).cast("timestamp").alias("failed_at"),
-        F.lit(attempt_count).cast("int").alias("attempt_count"))
+        attempts.cast("int").alias("attempt_count"))
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+# Fixed value: a failing embedding is tried again this often before its page is given up.
+MAX_RETRIES = 5
+# Every so many epochs the heads are written whole; in between, only those that changed.
+HEADS_EVERY = 16
+
+ARRIVAL_SCHEMA = T.StructType([T.StructField("id", T.LongType(), False)])
+HEAD_SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("fetched_at", T.TimestampType()),
+                            T.StructField("id", T.LongType()), T.StructField("content_hash", T.StringType())])
+QUEUE_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("page_epoch", T.LongType()),
+                             T.StructField("attempts", T.IntegerType())])
+
+
+def read_heads(ledger: Ledger, epoch: int) -> DataFrame:
+    """The head of every URL before ``epoch``: the last whole table and the changes since, ``HEADS_EVERY`` folders at most."""
+    first = max(epoch - 1, 0) // HEADS_EVERY * HEADS_EVERY
+    return heads_of(ledger.epochs("heads", HEAD_SCHEMA, range(first, epoch)))
+
+
+def unseen_rows(ledger: Ledger, obs: DataFrame, epoch: int) -> DataFrame:
+    """Observations whose id has not arrived in an earlier epoch.  Only arrivals within the batch's range of ids are
+    read, which Parquet statistics narrow to few files where ids grow with time."""
+    if not epoch:
+        return obs
+    low, high = obs.agg(F.min("id"), F.max("id")).first()
+    arrived = ledger.committed("arrivals", ARRIVAL_SCHEMA).where(F.col("id").between(low, high))
+    return obs.join(arrived, "id", "left_anti")
+
+
+def ingest(ledger: Ledger, obs: DataFrame, epoch: int) -> DataFrame:
+    """The versions among new observations, written with the arrivals and heads of the epoch; reads no stored page."""
+    unseen = unseen_rows(ledger, obs, epoch)
+    heads = read_heads(ledger, epoch)
+    ledger.write(versions_on_arrival(unseen, heads), "pages", epoch, io.PAGE_LOG_SCHEMA)
+    ledger.write(unseen.select("id").distinct(), "arrivals", epoch, ARRIVAL_SCHEMA)
+    pages = ledger.epochs("pages", io.PAGE_LOG_SCHEMA, [epoch])
+    now = heads_of(heads.unionByName(pages.select(*heads.columns)))
+    if epoch % HEADS_EVERY:
+        changed = pages.select("url").distinct()
+        now = now.join(changed, "url", "left_semi")
+    ledger.write(now, "heads", epoch, HEAD_SCHEMA)
+    return pages
 
 
 def run_pipeline(spark: SparkSession, obs: DataFrame, paths: dict[str, str], as_of: dt.datetime,
-                 embedder=None, dim: int = DEFAULT_DIM) -> dict[str, int]:
-    """P10: raw observations → page versions → processed pages → chunks with
-    vectors, failures to dead letters.  One append per table; every stage
-    starts from an anti-join, so a replayed batch writes nothing twice.
-
-    ``obs``: (id, url, raw_html, extracted_text, content_hash, fetched_at).
-    ``paths``: table folders for keys pages, processed, chunks, dead_letters."""
-    stored = _read_or_empty(spark, paths["pages"], io.PAGE_LOG_SCHEMA)
-    fresh = new_versions(stored, obs)
-    io.append_pages(fresh, paths["pages"])
-
-    pages = _read_or_empty(spark, paths["pages"], io.PAGE_LOG_SCHEMA)
-    processed = _read_or_empty(spark, paths["processed"], io.PROCESSED_SCHEMA)
-    todo = pending(pages, processed, key="page_id", left_key="id")
-    valid, rejected = validate(process_pages(todo), passthrough=("page_id",))
-    valid = valid.select(F.col("page_id").alias("id"), "page_id", "text", "tables",
-                         F.lit(as_of).cast("timestamp").alias("processed_at"))
-    io.append_processed(valid, paths["processed"])
+                 embedder=None, dim: int = DEFAULT_DIM, source: str | None = None, batch: int | None = None,
+                 before_commit=None) -> dict[str, int]:
+    """P10: raw observations → page versions → processed pages → chunks with vectors, failures to dead letters.
+
+    One call is one epoch (see :mod:`pagelake.sources.ledger`): all tables of it become visible together, and a call that
+    died is repeated exactly.  ``source`` and ``batch`` name a micro-batch, which runs once however often it is delivered;
+    observations whose id has arrived before add nothing in any batch.  An epoch reads the heads of the URLs, ids of
+    earlier arrivals and the pages waiting for another try, never stored HTML.
+
+    A page whose text or tables are not valid goes to the dead letters.  Where ``embedder`` fails for a chunk, the page
+    gets no chunks at all: a connection error or time-out puts it on the queue of the next epoch, ``MAX_RETRIES`` times; other
+    failures, and the last of these, are dead letters with the number of tries.  Other pages of the batch are not touched.
+
+    ``obs``: (id, url, raw_html, extracted_text, content_hash, fetched_at).  ``paths``: table folders for keys pages,
+    processed, chunks, dead_letters.  ``before_commit(epoch)`` is called when all tables are written, before the ledger
+    names them.  Returns the rows of each table over all epochs."""
+    ledger = Ledger(spark, paths)
+    if source is not None and ledger.has(source, batch):
+        return ledger.totals()
+    epoch = ledger.last() + 1
+    pages = ingest(ledger, obs, epoch)
+
+    valid, rejected = validate(process_pages(pages), passthrough=("page_id",))
+    valid = valid.select(F.col("page_id").alias("id"), "page_id", "text", "tables", F.lit(as_of).cast("timestamp").alias("processed_at"))
+    ledger.write(valid, "processed", epoch, io.PROCESSED_SCHEMA)
     dead = dead_letters(attach_url(rejected, pages), "process_page", as_of)
-    known = _read_or_empty(spark, paths["dead_letters"], io.DEAD_LETTER_SCHEMA).select("id")
-    io.append_dead_letters(dead.join(known, "id", "left_anti"), paths["dead_letters"])
-
-    processed = _read_or_empty(spark, paths["processed"], io.PROCESSED_SCHEMA)
-    chunks_done = _read_or_empty(spark, paths["chunks"], io.CHUNK_SCHEMA)
-    to_embed = dedup_by_page(pending(processed, chunks_done, key="page_id"))
-    chunks = embed(chunk_pages(to_embed), "chunk_text", embedder, dim)
-    chunks = chunks.select((F.col("page_id").cast("decimal(38,0)") * F.lit(CHUNK_ID_SPAN) + F.col("chunk_index")).cast("decimal(38,0)").alias("id"), "page_id",
-                           "chunk_text", "embedding", "chunk_index",
-                           F.lit(as_of).cast("timestamp").alias("created_at"))
-    io.append_chunks(chunks, paths["chunks"])
-    return {k: _read_or_empty(spark, p, s).count() for k, p, s in [
-        ("pages", paths["pages"], io.PAGE_LOG_SCHEMA), ("processed", paths["processed"], io.PROCESSED_SCHEMA),
-        ("chunks", paths["chunks"], io.CHUNK_SCHEMA), ("dead_letters", paths["dead_letters"], io.DEAD_LETTER_SCHEMA)]}
+
+    waiting = ledger.epochs("queue", QUEUE_SCHEMA, [epoch - 1] if epoch else [])
+    old = [r[0] for r in waiting.select("page_epoch").distinct().collect()]  # at most MAX_RETRIES epochs back
+    again = ledger.epochs("processed", io.PROCESSED_SCHEMA, old).join(waiting, "page_id", "left_semi")
+    to_embed = dedup_by_page(ledger.epochs("processed", io.PROCESSED_SCHEMA, [epoch]).unionByName(again))
+    pieces = chunk_pages(to_embed)
+    if embedder is None:
+        chunks, queue = embed(pieces, "chunk_text", dim=dim), spark.createDataFrame([], QUEUE_SCHEMA)
+    else:
+        tried = materialize(try_embed(pieces, "chunk_text", embedder, dim), "embedded")
+        failed = tried.where("error is not null").groupBy("page_id").agg(
+            F.min(F.struct("chunk_index", "error"))["error"].alias("error"), F.bool_and("retryable").alias("retryable"))
+        failed = materialize(failed.join(waiting, "page_id", "left").select(
+            "page_id", "error", "retryable", F.coalesce("page_epoch", F.lit(epoch)).alias("page_epoch"),
+            (F.coalesce("attempts", F.lit(0)) + 1).alias("attempts")), "failed-pages")
+        chunks = tried.join(failed.select("page_id"), "page_id", "left_anti")
+        more = F.col("retryable") & (F.col("attempts") <= MAX_RETRIES)
+        queue = failed.where(more).select("page_id", "page_epoch", "attempts")
+        urls = pages.select("id", "url").unionByName(ledger.epochs("pages", io.PAGE_LOG_SCHEMA, old).select("id", "url"))
+        dead = dead.unionByName(dead_letters(attach_url(failed.where(~more), urls), "embed_page", as_of, F.col("attempts")))
+    chunks = chunks.select((F.col("page_id").cast("decimal(38,0)") * F.lit(CHUNK_ID_SPAN) + F.col("chunk_index")).cast("decimal(38,0)").alias("id"),
+                           "page_id", "chunk_text", "embedding", "chunk_index", F.lit(as_of).cast("timestamp").alias("created_at"))
+    ledger.write(chunks, "chunks", epoch, io.CHUNK_SCHEMA)
+    ledger.write(queue, "queue", epoch, QUEUE_SCHEMA)
+    written = io.write_dead_letters(dead, f"{paths['dead_letters']}/epoch={epoch}")
+
+    counts = {t: ledger.epochs(t, s, [epoch]).count() for t, s in TABLE_SCHEMAS.items() if written or t != "dead_letters"}
+    if before_commit is not None:
+        before_commit(epoch)
+    ledger.commit(epoch, source, batch, counts, written)
+    return ledger.totals()
+
+
+TABLE_SCHEMAS = dict(zip(COUNTED, (io.PAGE_LOG_SCHEMA, io.PROCESSED_SCHEMA, io.CHUNK_SCHEMA, io.DEAD_LETTER_SCHEMA), strict=True))
+
+
+def read_output(spark: SparkSession, paths: dict[str, str], table: str) -> DataFrame:
+    """The committed rows of one of the pipeline's tables."""
+    return Ledger(spark, paths).committed(table, TABLE_SCHEMAS[table])
 
 
 def pipeline_paths(spark: SparkSession, name: str = "pipeline") -> dict[str, str]:
-    base = io.scratch_path(spark, name)
-    return {k: f"{base}/{k}" for k in ("pages", "processed", "chunks", "dead_letters")}
+    return table_paths(io.scratch_path(spark, name))
+
 
+def table_paths(base: str) -> dict[str, str]:
+    return {k: f"{base}/{k}" for k in (*COUNTED, "state")}
 
-__all__ = ["pending", "validate", "process_pages", "chunk_text", "chunk_pages", "chunk_column", "hashing_vector", "embed",
-           "attach_url", "dedup_by_page", "run_pipeline", "pipeline_paths", "dead_letters"]
 
+__all__ = ["pending", "validate", "process_pages", "chunk_text", "chunk_pages", "chunk_column", "hashing_vector", "embed", "try_embed",
+           "attach_url", "dedup_by_page", "run_pipeline", "read_output", "pipeline_paths", "table_paths", "dead_letters"]

@@ -1,19 +1,18 @@
 """Retrieval: exact k-nearest chunks, keyword search, paging, citations and
 prompts (R2, R3, R5–R11).
 
-Exact kNN never materialises query × chunk pairs as rows.  The query block is
-broadcast (its size is checked; larger query sets are processed in blocks),
-every chunk partition computes distances with one matrix product per Arrow
-batch and keeps only its own top-k per query, and a final per-query top-k
-(WindowGroupLimit) merges those partial results.
+Exact kNN never materialises query × chunk pairs as rows.  Vectors of both sides
+are packed as tiles; a pair of tiles is one matrix product, a task keeps the best
+of the tiles it has seen, and a final per-query top-k (WindowGroupLimit) merges
+those partial results.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +20,7 @@ from pyspark.sql.window import Window
 
 from pagelake.functions.text import highlight, snippet
 from pagelake.operators.versions import latest_ids, restrict_to_latest
+from pagelake.session import materialize
 
 # Default k and the answer given when nothing was retrieved.
 DEFAULT_K = 5
@@ -28,119 +28,115 @@ NO_CONTENT_ANSWER = (
     "No relevant content has been indexed yet, so I can't answer this from the scraped sources."
 )
 
-# Upper bound on query vectors broadcast at once (rows); larger query sets are
-# split into blocks of at most this size.
-MAX_QUERY_BLOCK = 4096
-# Chunk rows per matrix product inside a task.
+# Rows of a tile of query and of chunk vectors: one matrix product each pair.
+QUERY_TILE = 1024
 CHUNK_TILE = 4096
-
-
-def _topk_kernel(q_ids: np.ndarray, q_mat: np.ndarray, k: int, payload_cols: list[str]):
-    qn = np.linalg.norm(q_mat, axis=1)
-
-    def fn(it):
-        best = None
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            for lo in range(0, len(pdf), CHUNK_TILE):
-                part = pdf.iloc[lo:lo + CHUNK_TILE]
-                cmat = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                cn = np.linalg.norm(cmat, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = 1.0 - (q_mat @ cmat.T) / np.outer(qn, cn)
-                dist = np.where(np.isnan(dist), np.inf, dist)
-                ids = part["chunk_id"].to_numpy()
-                m = dist.shape[1]
-                kk = min(k, m)
-                if kk < m:
-                    cand = np.argpartition(dist, kk - 1, axis=1)[:, :kk]
-                    thr = np.take_along_axis(dist, cand, axis=1).max(axis=1)
-                    n_le = (dist <= thr[:, None]).sum(axis=1)
-                else:
-                    cand = np.tile(np.arange(m), (len(q_ids), 1))
-                    n_le = np.full(len(q_ids), m)
-                ok = n_le == kk
-                rows_q = [np.repeat(np.nonzero(ok)[0], kk)]
-                rows_c = [cand[ok].ravel()]
-                for qi in np.nonzero(~ok)[0]:
-                    # ties at the boundary: decide exactly by (distance, chunk_id)
-                    sel = np.nonzero(dist[qi] <= thr[qi])[0]
-                    order = np.lexsort((ids[sel], dist[qi, sel]))
-                    sel = sel[order[:kk]]
-                    rows_q.append(np.full(len(sel), qi))
-                    rows_c.append(sel)
-                rq = np.concatenate(rows_q)
-                rc = np.concatenate(rows_c)
-                cand_df = pd.DataFrame({
-                    "query_id": q_ids[rq],
-                    "chunk_id": ids[rc],
-                    "distance": dist[rq, rc],
-                })
-                for c in payload_cols:
-                    cand_df[c] = part[c].to_numpy()[rc]
-                best = cand_df if best is None else pd.concat([best, cand_df], ignore_index=True)
-                best = best.sort_values(["query_id", "distance", "chunk_id"], kind="mergesort")
-                best = best.groupby("query_id", sort=False).head(k)
-        if best is not None and len(best):
-            yield best
-
-    return fn
-
-
-def _query_blocks(queries: DataFrame, max_block: int, seed: int = 0, n: int | None = None) -> list[DataFrame]:
-    """Split the query set into blocks of at most ``max_block`` rows (checked
-    by counting; an oversized hash block is split again with another seed)."""
-    n = queries.count() if n is None else n
-    if n <= max_block:
-        return [queries]
-    nblocks = math.ceil(n / max_block) * 2  # aim at half the bound
-    h = F.pmod(F.xxhash64(F.lit(seed), "query_id", "embedding"), F.lit(nblocks))
-    counts = {r["b"]: r["n"] for r in queries.groupBy(h.alias("b")).count().withColumnRenamed("count", "n").collect()}
-    out = []
-    for b, cnt in sorted(counts.items()):
-        block = queries.filter(h == b)
-        out += [block] if cnt <= max_block else _query_blocks(block, max_block, seed + 1, cnt)
-    return out
+# Query tiles up to this many bytes (measured first) go to every task; beyond it, tiles of both sides meet by slot.
+BROADCAST_BYTES = 8 << 20
+# A task hands on what it holds when its best candidates exceed this many rows.
+HELD_ROWS = 1 << 20
+
+
+def _tiles(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """Vectors of ``df`` (id, embedding) packed as tiles of at most ``rows``: (tile, ids, vectors)."""
+    id_type = df.schema[id_col].dataType
+    schema = T.StructType([T.StructField("tile", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
+                           T.StructField("vectors", T.BinaryType())])
+
+    def pack(it):
+        from pyspark import TaskContext
+
+        first, n = TaskContext.get().partitionId() << 32, 0
+        for batch in it:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                sizes = pc.list_value_length(part.column(1))
+                if pc.min(sizes).as_py() != pc.max(sizes).as_py():
+                    raise ValueError("vectors of one tile differ in length")
+                ids, flat = part.column(0), part.column(1).flatten().to_numpy(zero_copy_only=False)
+                packed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first + n]), packed, pa.array([flat.astype(np.float64).tobytes()], pa.binary())], names=["tile", "ids", "vectors"])
+                n += 1
+
+    return df.select(id_col, "embedding").where("embedding is not null").mapInArrow(pack, schema)
+
+
+def _nearest_in_tile(q_mat: np.ndarray, c_mat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, chunk row, distance) of the ``k`` nearest chunks per query; of equal distances the first rows."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dist = 1.0 - (q_mat @ c_mat.T) / np.outer(np.linalg.norm(q_mat, axis=1), np.linalg.norm(c_mat, axis=1))
+    dist[np.isnan(dist)] = np.inf
+    k = min(k, dist.shape[1])
+    edge = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+    keep = dist < edge
+    ties = dist == edge
+    room = k - keep.sum(axis=1, keepdims=True)
+    keep |= ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= room)
+    rows, cols = np.nonzero(keep)
+    return rows, cols, dist[rows, cols]
+
+
+def _kernel(k: int, dtypes):
+    """Pairs of tiles → candidates (query_id, chunk_id, distance), the best of all tiles that the task has seen."""
+    names = ["query_id", "chunk_id", "distance"]
+
+    def scan(it):
+        best, held, schema = {}, 0, None
+        for batch in it:
+            kinds = [batch.schema.field(c).type.value_type for c in ("q_ids", "ids")]
+            schema = pa.schema(list(zip(names, [*kinds, pa.float64()], strict=True)))
+            for r in batch.to_pylist():
+                q_ids, c_ids = (np.array(r[c], dtype=t) for c, t in zip(("q_ids", "ids"), dtypes, strict=True))
+                q_mat = np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1)
+                c_mat = np.frombuffer(r["vectors"]).reshape(len(c_ids), -1)
+                order = np.argsort(c_ids, kind="stable")
+                rows, cols, dist = _nearest_in_tile(q_mat, c_mat[order], k)
+                new = pd.DataFrame(dict(zip(names, (q_ids[rows], c_ids[order][cols], dist), strict=True)))
+                old = best.get(r["q_tile"])
+                if old is not None:
+                    held -= len(old)
+                    new = pd.concat([old, new], ignore_index=True).sort_values(names[::2] + names[1:2], kind="mergesort")
+                    new = new.groupby("query_id", sort=False).head(k)
+                best[r["q_tile"]] = new
+                held += len(new)
+                if held > HELD_ROWS:
+                    yield from (pa.RecordBatch.from_pandas(b, schema, preserve_index=False) for b in best.values())
+                    best, held = {}, 0
+        yield from (pa.RecordBatch.from_pandas(b, schema, preserve_index=False) for b in best.values())
+
+    return scan
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
         payload_cols: tuple[str, ...] = ("page_id", "chunk_index", "chunk_text"),
-        max_query_block: int = MAX_QUERY_BLOCK) -> DataFrame:
+        broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact top-k chunks per query by cosine distance, ties broken by chunk_id.
 
-    ``queries``: (query_id, embedding); ``chunks``: (chunk_id, embedding, payload…).
-    Returns (query_id, rank, chunk_id, distance, payload…)."""
+    ``queries``: (query_id, embedding); ``chunks``: (chunk_id, embedding, payload…), chunk ids unique.  Both sides are packed
+    as tiles of vectors, and every pair of tiles is one matrix product.  Query tiles of a measured size are broadcast;
+    larger sets meet the chunk tiles in slots of a shuffle, where each chunk tile moves once.  Payload is joined to the
+    top k at the end.  Returns (query_id, rank, chunk_id, distance, payload…)."""
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = queries.sparkSession
-    chunk_in = chunks.select("chunk_id", "embedding", *payload_cols)
-    out_schema = T.StructType(
-        [T.StructField("query_id", queries.schema["query_id"].dataType),
-         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
-         T.StructField("distance", T.DoubleType())]
-        + [T.StructField(c, chunks.schema[c].dataType) for c in payload_cols])
-    parts = []
-    for block in _query_blocks(queries.select("query_id", "embedding").distinct(), max_query_block):
-        pdf = block.toPandas()  # bounded by max_query_block rows
-        if len(pdf) == 0:
-            continue
-        q_ids = pdf["query_id"].to_numpy()
-        q_mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        bq = spark.sparkContext.broadcast((q_ids, q_mat))
-
-        def fn(it, bq=bq):
-            ids, mat = bq.value
-            return _topk_kernel(ids, mat, k, list(payload_cols))(it)
-
-        parts.append(chunk_in.mapInPandas(fn, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(1))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    q_type, c_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
+    out = T.StructType([T.StructField("query_id", q_type), T.StructField("chunk_id", c_type), T.StructField("distance", T.DoubleType())])
+    q_tiles = materialize(_tiles(queries.select("query_id", "embedding").distinct(), "query_id", QUERY_TILE), "query-tiles")
+    q_tiles = q_tiles.toDF("q_tile", "q_ids", "q_vectors")
+    c_tiles = _tiles(chunks, "chunk_id", CHUNK_TILE)
+    size = q_tiles.agg(F.sum(F.length("q_vectors"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        pairs = c_tiles.crossJoin(F.broadcast(q_tiles))
+    else:
+        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        everywhere = q_tiles.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        pairs = c_tiles.withColumn("slot", F.pmod(F.hash("tile"), F.lit(slots))).join(everywhere.hint("merge"), "slot")
+    dtypes = [np.int64 if isinstance(t, T.LongType) else object for t in (q_type, c_type)]
+    cands = pairs.select("q_tile", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_kernel(k, dtypes), out)
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top.join(chunks.select("chunk_id", *payload_cols), "chunk_id").select("query_id", "chunk_id", "distance", *payload_cols, "rank")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, pages: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -192,7 +188,8 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, pages: DataFrame, k: int =
     generator call.  ``generator`` (optional) is a function ``pd.Series of
     prompts -> pd.Series of answers`` run through ``mapInPandas`` in Arrow
     batches; without it the answer stays null and the prompt is returned."""
-    labeled = label_sources(retrieve(queries, chunks, pages, k))
+    # read three times below, so written once
+    labeled = materialize(label_sources(retrieve(queries, chunks, pages, k)), "labeled")
     prompts = build_prompts(labeled, queries)
     n_src = labeled.groupBy("query_id").agg(F.max("citation").alias("n_sources"))
     base = queries.select("query_id").join(prompts, "query_id", "left").join(n_src, "query_id", "left")
@@ -204,7 +201,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, pages: DataFrame, k: int =
         answered = with_prompt.select("query_id", F.lit(None).cast("string").alias("answer"),
                                       F.col("n_sources").cast("long"), "prompt")
     else:
-        schema = "query_id long, answer string, n_sources long, prompt string"
+        schema = T.StructType([queries.schema["query_id"], *T.StructType.fromDDL("answer string, n_sources long, prompt string").fields])
 
         def gen(it):
             for pdf in it:

@@ -67,35 +67,58 @@ def one_delivery(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.dropDuplicates([id_col])
 
 
+def heads_of(stored: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id"),
+             hash_col: str = "content_hash") -> DataFrame:
+    """The head of every URL: key, hash and order columns of its latest stored version (one aggregation)."""
+    columns = list(dict.fromkeys([*order, hash_col]))
+    best = F.max(F.struct(*[F.col(c) for c in columns])).alias("_m")
+    return stored.groupBy(key).agg(best).select(key, *[F.col(f"_m.{c}").alias(c) for c in columns])
+
+
+def versions_on_arrival(unseen: DataFrame, heads: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id"),
+                        hash_col: str = "content_hash") -> DataFrame:
+    """The rows of ``unseen`` that become versions, given the ``heads`` (see :func:`heads_of`) before they arrive.
+
+    A row is compared with the head on arrival.  Rows older than the stored head (late ones) leave it as it is, so each
+    is compared with that head; of the others the first is compared with the head and every further one with its
+    predecessor.  Only narrow columns are scanned; wide rows are kept by id at the end.  Of rows with equal id but other
+    content the least by (key, order, hash) counts."""
+    columns = list(dict.fromkeys([key, *order, "id", hash_col]))
+    narrow = unseen.groupBy("id").agg(F.min(F.struct(*columns)).alias("_r")).select("_r.*")
+    known = heads.select(F.col(key), F.col(hash_col).alias("_head_hash"), F.struct(*order).alias("_head"))
+    placed = narrow.join(known, key, "left")
+    late = F.col("_head").isNotNull() & (F.struct(*order) < F.col("_head"))
+    placed = placed.withColumn("_late", late)
+    scanned = ordered_scan(placed.where("not _late").select(*columns, "_head_hash"), key=key, order=list(order), lag_cols=[hash_col])
+    before = F.when(F.col("_rn") == 1, F.col("_head_hash")).otherwise(F.col(f"prev_{hash_col}"))
+    kept = scanned.where(before.isNull() | (before != F.col(hash_col))).select(columns)
+    kept = kept.unionByName(placed.where(F.col("_late") & (F.col(hash_col) != F.col("_head_hash"))).select(columns))
+    return one_delivery(unseen.join(kept, columns, "left_semi"))
+
+
 def new_versions(stored: DataFrame, incoming: DataFrame, key: str = "url",
-                 order: tuple[str, ...] = ("fetched_at", "id"), hash_col: str = "content_hash") -> DataFrame:
+                 order: tuple[str, ...] = ("fetched_at", "id"), hash_col: str = "content_hash",
+                 seen: DataFrame | None = None) -> DataFrame:
     """V5: versions of an incoming batch against the stored log.
 
-    The first incoming observation of a URL is compared with the latest stored
-    version; later ones with their predecessor inside the batch.  An observation
-    that arrives late (older than the stored head) is a version if it differs from
-    the head and from the version before its own time.  Replays add nothing:
-    stored ids and second deliveries are left out, and an observation that was
-    skipped as unchanged still equals the version before it."""
-    unseen = one_delivery(incoming).join(stored.select("id"), "id", "left_anti")
-    heads = stored.join(latest_ids(stored, key=key, order=order), "id", "left_semi").select(
-        F.col(key), F.col(hash_col).alias("_stored_hash"), F.struct(*[F.col(c) for c in order]).alias("_head"))
-    placed = unseen.select(key, *dict.fromkeys([*order, "id"]), hash_col).join(heads, key, "left")
-    behind = F.col("_head").isNotNull() & (F.struct(*[F.col(c) for c in order]) < F.col("_head"))
-    narrow = placed.filter(~behind).drop("_head", "_stored_hash")
-    scanned = ordered_scan(narrow, key=key, order=list(order), lag_cols=[hash_col])
-    prev = F.coalesce(F.col(f"prev_{hash_col}"), F.col("_stored_hash"))
-    firsts = scanned.filter(F.col("_rn") == 1).join(heads.drop("_head"), key, "left")
-    rest = scanned.filter(F.col("_rn") > 1).withColumn("_stored_hash", F.lit(None).cast("string"))
-    kept = firsts.unionByName(rest).filter(prev.isNull() | (prev != F.col(hash_col))).select("id")
-    late = placed.filter(behind & (F.col(hash_col) != F.col("_stored_hash"))).drop("_head", "_stored_hash")
-    if late.limit(1).count():
-        log = late.withColumn("_late", F.lit(True)).unionByName(
-            stored.join(late.select(key).distinct(), key, "left_semi").select(*late.columns, F.lit(False).alias("_late")))
-        between = ordered_scan(log, key=key, order=list(order), lag_cols=[hash_col])
-        before = F.col(f"prev_{hash_col}")
-        kept = kept.unionByName(between.filter(F.col("_late") & (before.isNull() | (before != F.col(hash_col)))).select("id"))
-    return unseen.join(kept, "id", "left_semi")
+    The first incoming observation of a URL is compared with the latest stored version, later ones with their
+    predecessor inside the batch, and an observation that arrives late (older than the stored head) with that head.
+    Replays add nothing.  ``seen`` names the ids that have arrived before, stored or skipped as unchanged, and so tells a
+    replay from a late arrival.  Without it only stored ids are known, and a late observation that equals the version before
+    its own time is taken for the replay of one that was skipped."""
+    known = stored.select("id") if seen is None else stored.select("id").unionByName(seen.select("id"))
+    unseen = incoming.join(known, "id", "left_anti")
+    heads = heads_of(stored, key, order, hash_col)
+    kept = versions_on_arrival(unseen, heads, key, order, hash_col)
+    if seen is not None:
+        return kept
+    columns = list(dict.fromkeys([key, *order, "id", hash_col]))
+    late = kept.join(heads.select(F.col(key), F.struct(*order).alias("_head")), key).where(F.struct(*order) < F.col("_head"))
+    log = late.select(*columns, F.lit(True).alias("_late")).unionByName(
+        stored.join(late.select(key).distinct(), key, "left_semi").select(*columns, F.lit(False).alias("_late")))
+    between = ordered_scan(log, key=key, order=list(order), lag_cols=[hash_col])
+    again = between.where(F.col("_late") & (F.col(f"prev_{hash_col}") == F.col(hash_col))).select("id")
+    return kept.join(again, "id", "left_anti")
 
 
 def version_history(pages: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id")) -> DataFrame:

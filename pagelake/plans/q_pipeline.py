@@ -148,6 +148,6 @@ def p10(spark, sf):
     as_of = dt.datetime(2024, 2, 1)
     PL.run_pipeline(spark, obs, paths, as_of)
     PL.run_pipeline(spark, obs, paths, as_of)
-    chunks = io.read_sink(spark, paths["chunks"], io.CHUNK_SCHEMA)
+    chunks = PL.read_output(spark, paths, "chunks")
     return chunks.select("page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
 

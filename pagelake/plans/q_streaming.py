@@ -3,63 +3,103 @@
 from __future__ import annotations
 
 import datetime as dt
-import time
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from pagelake.functions.html import content_hash
+from pagelake.operators import pipeline as PL
 from pagelake.plans.q_pipeline import _P10_SQL
 from pagelake.plans.q_versions import _COLLAPSED
-from pagelake.plans.registry import V, page_log, query, sql_ts, ts_str
+from pagelake.plans.registry import V, page_log, query, sql_ts, ts_str, with_views
 from pagelake.sources import tables as io
 from pagelake.streaming import pipeline as ST
 
-# The arrival cut of the staged observation stream.
+# The arrival cut of the observation stream, and the date of the runs.
 CUTS = ("2024-01-03 00:00:00",)
+AS_OF = dt.datetime(2024, 2, 1)
 
 
-def _staged(spark, sf, name):
+def _observations(spark, sf):
     obs = page_log(spark, sf).join(V(spark, sf, "pages").select("url", F.col("html").alias("raw_html")), "url")
-    obs = obs.select("id", "url", "raw_html", "extracted_text", "content_hash", "fetched_at")
-    base = io.scratch_path(spark, name)
-    in_dir = f"{base}/incoming"
-    ST.stage_observations(obs, in_dir, cuts=CUTS)
-    time.sleep(0.01)
-    return base, in_dir
+    return obs.select("id", "url", "raw_html", "extracted_text", "content_hash", "fetched_at")
 
 
 @query("T1_stream_pipeline", _P10_SQL)
 def t1(spark, sf):
-    """Observations arrive as two files; each micro-batch runs the pipeline.
+    """Observations arrive in two parts; each is a micro-batch of the pipeline.
     The stream is then restarted on the same checkpoint (nothing new)."""
-    base, in_dir = _staged(spark, sf, "t1")
-    paths = {k: f"{base}/{k}" for k in ("pages", "processed", "chunks", "dead_letters")}
-    as_of = dt.datetime(2024, 2, 1)
-    ST.stream_pipeline(spark, in_dir, paths, f"{base}/_checkpoint", as_of, max_files_per_trigger=1)
-    ST.stream_pipeline(spark, in_dir, paths, f"{base}/_checkpoint", as_of, max_files_per_trigger=1)
-    chunks = io.read_sink(spark, paths["chunks"], io.CHUNK_SCHEMA)
+    base = io.scratch_path(spark, "t1")
+    paths = PL.table_paths(base)
+    for part in ST.arrivals(_observations(spark, sf), cuts=CUTS):
+        part.write.mode("append").parquet(f"{base}/incoming")
+        ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF)
+    ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF)
+    chunks = PL.read_output(spark, paths, "chunks")
     return chunks.select("page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
 
 
 @query("T2_stream_versions", _COLLAPSED + f"""
 SELECT id, url, content_hash, {sql_ts('fetched_at')} AS fetched_at FROM versions""")
 def t2(spark, sf):
-    """Stateful change detection over two arrivals equals the batch collapse (V4)."""
-    base, in_dir = _staged(spark, sf, "t2")
-    out = f"{base}/versions"
-    ST.run_stream_versions(spark, in_dir, out, f"{base}/_checkpoint", max_files_per_trigger=1)
-    v = spark.read.schema(ST.VERSION_SCHEMA).parquet(out)
+    """Change detection over two arrivals equals the batch collapse (V4)."""
+    base = io.scratch_path(spark, "t2")
+    for part in ST.arrivals(_observations(spark, sf), cuts=CUTS):
+        part.write.mode("append").parquet(f"{base}/incoming")
+        ST.stream_versions(spark, f"{base}/incoming", f"{base}/versions", f"{base}/_checkpoint")
+    v = ST.read_versions(spark, f"{base}/versions")
     return v.select("id", "url", "content_hash", ts_str("fetched_at").alias("fetched_at"))
 
 
+class Crash(Exception):
+    """Stands for the loss of the driver."""
+
+
+def _crash_in(epoch_lost: int):
+    def hook(epoch: int) -> None:
+        if epoch == epoch_lost:
+            raise Crash(f"lost in epoch {epoch}")
+    return hook
+
 
 @query("T3_replay", _COLLAPSED + "SELECT id, url, content_hash FROM versions")
 def t3(spark, sf):
-    """Every observation is delivered twice, and the whole batch runs twice: one row per version is stored."""
-    from pagelake.operators.pipeline import run_pipeline
-
-    base, in_dir = _staged(spark, sf, "t3")
-    paths = {k: f"{base}/{k}" for k in ("pages", "processed", "chunks", "dead_letters")}
-    batch = io.read_sink(spark, in_dir, io.PAGE_LOG_SCHEMA)
-    for _ in range(2):
-        run_pipeline(spark, batch.unionByName(batch), paths, dt.datetime(2024, 2, 1))
-    return io.read_sink(spark, paths["pages"], io.PAGE_LOG_SCHEMA).select("id", "url", "content_hash")
+    """The second micro-batch dies when its tables are written but not committed; every observation in it comes twice.
+    After the restart Spark delivers it again, and one row per version is stored."""
+    base = io.scratch_path(spark, "t3")
+    paths, incoming, checkpoint = PL.table_paths(base), f"{base}/incoming", f"{base}/_checkpoint"
+    for part in ST.arrivals(_observations(spark, sf), cuts=CUTS):
+        part.unionByName(part).write.mode("append").parquet(incoming)
+        try:
+            ST.stream_pipeline(spark, incoming, paths, checkpoint, AS_OF, before_commit=_crash_in(1))
+        except StreamingQueryException:
+            ST.stream_pipeline(spark, incoming, paths, checkpoint, AS_OF)
+    return PL.read_output(spark, paths, "pages").select("id", "url", "content_hash")
+
+
+@query("T4_dead_letters", with_views("page_versions") + """,
+log AS (SELECT id, url, fetched_at, CASE WHEN id % 9 = 0 THEN '' ELSE extracted_text END AS txt FROM page_versions),
+versions AS (SELECT * FROM (SELECT *, lag(txt) OVER (PARTITION BY url ORDER BY fetched_at, id) AS prev FROM log)
+             WHERE prev IS NULL OR prev <> txt)
+SELECT url, 'process_page' AS task_name, 'text: String should have at least 1 character' AS error, CAST(1 AS BIGINT) AS attempt_count
+FROM versions WHERE txt = ''
+UNION ALL
+SELECT url, 'embed_page', 'ValueError: no vector for a revised text', CAST(1 AS BIGINT) FROM versions WHERE txt LIKE '%(revised)%'""")
+def t4(spark, sf):
+    """Pages without text are rejected and pages with a revised text fail in the embedder, in both micro-batches; the
+    stream goes on.  The dead letters are read back."""
+    def no_revised(texts):
+        if any("(revised)" in t for t in texts):
+            raise ValueError("no vector for a revised text")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    base = io.scratch_path(spark, "t4")
+    paths = PL.table_paths(base)
+    obs = _observations(spark, sf)
+    obs = obs.withColumn("extracted_text", F.when(F.col("id") % 9 == 0, "").otherwise(F.col("extracted_text")))
+    obs = obs.withColumn("content_hash", content_hash("extracted_text"))
+    for part in ST.arrivals(obs, cuts=CUTS):
+        part.write.mode("append").parquet(f"{base}/incoming")
+        ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF, embedder=no_revised, dim=2)
+    dead = PL.read_output(spark, paths, "dead_letters")
+    return dead.select("url", "task_name", "error", F.col("attempt_count").cast("long").alias("attempt_count"))

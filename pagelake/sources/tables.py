@@ -79,7 +79,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "pagelake-tables", f"{name}-{uuid.uuid4().hex}")
 
 
-def _conform(df: DataFrame, schema: T.StructType | None) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType | None) -> DataFrame:
     if schema is None:
         return df
     missing = [f.name for f in schema.fields if f.name not in df.columns]
@@ -88,18 +88,18 @@ def _conform(df: DataFrame, schema: T.StructType | None) -> DataFrame:
     extra = [c for c in df.columns if c not in schema.fieldNames()]
     if extra:
         raise ValueError(f"unknown columns for sink: {extra}")
-    def conform(f):
+    def cast(f):
         cur = df.schema[f.name].dataType
         if cur.simpleString() == f.dataType.simpleString():  # differs at most in nullability
             return F.col(f.name)
         return F.col(f.name).cast(f.dataType).alias(f.name)
 
-    return df.select(*[conform(f) for f in schema.fields])
+    return df.select(*[cast(f) for f in schema.fields])
 
 
 def append(df: DataFrame, path: str, schema: T.StructType | None = None) -> None:
     """Append one batch as one job: the batch becomes visible whole or not at all."""
-    _conform(df, schema).write.mode("append").parquet(path)
+    conform(df, schema).write.mode("append").parquet(path)
 
 
 def append_pages(df: DataFrame, path: str) -> None:
@@ -117,17 +117,26 @@ def append_chunks(df: DataFrame, path: str) -> None:
     append(df, path, CHUNK_SCHEMA)
 
 
-def append_dead_letters(df: DataFrame, path: str) -> bool:
-    """Append dead letters in their own job.  A failing write is logged
-    and swallowed so that it never masks the failure that caused it."""
+def _quiet(write, path: str) -> bool:
     try:
-        append(df, path, DEAD_LETTER_SCHEMA)
+        write()
         return True
     except Exception:  # noqa: BLE001 - deliberate: never mask the original failure
         log.exception("dead-letter write to %s failed", path)
         return False
 
 
+def append_dead_letters(df: DataFrame, path: str) -> bool:
+    """Append dead letters in their own job.  A failing write is logged
+    and swallowed so that it never masks the failure that caused it."""
+    return _quiet(lambda: append(df, path, DEAD_LETTER_SCHEMA), path)
+
+
+def write_dead_letters(df: DataFrame, path: str) -> bool:
+    """S5 for one epoch: the same, replacing what an uncommitted run left."""
+    return _quiet(lambda: conform(df, DEAD_LETTER_SCHEMA).write.mode("overwrite").parquet(path), path)
+
+
 def reset_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Replace a table with an empty one of the same schema."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

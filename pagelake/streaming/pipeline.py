@@ -1,29 +1,26 @@
 """Structured Streaming (T1–T4): the crawl → process → embed chain as a file
-stream, and stateful per-URL change detection.
-
-* T1: ``stream_pipeline`` — a file-source stream of observations whose
-  micro-batches run the batch pipeline (:func:`run_pipeline`) in
-  ``foreachBatch``.  Every stage starts with an anti-join against what is
-  already stored, so a micro-batch replayed after a crash (T3: the checkpoint
-  marks a batch done only after the sink commit) writes nothing twice, and
-  rejected records go to the dead-letter table in the same batch (T4).
-* T2: ``stream_versions`` — change detection with state per URL
-  (``applyInPandasWithState``): the state holds the last hash and its
-  ``(fetched_at, id)``; inside a micro-batch rows are taken in that order.
+stream, and change detection per URL across micro-batches.
+
+* T1: ``stream_pipeline`` — a file-source stream of observations whose micro-batches are epochs of
+  :func:`run_pipeline`.
+* T3: a micro-batch that Spark delivers again (the checkpoint marks it done only after the sink) is run again from the
+  start and replaces what it had written, or is left alone if the ledger has it (see :mod:`pagelake.sources.ledger`).
+* T4: pages that fail in a micro-batch go to the dead letters or the retry queue of their epoch; the stream goes on.
+* T2: ``stream_versions`` — the same change detection alone.  Its state is the table of heads per URL, and the rows of
+  a batch are compared by the skew-safe ordered scan, so no URL's rows meet in one group.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from pagelake.operators.pipeline import run_pipeline
+from pagelake.operators.pipeline import ingest, run_pipeline
 from pagelake.sources import tables as io
+from pagelake.sources.ledger import Ledger
 
 OBS_SCHEMA = io.PAGE_LOG_SCHEMA
 
@@ -36,62 +33,58 @@ def read_observations(spark: SparkSession, in_dir: str, max_files_per_trigger: i
     return r.parquet(in_dir)
 
 
+def _drain(obs: DataFrame, each, checkpoint: str):
+    q = (obs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
 def stream_pipeline(spark: SparkSession, in_dir: str, paths: dict[str, str], checkpoint: str,
-                    as_of: dt.datetime, max_files_per_trigger: int | None = None, embedder=None):
+                    as_of: dt.datetime, max_files_per_trigger: int | None = None, embedder=None,
+                    dim: int | None = None, before_commit=None):
     """Run the pipeline over every available observation file
-    (``trigger(availableNow=True)``) and stop; returns the finished query."""
-    obs = read_observations(spark, in_dir, max_files_per_trigger)
+    (``trigger(availableNow=True)``) and stop; returns the finished query.  The checkpoint folder names the source."""
+    more = {} if dim is None else {"dim": dim}
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        run_pipeline(batch.sparkSession, batch, paths, as_of, embedder=embedder)
+        run_pipeline(batch.sparkSession, batch, paths, as_of, embedder=embedder, source=checkpoint, batch=epoch_id,
+                     before_commit=before_commit, **more)
 
-    q = (obs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+    return _drain(read_observations(spark, in_dir, max_files_per_trigger), each, checkpoint)
 
 
 VERSION_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("url", T.StringType()),
     T.StructField("content_hash", T.StringType()), T.StructField("fetched_at", T.TimestampType())])
-STATE_SCHEMA = T.StructType([
-    T.StructField("hash", T.StringType()), T.StructField("fetched_at", T.TimestampType()),
-    T.StructField("id", T.LongType())])
-
-
-def _versions_fn(key, pdfs, state):
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["fetched_at", "id"], kind="mergesort")
-    last_hash = state.get[0] if state.exists else None
-    keep = []
-    for h in rows["content_hash"]:
-        keep.append(last_hash is None or h != last_hash)
-        last_hash = h
-    last = rows.iloc[-1]
-    state.update((last_hash, last["fetched_at"], int(last["id"])))
-    out = rows[keep][["id", "url", "content_hash", "fetched_at"]]
-    yield out
-
-
-def stream_versions(obs_stream: DataFrame) -> DataFrame:
-    """Streaming twin of V4 — emits an observation only when its hash
-    differs from the previous one of its URL, across micro-batches."""
-    return obs_stream.select("id", "url", "content_hash", "fetched_at").groupBy("url").applyInPandasWithState(
-        _versions_fn, VERSION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_stream_versions(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                        max_files_per_trigger: int | None = None):
-    """Run T2 over the available files into a Parquet sink and stop."""
-    q = (stream_versions(read_observations(spark, in_dir, max_files_per_trigger))
-         .writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
 
 
-def stage_observations(df: DataFrame, in_dir: str, split_col: str = "fetched_at", cuts=()) -> None:
-    """Write observations into ``in_dir`` as successive arrivals (one file per
-    arrival, in time order) — the way a crawler would drop them."""
+def stream_versions(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, max_files_per_trigger: int | None = None):
+    """Page versions of a stream of observations, in epoch tables under ``out_dir``: an observation is kept only when
+    its hash differs from the head of its URL at that time.  Runs over the available files and stops."""
+    paths = version_paths(out_dir)
+
+    def each(batch: DataFrame, epoch_id: int) -> None:
+        ledger = Ledger(batch.sparkSession, paths)
+        if not ledger.has(checkpoint, epoch_id):
+            epoch = ledger.last() + 1
+            n = ingest(ledger, batch, epoch).count()
+            ledger.commit(epoch, checkpoint, epoch_id, {"pages": n}, True)
+
+    return _drain(read_observations(spark, in_dir, max_files_per_trigger), each, checkpoint)
+
+
+def version_paths(out_dir: str) -> dict[str, str]:
+    return {"pages": f"{out_dir}/pages", "state": f"{out_dir}/state"}
+
+
+def read_versions(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The committed versions of :func:`stream_versions`."""
+    return Ledger(spark, version_paths(out_dir)).committed("pages", io.PAGE_LOG_SCHEMA).select(VERSION_SCHEMA.fieldNames())
+
+
+def arrivals(df: DataFrame, split_col: str = "fetched_at", cuts=()):
+    """The observations in parts that arrive one after the other."""
     bounds = [None, *cuts, None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         part = df
@@ -99,4 +92,4 @@ def stage_observations(df: DataFrame, in_dir: str, split_col: str = "fetched_at"
             part = part.filter(F.col(split_col) >= F.lit(lo).cast("timestamp"))
         if hi is not None:
             part = part.filter(F.col(split_col) < F.lit(hi).cast("timestamp"))
-        part.coalesce(1).write.mode("append").parquet(in_dir)
+        yield part

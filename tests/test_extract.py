@@ -44,6 +44,16 @@ def tables_of(spark, html):
     ("<table><tr><th>k</th><td>v</td></tr>", [[("k", "v")]]),
     ("<table><tr><th>k</th><td>old</td></tr><tr><th>m</th><td>1</td></tr><tr><th>k</th><td>new</td></tr><tr><td>loose</td></tr></table>",
      [[("k", "new"), ("m", "1")]]),
+    # a table in a cell: it counts by itself, its rows and text also for the outer one, whose later rows stay
+    ("<table><tr><th>o1</th><td>1</td></tr><tr><th>o2</th><td>two <table><tr><th>i</th><td>3</td></tr></table> end</td></tr>"
+     "<TR><TH>o3</TH><TD>4</TD></TR></table><table><tr><th>z</th><td>9</td></tr></table>",
+     [[("o1", "1"), ("o2", "twoi3end"), ("i", "3"), ("o3", "4")], [("i", "3")], [("z", "9")]]),
+    # the first cell of a row may lie in a table inside it (k: kvlw, until the inner row sets it); unclosed cells end at their own depth
+    ("<table class=a><tr><td><table><tr><th>k<td>v<tr><th>l<td>w</table><tr><th>m<td>x</table>",
+     [[("k", "v"), ("l", "w"), ("m", "x")], [("k", "v"), ("l", "w")]]),
+    ("<table><tr><th>a</th><td><table><tr><td><table><tr><th>deep</th><td>d</td></tr></table></td></tr></table></td></tr><tr><th>b</th><td>2</td></tr>",
+     [[("a", "deepd"), ("deep", "d"), ("b", "2")], [("deep", "d")], [("deep", "d")]]),
+    ("</table><table><tr><th>k</th><td>v<table></table></td></tr></table></table><table-x><tr><th>no</th><td>no</td></tr></table-x>", [[("k", "v")]]),
 ])
 def test_tables(spark, html, tables):
     assert tables_of(spark, html) == tables

@@ -36,7 +36,11 @@ def test_retrieve_latest_only_and_ties(spark):
     assert prompt == "Sources:\n[1] new a\n\n[2] b0\n\nQuestion: q"
 
 
-def test_knn_equals_brute_force_with_blocks(spark):
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_knn_equals_brute_force_with_tiles(spark, monkeypatch, bound):
+    monkeypatch.setattr(R, "QUERY_TILE", 7)
+    monkeypatch.setattr(R, "CHUNK_TILE", 16)
+    monkeypatch.setattr(R, "HELD_ROWS", 100)
     rng = np.random.default_rng(0)
     c = rng.normal(size=(300, 16)).astype(np.float32)
     qv = rng.normal(size=(40, 16)).astype(np.float32)
@@ -44,13 +48,22 @@ def test_knn_equals_brute_force_with_blocks(spark):
                                    "chunk_id long, page_id long, chunk_index int, chunk_text string, "
                                    "embedding array<float>").repartition(5)
     q = spark.createDataFrame([(i, qv[i].tolist()) for i in range(40)], "query_id long, embedding array<float>")
-    got = R.knn(q, chunks, k=4, max_query_block=7).collect()
+    got = R.knn(q, chunks, k=4, broadcast_bytes=bound).collect()
     cd, qd = c.astype(np.float64), qv.astype(np.float64)
     dist = 1 - (qd @ cd.T) / np.outer(np.linalg.norm(qd, axis=1), np.linalg.norm(cd, axis=1))
     want = {(qi, int(j)) for qi in range(40) for j in np.lexsort((np.arange(300), dist[qi]))[:4]}
     assert {(r["query_id"], r["chunk_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_knn_ties_of_many_equal_vectors_and_wide_ids(spark, bound):
+    chunks = spark.range(400).selectExpr("cast(10000000000000 * (399 - id) as decimal(38,0)) as chunk_id", "id as page_id",
+                                         "0 as chunk_index", "'t' as chunk_text", "array(1f, 2f) as embedding").repartition(6)
+    q = spark.createDataFrame([("x", [2.0, 4.0]), ("y", [0.0, 0.0]), ("z", None)], "query_id string, embedding array<float>")
+    got = [(r["query_id"], int(r["chunk_id"]), r["rank"]) for r in R.knn(q, chunks, k=3, broadcast_bytes=bound).orderBy("query_id", "rank").collect()]
+    assert got == [(i, n * 10 ** 13, n + 1) for i in "xy" for n in range(3)]
+
+
 def test_ask_batch_no_content_and_generator(spark):
     pages = pages_df(spark, [(1, "a", 1)])
     empty = spark.createDataFrame([], "chunk_id long, page_id long, chunk_index int, chunk_text string, "
@@ -115,7 +128,7 @@ def test_zero_vectors_rank_last_and_repeated_queries(spark):
     chunks = spark.createDataFrame([(1, 1, 0, "zero", [0.0, 0.0]), (2, 2, 0, "near", [1.0, 0.0])],
                                    "chunk_id long, page_id long, chunk_index int, chunk_text string, embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0])] * 3, "query_id long, embedding array<float>")
-    got = R.knn(q, chunks, k=2, max_query_block=2).orderBy("rank").collect()
+    got = R.knn(q, chunks, k=2, broadcast_bytes=0).orderBy("rank").collect()
     assert [(r["query_id"], r["chunk_id"]) for r in got] == [(7, 2), (7, 1)]
 
 

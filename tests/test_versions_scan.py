@@ -70,8 +70,45 @@ def test_version_history_and_restrict(spark):
 def test_late_and_repeated_observations(spark):
     stored = obs_df(spark, [(1, "u", "A", 1), (2, "u", "B", 10)])
     late = obs_df(spark, [(3, "u", "C", 5), (3, "u", "C", 5), (4, "u", "A", 6), (5, "u", "B", 7), (6, "v", "A", 0)])
+    # 5 equals the head
     assert sorted(r["id"] for r in Vs.new_versions(stored, late).collect()) == [3, 4, 6]
     again = obs_df(spark, [(7, "u", "A", 2), (1, "u", "A", 1)])      # equals the version before it: a replay
     assert Vs.new_versions(stored, again).count() == 0
+    # told apart from a late arrival by the ids that arrived before
+    none = spark.createDataFrame([], "id long")
+    assert [r["id"] for r in Vs.new_versions(stored, again, seen=none).collect()] == [7]
+    assert Vs.new_versions(stored, again, seen=spark.createDataFrame([(7,)], "id long")).count() == 0
     twice = obs_df(spark, [(1, "u", "A", 0), (1, "u", "A", 0), (2, "u", "B", 1)])
     assert sorted(r["id"] for r in Vs.collapse_unchanged(twice).collect()) == [1, 2]
+
+
+def test_equal_ids_with_other_content_are_settled(spark):
+    rows = [(1, "u", "B", 3), (1, "u", "A", 1), (1, "u", "A", 1), (2, "u", "C", 4)]
+    for some in (rows, rows[::-1]):
+        got = sorted((r["id"], r["content_hash"]) for r in Vs.new_versions(obs_df(spark, []), obs_df(spark, some)).collect())
+        assert got == [(1, "A"), (2, "C")]
+
+
+def test_late_rows_leave_the_head(spark):
+    # arrivals one by one, by the rule: compare with the latest stored version, store if it differs
+    rng = random.Random(11)
+    stored, want, got = [], [], []
+    none = spark.createDataFrame([], "id long")
+    for batch in range(4):
+        rows = [(100 * batch + i, rng.choice("uv"), rng.choice("ABC"), rng.randint(0, 40)) for i in range(12)]
+        new = Vs.new_versions(obs_df(spark, stored), obs_df(spark, rows), seen=none).collect()
+        got += [r["id"] for r in new]
+        mine = []
+        for url in "uv":
+            old = [r for r in stored if r[1] == url]
+            head = max(old, key=lambda r: (r[3], r[0]), default=None)
+            last = head[2] if head else None
+            for r in sorted((r for r in rows if r[1] == url), key=lambda r: (r[3], r[0])):
+                if head and (r[3], r[0]) < (head[3], head[0]):
+                    mine += [r] if r[2] != head[2] else []
+                elif r[2] != last:
+                    mine.append(r)
+                    last = r[2]
+        stored += mine
+        want += [r[0] for r in mine]
+    assert sorted(got) == sorted(want)
