@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from html.entities import html5
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters Python's str.isspace() accepts, as one regex
@@ -21,8 +21,8 @@ WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 # All named character references of HTML5, from the standard library; some also stand without a semicolon.
 NAMED_REFERENCES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 BARE_REFERENCES = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
-# The ones tried first: short map for the references that pages mostly use.
-COMMON_REFERENCES = ["apos", *BARE_REFERENCES]
+# All names, those that pages mostly use first, as a look-up walks the list.
+ALL_REFERENCES = list(dict.fromkeys(["apos", *BARE_REFERENCES, *NAMED_REFERENCES]))
 # Numeric references 128 to 159 mean the windows-1252 character, where there is one.
 _WINDOWS = [bytes([n]).decode("windows-1252", "ignore") or chr(n) for n in range(128, 160)]
 REPLACEMENT = "\ufffd"
@@ -41,6 +41,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(df: DataFrame, keep, array, index: str, value: str) -> DataFrame:
+    """``posexplode`` that evaluates an expensive array once.  The plain generator gets a filter on the array's size below
+    it, which copies the expression; the outer one does not, and its rows for empty arrays are dropped here."""
+    return df.select(*keep, F.posexplode_outer(array).alias(index, value)).where(F.col(index).isNotNull())
+
+
 # The same set as characters (29 of them), built by the rule that defines it.
 WS_CHARS = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
 
@@ -86,7 +92,7 @@ def decode_entities(c) -> Column:
         hexadecimal = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);?", 1)
         name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1)
         bare = F.regexp_extract(p, "^(" + "|".join(BARE_REFERENCES) + ")", 1)
-        named = F.when(name != "", F.coalesce(_lookup(COMMON_REFERENCES, name), _lookup(list(NAMED_REFERENCES), name)))
+        named = F.when(name != "", _lookup(ALL_REFERENCES, name))
         after = lambda used: F.substring(p, used + 1, F.length(p))
         return (
             F.when(i == 0, p)

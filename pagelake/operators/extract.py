@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions.html import (content_hash, decode_entities, html_text, html_title, let,
-                                     node_text_stripped, strip_junk, strip_ws)
+                                     node_text_stripped, strip_junk, strip_ws, unnest)
 from pagelake.functions.urls import domain, origin, resolve_url
 
 from pagelake.functions.patterns import (A_HREF_RE, ARTICLE_RE, DEEP_TABLE_RE, DEEP_TD_RE, DEEP_TH_RE,  # noqa: E402
@@ -70,23 +70,23 @@ def tables_column(html) -> Column:
     either are skipped and tables without any pair are dropped.
 
     Tables inside tables count by themselves, and their rows and text also belong to the tables around them."""
-    def facts(tables, rows_of, th, td, group):
-        def of(t):
-            pairs = F.transform(rows_of(t), lambda r: F.struct(
-                F.when(r.rlike(th), node_text_stripped(F.regexp_extract(r, th, group))).alias("key"),
-                F.when(r.rlike(td), node_text_stripped(F.regexp_extract(r, td, group))).alias("value")))
-            # rows with both cells only; bound once before the dedup reads it repeatedly
-            return _dedup_entries(F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull()))
-        return F.transform(tables, of)
+    def cells(tables, rows_of, th, td, group):
+        cell = lambda r, pattern: F.when(r.rlike(pattern), F.regexp_extract(r, pattern, group))
+        return F.transform(tables, lambda t: F.filter(
+            F.transform(rows_of(t), lambda r: F.array(cell(r, th), cell(r, td))), lambda p: p[0].isNotNull() & p[1].isNotNull()))
 
     def body(clean):
-        flat = facts(F.regexp_extract_all(clean, F.lit(TABLE_RE), 1), lambda t: F.slice(F.split(t, TR_SPLIT_RE), 2, 1 << 30), TH_RE, TD_RE, 1)
-        deep = facts(F.regexp_extract_all(_with_depth(clean), F.lit(DEEP_TABLE_RE), 2),
+        flat = cells(F.regexp_extract_all(clean, F.lit(TABLE_RE), 1), lambda t: F.slice(F.split(t, TR_SPLIT_RE), 2, 1 << 30), TH_RE, TD_RE, 1)
+        deep = cells(F.regexp_extract_all(_with_depth(clean), F.lit(DEEP_TABLE_RE), 2),
                      lambda t: F.regexp_extract_all(t, F.lit(DEEP_TR_RE), 2), DEEP_TH_RE, DEEP_TD_RE, 2)
         ends = F.array_join(F.regexp_extract_all(clean, F.lit(r"(?i)<(/?t)able[\s/>]"), 1), "")
         return F.when(F.lower(ends).contains("tt"), deep).otherwise(flat)
 
-    return F.filter(let(strip_junk(html), body), lambda t: F.size(t) > 0)
+    def facts(rows):
+        texts = F.transform(rows, lambda p: F.transform(p, node_text_stripped))
+        return _dedup_entries(F.transform(texts, lambda p: F.struct(p[0].alias("key"), p[1].alias("value"))))
+
+    return F.transform(F.filter(let(strip_junk(html), body), lambda t: F.size(t) > 0), facts)
 
 
 def extract_tables(df: DataFrame, html_col: str = "raw_html", out: str = "tables") -> DataFrame:
@@ -101,8 +101,8 @@ def tables_as_maps(df: DataFrame, col: str = "tables") -> DataFrame:
 
 def table_facts(df: DataFrame, id_col: str = "page_id", tables_col: str = "tables") -> DataFrame:
     """E5: ``(page_id, table_idx, row_idx, key, value)`` relational rows."""
-    t = df.select(id_col, F.posexplode(tables_col).alias("table_idx", "_t"))
-    return t.select(id_col, "table_idx", F.posexplode("_t").alias("row_idx", "_e")).select(
+    t = unnest(df, [id_col], tables_col, "table_idx", "_t")
+    return unnest(t, [id_col, "table_idx"], "_t", "row_idx", "_e").select(
         id_col, "table_idx", "row_idx", F.col("_e.key").alias("key"), F.col("_e.value").alias("value"))
 
 
@@ -142,8 +142,7 @@ def link_column(html, page_url, scope: str | None = "product_pod") -> Column:
 def extract_links(df: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id",
                   scope: str | None = "product_pod") -> DataFrame:
     """E7 on a DataFrame → ``(page_id, link_idx, url)``."""
-    return df.select(id_col, F.posexplode(link_column(F.col(html_col), F.col(url_col), scope))
-                     .alias("link_idx", "link_url"))
+    return unnest(df, [id_col], link_column(F.col(html_col), F.col(url_col), scope), "link_idx", "link_url")
 
 
 def domains(df: DataFrame, url_col: str = "url") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.functions.html import let
+from pagelake.functions.html import let, unnest
 from pagelake.functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_windows, serialize_table
 from pagelake.operators.extract import tables_column
 from pagelake.operators.versions import heads_of, latest_ids, versions_on_arrival
@@ -72,7 +72,7 @@ def process_pages(pages: DataFrame) -> DataFrame:
 def chunk_text(df: DataFrame, col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                key: str = "page_id") -> DataFrame:
     """P4 on a DataFrame: ``(key, chunk_index, chunk_text)`` overlap chunks of one text column."""
-    return df.select(key, F.posexplode(chunk_windows(F.col(col), size, overlap)).alias("chunk_index", "chunk_text"))
+    return unnest(df, [key], chunk_windows(F.col(col), size, overlap), "chunk_index", "chunk_text")
 
 
 def chunk_column(text, tables, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -85,25 +85,29 @@ def chunk_column(text, tables, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
 def chunk_pages(processed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``(page_id, chunk_index, chunk_text)``; the index is contiguous from 0
     after empty pieces are dropped."""
-    return processed.select("page_id", F.posexplode(chunk_column(F.col("text"), F.col("tables"), size, overlap))
-                            .alias("chunk_index", "chunk_text"))
+    return unnest(processed, ["page_id"], chunk_column(F.col("text"), F.col("tables"), size, overlap), "chunk_index", "chunk_text")
 
 
 def hashing_vector(text, dim: int = DEFAULT_DIM) -> Column:
     """Default embedder: lower-cased letter/digit tokens hashed into ``dim``
     buckets by the first 32 bits of their MD5, counted and L2-normalised.
-    Reproducible; not a language model.  Built-in expressions only."""
+    Reproducible; not a language model.  Built-in expressions only; ``dim`` at most 20,000."""
+    if not 1 <= dim <= 20_000:
+        raise ValueError("dim must be from 1 to 20000")
     tokens = F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), TOKEN_SPLIT_RE), lambda t: t != "")
-    buckets = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+    # one letter for each bucket, so that a bucket's count is the length its letter takes up in the text of all of them
+    letters = F.split(F.lit(" ".join(chr(0x4E00 + i) for i in range(dim))), " ")
+    written = F.array_join(F.transform(tokens, lambda t: F.get(
+        letters, (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int"))), "")
+
+    def counted(w):
+        return F.transform(letters, lambda c: (F.octet_length(w) - F.octet_length(F.replace(w, c, F.lit("")))) / F.lit(3.0))
 
     def normalised(counts):
         length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
         return let(length, lambda n: F.transform(counts, lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0)).cast("float")))
 
-    def counted(found):
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(found, lambda b: b == d)).cast("double"))
-
-    return let(buckets, lambda found: F.when(found.isNotNull(), let(counted(found), normalised)))
+    return let(written, lambda w: F.when(w.isNotNull(), let(counted(w), normalised)))
 
 
 def embed(df: DataFrame, col: str = "chunk_text", embedder=None, dim: int = DEFAULT_DIM,

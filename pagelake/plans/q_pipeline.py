@@ -96,12 +96,13 @@ FROM counts c JOIN norms n USING (doc_id, chunk_index)"""
 def p7(spark, sf):
     """Default (hashing) embedder over every chunk of every document; the
     non-zero coordinates are listed."""
+    from pagelake.functions.html import unnest
     from pagelake.functions.text import chunk_windows
 
     d = V(spark, sf, "documents")
-    ch = d.select("doc_id", F.posexplode(chunk_windows("text")).alias("chunk_index", "chunk_text"))
+    ch = unnest(d, ["doc_id"], chunk_windows("text"), "chunk_index", "chunk_text")
     e = PL.embed(ch, "chunk_text")
-    x = e.select("doc_id", "chunk_index", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0")
+    x = unnest(e, ["doc_id", "chunk_index"], "embedding", "dim", "value").filter("value <> 0")
     return x.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"),
                     F.col("dim").cast("long").alias("dim"), rnd6(F.col("value").cast("double")).alias("value"))
 
