@@ -47,18 +47,19 @@ def s3(spark, sf):
 
 
 @query("S4_append_chunks", with_views("chunks_v") + """
-SELECT chunk_id AS id, page_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(len(embedding) AS BIGINT) AS dims,
-       round(CAST(embedding[1] AS DOUBLE), 6) AS first_value
-FROM chunks_v""")
+SELECT chunk_id AS id, page_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_text, CAST(i - 1 AS BIGINT) AS dim,
+       round(CAST(embedding[i] AS DOUBLE), 6) AS value
+FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM chunks_v)""")
 def s4(spark, sf):
+    """Chunks read back with every coordinate of their vectors."""
     path = io.scratch_path(spark, "s4-chunks")
     c = V(spark, sf, "chunks_v").select(F.col("chunk_id").alias("id"), "page_id", "chunk_text", "embedding",
                                         "chunk_index", F.lit(dt.datetime(2024, 2, 1)).alias("created_at"))
     io.append_chunks(c, path)
-    back = io.read_sink(spark, path, io.CHUNK_SCHEMA)
-    return back.select(F.col("id").cast("long").alias("id"), "page_id", F.col("chunk_index").cast("long").alias("chunk_index"),
-                       F.size("embedding").cast("long").alias("dims"),
-                       F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
+    back = io.read_sink(spark, path, io.CHUNK_SCHEMA).select(
+        F.col("id").cast("long").alias("id"), "page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text",
+        F.posexplode("embedding").alias("dim", "value"))
+    return back.withColumn("dim", F.col("dim").cast("long")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query("S5_append_dead_letters", with_views("attempts_v", "page_versions") + """,
@@ -83,10 +84,13 @@ def s5(spark, sf):
 
 
 @query("S6_reset_table", with_views("page_versions") + """
-SELECT id, url FROM page_versions WHERE id < 0""")
+SELECT id, url FROM page_versions WHERE fetched_at >= TIMESTAMP '2024-01-03 00:00:00'""")
 def s6(spark, sf):
-    """A filled page table reset before a timed run reads back empty."""
+    """A filled page table, reset before a timed run and filled again, holds the later crawls only."""
     path = io.scratch_path(spark, "s6-pages")
-    io.append_pages(_obs(spark, sf), path)
+    obs = _obs(spark, sf)
+    cut = F.col("fetched_at") < F.lit("2024-01-03").cast("timestamp")
+    io.append_pages(obs.filter(cut), path)
     io.reset_table(spark, path, io.PAGE_LOG_SCHEMA)
+    io.append_pages(obs.filter(~cut), path)
     return io.read_sink(spark, path, io.PAGE_LOG_SCHEMA).select("id", "url")
