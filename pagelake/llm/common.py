@@ -50,15 +50,16 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def add_columns(df: DataFrame, column: str, compute, added: dict[str, str]) -> DataFrame:
+def add_columns(df: DataFrame, column: str, compute, added: dict[str, str], keep: bool = True) -> DataFrame:
     """``df`` with the columns ``added`` (name → type), which ``compute(batches)`` makes in Arrow batches: it gets
     an iterator of the arrays of ``column`` and yields a list of arrays for each.  Columns of ``df`` pass through
-    by position, so any names will do."""
+    by position, so any names will do; ``column`` itself does unless ``keep`` is false."""
     import pyarrow as pa
 
     at = df.columns.index(column)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    schema = T.StructType(list(plain.schema.fields) + [T.StructField(f"n{i}", T._parse_datatype_string(kind))
+    left = [i for i in range(len(df.columns)) if keep or i != at]
+    schema = T.StructType([plain.schema.fields[i] for i in left] + [T.StructField(f"n{i}", T._parse_datatype_string(kind))
                                                        for i, kind in enumerate(added.values())])
     names = schema.fieldNames()
 
@@ -72,6 +73,6 @@ def add_columns(df: DataFrame, column: str, compute, added: dict[str, str]) -> D
 
         for new in compute(arrays()):
             batch = held.pop()
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in left), *new], names=names)
 
-    return plain.mapInArrow(scan, schema).toDF(*df.columns, *fresh(df, *added))
+    return plain.mapInArrow(scan, schema).toDF(*[df.columns[i] for i in left], *fresh(df, *added))

@@ -134,10 +134,18 @@ def test_contamination_equals_brute_force(spark, odd, none, monkeypatch):
     ("<main><p>Main</p><section id=comments><p>Great post</p></section></main><p>rest", "Main"),
     ("<div class=\"cookie-notice\">Cookies</div><div>Body text</div><div hidden>no</div><script>if (a<b) '</p>'</script>", "Body text"),
     ("<article><p title='a>b'>Cut <!-- <p>not</p> -->off &copy 2 &#8364;", "Cut off © 2 €"),
+    ("<p>İİİ one</p><script>x</script><p>hello</p><STYLE>a</STYLE><p>end</p>", "İİİ one\nhello\nend"),
+    ("<p>a</p><script>var s = '</scripty>'; </script ><p>b</p><script>rest <p>c</p>", "a\nb"),
+    ("<article><div class='search-results'><p>Found</p></div><div class='related work'><p>Kept</p></div><div class=search>Go</div></article>",
+     "Found\nKept"),
+    ("<body><form action=x><header>Top</header><div class='page has-sidebar'><h1>Head</h1><p>Text</p></div></form></body>", "Head\nText"),
+    ("<p>a</p><form><p>Your name</p><label>Mail</label><div><p>more</p></div></form><div>b</div>", "a\nb"),
+    ("<b>" * 20_000 + "x" + "</i>" * 20_000 + "<li>y" * 20_000, "x" + "\ny" * 20_000),
+    ("<div>" * 20_000 + "deep" + "<p>p" * 3, "deep\np\np\np"),
     ("<article><table><tr><td>1<td>2<tr><td>3</table></article><article class=comment><p>reader</p></article>", "1\n2\n3\nreader"),
 ])
 def test_main_text_by_hand(page, text):
-    assert html_main.Page(page).text() == text
+    assert "\n".join(html_main.Page(page).main()[0]) == text
 
 
 def test_templates_by_host(spark):
@@ -169,3 +177,43 @@ def test_templates_of_a_section_of_a_large_host(spark):
     out = html_main.main_text(spark.createDataFrame([page(i) for i in range(400)], "page_id long, url string, html string"))
     got = {r["page_id"]: r["text"] for r in out.collect()}
     assert got == {i: f"Body {i}" + ("\nA saying that some pages share" if 100 <= i < 119 else "") for i in range(400)}
+
+
+def brute_texts(rows):
+    """Main texts by host, with the counting of templates in plain Python: rows are (url, html)."""
+    hosts = {}
+    for url, html in rows:
+        host = (url or "").lower().split("://")[1].split("/")[0] if "://" in (url or "") else ""
+        hosts.setdefault(host, []).append(html or "")
+    cut = {}
+    for host, pages in hosts.items():
+        counts = {}
+        for html in set(pages):
+            for h in html_main.Page(html).subtrees:
+                counts[h] = counts.get(h, 0) + 1
+        bar = min(html_main.MANY_PAGES, html_main.SHARE * len(set(pages)))
+        gone = {h for h, n in counts.items() if n >= html_main.MIN_PAGES and n >= bar}
+        for html in pages:
+            blocks, inner = html_main.Page(html).main()
+            cut[host, html] = "\n".join(t for i, t in enumerate(blocks) if not any(h in gone and a <= i < b for h, a, b in inner))
+    return cut
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(8)
+    parts = [f"<div><p>Part {i}</p></div>" for i in range(12)] + ["<article><div>A 1</div><p>B</p></article>", "<form><p>f</p></form>",
+             "<section><div><p>Deep</p></div><div>Two</div></section>", "<nav>n</nav>", "<p>open", "</div>", "<div>Equal</div>"]
+    rows = []
+    for i in range(240):
+        html = "".join(rng.choices(parts, weights=[9, 6, 5, 4, 3, 3, 2, 2, 1, 1, 1, 1, 1, 1, 3, 1, 1, 1, 4], k=rng.randint(0, 7)))
+        rows.append((rng.choice(["http://a.test/", "http://a.test/", "https://B.test/x", "no host", None]), rng.choice([html, html, html, None])))
+    rows += [("http://a.test/long", "".join(f"<div><p>Row {i} <b>x</b></p></div>" for i in range(5_000)))]
+    frame = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)],
+                                  "page_id long, url string, html string, page_blocks string").repartition(4)
+    want = brute_texts(rows)
+    hosts = {"http://a.test/": "a.test", "http://a.test/long": "a.test", "https://B.test/x": "b.test"}
+    for keep in (True, False):
+        out = html_main.main_text(frame, keep_html=keep)
+        assert out.columns == ["page_id", "url", *(["html"] if keep else []), "page_blocks", "text", "n_templates"]
+        got = {r["page_id"]: r["text"] for r in out.collect()}
+        assert got == {i: want[hosts.get(u, ""), h or ""] for i, (u, h) in enumerate(rows)}
