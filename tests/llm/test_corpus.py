@@ -2,6 +2,7 @@
 
 import math
 import random
+import string
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -68,7 +69,6 @@ def test_near_duplicates_odd_rows(spark, odd, none):
 
 
 def test_lines(spark, odd, none):
-    # Long lines: one changed word of 300 moves few bits of the SimHash.
     base = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in ("an", "el", "in", "or", "ut", "am", "ex", "is", "ol", "up", "ad", "en", "it", "os", "un"))
     near = base.replace("aan", "eleven")
     rows = [(1, f"{base}\nunique one"), (2, f"{near.upper()}!\n\n--\nunique two"), (3, f"unique one\n{base}"), (4, None), (5, "")]
@@ -80,14 +80,54 @@ def test_lines(spark, odd, none):
     assert lines.deduplicate_lines(none).count() == 0
 
 
-def test_bucket_masks_cover_every_pair_within_the_distance():
-    rng, masks = random.Random(6), lines.bucket_masks()
-    for _ in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), lines.DISTANCE):
-            b ^= 1 << bit
-        assert any((a ^ b) & m % (1 << 64) == 0 for m in masks)
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_line_links_against_brute_force(spark):
+    """Every link is right, and of the pairs with one changed word nearly all are found."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(2000)]
+    texts, made = [], []
+    for n in (8, 12, 20, 30, 50):
+        for _ in range(40):
+            w = rng.choices(words, k=n)
+            j = rng.randrange(n)
+            x = rng.randrange(len(w[j]))
+            texts += [" ".join(w), " ".join([*w[:j], w[j][:x] + "é" + w[j][x + 1:], *w[j + 1:]])]
+            made.append((n, len(texts) - 2, len(texts) - 1))
+    texts += [texts[0] + f" {c}" for c in "abcdefgh"] + ["x", "y", "a b", "a c"]      # a group in one bucket; lines too short
+    distinct = lines.distinct_lines(lines.line_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                                                     "doc_id", "text"))
+    place = {r["number"]: r["first"]["row"]["key"] for r in distinct.collect()}
+    got = {tuple(sorted((place[r["a"]], place[r["b"]]))) for r in lines.line_links(distinct).collect()}
+    near = {(a, b) for a, x in enumerate(texts) for b in range(a + 1, len(texts)) if abs(len(x) - len(texts[b])) <= 40
+            and len(set(x.split()) & set(texts[b].split())) * 2 >= len(x.split())
+            and 10 * distance(x, texts[b]) <= max(len(x), len(texts[b]))}
+    assert got <= near
+    pairs = [(n, (a, b)) for n, a, b in made if (a, b) in near]
+    assert len(pairs) > 180 and sum(p in got for _, p in pairs) >= 0.95 * len(pairs)
+    assert all(p in got for n, p in pairs if n >= 20)
+
+
+def test_common_ends_are_exact(spark):
+    rng = random.Random(2)
+    made = ["".join(rng.choices("ab é", k=rng.randint(0, 9))) for _ in range(60)]
+    rows = [(i, a) for i, a in enumerate(dict.fromkeys(made))]
+    texts = spark.createDataFrame(rows, "number long, line string")
+    pairs = texts.select(F.col("number").alias("a")).join(texts.select(F.col("number").alias("b")), F.col("a") < F.col("b"))
+    got = {(r["a"], r["b"]) for r in lines.verified(pairs, texts, 0.6).collect()}
+    assert got == {(i, j) for i, a in rows for j, b in rows if i < j and distance(a, b) <= int(0.4 * max(len(a), len(b)) + 1e-9)}
+    long_line = " ".join(f"w{i}" for i in range(20_000))
+    two = spark.createDataFrame([(1, f"{long_line} end"), (2, f"{long_line} fin")], "number long, line string")
+    one = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert lines.verified(one, two, 0.9).count() == 1
 
 
 def test_poisson_counts(spark):
