@@ -61,7 +61,7 @@ _SCHEME_PREFIX = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 def _parts(u: Column) -> Column:
     """All pieces of a URL in one struct (each regex evaluated once)."""
     return F.struct(
-        u.alias("raw"), url_part(u, "scheme").alias("scheme"), url_part(u, "netloc").alias("net"),
+        url_part(u, "scheme").alias("scheme"), url_part(u, "netloc").alias("net"),
         url_part(u, "path").alias("path"), url_part(u, "query").alias("query"),
         url_part(u, "fragment").alias("frag"), u.rlike(_SCHEME_PREFIX).alias("has_scheme"),
         F.regexp_replace(u, _SCHEME_PREFIX, "").startswith("//").alias("has_net"),
@@ -70,11 +70,31 @@ def _parts(u: Column) -> Column:
 
 def resolve_url(href, base) -> Column:
     """``urllib.parse.urljoin(base, href)`` for http(s)-style URLs."""
-    pair = F.struct(_parts(_col(href)).alias("h"), _parts(_col(base)).alias("b"))
-    return let(pair, lambda s: _resolve(s["h"], s["b"]))
+    pair = F.struct(_parts(_trimmed(_col(href))).alias("h"), _parts(_trimmed(_col(base))).alias("b"), _col(href).alias("href"),
+                    _col(base).alias("base"))
+    return let(pair, lambda s: _resolve(s["h"], s["b"], s["href"], s["base"]))
 
 
-def _resolve(h: Column, b: Column) -> Column:
+def _trimmed(u: Column) -> Column:
+    """Without leading blanks and control characters, and without tabs and line breaks anywhere, as urlsplit reads it."""
+    return F.regexp_replace(F.regexp_replace(u, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+
+def unquote(text) -> Column:
+    """Percent-decoding as UTF-8 (``urllib.parse.unquote``): a plus sign and a malformed escape stay."""
+    escaped = F.regexp_replace(F.regexp_replace(_col(text), "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    return F.try_url_decode(escaped)
+
+
+def quote(text) -> Column:
+    """Percent-encoding of all but letters, digits and ``_.-~/`` (``urllib.parse.quote``)."""
+    out = F.url_encode(_col(text))
+    for encoded, plain in ((r"\+", "%20"), (r"\*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.regexp_replace(out, encoded, plain)
+    return out
+
+
+def _resolve(h: Column, b: Column, hr: Column, br: Column) -> Column:
     scheme = F.when(h["has_scheme"], h["scheme"]).otherwise(b["scheme"])
     query_sfx = F.when(h["has_query"] & (h["query"] != ""), F.concat(F.lit("?"), h["query"])).otherwise(F.lit(""))
     frag_sfx = F.when(h["has_frag"] & (h["frag"] != ""), F.concat(F.lit("#"), h["frag"])).otherwise(F.lit(""))
@@ -91,13 +111,12 @@ def _resolve(h: Column, b: Column) -> Column:
 
     same_doc_query = F.when(h["has_query"] & (h["query"] != ""), F.concat(F.lit("?"), h["query"])).when(
         b["has_query"] & (b["query"] != ""), F.concat(F.lit("?"), b["query"])).otherwise(F.lit(""))
-    hr, br = h["raw"], b["raw"]
     return (
         F.when(hr.isNull() | br.isNull(), F.lit(None).cast("string"))
         .when(br == "", hr)
         .when(hr == "", br)
         .when(h["has_scheme"] & (h["scheme"] != b["scheme"]), hr)
-        .when(h["has_net"], F.concat(scheme, F.lit("://"), h["net"], h["path"], query_sfx, frag_sfx))
+        .when(h["net"] != "", F.concat(scheme, F.lit("://"), h["net"], h["path"], query_sfx, frag_sfx))
         .when(h["path"] == "", F.concat(prefix, b["path"], same_doc_query, frag_sfx))
         .otherwise(F.concat(prefix, merged_path, query_sfx, frag_sfx))
     )

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from pagelake.functions.html import strip_ws
 from pagelake.functions.urls import origin as url_origin
-from pagelake.functions.urls import url_part
+from pagelake.functions.urls import quote, unquote, url_part
 from pagelake.plans.scan import ordered_scan
 from pagelake.session import materialize
 
@@ -95,12 +95,17 @@ def _url_target(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
+def _without_empty_parts(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, "#$", ""), r"\?(#|$)", "$1")
+
+
 def robots_filter(urls: DataFrame, robots: DataFrame, agent: str, url_col: str = "url") -> DataFrame:
     """Add ``allowed`` to every URL, consulting robots once per origin.
 
     401/403 → all disallowed; other 4xx or no stored robots row → all allowed;
     other non-2xx (unread) → disallowed; otherwise the first matching rule of
-    the applicable group wins, no match → allowed.  The per-origin rule list is
+    the applicable group wins, no match → allowed.  Rules and URLs are compared
+percent-decoded and encoded anew, so ``/a%20b`` is ``/a b``.  The per-origin rule list is
     compiled into one row and joined (AQE broadcasts it when small), so the
     URL side is never multiplied by the rules."""
     token = agent.split("/")[0].lower()
@@ -111,9 +116,9 @@ def robots_filter(urls: DataFrame, robots: DataFrame, agent: str, url_col: str =
         F.coalesce(F.min(F.when(~F.col("is_default") & F.col("_applies"), F.col("group_no"))),
                    F.min(F.when(F.col("is_default"), F.col("group_no")))).alias("group_no"))
     compiled = rules.join(chosen, ["origin", "group_no"]).groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("rule_no", "allow", "path"))).alias("_rules"))
+        F.array_sort(F.collect_list(F.struct("rule_no", "allow", quote(_without_empty_parts(unquote("path"))).alias("path")))).alias("_rules"))
     table = robots.select("origin", "status").join(compiled, "origin", "left")
-    u = urls.withColumn("_origin", url_origin(F.col(url_col))).withColumn("_target", _url_target(F.col(url_col)))
+    u = urls.withColumn("_origin", url_origin(F.col(url_col))).withColumn("_target", quote(_url_target(unquote(url_col))))
     j = u.join(table.withColumnRenamed("origin", "_origin"), "_origin", "left")
     hit = F.filter(F.coalesce("_rules", F.array().cast("array<struct<rule_no:int,allow:boolean,path:string>>")),
                    lambda r: r["path"].isNotNull() & F.col("_target").startswith(r["path"]))

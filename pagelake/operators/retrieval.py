@@ -13,11 +13,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagelake.functions.html import let
 from pagelake.functions.text import highlight, snippet
 from pagelake.operators.versions import latest_ids, restrict_to_latest
 from pagelake.session import materialize
@@ -246,6 +247,67 @@ def keyword_search(processed: DataFrame, pages: DataFrame, queries, limit: int =
         snippet(F.col("text"), F.col("_q.q")).alias("snippet"))
 
 
+def _like_pattern(query: Column, literal: bool) -> Column:
+    # A backslash stands for itself; only the wildcards keep their meaning in the default mode.
+    out = F.replace(query, F.lit("\\"), F.lit("\\\\"))
+    if literal:
+        out = F.replace(F.replace(out, F.lit("%"), F.lit("\\%")), F.lit("_"), F.lit("\\_"))
+    return F.concat(F.lit("%"), out, F.lit("%"))
+
+
+def keyword_search_table(processed: DataFrame, pages: DataFrame, queries: DataFrame, limit: int = 10,
+                         literal: bool = False, gram: int = 3) -> DataFrame:
+    """R3 (+R4) for a table of queries (column ``query``): the hits of :func:`keyword_search` for each distinct query.
+
+    An inverted index of the current texts, with character n-grams up to ``gram``, is restricted to the n-grams that
+    queries hold.  Of each query the n-gram that the fewest texts hold finds its candidates, and ``ILIKE`` decides on
+    them, so a text meets only the queries that share a rare n-gram with it.  Queries without any literal character
+    meet all texts.  Null and empty queries have no hits."""
+    if not 1 <= limit <= 50:
+        raise ValueError("limit must be within 1..50")
+    asked = queries.select("query").where(F.coalesce(F.col("query"), F.lit("")) != "").distinct()
+    # n-grams that a match must hold: those of the pieces between wildcards; of a shorter piece the piece itself.
+    lowered = F.lower("query")
+    pieces = F.array(lowered) if literal else F.split(lowered, "[%_]")
+    grams = F.array_distinct(F.flatten(F.transform(pieces, lambda p: _ngrams(p, F.least(F.length(p), F.lit(gram))))))
+    wanted = asked.select("query", _like_pattern(F.col("query"), literal).alias("pattern"),
+                          F.explode(F.when(F.size(grams) > 0, grams).otherwise(F.array(F.lit("")))).alias("gram"))
+    wanted = materialize(wanted, "query-grams")
+    current = restrict_to_latest(processed, pages)
+    held = F.array_distinct(let(F.split(F.lower("text"), ""), lambda letters: F.concat(
+        F.array(F.lit("")), *[_windows(letters, n) for n in range(1, gram + 1)])))
+    postings = materialize(current.select("id", F.explode(held).alias("gram")).join(
+        wanted.select("gram").distinct(), "gram", "left_semi"), "postings")
+    counts = postings.groupBy("gram").agg(F.count("*").alias("texts"))
+    # A query with an n-gram that no text holds has no hit.
+    rarest = wanted.join(counts, "gram", "left").groupBy("query", "pattern").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("rare")).select(
+        "query", "pattern", F.col("rare.gram").alias("gram"))
+    candidates = rarest.join(postings, "gram").select("query", "pattern", "id")
+    hits = candidates.join(current.select("id", "page_id", "text"), "id").where(
+        F.ilike(F.col("text"), F.col("pattern"))).select("query", "page_id", "id")
+    top = hits.withColumn("hit_no", F.row_number().over(Window.partitionBy("query").orderBy("page_id", "id"))).where(
+        F.col("hit_no") <= limit)
+    urls = pages.select(F.col("id").alias("page_id"), "url")
+    return top.join(current.select("id", "text"), "id").join(urls, "page_id").select(
+        "query", F.col("hit_no").cast("long").alias("hit_no"), "page_id", "url",
+        snippet(F.col("text"), F.col("query")).alias("snippet"))
+
+
+def _windows(letters: Column, n: int) -> Column:
+    """All n-grams of an array of characters, in one pass; at the end also shorter ones."""
+    if n == 1:
+        return letters
+    return F.transform(letters, lambda c, i: F.concat(c, *[F.coalesce(F.get(letters, i + k), F.lit("")) for k in range(1, n)]))
+
+
+def _ngrams(text: Column, n: Column) -> Column:
+    """The n-grams of a text, repeated ones included; none of an empty text, or of one shorter than n."""
+    starts = F.when((F.length(text) >= n) & (n > 0), F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(text, i, n))
+
+
 def _page_list(df: DataFrame, order: list, cols: list[str], limit: int, offset: int) -> DataFrame:
     if not 1 <= limit <= 100:
         raise ValueError("limit must be within 1..100")
@@ -300,6 +362,6 @@ def highlight_matches(df: DataFrame, text_col: str, q) -> DataFrame:
     return df.withColumn("highlighted", highlight(F.col(text_col), q))
 
 
-__all__ = ["knn", "retrieve", "label_sources", "sources", "build_prompts", "ask_batch", "keyword_search",
+__all__ = ["knn", "retrieve", "label_sources", "sources", "build_prompts", "ask_batch", "keyword_search", "keyword_search_table",
            "list_pages", "list_processed", "get_by_id", "get_page", "get_processed", "parse_citations", "dangling_citations",
            "highlight_matches", "latest_ids", "DEFAULT_K", "NO_CONTENT_ANSWER"]

@@ -157,6 +157,18 @@ def r3(spark, sf):
     return R.keyword_search(V(spark, sf, "processed_v"), V(spark, sf, "page_versions"), KEYWORDS, limit=10)
 
 
+_KW_TABLE_SQL = _KW_SQL[:_KW_SQL.index("qs AS (")] + """qs AS (SELECT DISTINCT split_part(text, ' ', 1) AS q FROM benchmark
+       WHERE split_part(text, ' ', 1) <> ''),
+""" + _KW_SQL[_KW_SQL.index("hits AS ("):]
+
+
+@query("R3_keyword_query_table", _KW_TABLE_SQL)
+def r3_table(spark, sf):
+    """Keyword search for a table of queries: the words that benchmark texts begin with."""
+    asked = V(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("query"))
+    return R.keyword_search_table(V(spark, sf, "processed_v"), V(spark, sf, "page_versions"), asked)
+
+
 @query("R4_snippet", """
 SELECT doc_id,
        CASE WHEN strpos(lower(text), lower(source)) = 0 THEN substr(text, 1, 160)

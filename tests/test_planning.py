@@ -37,6 +37,16 @@ def test_robots_matches_stdlib_parser(spark):
         assert allowed(spark, [("https://e.com", 200, body)], urls, agent) == want, agent
 
 
+def test_robots_compare_percent_decoded(spark):
+    paths = ["/a%20b", "/a b", "/café", "/caf%C3%A9", "/x?y=%2f", "/a%2Fb", "/b;c", "/q?a=1&b=<>", "/p+q", "/100%", "/e?", "/t~*"]
+    urls = [f"https://e.com{p}" for p in [*paths, "/a/b/c", "/ab", "/x?y=/z", "/p%2Bq", "/p q", "/100%25", "/e?x=1", "/t%7E*"]]
+    for rule in paths:
+        body = f"User-agent: *\nDisallow: {rule}\n"
+        rp = RobotFileParser()
+        rp.parse(body.splitlines())
+        assert allowed(spark, [("https://e.com", 200, body)], urls) == {u: rp.can_fetch("*", u) for u in urls}, rule
+
+
 def test_politeness_schedule_equals_sequential_loop(spark):
     rng = random.Random(1)
     t0 = dt.datetime(2024, 1, 1)

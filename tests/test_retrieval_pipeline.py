@@ -1,6 +1,7 @@
 """Retrieval, citations, prompts and the pipeline."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -154,6 +155,22 @@ def test_keyword_wildcards_and_literal_mode(spark):
     assert R.keyword_search(processed, pages, "th_n", literal=True).count() == 0
 
 
+def test_keyword_query_table_equals_single_searches(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["ab", "C", "é", "%", "_", "\\", " ", "İ", "x"], k=rng.randint(0, 12))) for _ in range(60)]
+    pages = pages_df(spark, [(i, f"u{i % 50}", 1 + i % 28) for i in range(60)])
+    processed = spark.createDataFrame([(100 + i, i, t) for i, t in enumerate(texts)] + [(999, 3, None)],
+                                      "id long, page_id long, text string")
+    asked = ["a", "bC", "abab", "x x", "É", "%", "_", "a%x", "\\", "c_b", "zzz", "b_", "%%é"]
+    table = spark.createDataFrame([(x,) for x in [*asked, "a", "", None]], "query string")
+    columns = ("query", "hit_no", "page_id", "url", "snippet")
+    for literal in (False, True):
+        want = sorted(tuple(r[c] for c in columns) for r in R.keyword_search(processed, pages, asked, literal=literal).collect())
+        got = sorted(tuple(r[c] for c in columns) for r in R.keyword_search_table(processed, pages, table, literal=literal).collect())
+        assert got == want and want
+    assert R.keyword_search_table(processed, pages, table.where("1 = 0")).count() == 0
+
+
 def test_named_entry_points(spark):
     pages = pages_df(spark, [(1, "a", 1), (2, "b", 1)])
     assert [r["url"] for r in R.get_page(pages, 2).collect()] == ["b"] and R.get_page(pages, 9).count() == 0
