@@ -8,9 +8,13 @@ reported insult weigh differently, and a clause without insult or threat weighs
 
 The insult lexicon is learned in Spark from labelled training texts: whole words and word stems whose
 document frequency in toxic texts stands out.  It is read from at most ``SAMPLE`` distinct labelled texts and
-holds at most ``LEXICON`` entries (a model size); without labels only the seeds are left.
+holds every entry that passes the bounds below, which the size of that sample keeps few; without labels only the seeds
+are left.  Typographic apostrophes count as plain ones, and a word with an apostrophe that is no symbol itself is read as
+its parts, so ``l'idiot`` and ``idiot's`` hold an insult.
 
-Defined results: null and empty texts score 0; repeated rows score alike.
+Defined results: null and empty texts score 0; repeated rows score alike; a text without a label, or a label without a
+``doc_id``, is not learned from, and a row without a ``doc_id`` has a null ``held_out``; very long texts are read as a
+whole, clause by clause; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,6 @@ from pagelake.llm.common import add_columns, fold, read, uniform
 from pagelake.session import materialize
 
 SAMPLE = 20_000
-LEXICON = 5_000
 SUPPORT = 3            # toxic training texts that an entry occurs in, at least
 PRECISION = 0.7        # share of toxic texts among those that hold a word
 STEM_PRECISION = 0.88  # and among those that hold a stem
@@ -53,6 +56,7 @@ NEGATED, REPORTED, TARGETED, NEGATION_SCOPE = 0.55, 0.6, 1.2, 3
 
 CLAUSE = re.compile(r"[.!?;:,\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+APOSTROPHES = str.maketrans("\u2019\u02bc\uff07", "'''")
 GAP = re.compile(r"[\W\d_]+")     # what no word holds, but for the apostrophe
 
 
@@ -117,11 +121,16 @@ class Lexicon:
         kind = self.seeds.get(word, "other")
         return kind, 0.8 if kind == "insult" else 0.5 if kind == "threat" else 0.0
 
+    def symbols(self, word: str) -> list[tuple[str, float]]:
+        """The word's symbol, or those of its parts around the apostrophe, if it has none as a whole."""
+        whole = self.symbol(word)
+        return [self.symbol(part) for part in word.split("'")] if whole[0] == "other" and "'" in word else [whole]
+
     def score(self, text: str) -> tuple[float, int]:
         """(score, matched clauses) of a whole text."""
         clean, matched = 1.0, 0
-        for clause in CLAUSE.split(text.lower()):
-            symbols = [self.symbol(w) for w in WORD.findall(clause)]
+        for clause in CLAUSE.split(text.lower().translate(APOSTROPHES)):
+            symbols = [symbol for w in WORD.findall(clause) for symbol in self.symbols(w)]
             if any(kind in ("insult", "threat") for kind, _ in symbols):
                 got = clause_score(symbols)
                 matched += got > 0
@@ -174,8 +183,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Lexicon:
     least = F.when(F.endswith("entry", F.lit("*")), STEM_PRECISION).otherwise(PRECISION)
     kept = candidates.select("entry", weight.alias("weight"), surplus.alias("surplus")).where(
         (F.col("weight") >= least) & (F.col("surplus") >= math.log(tried + 1) + CONFIDENCE))
-    best = kept.orderBy(F.desc("surplus"), "entry").limit(LEXICON)
-    return Lexicon({r["entry"]: min(0.98, r["weight"]) for r in best.collect()})
+    return Lexicon({r["entry"]: min(0.98, r["weight"]) for r in kept.collect()})
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:

@@ -83,6 +83,13 @@ def test_toxicity_learns_and_scores(spark, odd, none):
     assert toxicity.score(none, lexicon).count() == 0 and not toxicity.learn(labelled.where("toxic = 0")).words
 
 
+def test_apostrophes_and_elisions(spark):
+    lexicon = toxicity.Lexicon({"zorp": 0.8, "vrek*": 0.9})
+    texts = ["l'zorp", "qu\u2019zorp ici", "zorp's", "d\u2019vrekkig", "he isn't a zorp", "he isn\u2019t a zorp", "rock'n'roll", "\u2019"]
+    got = [r["score"] for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), lexicon).collect()]
+    assert min(got[:4]) > 0.7 and got[4] == got[5] < got[0] and got[6:] == [0, 0]
+
+
 def test_toxicity_next_to_unicode_punctuation(spark):
     lexicon = toxicity.Lexicon({"zorp": 0.8, "дурак": 0.8, "vrek*": 0.9})
     texts = ["¡idiota!", "„Trottel“", "«connard»", "idiot…", "an\u00a0idiot", "so—zorp–so", "‘ZORP’", "ДУРАК!", "“vrekken”", "vrek's",
