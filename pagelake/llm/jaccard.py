@@ -241,10 +241,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group, the one with the least id, with the columns of the documents."""
     groups = similar_groups(docs)
-    extra = groups.where(~F.col("keeps")).select(F.col("doc_id").alias("extra_id"), F.col("text_mark").alias("extra_mark")).distinct()
-    mark, = fresh(docs, "row_mark")
+    mark, extra_id, extra_mark = fresh(docs, "row_mark", "extra_id", "extra_mark")
+    extra = groups.where(~F.col("keeps")).select(F.col("doc_id").alias(extra_id), F.col("text_mark").alias(extra_mark)).distinct()
     left = docs.withColumn(mark, F.xxhash64("text")).join(
-        extra, F.col("doc_id").eqNullSafe(F.col("extra_id")) & (q(mark) == F.col("extra_mark")), "left_anti")
+        extra, F.col("doc_id").eqNullSafe(q(extra_id)) & (q(mark) == q(extra_mark)), "left_anti")
     # Rows with equal id and text are copies of each other; those without words are no copies.
     words = F.coalesce(F.regexp_replace("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", ""), F.lit("")) != ""
     again = left.groupBy("doc_id", q(mark)).count().where(F.col("count") > 1).limit(1).count() > 0

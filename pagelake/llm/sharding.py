@@ -2,9 +2,10 @@
 
 1. Equal rows are counted and numbered, so that each copy is a row of its own.  Rows are dealt into blocks by a hash of
    their content and copy number, and the blocks are counted.
-2. The matrix of block-to-shard counts is drawn on the driver from the multivariate hypergeometric law: row sums
-   are the block sizes, column sums the exact shard sizes (at most one apart).  It holds blocks x shards
-   integers, and the number of blocks is bounded (``MAX_BLOCKS``).
+2. The matrix of block-to-shard counts is drawn from the multivariate hypergeometric law: row sums are the block sizes,
+   column sums the exact shard sizes (at most one apart).  It is drawn in two steps: the driver draws the counts of
+   ``SUPERBLOCKS`` groups of blocks at most, and tasks divide those of each group among its blocks by the same law, so blocks
+   stay at about ``BLOCK_ROWS`` rows however many there are.
 3. Each block is permuted locally, and its ranks are cut by its row of the matrix.
 4. The rows are exchanged, and permuted again within their shard: a shard is cut into pieces by a random key, the
    pieces are counted, and a row's slot is its piece's offset plus its rank there.  So neither permutation needs
@@ -12,7 +13,7 @@
 
 Every draw is seeded and every rank ordered by content and copy, so a task that runs again gives the same rows.
 Defined results: null and empty texts are rows like others; the copies of a row are spread like any rows (-0.0 and 0.0
-are equal, and come back as 0.0); an empty table gives an empty result.
+are equal, and come back as 0.0), maps included; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from pagelake.session import materialize
 SEED = 3
 SHARDS = 16
 BLOCK_ROWS = 20_000
-MAX_BLOCKS = 4096
+SUPERBLOCKS = 4096
 
 
 def hypergeometric(rng, good: int, bad: int, sample: int) -> int:
@@ -48,15 +50,18 @@ def hypergeometric(rng, good: int, bad: int, sample: int) -> int:
     return int(low + np.searchsorted(cdf, rng.random() * cdf[-1], "right"))
 
 
-def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Block-to-shard counts of a uniform shuffle into shards of near-equal size."""
-    total = sum(blocks)
-    room = [total // shards + (s < total % shards) for s in range(shards)]
+def shard_sizes(total: int, shards: int) -> list[int]:
+    return [total // shards + (s < total % shards) for s in range(shards)]
+
+
+def communication_matrix(blocks: list[int], room: list[int], seed) -> list[list[int]]:
+    """Block-to-shard counts of a uniform shuffle into shards of the sizes ``room`` (which sum up like the blocks)."""
+    room = list(room)
     rng = np.random.default_rng(seed)
     matrix = []
     for size in blocks:
         row, left, rest = [], size, sum(room)
-        for s in range(shards):
+        for s in range(len(room)):
             got = hypergeometric(rng, room[s], rest - room[s], left)
             rest -= room[s]
             room[s] -= got
@@ -66,12 +71,32 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> list[list
     return matrix
 
 
+def block_cuts(sizes: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
+    """(block, cuts) for ``sizes`` (block, n): the running sums of each block's row of the matrix, written."""
+    grouped = sizes.select("block", "n", F.pmod("block", F.lit(SUPERBLOCKS)).alias("superblock"))
+    supers = sorted(tuple(r) for r in grouped.groupBy("superblock").agg(F.sum("n")).collect())
+    drawn = communication_matrix([n for _, n in supers], shard_sizes(total, shards), seed)
+    rows = [(s, row) for (s, _), row in zip(supers, drawn, strict=True)]
+    # At most SUPERBLOCKS rows of one integer per shard.
+    rooms = F.broadcast(sizes.sparkSession.createDataFrame(rows, "superblock int, room array<bigint>"))
+
+    def divide(key, blocks):
+        blocks = blocks.sort_values("block")
+        made = communication_matrix(blocks["n"].tolist(), [int(x) for x in blocks["room"].iloc[0]], [seed, int(key[0])])
+        return pd.DataFrame({"block": blocks["block"], "cuts": [[int(x) for x in np.cumsum(row)] for row in made]})
+
+    return materialize(grouped.join(rooms, "superblock").groupBy("superblock").applyInPandas(
+        divide, "block int, cuts array<bigint>"), "shard-cuts")
+
+
 def numbered(df: DataFrame, mark: str, copy: str, seed: int) -> tuple[DataFrame, int]:
     """``df`` with ``mark`` (a hash of the row) and ``copy`` (0, 1, ... among equal rows), and its number of rows.  Equal
     rows are folded before the shuffle and written with their count; long counts are unfolded in many tasks."""
     n, low = fresh(df.withColumn(mark, F.lit(0)).withColumn(copy, F.lit(0)), "n", "low")
     columns = [q(c) for c in df.columns]
-    mark_of = F.xxhash64(F.lit(seed), *columns) if df.columns else F.lit(0).cast("long")
+    # Maps have no hash; their text has.
+    marked = [F.to_json(F.struct(q(f.name))) if "map<" in f.dataType.simpleString() else q(f.name) for f in df.schema.fields]
+    mark_of = F.xxhash64(F.lit(seed), *marked) if df.columns else F.lit(0).cast("long")
     held = materialize(df.withColumn(mark, mark_of).groupBy(*columns, q(mark)).agg(F.count("*").alias(n)), "shard-rows")
     total, most = held.agg(F.sum(q(n)), F.max(q(n))).first()
     runs = held.withColumn(low, F.lit(0).cast("long"))
@@ -86,20 +111,15 @@ def numbered(df: DataFrame, mark: str, copy: str, seed: int) -> tuple[DataFrame,
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (underscored if taken)."""
-    spark = df.sparkSession
     shard_, slot, mark, copy, block, cuts, rank, piece, first = fresh(
         df, "shard", "slot", "mark", "copy", "block", "cuts", "rank", "piece", "first")
     columns = [q(c) for c in df.columns]
     rows, total = numbered(df, mark, copy, seed)
     draw = lambda k: F.xxhash64(q(mark), q(copy), F.lit(k))
-    n_blocks = max(1, min(MAX_BLOCKS, math.ceil(total / BLOCK_ROWS), max(1, total)))
+    n_blocks = max(1, math.ceil(total / BLOCK_ROWS))
     placed = rows.withColumn(block, F.pmod(draw(1), F.lit(n_blocks)).cast("int"))
-    sizes = {r[0]: r[1] for r in placed.groupBy(q(block)).agg(F.count("*")).collect()}
-    blocks = sorted(sizes)
-    matrix = communication_matrix([sizes[b] for b in blocks], shards, seed)
-    limits = [(b, [int(x) for x in np.cumsum(row)]) for b, row in zip(blocks, matrix, strict=True)]
-    # At most MAX_BLOCKS rows of one integer per shard.
-    table = F.broadcast(spark.createDataFrame(limits, f"`{block}` int, `{cuts}` array<bigint>"))
+    sizes = placed.groupBy(q(block).alias("block")).agg(F.count("*").alias("n"))
+    table = block_cuts(sizes, total, shards, seed).select(F.col("block").alias(block), F.col("cuts").alias(cuts))
     local = Window.partitionBy(q(block)).orderBy(draw(2), q(mark), q(copy))
     ranked = placed.withColumn(rank, F.row_number().over(local) - 1).join(table, block)
     sent = ranked.withColumn(shard_, F.size(F.filter(q(cuts), lambda c: c <= q(rank))).cast("int"))

@@ -68,6 +68,30 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert jaccard.similar_groups(none).count() == 0 and jaccard.one_of_each(spark, none, "").count() == 0
 
 
+def test_shard_in_superblocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SUPERBLOCKS", 3)
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 40)
+    df = spark.range(1003).select("id", F.create_map(F.lit("k"), "id").alias("held"), F.lit(None).cast("string").alias("block"))
+    rows = sharding.shard(df, 7).collect()
+    per = defaultdict(list)
+    for r in rows:
+        per[r["shard"]].append(r["slot"])
+    assert len({r["id"] for r in rows}) == 1003 and all(r["held"] == {"k": r["id"]} for r in rows)
+    assert sorted(map(len, per.values())) == [143] * 5 + [144] * 2 and all(sorted(x) == list(range(len(x))) for x in per.values())
+    again = {r["id"]: (r["shard"], r["slot"]) for r in sharding.shard(df.repartition(5), 7).collect()}
+    assert again == {r["id"]: (r["shard"], r["slot"]) for r in rows}
+    cuts = sharding.block_cuts(spark.createDataFrame([(b, 40 + b) for b in range(11)], "block int, n long"), 495, 7, 1).collect()
+    assert sorted((r["block"], r["cuts"][-1]) for r in cuts) == [(b, 40 + b) for b in range(11)]
+    assert sum(r["cuts"][0] for r in cuts) == 71
+
+
+def test_near_duplicates_with_clashing_columns(spark):
+    df = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(["one two three four five six"] * 3 + ["", None])],
+                               "doc_id long, text string, extra_id long, extra_mark long")
+    kept = jaccard.one_of_each(spark, df, "")
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
+
+
 def test_lines(spark, odd, none):
     base = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in ("an", "el", "in", "or", "ut", "am", "ex", "is", "ol", "up", "ad", "en", "it", "os", "un"))
     near = base.replace("aan", "eleven")
@@ -157,7 +181,7 @@ def test_mixing(spark, odd, none):
 
 
 def test_matrix_sums_and_law():
-    matrix = np.array(sharding.communication_matrix([7, 0, 13, 40, 1], 4, 1))
+    matrix = np.array(sharding.communication_matrix([7, 0, 13, 40, 1], sharding.shard_sizes(61, 4), 1))
     assert matrix.sum(1).tolist() == [7, 0, 13, 40, 1] and matrix.sum(0).tolist() == [16, 15, 15, 15]
     rng = np.random.default_rng(0)
     draws = [sharding.hypergeometric(rng, 600_000_000, 900_000_000, 1000) for _ in range(400)]
