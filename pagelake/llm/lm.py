@@ -1,20 +1,24 @@
-"""Operator 6: interpolated modified Kneser-Ney language model.
-
-Training counts words and pairs of neighbouring words (order 2; the end symbol is the context of a first word) over all
-training texts in Spark.  Words are 64-bit hashes, pairs 56-bit ones.  The model is a table in the shared checkpoint folder: by
-shard, one sorted hash array and the arrays of its values.  The number of shards follows the input.
-
-Scoring works in batches of texts.  A batch sends each shard the sorted distinct hashes it needs, the shard's task maps
-its arrays into memory and answers by binary search, and the batch, given the answers, scores its texts.  So
-no worker holds the whole model, and each hash travels once per batch.  (The arrays reach a task through Spark, and
-are mapped from an unnamed file, which the system removes with the task; a folder of named files would not be seen
-by other executors.)
-
-With c the pair counts, D the discounts by count (1, 2, 3 and more) and N1+ the number of distinct contexts of a word:
-p(w|h) = max(c(hw) - D, 0) / c(h) + g(h) * q(w), q(w) = max(N1+(w) - D', 0) / N1+ + g' / (V + 1).  Unknown words share the
-last term; a context that training never saw leaves q(w).
-
-Defined results: a null or empty text is its end symbol alone; without training texts every probability is 1.
+"""Operator 6: interpolated modified Kneser-Ney language model of any order (``ORDER``, 3 by default).
+
+Texts are cut into batches of a bounded size, written once.  An n-gram is a 56-bit hash, that of its first n-1 words chained
+with that of its last word.  Every batch counts its distinct n-grams of the highest order and sends them, sorted, to shards, which are ranges of
+hashes: so no key is hot, whatever its share of the text, and the number of shards follows the input.  A shard adds up what it
+gets into one sorted hash array with its counts (the model), and tells, for each distinct n-gram, its count to one of the
+batches that sent it.  That batch knows the words behind the hash, so it adds the n-gram to the statistics of its first n-1
+words (as context) and of its last n-1 (as continuation), which are the n-grams of the next lower order; and so on down to words.
+
+Scoring sends the sorted distinct hashes of a batch to the shards, one order after the other; a shard's task maps its arrays into
+memory and answers by binary search.  No worker holds the whole model, and each hash travels once per batch.  Messages hold at least one hash, so
+there are never more of them than distinct n-grams in the batches.  (The arrays reach a task through Spark, and are mapped from an unnamed
+file, which the system removes with the task; a folder of named files would not be seen by other executors.)
+
+With f the count of an n-gram (highest order) or the number of distinct words before it (lower orders), D the discounts of the
+order by f (1, 2, 3 and more) and h' the context without its first word:
+p(w|h) = max(f(hw) - D, 0) / f(h.) + g(h) * p(w|h'), and for words alone max(f(w) - D, 0) / f(.) + g / (V + 1).  Unknown words share the
+last term; a context that training never saw leaves p(w|h').  The end symbol fills the contexts before a text.
+
+Defined results: a null or empty text is its end symbol alone; equal rows are scored alike, row by row, whatever their keys; a text longer
+than a batch is a batch of its own; without training texts every probability is 1; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,61 +35,46 @@ from pagelake.llm import textscan as ts
 from pagelake.llm.common import fold, q, read
 from pagelake.session import materialize
 
-SHARD_BYTES = 16 << 20     # text per shard of pairs, and per batch
-WORD_SHARDS = 8            # shards of pairs per shard of words
-FLUSH = 1_500_000          # tokens counted before a task sends its counts
-HOT = 1000                 # a context with more than 1 / HOT of all tokens is spread over all shards
-END = np.uint64(0x5BD1E9955BD1E995)
-_U8, _U4 = np.dtype("<u8"), np.dtype("<u4")
-
-
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted hashes as byte planes of their differences (the high planes are nearly all zero and compress away)."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(_U8).ravel(), dtype=np.uint64)
-
+ORDER = 3
+BATCH_BYTES = 4 << 20      # text per batch
+SHARD_BYTES = 8 << 20      # text per shard of the model
+BITS = 56                  # of a hash
+END = np.uint64(0x5BD1E9955BD1E9)
+_U8 = np.dtype("<u8")
 
-def lay(values: np.ndarray) -> bytes:
-    """Counts (one row per value) as byte planes; most are small, so the upper planes compress away."""
-    v = np.ascontiguousarray(values, _U4)
-    return np.ascontiguousarray(v.reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes()
 
+def lay(rows) -> bytes:
+    """Rows of numbers as byte planes, each after the number of its planes."""
+    out = []
+    for row in rows:
+        row = np.ascontiguousarray(row, _U8)
+        width = max(1, (int(row.max(initial=0)).bit_length() + 7) // 8)
+        out.append(bytes([width]) + np.ascontiguousarray(row.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return b"".join(out)
 
-def lift(raw: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(_U4).reshape(width, -1)
 
+def lift(raw: bytes, width: int, n: int) -> np.ndarray:
+    """``width`` rows of ``n`` numbers."""
+    out, at = np.zeros((width, n, 8), np.uint8), 0
+    for row in out:
+        planes = raw[at]
+        row[:, :planes] = np.frombuffer(raw, np.uint8, planes * n, at + 1).reshape(planes, n).T
+        at += 1 + planes * n
+    return out.view(_U8).reshape(width, n).astype(np.int64)
 
-def tokens(column):
-    """(offset of the first row, per-row token counts, words, contexts) of slices of whole texts; END closes each text."""
-    for row, off, raw in ts.slices(column):
-        w = ts.Words(off, ts.LOWER[raw], ts.NOT_BLANK)
-        count = w.per_doc + 1
-        last = np.cumsum(count) - 1
-        word = np.empty(int(count.sum()), np.uint64)
-        inner = np.ones(len(word), bool)
-        inner[last] = False
-        word[inner], word[last] = w.hashes(), END
-        context = np.concatenate([[END], word[:-1]]).astype(np.uint64)
-        yield row, count, word, context
 
-
-def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return ts.mix(context * np.uint64(3) + word) >> np.uint64(8)      # 56 bits
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted hashes as the byte planes of their differences."""
+    return lay([np.diff(keys, prepend=np.uint64(0))])
 
 
-def pair_shards(context, word, hot: np.ndarray, shards: int) -> np.ndarray:
-    spread = np.where(ts.member(context, hot) >= 0, word, np.uint64(0))
-    return (ts.mix(context + ts.mix(spread)) % np.uint64(shards)).astype(np.int64)
+def unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(lift(raw, 1, (len(raw) - 1) // raw[0])[0]).astype(np.uint64)
 
 
-def word_shards(word, shards: int) -> np.ndarray:
-    return (ts.mix(word ^ np.uint64(0x123456789ABCDEF)) % np.uint64(shards)).astype(np.int64)
+def bounds(shards: int) -> np.ndarray:
+    """First hash of every shard but the first."""
+    return np.array([(s << BITS) // shards for s in range(1, shards)], np.uint64)
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -95,75 +84,109 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
 
 
-def grouped(keys: np.ndarray, *values: np.ndarray):
-    """Distinct sorted keys and the sums of the values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = runs(keys)
-    return keys[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
-
-
-PART = "kind string, shard int, k binary, v binary"
-
-
-def _parts(kind: str, shard: np.ndarray, keys: np.ndarray, values: np.ndarray):
-    """Rows of one kind, by shard; ``keys`` are sorted, and ``values`` has a column per value."""
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(int(shard.max(initial=-1)) + 2))
-    rows = []
-    for s in range(len(cuts) - 1):
-        at = order[cuts[s]: cuts[s + 1]]
-        if len(at):
-            rows.append((kind, s, pack(keys[at]), lay(values[at].T)))
-    return rows
-
-
-def _table(rows, names, types):
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
-
-
-_PART_NAMES, _PART_TYPES = ["kind", "shard", "k", "v"], [pa.string(), pa.int32(), pa.binary(), pa.binary()]
-
+class Grams:
+    """The n-grams of a batch: ``keys[n][p]`` ends at token p, and the last entry is the n-gram of end symbols alone;
+    ``before[p]`` is the token before p, or that last entry."""
 
-def _part_batch(rows):
-    return _table(rows, _PART_NAMES, _PART_TYPES)
-
-
-def _flushed(batches, emit):
-    """Runs ``emit(words, contexts)`` over the tokens of a task, some millions at a time."""
-    words, contexts, held = [], [], 0
-    for batch in batches:
-        for _, _, word, context in tokens(batch.column(0)):
+    def __init__(self, texts, order: int):
+        words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, off, raw in ts.slices(texts):
+            found = ts.Words(off, ts.LOWER[raw], ts.NOT_BLANK)
+            count = found.per_doc + 1
+            word = np.full(int(count.sum()), END)
+            inner = np.ones(len(word), bool)
+            inner[np.cumsum(count) - 1] = False
+            word[inner] = found.hashes() >> np.uint64(64 - BITS)
             words.append(word)
-            contexts.append(context)
-            held += len(word)
-            if held >= FLUSH:
-                yield from emit(np.concatenate(words), np.concatenate(contexts))
-                words, contexts, held = [], [], 0
-    if held:
-        yield from emit(np.concatenate(words), np.concatenate(contexts))
+            counts.append(count)
+        self.count = np.concatenate(counts)
+        word = np.concatenate([*words, [END]]).astype(np.uint64)
+        self.n, self.order = len(word) - 1, order
+        self.before = np.arange(-1, self.n)
+        self.before[(np.cumsum(self.count) - self.count)] = self.n
+        self.before[self.n] = self.n
+        self.keys = {1: word}
+        for n in range(2, order + 1):
+            self.keys[n] = ts.mix(self.keys[n - 1][self.before] * np.uint64(3) + word) >> np.uint64(64 - BITS)
+
+    def asked(self, n: int) -> np.ndarray:
+        """Sorted distinct hashes that scoring needs."""
+        return np.unique(self.keys[n] if n < self.order else self.keys[n][: self.n])
+
+
+class Tally:
+    """What a batch sends for one order: sorted hashes, rows of numbers, and a token where each n-gram ends."""
+
+    def __init__(self, keys: np.ndarray, place: np.ndarray, values: list[np.ndarray]):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = runs(keys)
+        self.keys, self.place = keys[first], place[order][first]
+        self.values = [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+
+
+def tallied(grams: Grams, n: int, told: dict[int, dict[int, bytes]], cuts: np.ndarray) -> Tally:
+    """The tally of order ``n``, from the counts that the shards of the higher orders told this batch."""
+    if n == grams.order:
+        return Tally(grams.keys[n][: grams.n], np.arange(grams.n), [np.ones(grams.n, np.int64)])
+    above = tallied(grams, n + 1, told, cuts)
+    times = spread(above.keys, cuts, told[n + 1], 1)[0]
+    owned = times > 0
+    place, times = above.place[owned], times[owned]
+    keys, nothing, one = grams.keys[n], np.zeros(len(place), np.int64), np.ones(len(place), np.int64)
+    context = [nothing, times, times == 1, times == 2, times >= 3]
+    follow = [one, nothing, nothing, nothing, nothing]
+    parts = [(keys[grams.before[place]], grams.before[place], context), (keys[place], place, follow)]
+    if n == 1:      # words have their counts besides
+        none = np.zeros(grams.n, np.int64)
+        parts = [(k, p, [nothing, *v]) for k, p, v in parts]
+        parts.append((keys[: grams.n], np.arange(grams.n), [none + 1, *[none] * 5]))
+    return Tally(np.concatenate([k for k, _, _ in parts]), np.concatenate([p for _, p, _ in parts]),
+                 [np.concatenate([v[i] for _, _, v in parts]).astype(np.int64) for i in range(len(parts[0][2]))])
+
+
+def width_of(n: int, order: int) -> int:
+    """Highest order: count.  Lower ones: distinct words before, and as a context the sum over what follows, and how much of it
+    was seen 1, 2, 3 and more times.  Words: their count before these."""
+    return 1 if n == order else 6 if n == 1 else 5
+
+
+def by_shard(keys: np.ndarray, cuts: np.ndarray):
+    """(shard, slice of the sorted hashes) of every shard that has any."""
+    shard = np.searchsorted(cuts, keys, "right")
+    first = runs(shard).tolist()
+    for a, b in zip(first, [*first[1:], len(keys)], strict=False):
+        yield int(shard[a]), slice(a, b)
+
+
+def spread(keys: np.ndarray, cuts: np.ndarray, answers: dict[int, bytes], width: int) -> np.ndarray:
+    """The numbers that the shards gave for ``keys``."""
+    out = np.zeros((width, len(keys)), np.int64)
+    for shard, part in by_shard(keys, cuts):
+        out[:, part] = lift(answers[shard], width, part.stop - part.start)
+    return out
+
+
+def _rows(rows, names, types):
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _load(table, kind: str, width: int):
-    """Keys and value columns of all rows of one kind in a group."""
-    keys, values = [np.zeros(0, np.uint64)], [np.zeros((width, 0), _U4)]
-    for name, k, v in zip(table["kind"].to_pylist(), table["k"], table["v"], strict=True):
-        if name == kind:
-            keys.append(unpack(k.as_py()))
-            values.append(lift(v.as_py(), width))
-    return np.concatenate(keys), np.concatenate(values, axis=1).astype(np.int64)
+MESSAGE = "shard int, batch long, k binary, v binary"
+_MESSAGE = ["shard", "batch", "k", "v"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+ANSWER = "n int, shard int, batch long, v binary"
+_ANSWER = ["n", "shard", "batch", "v"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
 
 class Model:
-    """Numbers that every task needs; the arrays stay in ``table`` (kind, shard, k, v)."""
+    """Numbers that every task needs; the arrays stay in ``tables`` (by order: shard, k, v)."""
 
-    def __init__(self, table, n_tokens, n_words, n_pairs, discounts, low_discounts, low_rest, hot, pair_shards_, word_shards_):
-        self.table, self.n_tokens, self.n_words, self.n_pairs = table, n_tokens, n_words, n_pairs
-        self.discounts, self.low_discounts, self.low_rest = discounts, low_discounts, low_rest
-        self.hot, self.pair_shards, self.word_shards = hot, pair_shards_, word_shards_
+    def __init__(self, order: int, shards: int):
+        self.order, self.shards, self.tables, self.discounts = order, shards, {}, {}
+        self.n_tokens = self.n_words = self.n_pairs = 0
+        self.low_rest = 1.0
 
     def numbers(self) -> dict:
-        return {k: v for k, v in vars(self).items() if k != "table"}
+        return {k: v for k, v in vars(self).items() if k != "tables"}
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -175,110 +198,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k) for d, k in zip(found, (0.95, 1.95, 2.95), strict=True))
 
 
-def train(texts: DataFrame, text: str = "text") -> Model:
-    """Counts ``texts`` and writes the model's arrays to the shared checkpoint folder."""
-    column = texts.select(q(text).alias("text"))
-    size = column.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_pair = max(1, -(-int(size) // SHARD_BYTES))
-    n_word = max(1, -(-n_pair // WORD_SHARDS))
-
-    def count_words(batches):
-        def emit(word, _):
-            keys, times = np.unique(word, return_counts=True)
-            yield _part_batch(_parts("word", word_shards(keys, n_word), keys, times.astype(_U4)[:, None]))
-        yield from _flushed(batches, emit)
-
-    def merge_words(key, table):
-        keys, (times,) = _load(table, "word", 1)
-        keys, (times,) = grouped(keys, times)
-        return pa.table({"kind": ["word"], "shard": pa.array([key[0].as_py()], pa.int32()), "k": [pack(keys)],
-                         "v": [lay(times)], "total": [int(times.sum())], "n": [len(keys)]})
-
-    words = materialize(column.mapInArrow(count_words, PART).groupBy("shard").applyInArrow(
-        merge_words, PART + ", total bigint, n bigint"), "lm-words")
-    sums = words.agg(F.sum("total"), F.sum("n")).first()
-    n_tokens, n_words = int(sums[0] or 0), int(sums[1] or 0)
-
-    def frequent(batches):
-        for batch in batches:
-            for k, v in zip(batch["k"], batch["v"], strict=True):
-                keys, times = unpack(k.as_py()), lift(v.as_py(), 1)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[times > n_tokens / HOT].view(np.int64))], names=["w"])
-
-    # At most HOT words can have more than 1 / HOT of all tokens.
-    hot = np.sort(np.array([r["w"] for r in words.select("k", "v").mapInArrow(frequent, "w bigint").collect()], np.int64).view(np.uint64))
-
-    def count_pairs(batches):
-        def emit(word, context):
-            keys, first, times = np.unique(pair_keys(context, word), return_index=True, return_counts=True)
-            context, word = context[first], word[first]
-            shard = pair_shards(context, word, hot, n_pair)
-            order = np.lexsort((context, shard))
-            cuts = np.searchsorted(shard[order], np.arange(n_pair + 1))
-            rows = []
-            for s in range(n_pair):
-                at = order[cuts[s]: cuts[s + 1]]
-                if len(at):
-                    planes = np.ascontiguousarray(word[at].view(np.uint8).reshape(-1, 8).T).tobytes()
-                    rows.append((s, pack(context[at]), planes, lay(times[at])))
-            yield _table(rows, ["shard", "c", "w", "n"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
-        yield from _flushed(batches, emit)
-
-    def merge_pairs(key, table):
-        context = np.concatenate([unpack(x.as_py()) for x in table["c"]])
-        word = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view(_U8).ravel()
-                               for x in table["w"]])
-        times = np.concatenate([lift(x.as_py(), 1)[0] for x in table["n"]]).astype(np.int64)
-        keys = pair_keys(context, word)
-        order = np.argsort(keys, kind="stable")
-        first = runs(keys[order])
-        times = np.add.reduceat(times[order], first)
-        keys, context, word = keys[order][first], context[order][first], word[order][first]
-        rows = [("pair", int(key[0].as_py()), pack(keys), lay(times))]
-        left, stats = grouped(context, times, *[(times == i).astype(np.int64) for i in (1, 2)], (times >= 3).astype(np.int64))
-        rows += _parts("context", word_shards(left, n_word), left, np.stack(stats, axis=1).astype(_U4))
-        right, (contexts,) = grouped(word, np.ones(len(word), np.int64))
-        rows += _parts("continuation", word_shards(right, n_word), right, contexts.astype(_U4)[:, None])
-        batch = _part_batch(rows)
-        of_counts = [[int((times == i).sum())] + [0] * (len(rows) - 1) for i in (1, 2, 3, 4)]
-        return pa.Table.from_batches([batch]).append_column("n1", [of_counts[0]]).append_column("n2", [of_counts[1]]) \
-            .append_column("n3", [of_counts[2]]).append_column("n4", [of_counts[3]])
-
-    pairs = materialize(column.mapInArrow(count_pairs, "shard int, c binary, w binary, n binary").groupBy("shard").applyInArrow(
-        merge_pairs, PART + ", n1 bigint, n2 bigint, n3 bigint, n4 bigint"), "lm-pairs")
-    of_counts = [int(x or 0) for x in pairs.agg(*[F.sum(f"n{i}") for i in (1, 2, 3, 4)]).first()]
-
-    def merge_word_values(key, table):
-        """Per word: count, contexts it follows, and as a context: total and numbers of pairs seen 1, 2, 3+ times."""
-        keys, (times,) = _load(table, "word", 1)
-        out = np.zeros((6, len(keys)), np.int64)
-        out[0] = times
-        k, (contexts,) = _load(table, "continuation", 1)
-        np.add.at(out[1], np.searchsorted(keys, k), contexts)
-        k, stats = _load(table, "context", 4)
-        at = np.searchsorted(keys, k)
-        for i in range(4):
-            np.add.at(out[2 + i], at, stats[i])
-        sizes = [int((out[1] == i).sum()) for i in (1, 2, 3, 4)]
-        return pa.table({"kind": ["word"], "shard": pa.array([key[0].as_py()], pa.int32()), "k": [pack(keys)],
-                         "v": [lay(out)], "pairs": [int(out[1].sum())], "big": [int((out[1] >= 3).sum())],
-                         **{f"n{i + 1}": [sizes[i]] for i in range(4)}})
-
-    union = words.select("kind", "shard", "k", "v").unionByName(
-        pairs.where(F.col("kind") != "pair").select("kind", "shard", "k", "v"))
-    values = materialize(union.groupBy("shard").applyInArrow(
-        merge_word_values, PART + ", pairs bigint, big bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"), "lm-word-values")
-    r = values.agg(*[F.sum(c).alias(c) for c in ("pairs", "big", "n1", "n2", "n3", "n4")]).first()
-    n_pairs = int(r["pairs"] or 0)
-    low = discounts(*[int(r[f"n{i}"] or 0) for i in (1, 2, 3, 4)])
-    rest = (low[0] * (r["n1"] or 0) + low[1] * (r["n2"] or 0) + low[2] * (r["big"] or 0)) / n_pairs if n_pairs else 1.0
-    table = pairs.where(F.col("kind") == "pair").select("kind", "shard", "k", "v").unionByName(
-        values.select("kind", "shard", "k", "v"))
-    return Model(table, n_tokens, n_words, n_pairs, discounts(*of_counts), low, rest, hot, n_pair, n_word)
+def discard(stage: DataFrame) -> None:
+    """Deletes the folder of a written stage that nothing reads any more."""
+    files = stage.inputFiles()
+    if files:
+        sc = stage.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def gather(rows):
-    """Rows (key, text) → rows (keys, sizes, texts): a batch of texts, compressed."""
+    """Rows (key, text) → rows (keys, sizes, texts): batches of at most ``BATCH_BYTES`` (or one longer text), compressed."""
     import zstandard
 
     def packed(parts):
@@ -293,18 +223,24 @@ def gather(rows):
     parts, held = [], 0
     for batch in rows:
         keys, texts = batch.column(0), batch.column(1).cast(pa.large_string())
-        for a in range(0, len(texts), 256):
-            part = texts.slice(a, 256)
-            parts.append((keys.slice(a, 256), part))
-            held += part.nbytes
-            if held >= SHARD_BYTES:
+        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        a = 0
+        while a < len(texts):
+            # An end symbol counts as a byte, so empty texts fill batches too.
+            b = int(np.searchsorted(off + np.arange(len(off)), off[a] + a + BATCH_BYTES - held, "right")) - 1
+            if b <= a and parts:
                 yield packed(parts)
                 parts, held = [], 0
+                continue
+            b = max(b, a + 1)
+            parts.append((keys.slice(a, b - a), texts.slice(a, b - a)))
+            held += int(off[b] - off[a]) + b - a
+            a = b
     if parts:
         yield packed(parts)
 
 
-def spread_out(sizes: bytes, texts: bytes):
+def opened(sizes: bytes, texts: bytes):
     """The string column of a compressed batch."""
     import zstandard
 
@@ -312,28 +248,87 @@ def spread_out(sizes: bytes, texts: bytes):
     return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.tobytes()), pa.py_buffer(zstandard.decompress(texts) if off[-1] else b""))
 
 
-def _requests(column, m: dict):
-    """(kind, shard, sorted distinct hashes) that a batch of texts needs."""
-    parts = list(tokens(column))
-    word = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint64)
-    context = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, np.uint64)
-    count = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    single = np.unique(np.concatenate([word, np.array([END])]))
-    pair, first = np.unique(pair_keys(context, word), return_index=True)
-    asked = []
-    for kind, keys, shard in (("word", single, word_shards(single, m["word_shards"])),
-                              ("pair", pair, pair_shards(context[first], word[first], m["hot"], m["pair_shards"]))):
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(int(shard.max(initial=-1)) + 2))
-        for s in range(len(cuts) - 1):
-            if cuts[s + 1] > cuts[s]:
-                asked.append((kind, s, order[cuts[s]: cuts[s + 1]]))
-    return word, context, count, single, pair, asked
+def batched(df: DataFrame, key: str | None, text: str, name: str) -> DataFrame:
+    """(keys, sizes, texts, batch), written once, so that a batch is the same to every later step."""
+    plain = df.select((q(key) if key else F.lit(0)).alias("key"), F.coalesce(q(text), F.lit("")).alias("text"))
+    return materialize(plain.mapInArrow(gather, T.StructType([
+        T.StructField("keys", T.ArrayType(plain.schema["key"].dataType)), T.StructField("sizes", T.BinaryType()),
+        T.StructField("texts", T.BinaryType())])).withColumn("batch", F.monotonically_increasing_id()), name)
+
+
+def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """Counts ``texts`` and writes the model's arrays to the shared checkpoint folder."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
+    size = texts.agg(F.sum(F.octet_length(q(text)).cast("long"))).first()[0] or 0
+    model = Model(order, max(1, -(-int(size) // SHARD_BYTES)))
+    cuts = bounds(model.shards)
+    batches = batched(texts, None, text, "lm-train").select("batch", "sizes", "texts")
+    told = None
+
+    def messages(batch: int, grams: Grams, n: int, answers: dict):
+        tally = tallied(grams, n, answers, cuts)
+        return [(shard, batch, pack(tally.keys[part]), lay([v[part] for v in tally.values])) for shard, part in by_shard(tally.keys, cuts)]
+
+    def count(rows):
+        for row in rows:
+            for batch, sizes, body in zip(row["batch"].to_pylist(), row["sizes"], row["texts"], strict=True):
+                yield _rows(messages(batch, Grams(opened(sizes.as_py(), body.as_py()), order), order, {}), *_MESSAGE)
+
+    # Every step below is written within its round, so its functions see the round's numbers.
+    for n in range(order, 0, -1):
+        width = width_of(n, order)
+
+        def lower(held, answered):
+            answers: dict = {above: {} for above in range(n + 1, order + 1)}
+            for level, shard, v in zip(answered["n"].to_pylist(), answered["shard"].to_pylist(), answered["v"], strict=True):
+                answers[level][shard] = v.as_py()
+            grams = Grams(opened(held["sizes"][0].as_py(), held["texts"][0].as_py()), order)
+            return pa.Table.from_batches([_rows(messages(held["batch"][0].as_py(), grams, n, answers), *_MESSAGE)])
+
+        def merge(key, table):
+            shard = int(key[0].as_py())
+            keys = [unpack(k.as_py()) for k in table["k"]]
+            sizes = [len(k) for k in keys]
+            values = np.concatenate([lift(v.as_py(), width, s) for v, s in zip(table["v"], sizes, strict=True)], axis=1)
+            keys = np.concatenate(keys)
+            order_ = np.argsort(keys, kind="stable")
+            first = runs(keys[order_])
+            sums = [np.add.reduceat(v[order_], first) for v in values]
+            f = sums[1 if n == 1 else 0]
+            rows = [(shard, None, pack(keys[order_[first]]), lay(sums))]
+            if n > 1:     # the count goes to the first batch that sent the n-gram, all others hear 0
+                heard = np.zeros(len(keys), np.int64)
+                heard[order_[first]] = f
+                ends = np.cumsum(sizes)
+                rows += [(shard, batch, None, lay([heard[e - s: e]])) for batch, s, e in zip(table["batch"].to_pylist(), sizes, ends, strict=True)]
+            out = pa.Table.from_batches([_rows(rows, *_MESSAGE)])
+            stats = {**{f"n{i}": int((f == i).sum()) for i in (1, 2, 3, 4)}, "big": int((f >= 3).sum()), "total": int(f.sum()),
+                     "tokens": int(sums[0].sum()) if n == 1 else 0, "words": int((sums[0] > 0).sum()) if n == 1 else 0}
+            for name, value in stats.items():
+                out = out.append_column(name, pa.array([value] + [0] * (len(rows) - 1), pa.int64()))
+            return out
+
+        sent = batches.mapInArrow(count, MESSAGE) if n == order else batches.groupBy("batch").cogroup(
+            told.groupBy("batch")).applyInArrow(lower, MESSAGE)
+        merged = materialize(sent.groupBy("shard").applyInArrow(
+            merge, MESSAGE + ", n1 long, n2 long, n3 long, n4 long, big long, total long, tokens long, words long"), f"lm-order{n}")
+        model.tables[n] = merged.where(F.col("batch").isNull()).select("shard", "k", "v")
+        answers = merged.where(F.col("batch").isNotNull()).select(F.lit(n).alias("n"), "shard", "batch", "v")
+        told = answers if told is None else told.unionByName(answers)
+        r = merged.agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "big", "total", "tokens", "words")]).first()
+        d = model.discounts[n] = discounts(*[int(r[f"n{i}"] or 0) for i in (1, 2, 3, 4)])
+        if n == 1:
+            model.n_tokens, model.n_words, model.n_pairs = int(r["tokens"] or 0), int(r["words"] or 0), int(r["total"] or 0)
+            if model.n_pairs:
+                model.low_rest = (d[0] * r["n1"] + d[1] * r["n2"] + d[2] * r["big"]) / model.n_pairs
+    discard(batches)
+    return model
 
 
 def mapped(array: np.ndarray) -> np.ndarray:
     """The array, memory-mapped from an unnamed file of this task."""
-    if not len(array):
+    if not array.size:
         return array
     with tempfile.TemporaryFile() as f:
         array.tofile(f)
@@ -341,75 +336,74 @@ def mapped(array: np.ndarray) -> np.ndarray:
         return np.memmap(f, dtype=array.dtype, mode="r", shape=array.shape)
 
 
+def log_probabilities(grams: Grams, asked: dict, values: dict, m: dict):
+    """Per token: training count, log10 of the base, log10 of the model."""
+    at = np.searchsorted(asked[1], grams.keys[1])
+    times = values[1][0][at[:-1]]
+    base = np.log10((times + 0.1) / (m["n_tokens"] + 0.1 * (m["n_words"] + 1)))
+
+    def kept(f, n):
+        return np.maximum(f - np.array([0.0, *m["discounts"][n]])[np.minimum(f, 3)], 0)
+
+    p = (kept(values[1][1], 1) / max(1, m["n_pairs"]) + m["low_rest"] / (m["n_words"] + 1))[at[:-1]]
+    for n in range(2, m["order"] + 1):
+        context = at[grams.before[:-1]]
+        total, seen = values[n - 1][-4][context], values[n - 1][-3:]
+        rest = (np.array(m["discounts"][n]) @ seen)[context]
+        at = np.searchsorted(asked[n], grams.keys[n][: grams.n] if n == m["order"] else grams.keys[n])
+        f = kept(values[n][0], n)[at[: grams.n]]
+        p = np.where(total > 0, (f + rest * p) / np.maximum(total, 1), p)
+    return times, base, np.log10(p)
+
+
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: ``key``, n_tokens, n_known, base_score, score."""
-    m = model.numbers()
-    plain = df.select(q(key).alias("key"), F.coalesce(q(text), F.lit("")).alias("text"))
-    batches = materialize(plain.mapInArrow(gather, T.StructType([
-        T.StructField("keys", T.ArrayType(plain.schema["key"].dataType)), T.StructField("sizes", T.BinaryType()),
-        T.StructField("texts", T.BinaryType())])).withColumn("batch", F.xxhash64("sizes", "texts")), "lm-batches")
-
-    def ask(rows):
-        for row in rows:
-            for batch, sizes, texts in zip(row["batch"].to_pylist(), row["sizes"], row["texts"], strict=True):
-                _, _, _, single, pair, asked = _requests(spread_out(sizes.as_py(), texts.as_py()), m)
-                yield _table([(kind, s, batch, pack((single if kind == "word" else pair)[at])) for kind, s, at in asked],
-                             ["kind", "shard", "batch", "k"], [pa.string(), pa.int32(), pa.int64(), pa.binary()])
-
-    requests = batches.select("batch", "sizes", "texts").mapInArrow(ask, "kind string, shard int, batch long, k binary")
-
-    def answer(asked, held):
-        out = []
-        arrays = None
-        kind = asked["kind"][0].as_py() if len(asked) else None
-        width = 6 if kind == "word" else 1
-        if len(held):
-            # A shard is one row of the model.
-            arrays = mapped(unpack(held["k"][0].as_py())), mapped(lift(held["v"][0].as_py(), width))
-        for batch, raw in zip(asked["batch"].to_pylist(), asked["k"], strict=True):
-            keys = unpack(raw.as_py())
-            got = np.zeros((width, len(keys)), _U4)
-            if arrays is not None and len(arrays[0]):
-                at = ts.member(keys, arrays[0])
-                got[:, at >= 0] = arrays[1][:, at[at >= 0]]
-            out.append((kind, asked["shard"][0].as_py(), batch, lay(got)))
-        return pa.table({"kind": pa.array([o[0] for o in out], pa.string()), "shard": pa.array([o[1] for o in out], pa.int32()),
-                         "batch": pa.array([o[2] for o in out], pa.int64()), "v": pa.array([o[3] for o in out], pa.binary())})
-
-    answers = materialize(requests.groupBy("kind", "shard").cogroup(model.table.groupBy("kind", "shard")).applyInArrow(
-        answer, "kind string, shard int, batch long, v binary"), "lm-answers")
+    m, order, cuts = model.numbers(), model.order, bounds(model.shards)
+    batches = batched(df, key, text, "lm-batches")
+    answers = None
+    for n in range(1, order + 1):
+        width = width_of(n, order)
+
+        def ask(rows):
+            for row in rows:
+                for batch, sizes, body in zip(row["batch"].to_pylist(), row["sizes"], row["texts"], strict=True):
+                    keys = Grams(opened(sizes.as_py(), body.as_py()), order if n == order else n + 1).asked(n)
+                    yield _rows([(shard, batch, pack(keys[part]), None) for shard, part in by_shard(keys, cuts)], *_MESSAGE)
+
+        def answer(asked, held):
+            out, arrays = [], None
+            if len(held) and len(asked):      # a shard is one row of the model
+                keys = unpack(held["k"][0].as_py())
+                arrays = mapped(keys), mapped(lift(held["v"][0].as_py(), width, len(keys)))
+            for shard, batch, raw in zip(asked["shard"].to_pylist(), asked["batch"].to_pylist(), asked["k"], strict=True):
+                keys = unpack(raw.as_py())
+                got = np.zeros((width, len(keys)), np.int64)
+                if arrays is not None:
+                    at = ts.member(keys, arrays[0])
+                    got[:, at >= 0] = arrays[1][:, at[at >= 0]]
+                out.append((n, shard, batch, lay(got)))
+            return pa.Table.from_batches([_rows(out, *_ANSWER)])
+
+        found = materialize(batches.select("batch", "sizes", "texts").mapInArrow(ask, MESSAGE).groupBy("shard").cogroup(
+            model.tables[n].groupBy("shard")).applyInArrow(answer, ANSWER), f"lm-answers{n}")
+        answers = found if answers is None else answers.unionByName(found)
 
     def sum_up(held, answered):
-        # Batches of equal texts share their number and their answers.
-        done = [one_batch(keys, spread_out(sizes.as_py(), texts.as_py()), answered)
-                for keys, sizes, texts in zip(held["keys"], held["sizes"], held["texts"], strict=True)]
-        empty = pa.table({"key": pa.array([], held.schema.field("keys").type.value_type), **{
-            n: pa.array([], t) for n, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
-        return pa.concat_tables([empty, *done])
-
-    def one_batch(keys, texts, answered):
-        word, context, count, single, pair, asked = _requests(texts, m)
-        values = {"word": np.zeros((6, len(single)), np.int64), "pair": np.zeros((1, len(pair)), np.int64)}
-        places = {(kind, s): at for kind, s, at in asked}
-        for kind, s, raw in zip(answered["kind"].to_pylist(), answered["shard"].to_pylist(), answered["v"], strict=True):
-            values[kind][:, places[(kind, s)]] = lift(raw.as_py(), len(values[kind]))
-        w, h = np.searchsorted(single, word), np.searchsorted(single, context)
-        p = np.searchsorted(pair, pair_keys(context, word))
-        times, follows, total = values["word"][0], values["word"][1], values["word"][2]
-        base = np.log10((times + 0.1) / (m["n_tokens"] + 0.1 * (m["n_words"] + 1)))
-        d = np.array([0.0, *m["low_discounts"]])
-        low = np.maximum(follows - d[np.minimum(follows, 3)], 0) / max(1, m["n_pairs"]) + m["low_rest"] / (m["n_words"] + 1)
-        rest = np.where(total > 0, np.array(m["discounts"]) @ values["word"][3:6] / np.maximum(total, 1), 1.0)
-        c = values["pair"][0]
-        d = np.array([0.0, *m["discounts"]])
-        kept = np.maximum(c - d[np.minimum(c, 3)], 0)
-        log_p = np.log10(kept[p] / np.maximum(total[h], 1) + rest[h] * low[w])
-        first = np.cumsum(count) - count
-        added = lambda x: np.add.reduceat(x, first)
-        return pa.table({"key": keys.values, "n_tokens": pa.array(count, pa.int64()), "n_known": pa.array(added((times > 0)[w].astype(np.int64))),
-                         "base_score": pa.array(added(base[w])), "score": pa.array(added(log_p))})
-
-    schema = T.StructType([plain.schema["key"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+        grams = Grams(opened(held["sizes"][0].as_py(), held["texts"][0].as_py()), order)
+        given: dict = {n: {} for n in range(1, order + 1)}
+        for n, shard, v in zip(answered["n"].to_pylist(), answered["shard"].to_pylist(), answered["v"], strict=True):
+            given[n][shard] = v.as_py()
+        asked = {n: grams.asked(n) for n in given}
+        values = {n: spread(asked[n], cuts, given[n], width_of(n, order)) for n in given}
+        times, base, log_p = log_probabilities(grams, asked, values, m)
+        first = np.cumsum(grams.count) - grams.count
+        keys = held["keys"].combine_chunks()
+        return pa.table({"key": keys.values if isinstance(keys, pa.ListArray) else keys.chunk(0).values,
+                         "n_tokens": pa.array(grams.count, pa.int64()),
+                         "n_known": pa.array(np.add.reduceat((times > 0).astype(np.int64), first)),
+                         "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(log_p, first))})
+
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sum_up, schema).withColumnRenamed("key", key)
 

@@ -2,8 +2,8 @@
 
 import math
 import random
-import string
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -223,49 +223,68 @@ def test_copies_spread_over_the_shards(spark, monkeypatch):
     assert sorted(map(str, rows)) == sorted(map(str, sharding.shard(df.repartition(5), 16).collect()))
 
 
-def brute_lm(rows, train):
-    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\0"] for i, t in rows}
-    c, pairs = Counter(), Counter()
-    for i in train:
-        c.update(tokens[i])
-        pairs.update(zip(["\0", *tokens[i]], tokens[i]))
-    n, v, t = sum(c.values()), len(c), len(pairs)
-    follows, total, seen, of = Counter(w for _, w in pairs), Counter(), defaultdict(lambda: [0, 0, 0]), Counter(pairs.values())
-    for (h, _), k in pairs.items():
-        total[h] += pairs[(h, _)]
-        seen[h][min(k, 3) - 1] += 1
-    d = (0, *lm.discounts(*[of[i] for i in (1, 2, 3, 4)]))
-    of_f = Counter(follows.values())
-    e = (0, *lm.discounts(*[of_f[i] for i in (1, 2, 3, 4)]))
-    rest = sum(e[min(k, 3)] * m for k, m in of_f.items()) / t
-
-    def p(h, w):
-        low = max(follows[w] - e[min(follows[w], 3)], 0) / t + rest / (v + 1)
-        if not total[h]:
+def brute_lm(rows, train, order):
+    """Per id: tokens, known tokens, base score and score, by dictionaries of word tuples."""
+    end = "\n"
+    split = {i: re.findall(r"[^ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in t or "")) + [end] for i, t in rows}
+
+    def grams(words):
+        padded = [end] * (order - 1) + words
+        return [tuple(padded[k: k + order]) for k in range(len(words))]
+
+    times = Counter(w for i in train for w in split[i])
+    value = {order: Counter(g for i in train for g in grams(split[i]))}
+    for n in range(order - 1, 0, -1):
+        value[n] = Counter(g[1:] for g in value[n + 1])
+    cut, followers = {}, {}
+    for n, table in value.items():
+        of = Counter(table.values())
+        cut[n] = (0, *lm.discounts(*[of[i] for i in (1, 2, 3, 4)]))
+        followers[n] = {}
+        for g, f in table.items():
+            followers[n].setdefault(g[:-1], []).append(f)
+
+    def p(g):
+        n = len(g)
+        low = p(g[1:]) if n > 1 else 1 / (len(times) + 1)
+        seen = followers[n].get(g[:-1])
+        if not seen:
             return low
-        k = pairs.get((h, w), 0)
-        return max(k - d[min(k, 3)], 0) / total[h] + sum(d[j + 1] * seen[h][j] for j in range(3)) / total[h] * low
-    for h in ["\0", next(iter(c))]:
-        assert abs(sum(p(h, w) for w in [*c, "unseen word"]) - 1) < 1e-9
-    return {i: (len(x), sum(c[w] > 0 for w in x), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x),
-                sum(math.log10(p(h, w)) for h, w in zip(["\0", *x], x))) for i, x in tokens.items()}
+        f = value[n][g]
+        rest = sum(cut[n][min(c, 3)] for c in seen)
+        return (max(f - cut[n][min(f, 3)], 0) + rest * low) / sum(seen)
+
+    total = sum(times.values())
+    return {i: (len(words), sum(w in times for w in words),
+                sum(math.log10((times[w] + 0.1) / (total + 0.1 * (len(times) + 1))) for w in words),
+                sum(math.log10(p(g)) for g in grams(words))) for i, words in split.items()}
 
 
-def test_language_model_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("order", [3, 2, 4])
+def test_language_model_equals_brute_force(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "SHARD_BYTES", 3000)
-    monkeypatch.setattr(lm, "FLUSH", 500)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 1500)
     rng = random.Random(8)
     vocabulary = [f"w{int(rng.expovariate(0.05))}" for _ in range(400)] + ["The", "é", "of."]
-    rows = [(i, " \n".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(120)] + [(500, None), (501, "")]
+    rows = [(i, " \n".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (502, "x " * 900)]
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm.train(df.where((F.crc32(F.col("doc_id").cast("string")) % 10) != 0))
-    want = brute_lm(rows, train)
-    for r in lm.score(df, model).collect():
+    model = lm.train(df.where((F.crc32(F.col("doc_id").cast("string")) % 10) != 0), order=order)
+    want = brute_lm(rows, train, order)
+    got = lm.score(df, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
         assert (r["n_tokens"], r["n_known"]) == want[r["doc_id"]][:2]
         assert (r["base_score"], r["score"]) == pytest.approx(want[r["doc_id"]][2:], rel=1e-9)
 
 
+def test_language_model_packing():
+    values = np.array([[0, 1, 255, 256, 1 << 40], [0, 0, 0, 0, 0]])
+    assert (lm.lift(lm.lay(values), 2, 5) == values).all() and lm.lift(lm.lay([values[0][:0]]), 1, 0).shape == (1, 0)
+    keys = np.array([0, 3, 1 << 30, (1 << 56) - 1], np.uint64)
+    assert (lm.unpack(lm.pack(keys)) == keys).all() and [s for s, _ in lm.by_shard(keys, lm.bounds(4))] == [0, 3]
+
+
 def test_language_model_odd_rows(odd, none):
     model = lm.train(odd)
     assert lm.score(odd, model).count() == 12 and lm.score(none, model).count() == 0
