@@ -102,7 +102,7 @@ def test_toxicity_next_to_unicode_punctuation(spark):
 def brute_hits(text, items):
     import re
     words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
-    doc, hit, held = words(text), set(), set()
+    doc, hit, held, longest = words(text), set(), set(), 0
     for name, body in items:
         item = words(body)
         size = min(13, len(item))
@@ -111,14 +111,21 @@ def brute_hits(text, items):
             if tuple(doc[p:p + size]) in wins:
                 hit.update(range(p, p + size))
                 held.add(str(name))
-    return len(doc), len(hit), sorted(held)
+                for o in range(len(item)):
+                    same = 0
+                    while o + same < len(item) and p + same < len(doc) and item[o + same] == doc[p + same]:
+                        same += 1
+                    longest = max(longest, same if same >= size else 0)
+    return len(doc), len(hit), sorted(held), longest
 
 
 def test_contamination_equals_brute_force(spark, odd, none, monkeypatch):
     rng = random.Random(3)
     vocabulary = ["ab", "Cd", "é", "x1", "of"]
-    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([20, 13, 5, 2, 30])] + [(9, ""), (10, None), (11, "x1 x1 x1")]
-    docs = [(i, " ".join([*rng.choices(vocabulary, k=rng.randint(0, 40)), *(items[rng.randrange(5)][1].split() if i % 2 else []),
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([20, 13, 5, 2, 30])]
+    items += [(6, items[4][1] + " x1 ab"), (7, " ".join(["ab"] * 40)), (8, items[0][1] + " " + items[1][1]), (9, ""), (10, None), (11, "x1 x1 x1")]
+    docs = [(i, " ".join([*rng.choices(vocabulary, k=rng.randint(0, 40)), *(items[rng.randrange(8)][1].split() if i % 2 else []),
+                          *(items[1][1].split() + items[0][1].split() if i % 7 == 0 else []),
                           "zz", *rng.choices(vocabulary, k=5)])) for i in range(60)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -126,12 +133,19 @@ def test_contamination_equals_brute_force(spark, odd, none, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", bound)
         found = decontaminate.find_contamination(frame, bench)
         n_hit, _ = decontaminate.judge(found, list(decontaminate.ADDED))
-        got = {r["doc_id"]: (r["n_words"], r["n"], r["hit_items"]) for r in found.select("*", n_hit.alias("n")).collect()}
-        assert got == {i: brute_hits(t, items) for i, t in docs}
+        rows = found.select("*", n_hit.alias("n")).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n"], r["hit_items"], r["longest_match"]) for r in rows} == {i: brute_hits(t, items) for i, t in docs}
+        plain = {str(i): t.lower().split() for i, t in items if t}
+        for r in rows:       # the words at both places are the same
+            size, place = r["longest_match"], r["longest_place"]
+            assert (place is None) == (size == 0)
+            if size:
+                words = r["text"].lower().split()[place["at"]: place["at"] + size]
+                assert len(words) == size and words == plain[place["item"]][place["item_at"]: place["item_at"] + size]
     assert decontaminate.find_contamination(odd, bench).count() == 12
     assert decontaminate.find_contamination(none, bench).count() == 0
     found = decontaminate.find_contamination(odd, bench.where("1 = 0"))
-    assert found.columns[-4:] == ["_n_words", "hit_spans", "hit_items", "longest_match"] and found.where("longest_match > 0").count() == 0
+    assert found.columns[-5:] == ["_n_words", "hit_spans", "hit_items", "longest_match", "longest_place"] and found.where("longest_match > 0").count() == 0
 
 
 @pytest.mark.parametrize("page, text", [
