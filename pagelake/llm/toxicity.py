@@ -1,10 +1,11 @@
 """Operator 5: toxicity by a weighted finite-state pattern grammar.
 
-Words are read as symbols (insult, threat, target, negation, reported speech, other).  Small transducers
-over these symbols are composed: each reads the symbol and passes a weight on, and a clause's score is the
-best weight of an accepted path.  So a bare insult, an insult at a target, a threat, a negated and a
-reported insult weigh differently, and a clause without insult or threat weighs nothing.  A text's score is
-``1 - prod(1 - clause score)``.
+Words are read as symbols (insult, threat, target, negation, reported speech, other).  Five weighted transducers over these
+symbols are composed into one arc table (``GRAMMAR``): the insult and the threat transducer each turn one such symbol of a clause
+into a mark, the target transducer asks for a target before or behind the mark (a threat needs one), and those of
+negation and reported speech lower a mark in their scope.  A clause's score is the weight of the best accepted path,
+times the weight of the marked word.  So a bare insult, an insult at a target, a threat, a negated and a reported insult weigh
+differently, and a clause without insult or threat weighs nothing.  A text's score is ``1 - prod(1 - clause score)``.
 
 The insult lexicon is learned in Spark from labelled training texts: whole words and word stems whose
 document frequency in toxic texts stands out.  It is read from at most ``SAMPLE`` distinct labelled texts and
@@ -60,43 +61,78 @@ APOSTROPHES = str.maketrans("\u2019\u02bc\uff07", "'''")
 GAP = re.compile(r"[\W\d_]+")     # what no word holds, but for the apostrophe
 
 
-def negation(state: int, symbol: str) -> tuple[int, float]:
-    """Opens a scope of a few words after a negation."""
-    if symbol == "negation":
-        return NEGATION_SCOPE, 1.0
-    return max(0, state - 1), NEGATED if state else 1.0
-
-
-def reported(state: int, symbol: str) -> tuple[int, float]:
-    """Stays open from a verb of speech to the end of its clause."""
-    return (1 if symbol == "report" else state), REPORTED if state else 1.0
-
-
-def targeted(state: int, symbol: str) -> tuple[int, float]:
-    """Raises what follows, or ends with, a target."""
-    return (1 if symbol == "target" else state), TARGETED if state else 1.0
-
-
-def passed(machine, names: list[str]) -> list[float]:
-    """The weights that one transducer passes on, symbol by symbol."""
-    state, out = 0, []
-    for name in names:
-        state, weight = machine(state, name)
-        out.append(weight)
-    return out
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+MARKS = ("marked insult", "marked threat")
+
+
+class Transducer:
+    """Weighted arcs ``(state, symbol) -> [(next state, symbol passed on, weight)]``; state 0 is the first.  A symbol without
+    arcs ends a path."""
+
+    def __init__(self, arcs: dict, finals: set):
+        self.arcs, self.finals = arcs, finals
+
+    @classmethod
+    def of(cls, states: int, finals: set, *special: tuple):
+        """Every state passes symbols on unchanged and stays, but for ``special`` (state, symbol, arcs)."""
+        arcs = {(state, symbol): [(state, symbol, 1.0)] for state in range(states) for symbol in SYMBOLS + MARKS}
+        arcs.update({(state, symbol): to for state, symbol, to in special})
+        return cls(arcs, finals)
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one passes on.  Only states that can be reached are kept."""
+        number, arcs, queue = {(0, 0): 0}, {}, [(0, 0)]
+        for a, b in queue:
+            for symbol in SYMBOLS + MARKS:
+                out = []
+                for to_a, passed, weight_a in self.arcs.get((a, symbol), ()):
+                    for to_b, last, weight_b in other.arcs.get((b, passed), ()):
+                        if (to_a, to_b) not in number:
+                            number[to_a, to_b] = len(number)
+                            queue.append((to_a, to_b))
+                        out.append((number[to_a, to_b], last, weight_a * weight_b))
+                arcs[number[a, b], symbol] = out
+        return Transducer(arcs, {n for (a, b), n in number.items() if a in self.finals and b in other.finals})
+
+    def best(self, symbols: list[tuple[str, float]]) -> float:
+        """The weight of the best accepted path, 0 without one; a symbol's own weight counts where it is marked."""
+        held = {0: 1.0}
+        for symbol, own in symbols:
+            ahead: dict[int, float] = {}
+            for state, weight in held.items():
+                for to, passed, factor in self.arcs[state, symbol]:
+                    got = weight * factor * (own if passed in MARKS else 1.0)
+                    if got > ahead.get(to, 0.0):
+                        ahead[to] = got
+            held = ahead
+        return max((weight for state, weight in held.items() if state in self.finals), default=0.0)
+
+
+# Marks one insult, or leaves the mark to the next transducer.
+INSULT = Transducer.of(2, {0, 1}, (0, "insult", [(0, "insult", 1.0), (1, "marked insult", 1.0)]))
+# Marks one threat, unless an insult is marked; one mark there must be.
+THREAT = Transducer.of(3, {1, 2}, (0, "threat", [(0, "threat", 1.0), (1, "marked threat", 1.0)]),
+                       (0, "marked insult", [(2, "marked insult", 1.0)]), (1, "marked insult", []))
+# States: no target yet, target seen, mark without a target, mark that waits for one, done.
+TARGET = Transducer.of(5, {2, 4}, (0, "target", [(1, "target", 1.0)]),
+                       (0, "marked insult", [(2, "marked insult", 1.0), (3, "marked insult", TARGETED)]),
+                       (0, "marked threat", [(3, "marked threat", TARGETED)]),
+                       *[(1, mark, [(4, mark, TARGETED)]) for mark in MARKS], (3, "target", [(4, "target", 1.0)]))
+# States: words left of the scope, and the last one behind the mark.
+NEGATION = Transducer.of(
+    NEGATION_SCOPE + 2, set(range(NEGATION_SCOPE + 2)),
+    *[(left, symbol, [(max(0, left - 1), symbol, 1.0)]) for left in range(NEGATION_SCOPE + 1) for symbol in SYMBOLS],
+    *[(left, "negation", [(NEGATION_SCOPE, "negation", 1.0)]) for left in range(NEGATION_SCOPE + 1)],
+    *[(left, mark, [(NEGATION_SCOPE + 1, mark, NEGATED if left else 1.0)]) for left in range(NEGATION_SCOPE + 1) for mark in MARKS])
+# States: before and behind a verb of speech, and behind the mark.
+REPORT = Transducer.of(3, {0, 1, 2}, (0, "report", [(1, "report", 1.0)]),
+                       *[(said, mark, [(2, mark, REPORTED if said else 1.0)]) for said in (0, 1) for mark in MARKS])
+GRAMMAR = INSULT.then(THREAT).then(TARGET).then(NEGATION).then(REPORT)
 
 
 def clause_score(symbols: list[tuple[str, float]]) -> float:
-    """The best accepted path of one clause: an insult, or a threat at a target, with the weights that the composed
-    transducers pass on there.  Targets are read from both ends."""
-    names = [name for name, _ in symbols]
-    aimed = zip(passed(targeted, names), passed(targeted, names[::-1])[::-1], strict=True)
-    best = 0.0
-    for (name, weight), denied, told, aims in zip(symbols, passed(negation, names), passed(reported, names), aimed, strict=True):
-        aim = max(aims)
-        if name == "insult" or name == "threat" and aim > 1:
-            best = max(best, min(0.99, weight * denied * told * aim))
-    return best
+    """The best accepted path of one clause."""
+    return min(0.99, GRAMMAR.best(symbols))
 
 
 class Lexicon:

@@ -65,6 +65,23 @@ def test_toxic_grammar(clause, least, most):
     assert least <= score <= most
 
 
+def test_composed_transducers_equal_their_meaning():
+    rng = random.Random(5)
+    t = toxicity
+    for _ in range(3000):
+        clause = [(rng.choice(t.SYMBOLS), rng.choice([0.3, 0.5, 0.8])) for _ in range(rng.randint(0, 9))]
+        names, best = [n for n, _ in clause], 0.0
+        for k, (name, own) in enumerate(clause):
+            aimed = "target" in names[:k] + names[k + 1:]
+            if name == "insult" or name == "threat" and aimed:
+                denied = "negation" in names[max(0, k - t.NEGATION_SCOPE): k]
+                best = max(best, own * (t.TARGETED if aimed else 1) * (t.NEGATED if denied else 1) * (t.REPORTED if "report" in names[:k] else 1))
+        assert t.clause_score(clause) == pytest.approx(min(0.99, best))
+    shout = t.Transducer.of(1, {0}, (0, "insult", [(0, "threat", 0.5)]))       # composition multiplies weights
+    assert shout.then(t.THREAT).then(t.TARGET).best([("insult", 0.8), ("target", 0.0)]) == pytest.approx(0.8 * 0.5 * t.TARGETED)
+    assert t.GRAMMAR.best([]) == 0.0
+
+
 def test_toxicity_learns_and_scores(spark, odd, none):
     rng = random.Random(2)
     filler = [f"word{i}" for i in range(300)]
