@@ -7,7 +7,7 @@ gets into one sorted hash array with its counts (the model), and tells, for each
 batches that sent it.  That batch knows the words behind the hash, so it adds the n-gram to the statistics of its first n-1
 words (as context) and of its last n-1 (as continuation), which are the n-grams of the next lower order; and so on down to words.
 
-Scoring sends the sorted distinct hashes of a batch to the shards, one order after the other; a shard's task maps its arrays into
+Scoring sends the sorted distinct hashes of a batch to the shards, a part of the shards after the other; a shard's task maps its arrays into
 memory and answers by binary search.  No worker holds the whole model, and each hash travels once per batch.  Messages hold at least one hash, so
 there are never more of them than distinct n-grams in the batches.  (The arrays reach a task through Spark, and are mapped from an unnamed
 file, which the system removes with the task; a folder of named files would not be seen by other executors.)
@@ -38,12 +38,13 @@ from pagelake.session import materialize
 ORDER = 3
 BATCH_BYTES = 4 << 20      # text per batch
 SHARD_BYTES = 8 << 20      # text per shard of the model
+ROUNDS = 4                 # scoring asks a part of the shards at a time, so that fewer messages and arrays are on disk at once
 BITS = 56                  # of a hash
 END = np.uint64(0x5BD1E9955BD1E9)
 _U8 = np.dtype("<u8")
 
 
-def lay(rows) -> bytes:
+def planes(rows) -> bytes:
     """Rows of numbers as byte planes, each after the number of its planes."""
     out = []
     for row in rows:
@@ -53,23 +54,36 @@ def lay(rows) -> bytes:
     return b"".join(out)
 
 
-def lift(raw: bytes, width: int, n: int) -> np.ndarray:
+def unplanes(raw: bytes, width: int, n: int) -> np.ndarray:
     """``width`` rows of ``n`` numbers."""
     out, at = np.zeros((width, n, 8), np.uint8), 0
     for row in out:
-        planes = raw[at]
-        row[:, :planes] = np.frombuffer(raw, np.uint8, planes * n, at + 1).reshape(planes, n).T
-        at += 1 + planes * n
+        size = raw[at]
+        row[:, :size] = np.frombuffer(raw, np.uint8, size * n, at + 1).reshape(size, n).T
+        at += 1 + size * n
     return out.view(_U8).reshape(width, n).astype(np.int64)
 
 
+def lay(rows) -> bytes:
+    """Counts, which are mostly small, compressed."""
+    import zstandard
+
+    return zstandard.compress(planes(rows), 1)
+
+
+def lift(raw: bytes, width: int, n: int) -> np.ndarray:
+    import zstandard
+
+    return unplanes(zstandard.decompress(raw), width, n)
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted hashes as the byte planes of their differences."""
-    return lay([np.diff(keys, prepend=np.uint64(0))])
+    return planes([np.diff(keys, prepend=np.uint64(0))])
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(lift(raw, 1, (len(raw) - 1) // raw[0])[0]).astype(np.uint64)
+    return np.cumsum(unplanes(raw, 1, (len(raw) - 1) // raw[0])[0]).astype(np.uint64)
 
 
 def bounds(shards: int) -> np.ndarray:
@@ -111,38 +125,51 @@ class Grams:
 
     def asked(self, n: int) -> np.ndarray:
         """Sorted distinct hashes that scoring needs."""
-        return np.unique(self.keys[n] if n < self.order else self.keys[n][: self.n])
+        keys = np.sort(self.wanted(n))
+        return keys[runs(keys)]
+
+    def wanted(self, n: int) -> np.ndarray:
+        return self.keys[n] if n < self.order else self.keys[n][: self.n]
+
+    def numbered(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """``asked(n)``, and where each n-gram is in it."""
+        order = np.argsort(self.wanted(n))
+        keys = self.wanted(n)[order]
+        first = runs(keys)
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+        return keys[first], at
 
 
 class Tally:
     """What a batch sends for one order: sorted hashes, rows of numbers, and a token where each n-gram ends."""
 
     def __init__(self, keys: np.ndarray, place: np.ndarray, values: list[np.ndarray]):
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys = keys[order]
         first = runs(keys)
         self.keys, self.place = keys[first], place[order][first]
-        self.values = [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+        self.values = [np.add.reduceat(v[order], first, dtype=np.int64) if len(first) else v[:0] for v in values]
 
 
 def tallied(grams: Grams, n: int, told: dict[int, dict[int, bytes]], cuts: np.ndarray) -> Tally:
     """The tally of order ``n``, from the counts that the shards of the higher orders told this batch."""
     if n == grams.order:
-        return Tally(grams.keys[n][: grams.n], np.arange(grams.n), [np.ones(grams.n, np.int64)])
+        return Tally(grams.keys[n][: grams.n], np.arange(grams.n), [np.ones(grams.n, np.int8)])
     above = tallied(grams, n + 1, told, cuts)
     times = spread(above.keys, cuts, told[n + 1], 1)[0]
     owned = times > 0
     place, times = above.place[owned], times[owned]
-    keys, nothing, one = grams.keys[n], np.zeros(len(place), np.int64), np.ones(len(place), np.int64)
-    context = [nothing, times, times == 1, times == 2, times >= 3]
+    keys, nothing, one = grams.keys[n], np.zeros(len(place), np.int8), np.ones(len(place), np.int8)
+    context = [nothing, times, (times == 1).view(np.int8), (times == 2).view(np.int8), (times >= 3).view(np.int8)]
     follow = [one, nothing, nothing, nothing, nothing]
     parts = [(keys[grams.before[place]], grams.before[place], context), (keys[place], place, follow)]
     if n == 1:      # words have their counts besides
-        none = np.zeros(grams.n, np.int64)
+        none = np.zeros(grams.n, np.int8)
         parts = [(k, p, [nothing, *v]) for k, p, v in parts]
         parts.append((keys[: grams.n], np.arange(grams.n), [none + 1, *[none] * 5]))
     return Tally(np.concatenate([k for k, _, _ in parts]), np.concatenate([p for _, p, _ in parts]),
-                 [np.concatenate([v[i] for _, _, v in parts]).astype(np.int64) for i in range(len(parts[0][2]))])
+                 [np.concatenate([v[i] for _, _, v in parts]) for i in range(len(parts[0][2]))])
 
 
 def width_of(n: int, order: int) -> int:
@@ -173,6 +200,8 @@ def _rows(rows, names, types):
 
 MESSAGE = "shard int, batch long, k binary, v binary"
 _MESSAGE = ["shard", "batch", "k", "v"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+ASK = "n int, shard int, batch long, k binary"
+_ASK = ["n", "shard", "batch", "k"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 ANSWER = "n int, shard int, batch long, v binary"
 _ANSWER = ["n", "shard", "batch", "v"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
@@ -207,8 +236,8 @@ def discard(stage: DataFrame) -> None:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def gather(rows):
-    """Rows (key, text) → rows (keys, sizes, texts): batches of at most ``BATCH_BYTES`` (or one longer text), compressed."""
+def gather(rows, most: int):
+    """Rows (key, text) → rows (keys, sizes, texts): batches of at most ``most`` bytes (or one longer text), compressed."""
     import zstandard
 
     def packed(parts):
@@ -227,7 +256,7 @@ def gather(rows):
         a = 0
         while a < len(texts):
             # An end symbol counts as a byte, so empty texts fill batches too.
-            b = int(np.searchsorted(off + np.arange(len(off)), off[a] + a + BATCH_BYTES - held, "right")) - 1
+            b = int(np.searchsorted(off + np.arange(len(off)), off[a] + a + most - held, "right")) - 1
             if b <= a and parts:
                 yield packed(parts)
                 parts, held = [], 0
@@ -250,8 +279,9 @@ def opened(sizes: bytes, texts: bytes):
 
 def batched(df: DataFrame, key: str | None, text: str, name: str) -> DataFrame:
     """(keys, sizes, texts, batch), written once, so that a batch is the same to every later step."""
+    most = BATCH_BYTES
     plain = df.select((q(key) if key else F.lit(0)).alias("key"), F.coalesce(q(text), F.lit("")).alias("text"))
-    return materialize(plain.mapInArrow(gather, T.StructType([
+    return materialize(plain.mapInArrow(lambda rows: gather(rows, most), T.StructType([
         T.StructField("keys", T.ArrayType(plain.schema["key"].dataType)), T.StructField("sizes", T.BinaryType()),
         T.StructField("texts", T.BinaryType())])).withColumn("batch", F.monotonically_increasing_id()), name)
 
@@ -292,12 +322,12 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             sizes = [len(k) for k in keys]
             values = np.concatenate([lift(v.as_py(), width, s) for v, s in zip(table["v"], sizes, strict=True)], axis=1)
             keys = np.concatenate(keys)
-            order_ = np.argsort(keys, kind="stable")
+            order_ = np.argsort(keys)
             first = runs(keys[order_])
             sums = [np.add.reduceat(v[order_], first) for v in values]
             f = sums[1 if n == 1 else 0]
             rows = [(shard, None, pack(keys[order_[first]]), lay(sums))]
-            if n > 1:     # the count goes to the first batch that sent the n-gram, all others hear 0
+            if n > 1:     # the count goes to one batch that sent the n-gram, all others hear 0
                 heard = np.zeros(len(keys), np.int64)
                 heard[order_[first]] = f
                 ends = np.cumsum(sizes)
@@ -336,9 +366,9 @@ def mapped(array: np.ndarray) -> np.ndarray:
         return np.memmap(f, dtype=array.dtype, mode="r", shape=array.shape)
 
 
-def log_probabilities(grams: Grams, asked: dict, values: dict, m: dict):
+def log_probabilities(grams: Grams, places: dict, values: dict, m: dict):
     """Per token: training count, log10 of the base, log10 of the model."""
-    at = np.searchsorted(asked[1], grams.keys[1])
+    at = places[1]
     times = values[1][0][at[:-1]]
     base = np.log10((times + 0.1) / (m["n_tokens"] + 0.1 * (m["n_words"] + 1)))
 
@@ -350,7 +380,7 @@ def log_probabilities(grams: Grams, asked: dict, values: dict, m: dict):
         context = at[grams.before[:-1]]
         total, seen = values[n - 1][-4][context], values[n - 1][-3:]
         rest = (np.array(m["discounts"][n]) @ seen)[context]
-        at = np.searchsorted(asked[n], grams.keys[n][: grams.n] if n == m["order"] else grams.keys[n])
+        at = places[n]
         f = kept(values[n][0], n)[at[: grams.n]]
         p = np.where(total > 0, (f + rest * p) / np.maximum(total, 1), p)
     return times, base, np.log10(p)
@@ -361,31 +391,37 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     m, order, cuts = model.numbers(), model.order, bounds(model.shards)
     batches = batched(df, key, text, "lm-batches")
     answers = None
-    for n in range(1, order + 1):
-        width = width_of(n, order)
+    tables = [model.tables[n].withColumn("n", F.lit(n)) for n in range(1, order + 1)]
+    for turn in range(min(ROUNDS, model.shards)):
 
         def ask(rows):
             for row in rows:
                 for batch, sizes, body in zip(row["batch"].to_pylist(), row["sizes"], row["texts"], strict=True):
-                    keys = Grams(opened(sizes.as_py(), body.as_py()), order if n == order else n + 1).asked(n)
-                    yield _rows([(shard, batch, pack(keys[part]), None) for shard, part in by_shard(keys, cuts)], *_MESSAGE)
+                    grams, out = Grams(opened(sizes.as_py(), body.as_py()), order), []
+                    for n in range(1, order + 1):
+                        keys = grams.asked(n)
+                        out += [(n, shard, batch, pack(keys[part])) for shard, part in by_shard(keys, cuts) if shard % ROUNDS == turn]
+                    yield _rows(out, *_ASK)
 
         def answer(asked, held):
             out, arrays = [], None
             if len(held) and len(asked):      # a shard is one row of the model
-                keys = unpack(held["k"][0].as_py())
+                keys, width = unpack(held["k"][0].as_py()), width_of(asked["n"][0].as_py(), order)
                 arrays = mapped(keys), mapped(lift(held["v"][0].as_py(), width, len(keys)))
-            for shard, batch, raw in zip(asked["shard"].to_pylist(), asked["batch"].to_pylist(), asked["k"], strict=True):
+            for n, shard, batch, raw in zip(asked["n"].to_pylist(), asked["shard"].to_pylist(), asked["batch"].to_pylist(), asked["k"], strict=True):
                 keys = unpack(raw.as_py())
-                got = np.zeros((width, len(keys)), np.int64)
+                got = np.zeros((width_of(n, order), len(keys)), np.int64)
                 if arrays is not None:
                     at = ts.member(keys, arrays[0])
                     got[:, at >= 0] = arrays[1][:, at[at >= 0]]
                 out.append((n, shard, batch, lay(got)))
             return pa.Table.from_batches([_rows(out, *_ANSWER)])
 
-        found = materialize(batches.select("batch", "sizes", "texts").mapInArrow(ask, MESSAGE).groupBy("shard").cogroup(
-            model.tables[n].groupBy("shard")).applyInArrow(answer, ANSWER), f"lm-answers{n}")
+        held = tables[0]
+        for table in tables[1:]:
+            held = held.unionByName(table)
+        found = materialize(batches.select("batch", "sizes", "texts").mapInArrow(ask, ASK).groupBy("n", "shard").cogroup(
+            held.where(F.col("shard") % ROUNDS == turn).groupBy("n", "shard")).applyInArrow(answer, ANSWER), f"lm-answers{turn}")
         answers = found if answers is None else answers.unionByName(found)
 
     def sum_up(held, answered):
@@ -393,9 +429,11 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         given: dict = {n: {} for n in range(1, order + 1)}
         for n, shard, v in zip(answered["n"].to_pylist(), answered["shard"].to_pylist(), answered["v"], strict=True):
             given[n][shard] = v.as_py()
-        asked = {n: grams.asked(n) for n in given}
-        values = {n: spread(asked[n], cuts, given[n], width_of(n, order)) for n in given}
-        times, base, log_p = log_probabilities(grams, asked, values, m)
+        places, values = {}, {}
+        for n in given:
+            keys, places[n] = grams.numbered(n)
+            values[n] = spread(keys, cuts, given[n], width_of(n, order))
+        times, base, log_p = log_probabilities(grams, places, values, m)
         first = np.cumsum(grams.count) - grams.count
         keys = held["keys"].combine_chunks()
         return pa.table({"key": keys.values if isinstance(keys, pa.ListArray) else keys.chunk(0).values,
