@@ -158,46 +158,64 @@ def rate_violations(log: DataFrame, delay: float = DEFAULT_DELAY_SECONDS, by=("d
 
 # --- C6/C7: pagination walks -------------------------------------------------
 
-def _walk(listings: DataFrame, starts: DataFrame, max_pages: int, allowed: DataFrame | None,
-          stop_on_disallowed: bool) -> DataFrame:
-    """Listings visited from every start URL, depth 1..max_pages, by pointer
-    doubling on the next-link function: ``J_k(u)`` is the listing ``2^k`` steps
-    after ``u`` (``J_{k+1} = J_k ∘ J_k``), and the listing at depth ``d`` is found
-    by applying ``J_k`` for every bit ``k`` set in ``d - 1``.  That is
-    ``⌈log2 max_pages⌉`` self-joins plus as many joins of the (start, depth)
-    table — independent of the walk length, no driver loop.  A missing next
-    link, or one to a page absent from the table, ends a walk; a cycle is followed until ``max_pages`` (as a sequential
-    walk would); the walk stops before the first disallowed listing."""
+def _walk(listings: DataFrame, details: DataFrame, starts: DataFrame, max_pages: int,
+          allowed: DataFrame | None) -> DataFrame:
+    """Listings visited from every start URL with their depth and the number of items (listings and ``details``) before
+    them: (start_url, url, depth, before), with ``before < max_pages``.
+
+    List ranking by pointer doubling on the next-link function: ``J_k(u)`` is the listing ``2^k`` steps after ``u``, with the
+    items on the way (``J_{k+1} = J_k ∘ J_k``, the counts add up).  A jump over ``max_pages`` items or more is no use to any walk
+    and is left out.  Walks are then unfolded from the widest jump to the narrowest: every listing reached so far also
+    reaches the one a jump ahead, if its count stays under ``max_pages``.  So a listing is generated once per walk that visits it,
+    nothing behind the end of a walk ever is, and there are ``2 ⌈log2 max_pages⌉`` joins, independent of the data.
+
+    A missing next link, or one to a page absent from the table, ends a walk; a cycle is followed until ``max_pages`` (as a
+    sequential walk would); the walk stops before the first disallowed listing."""
     levels = max(1, (max(1, max_pages) - 1).bit_length())
-    # The next-link table is read by every doubling join: materialise it once
-    # (reliable checkpoint in spark.checkpoint.dir, lineage cut).
-    hop0 = listings.select(F.col("url").alias("_u"), F.col("next_url").alias("_v")) \
+    nodes = listings.select(F.col("url").alias("_u"), F.col("next_url").alias("_v")) \
         .filter(F.col("_u").isNotNull()).dropDuplicates(["_u"])
-    hop0 = materialize(hop0, "next-links")
+    if allowed is not None:
+        nodes = nodes.join(_barred(allowed), F.col("_u") == F.col("_barred"), "left_anti")
+    items = details.groupBy(F.col("url").alias("_l")).agg(F.count("*").alias("_n"))
+    # The node table is read by the first jumps twice and by the starts: written once, lineage cut.
+    nodes = materialize(nodes.join(items, F.col("_u") == F.col("_l"), "left").select(
+        "_u", "_v", (F.coalesce("_n", F.lit(0)) + 1).cast("long").alias("_c")), "listings")
+    known = nodes.select(F.col("_u").alias("_v"))
     # ended jumps are left out, so nulls never gather in one join partition
-    hops = [hop0.filter(F.col("_v").isNotNull())]
+    hops = [nodes.filter(F.col("_v").isNotNull() & (F.col("_c") < max_pages)).join(known, "_v", "left_semi")]
     for _ in range(1, levels):
         a, b = hops[-1].alias("a"), hops[-1].alias("b")
         # each level is written once: the next level and the expansion read it,
         # and the plan stays linear instead of doubling with every level
-        hops.append(materialize(a.join(b, F.col("a._v") == F.col("b._u"))
-                                .select(F.col("a._u").alias("_u"), F.col("b._v").alias("_v")), "jump"))
-    rows = starts.select(F.col("url").alias("start_url")).distinct() \
-        .withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(int(max_pages))))) \
-        .withColumn("url", F.col("start_url"))
-    for k, hop in enumerate(hops):
-        bit = F.shiftright(F.col("depth") - 1, k).bitwiseAND(F.lit(1)) == 1
-        rows = rows.join(hop, rows.url == hop._u, "left").withColumn(
-            "url", F.when(bit, F.col("_v")).otherwise(F.col("url"))).drop("_u", "_v").filter(F.col("url").isNotNull())
-    # a next link to a page absent from the listing table ends the walk (no HTML to store or read)
-    rows = rows.join(hop0.select(F.col("_u").alias("url")), "url", "left_semi")
-    if allowed is not None and stop_on_disallowed:
-        ok = allowed.select(F.col("url").alias("_au"), F.col("allowed").alias("_ok")).dropDuplicates(["_au"])
-        rows = rows.join(ok, rows.url == ok._au, "left").withColumn("_ok", F.coalesce("_ok", F.lit(True)))
-        first_bad = rows.filter(~F.col("_ok")).groupBy("start_url").agg(F.min("depth").alias("_bad"))
-        rows = rows.join(first_bad, "start_url", "left").filter(
-            F.col("_bad").isNull() | (F.col("depth") < F.col("_bad"))).drop("_au", "_ok", "_bad")
-    return rows.select("start_url", "url", "depth")
+        hops.append(materialize(a.join(b, F.col("a._v") == F.col("b._u")).select(
+            F.col("a._u").alias("_u"), F.col("b._v").alias("_v"), (F.col("a._c") + F.col("b._c")).alias("_c"))
+            .filter(F.col("_c") < max_pages), "jump"))
+    rows = starts.select(F.col("url").alias("start_url")).distinct().join(
+        known, F.col("start_url") == F.col("_v"), "left_semi").select(
+        "start_url", F.col("start_url").alias("url"), F.lit(1).cast("long").alias("depth"), F.lit(0).cast("long").alias("before"))
+    for k in reversed(range(levels)):
+        here = F.struct("url", "depth", "before")
+        ahead = F.struct(F.col("_v").alias("url"), (F.col("depth") + (1 << k)).alias("depth"),
+                         (F.col("before") + F.col("_c")).alias("before"))
+        reached = F.col("_v").isNotNull() & (F.col("before") + F.col("_c") < max_pages)
+        rows = rows.join(hops[k], F.col("url") == F.col("_u"), "left").select("start_url", F.explode(
+            F.when(reached, F.array(here, ahead)).otherwise(F.array(here))).alias("_at")).select("start_url", "_at.*")
+    return rows.filter(F.lit(0) < max_pages)
+
+
+def _barred(allowed: DataFrame) -> DataFrame:
+    """URLs with a row that disallows them; URLs without a verdict are allowed."""
+    return allowed.filter(~F.col("allowed")).select(F.col("url").alias("_barred")).distinct()
+
+
+def _numbered(walk: DataFrame, details: DataFrame, max_pages: int, number: str) -> DataFrame:
+    """(start_url, number, url, kind) of listings and details.  Details are ranked once per listing, not per walk."""
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("link_idx"))
+    ranked = details.select("url", "link_url", rank.alias("_r")).filter(F.col("_r") < max_pages)
+    items_l = walk.select("start_url", (F.col("before") + 1).alias(number), "url", F.lit("listing").alias("kind"))
+    items_d = walk.join(ranked, "url").select(
+        "start_url", (F.col("before") + 1 + F.col("_r")).alias(number), F.col("link_url").alias("url"), F.lit("detail").alias("kind"))
+    return items_l.unionByName(items_d).filter(F.col(number) <= max_pages).withColumn(number, F.col(number).cast("int"))
 
 
 def walk_pages(listings: DataFrame, details: DataFrame, starts: DataFrame, max_pages: int,
@@ -209,18 +227,10 @@ def walk_pages(listings: DataFrame, details: DataFrame, starts: DataFrame, max_p
     ``listings``: (url, next_url); ``details``: (url, link_idx, link_url);
     ``starts``: (url); ``allowed``: (url, allowed) or None (all allowed).
     Returns (start_url, seq_no, url, kind)."""
-    walk = _walk(listings, starts, max_pages, allowed, stop_on_disallowed=True)
-    items_l = walk.select("start_url", "depth", F.lit(0).alias("kind_no"), F.lit(0).alias("link_idx"), "url")
-    items_d = walk.join(details.select("url", "link_idx", "link_url"), "url").select(
-        "start_url", "depth", F.lit(1).alias("kind_no"), "link_idx", F.col("link_url").alias("url"))
     if allowed is not None:
-        ok = allowed.select(F.col("url").alias("link_url"), F.col("allowed").alias("_ok"))
-        items_d = items_d.join(ok, items_d.url == ok.link_url, "left").filter(F.coalesce("_ok", F.lit(True))) \
-            .drop("link_url", "_ok")
-    items = items_l.unionByName(items_d)
-    seq = F.row_number().over(Window.partitionBy("start_url").orderBy("depth", "kind_no", "link_idx"))
-    return items.withColumn("seq_no", seq).filter(F.col("seq_no") <= max_pages).select(
-        "start_url", "seq_no", "url", F.when(F.col("kind_no") == 0, "listing").otherwise("detail").alias("kind"))
+        details = details.join(_barred(allowed), F.col("link_url") == F.col("_barred"), "left_anti")
+    walk = _walk(listings, details, starts, max_pages, allowed)
+    return _numbered(walk, details, max_pages, "seq_no")
 
 
 def plan_crawl(listings: DataFrame, details: DataFrame, starts: DataFrame, max_pages: int,
@@ -228,14 +238,8 @@ def plan_crawl(listings: DataFrame, details: DataFrame, starts: DataFrame, max_p
     """C7 (enqueue flavour): every emitted job counts; listings are
     robots-checked (a disallowed one ends the walk), details are not.
     Returns (start_url, job_no, url, site_key)."""
-    walk = _walk(listings, starts, max_pages, allowed, stop_on_disallowed=True)
-    items_l = walk.select("start_url", "depth", F.lit(0).alias("kind_no"), F.lit(0).alias("link_idx"), "url")
-    items_d = walk.join(details.select("url", "link_idx", "link_url"), "url").select(
-        "start_url", "depth", F.lit(1).alias("kind_no"), "link_idx", F.col("link_url").alias("url"))
-    items = items_l.unionByName(items_d)
-    seq = F.row_number().over(Window.partitionBy("start_url").orderBy("depth", "kind_no", "link_idx"))
-    return items.withColumn("job_no", seq).filter(F.col("job_no") <= max_pages).select(
-        "start_url", "job_no", "url", F.lit(site_key).alias("site_key"))
+    walk = _walk(listings, details, starts, max_pages, allowed)
+    return _numbered(walk, details, max_pages, "job_no").select("start_url", "job_no", "url", F.lit(site_key).alias("site_key"))
 
 
 # --- C8–C12: jobs, outcomes, retries, progress --------------------------------

@@ -81,6 +81,37 @@ def test_walk_store_and_enqueue_flavours(spark):
     assert seq(P.walk_pages(cyc, details, starts, 7)) == [p1, a, b, p2, c, p1, a]
 
 
+def _sequential_walk(listings, details, start, max_pages, barred, skip_barred_details):
+    out, url = [], start
+    while url in listings and url not in barred and len(out) < max_pages:
+        out.append(url)
+        out += [link for link in details.get(url, []) if not (skip_barred_details and link in barred)]
+        url = listings[url]
+    return out[:max_pages]
+
+
+def test_walks_equal_a_sequential_walk(spark):
+    """Chains, cycles, joined chains, dead links, listings of very unequal size, barred listings and details, many limits."""
+    rng = random.Random(4)
+    urls = [f"u{i}" for i in range(60)]
+    listings = {u: rng.choice([*urls, *urls, None, "gone"]) for u in urls}
+    listings |= {f"c{i}": f"c{i + 1}" for i in range(40)}
+    details = {u: [f"{u}/d{i}" for i in range(rng.choice([0, 0, 1, 3, 30]))] for u in listings}
+    barred = {"u7", "c33", *(d for ds in details.values() for d in ds if rng.random() < 0.2)}
+    frames = (spark.createDataFrame(list(listings.items()), "url string, next_url string"),
+              spark.createDataFrame([(u, i, d) for u, ds in details.items() for i, d in enumerate(ds)], "url string, link_idx int, link_url string"),
+              spark.createDataFrame([(u,) for u in [*listings, "nowhere", None, "u3"]], "url string"))
+    allowed = spark.createDataFrame([(u, False) for u in barred] + [("u1", True), ("u2", None)], "url string, allowed boolean")
+    for limit in (0, 1, 2, 7, 33, 64):
+        for verdicts, bad in ((None, set()), (allowed, barred)):
+            for build, col, skip in ((P.walk_pages, "seq_no", True), (P.plan_crawl, "job_no", False)):
+                got = {}
+                for r in sorted(build(*frames, limit, verdicts).collect(), key=lambda r: r[col]):
+                    got.setdefault(r["start_url"], []).append((r[col], r["url"]))
+                want = {u: _sequential_walk(listings, details, u, limit, bad, skip) for u in listings}
+                assert got == {u: list(enumerate(w, 1)) for u, w in want.items() if w}
+
+
 def test_resolve_attempts(spark):
     rows = [(1, 1, 503), (1, 2, 200), (2, 1, 503), (2, 2, 503), (3, 1, 404), (3, 2, 200), (4, 1, 429)]
     df = spark.createDataFrame(rows, "job_id long, attempt int, status int").withColumn(
