@@ -11,7 +11,7 @@ from pagelake.operators import pipeline as PL
 from pagelake.operators.planning import classify_fetch, resolve_attempts
 from pagelake.plans import sqlfrag as S
 from pagelake.plans.q_columns import _ALL_PAGES_TAIL, _TABLE_ROWS_TAIL
-from pagelake.plans.registry import V, page_log, query, rnd6, with_views
+from pagelake.plans.registry import V, page_observations, query, rnd6, with_views
 from pagelake.sources import tables as io
 
 
@@ -143,8 +143,7 @@ FROM pieces WHERE chunk_text <> ''"""
 def p10(spark, sf):
     """The whole chain over the crawl log, run twice (the replay writes nothing
     new); the chunk table is read back."""
-    obs = page_log(spark, sf).join(V(spark, sf, "pages").select(F.col("url"), F.col("html").alias("raw_html")), "url")
-    obs = obs.select("id", "url", "raw_html", "extracted_text", "content_hash", "fetched_at")
+    obs = page_observations(spark, sf)
     paths = PL.pipeline_paths(spark, "p10")
     as_of = dt.datetime(2024, 2, 1)
     PL.run_pipeline(spark, obs, paths, as_of)

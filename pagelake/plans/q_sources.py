@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pagelake.plans.q_pipeline import p8
-from pagelake.plans.registry import V, page_log, query, sql_ts, ts_str, with_views
+from pagelake.plans.registry import V, page_observations, query, sql_ts, ts_str, with_views
 from pagelake.sources import tables as io
 
 
@@ -17,8 +17,7 @@ def s1(spark, sf):
 
 
 def _obs(spark, sf):
-    obs = page_log(spark, sf).join(V(spark, sf, "pages").select("url", F.col("html").alias("raw_html")), "url")
-    return obs.select("id", "url", "raw_html", "extracted_text", "content_hash", "fetched_at")
+    return page_observations(spark, sf)
 
 
 @query("S2_append_pages", with_views("page_versions") + f"""

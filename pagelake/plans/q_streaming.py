@@ -11,7 +11,7 @@ from pagelake.functions.html import content_hash
 from pagelake.operators import pipeline as PL
 from pagelake.plans.q_pipeline import _P10_SQL
 from pagelake.plans.q_versions import _COLLAPSED
-from pagelake.plans.registry import V, page_log, query, sql_ts, ts_str, with_views
+from pagelake.plans.registry import V, page_observations, query, sql_ts, ts_str, with_views
 from pagelake.sources import tables as io
 from pagelake.streaming import pipeline as ST
 
@@ -21,8 +21,7 @@ AS_OF = dt.datetime(2024, 2, 1)
 
 
 def _observations(spark, sf):
-    obs = page_log(spark, sf).join(V(spark, sf, "pages").select("url", F.col("html").alias("raw_html")), "url")
-    return obs.select("id", "url", "raw_html", "extracted_text", "content_hash", "fetched_at")
+    return page_observations(spark, sf)
 
 
 @query("T1_stream_pipeline", _P10_SQL)

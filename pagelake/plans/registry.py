@@ -52,6 +52,14 @@ def page_log(spark: SparkSession, sf: str) -> DataFrame:
     return V(spark, sf, "page_versions").withColumn("content_hash", content_hash("extracted_text"))
 
 
+def page_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """The log with raw HTML: that of the page table, a plain body for URLs it lacks."""
+    html = V(spark, sf, "pages").select("url", F.col("html").alias("raw_html"))
+    body = F.concat(F.lit("<html><body>"), "extracted_text", F.lit("</body></html>"))
+    return page_log(spark, sf).join(html, "url", "left").select(
+        "id", "url", F.coalesce("raw_html", body).alias("raw_html"), "extracted_text", "content_hash", "fetched_at")
+
+
 # Import the query modules so that they register themselves.
 from pagelake.plans import q_columns, q_pipeline, q_planning, q_retrieval, q_sources, q_streaming, q_versions  # noqa: E402,F401,I001
 

@@ -15,16 +15,17 @@ from pagelake.sources.tables import read_table
 
 _SPARK = {
     "page_versions": ("pages documents", """
-        SELECT p.page_id * 10 + v.k AS id, p.url,
-               concat(d.text, CASE WHEN (p.page_id + v.k) % 3 = 0 THEN ' (revised)' ELSE '' END) AS extracted_text,
-               CAST(DATE '2024-01-01' + CAST(least(v.k, CASE WHEN p.page_id % 7 = 0 THEN 2 ELSE 3 END) AS INT)
+        SELECT d.doc_id * 10 + v.k AS id,
+               coalesce(p.url, concat('https://docs.example.com/', d.doc_id)) AS url,
+               concat(d.text, CASE WHEN (d.doc_id + v.k) % 3 = 0 THEN ' (revised)' ELSE '' END) AS extracted_text,
+               CAST(DATE '2024-01-01' + CAST(least(v.k, CASE WHEN d.doc_id % 7 = 0 THEN 2 ELSE 3 END) AS INT)
                     AS TIMESTAMP) AS fetched_at
-        FROM {pages} p JOIN {documents} d ON d.doc_id = p.page_id
+        FROM {documents} d LEFT JOIN {pages} p ON p.page_id = d.doc_id
         LATERAL VIEW explode(sequence(0, 3)) v AS k"""),
     "chunks_v": ("embeddings", """
         SELECT vec_id AS chunk_id,
-               (vec_id % 50) * 10 + CAST(floor(vec_id / 50) AS BIGINT) % 4 AS page_id,
-               CAST(floor(vec_id / 200) AS INT) AS chunk_index,
+               vec_id DIV 10 * 10 + vec_id % 4 AS page_id,
+               CAST(vec_id % 10 DIV 4 AS INT) AS chunk_index,
                concat('chunk ', vec_id) AS chunk_text, embedding
         FROM {embeddings}"""),
     "queries_all": ("embeddings", """
@@ -56,7 +57,7 @@ _SPARK = {
         FROM (SELECT CAST(floor(p_partkey / 3) AS BIGINT) AS n FROM {part} WHERE p_partkey % 3 = 0) t"""),
     "requests_v": ("events", """
         SELECT event_id AS request_id, event_id % 3 AS worker,
-               concat('h', user_id % 20, '.example.com') AS domain, ts
+               concat('h', user_id DIV 10, '.example.com') AS domain, ts
         FROM {events}"""),
     "attempts_v": ("events", """
         SELECT CAST(floor(event_id / 3) AS BIGINT) AS job_id, CAST(event_id % 3 + 1 AS INT) AS attempt, ts AS at,
@@ -104,16 +105,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 SQL_CTES = {
     "page_versions": """page_versions AS (
-        SELECT p.page_id * 10 + v.k AS id, p.url,
-               concat(d.text, CASE WHEN (p.page_id + v.k) % 3 = 0 THEN ' (revised)' ELSE '' END) AS extracted_text,
-               CAST(DATE '2024-01-01' + CAST(least(v.k, CASE WHEN p.page_id % 7 = 0 THEN 2 ELSE 3 END) AS INT)
+        SELECT d.doc_id * 10 + v.k AS id,
+               coalesce(p.url, concat('https://docs.example.com/', d.doc_id)) AS url,
+               concat(d.text, CASE WHEN (d.doc_id + v.k) % 3 = 0 THEN ' (revised)' ELSE '' END) AS extracted_text,
+               CAST(DATE '2024-01-01' + CAST(least(v.k, CASE WHEN d.doc_id % 7 = 0 THEN 2 ELSE 3 END) AS INT)
                     AS TIMESTAMP) AS fetched_at
-        FROM pages p JOIN documents d ON d.doc_id = p.page_id
+        FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id
         CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k))""",
     "chunks_v": """chunks_v AS (
         SELECT vec_id AS chunk_id,
-               (vec_id % 50) * 10 + CAST(floor(vec_id / 50) AS BIGINT) % 4 AS page_id,
-               CAST(floor(vec_id / 200) AS INT) AS chunk_index,
+               vec_id // 10 * 10 + vec_id % 4 AS page_id,
+               CAST(vec_id % 10 // 4 AS INT) AS chunk_index,
                concat('chunk ', vec_id) AS chunk_text, embedding
         FROM embeddings)""",
     "queries_all": """queries_all AS (
@@ -145,7 +147,7 @@ SQL_CTES = {
         FROM (SELECT CAST(floor(p_partkey / 3) AS BIGINT) AS n FROM part WHERE p_partkey % 3 = 0) t)""",
     "requests_v": """requests_v AS (
         SELECT event_id AS request_id, event_id % 3 AS worker,
-               concat('h', user_id % 20, '.example.com') AS domain, ts
+               concat('h', user_id // 10, '.example.com') AS domain, ts
         FROM events)""",
     "attempts_v": """attempts_v AS (
         SELECT CAST(floor(event_id / 3) AS BIGINT) AS job_id, CAST(event_id % 3 + 1 AS INT) AS attempt, ts AS at,
