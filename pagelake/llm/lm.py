@@ -217,6 +217,12 @@ class Model:
     def numbers(self) -> dict:
         return {k: v for k, v in vars(self).items() if k != "tables"}
 
+    def discard(self) -> None:
+        """Deletes the arrays, after the last ``score`` (which has its answers written when it returns)."""
+        for table in self.tables.values():
+            discard(table)
+        self.tables = {}
+
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts; where a count of counts is zero the plain discount stands in."""
@@ -449,6 +455,8 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.where(fold("doc_id", 10) != 0))
-    return score(docs, model).select(
+    scored = score(docs, model)
+    model.discard()
+    return scored.select(
         "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -271,7 +271,9 @@ def test_language_model_equals_brute_force(spark, monkeypatch, order):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = lm.train(df.where((F.crc32(F.col("doc_id").cast("string")) % 10) != 0), order=order)
     want = brute_lm(rows, train, order)
-    got = lm.score(df, model).collect()
+    scored = lm.score(df, model)
+    model.discard()
+    got = scored.collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_tokens"], r["n_known"]) == want[r["doc_id"]][:2]
