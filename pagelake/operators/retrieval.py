@@ -32,7 +32,7 @@ NO_CONTENT_ANSWER = (
 # Rows of a tile of query and of chunk vectors: one matrix product each pair.
 QUERY_TILE = 1024
 CHUNK_TILE = 4096
-# Query tiles up to this many bytes (measured first) go to every task; beyond it, tiles of both sides meet by slot.
+# Query tiles up to this many bytes (measured first) go to every task; beyond it, tiles of both sides are written and read in pairs.
 BROADCAST_BYTES = 8 << 20
 # A task hands on what it holds when its best candidates exceed this many rows.
 HELD_ROWS = 1 << 20
@@ -116,11 +116,10 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
 
     ``queries``: (query_id, embedding); ``chunks``: (chunk_id, embedding, payload…), chunk ids unique.  Both sides are packed
     as tiles of vectors, and every pair of tiles is one matrix product.  Query tiles of a measured size are broadcast;
-    larger sets meet the chunk tiles in slots of a shuffle, where each chunk tile moves once.  Payload is joined to the
-    top k at the end.  Returns (query_id, rank, chunk_id, distance, payload…)."""
+    of larger sets every partition of written query tiles meets every partition of written chunk tiles, so that no vector
+    is shuffled and a query has ``k`` candidates per partition of chunk tiles.  Payload is joined to the top k at the end.  Returns (query_id, rank, chunk_id, distance, payload…)."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    spark = queries.sparkSession
     q_type, c_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
     out = T.StructType([T.StructField("query_id", q_type), T.StructField("chunk_id", c_type), T.StructField("distance", T.DoubleType())])
     q_tiles = materialize(_tiles(queries.select("query_id", "embedding").distinct(), "query_id", QUERY_TILE), "query-tiles")
@@ -130,9 +129,7 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
     if size <= broadcast_bytes:
         pairs = c_tiles.crossJoin(F.broadcast(q_tiles))
     else:
-        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        everywhere = q_tiles.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        pairs = c_tiles.withColumn("slot", F.pmod(F.hash("tile"), F.lit(slots))).join(everywhere.hint("merge"), "slot")
+        pairs = q_tiles.hint("shuffle_replicate_nl").crossJoin(materialize(c_tiles, "chunk-tiles"))
     dtypes = [np.int64 if isinstance(t, T.LongType) else object for t in (q_type, c_type)]
     cands = pairs.select("q_tile", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_kernel(k, dtypes), out)
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")

@@ -176,3 +176,10 @@ def test_named_entry_points(spark):
     assert [r["url"] for r in R.get_page(pages, 2).collect()] == ["b"] and R.get_page(pages, 9).count() == 0
     docs = spark.createDataFrame([(1, "x" * 1200)], "page_id long, text string")
     assert [r["chunk_index"] for r in PL.chunk_text(docs).collect()] == [0, 1, 2]
+
+
+def test_knn_of_many_queries_shuffles_no_vector(spark):
+    vectors = spark.range(50).selectExpr("id as query_id", "id as chunk_id", "id as page_id", "0 as chunk_index", "'t' as chunk_text",
+                                         "array(cast(id as float), 1f) as embedding")
+    plan = R.knn(vectors, vectors, k=2, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
