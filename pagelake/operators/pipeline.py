@@ -8,9 +8,13 @@ batch (or replaying it after a crash) writes nothing twice.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,26 +92,51 @@ def chunk_pages(processed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHU
     return unnest(processed, ["page_id"], chunk_column(F.col("text"), F.col("tables"), size, overlap), "chunk_index", "chunk_text")
 
 
+# Buckets of this many distinct tokens are remembered by a task.
+KNOWN_TOKENS = 1 << 18
+
+
 def hashing_vector(text, dim: int = DEFAULT_DIM) -> Column:
     """Default embedder: lower-cased letter/digit tokens hashed into ``dim``
     buckets by the first 32 bits of their MD5, counted and L2-normalised.
-    Reproducible; not a language model.  Built-in expressions only; ``dim`` at most 20,000."""
+    Reproducible; not a language model.  Tokens are cut by expressions and counted in Arrow batches; ``dim`` at most 20,000."""
     if not 1 <= dim <= 20_000:
         raise ValueError("dim must be from 1 to 20000")
-    tokens = F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), TOKEN_SPLIT_RE), lambda t: t != "")
-    # one letter for each bucket, so that a bucket's count is the length its letter takes up in the text of all of them
-    letters = F.split(F.lit(" ".join(chr(0x4E00 + i) for i in range(dim))), " ")
-    written = F.array_join(F.transform(tokens, lambda t: F.get(
-        letters, (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int"))), "")
-
-    def counted(w):
-        return F.transform(letters, lambda c: (F.octet_length(w) - F.octet_length(F.replace(w, c, F.lit("")))) / F.lit(3.0))
-
-    def normalised(counts):
-        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
-        return let(length, lambda n: F.transform(counts, lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0)).cast("float")))
-
-    return let(written, lambda w: F.when(w.isNotNull(), let(counted(w), normalised)))
+    rows = max(1, (1 << 20) // dim)  # texts counted at once
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = {}
+
+        def buckets(tokens):
+            for t in tokens:
+                b = known.get(t)
+                if b is None:
+                    if len(known) >= KNOWN_TOKENS:
+                        known.clear()
+                    b = known[t] = int.from_bytes(md5(t.encode(), usedforsecurity=False).digest()[:4], "big") % dim
+                yield b
+
+        def vectors(texts):
+            tokens = [t.split() if t else () for t in texts]
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            at = np.fromiter(buckets(chain.from_iterable(tokens)), np.int64, int(sizes.sum()))
+            at += np.repeat(np.arange(len(tokens)) * dim, sizes)
+            counts = np.bincount(at, minlength=len(tokens) * dim).reshape(len(tokens), dim).astype(np.float64)
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            return np.divide(counts, length, out=counts, where=length > 0).astype(np.float32).ravel()
+
+        for batch in batches:
+            texts = batch.to_pylist()
+            missing = batch.is_null().to_numpy(zero_copy_only=False)
+            offsets = np.append(np.cumsum(~missing) - ~missing, (~missing).sum()).astype(np.int32) * np.int32(dim)
+            held = [t for t in texts if t is not None]
+            flat = [vectors(held[i:i + rows]) for i in range(0, len(held), rows)]
+            flat = np.concatenate(flat) if flat else np.empty(0, np.float32)
+            yield pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), pa.array(flat, pa.float32()))
+
+    # Tokens hold letters and digits alone, so blanks between them are all that Python cuts at.
+    return counted(F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), TOKEN_SPLIT_RE, " "))
 
 
 def embed(df: DataFrame, col: str = "chunk_text", embedder=None, dim: int = DEFAULT_DIM,
@@ -177,9 +206,11 @@ def attach_url(dead: DataFrame, pages: DataFrame, key: str = "page_id") -> DataF
 def dedup_by_page(processed: DataFrame) -> DataFrame:
     """One processed record per page version — the newest by
     ``processed_at DESC, id DESC`` (aggregation, so redelivery storms on one
-    page are combined map-side)."""
+    page are combined map-side).  The ids of superseded records are written first, so that the
+    whole records are shuffled only where these are too many to broadcast."""
     keep = latest_ids(processed, key="page_id", order=("processed_at", "id"))
-    return processed.join(keep, "id", "left_semi")
+    superseded = materialize(processed.select("id").distinct().join(keep, "id", "left_anti"), "superseded")
+    return processed.where(F.col("id").isNotNull()).join(superseded, "id", "left_anti")
 
 
 def dead_letters(rejected: DataFrame, task_name: str, as_of: dt.datetime, attempt_count: int | Column = 1) -> DataFrame:

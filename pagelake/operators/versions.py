@@ -9,6 +9,9 @@ in :mod:`pagelake.plans.scan`.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,8 +84,8 @@ def versions_on_arrival(unseen: DataFrame, heads: DataFrame, key: str = "url", o
 
     A row is compared with the head on arrival.  Rows older than the stored head (late ones) leave it as it is, so each
     is compared with that head; of the others the first is compared with the head and every further one with its
-    predecessor.  Only narrow columns are scanned; wide rows are kept by id at the end.  Of rows with equal id but other
-    content the least by (key, order, hash) counts."""
+    predecessor.  Only narrow columns are scanned; wide rows are kept by id at the end, where one shuffle by id serves the
+    join and the choice of one delivery.  Of rows with equal id but other content the least by (key, order, hash) counts."""
     columns = list(dict.fromkeys([key, *order, "id", hash_col]))
     narrow = unseen.groupBy("id").agg(F.min(F.struct(*columns)).alias("_r")).select("_r.*")
     known = heads.select(F.col(key), F.col(hash_col).alias("_head_hash"), F.struct(*order).alias("_head"))
@@ -93,7 +96,10 @@ def versions_on_arrival(unseen: DataFrame, heads: DataFrame, key: str = "url", o
     before = F.when(F.col("_rn") == 1, F.col("_head_hash")).otherwise(F.col(f"prev_{hash_col}"))
     kept = scanned.where(before.isNull() | (before != F.col(hash_col))).select(columns)
     kept = kept.unionByName(placed.where(F.col("_late") & (F.col(hash_col) != F.col("_head_hash"))).select(columns))
-    return one_delivery(unseen.join(kept, columns, "left_semi"))
+    # The other columns are compared as ranges, so that the join, like one_delivery, is by id alone.
+    kept = kept.toDF(*[f"_kept_{c}" for c in columns])
+    same = [F.col(c).between(F.col(f"_kept_{c}"), F.col(f"_kept_{c}")) for c in columns if c != "id"]
+    return one_delivery(unseen.join(kept, reduce(and_, same, F.col("id") == F.col("_kept_id")), "left_semi"))
 
 
 def new_versions(stored: DataFrame, incoming: DataFrame, key: str = "url",

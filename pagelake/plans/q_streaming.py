@@ -31,7 +31,7 @@ def t1(spark, sf):
     base = io.scratch_path(spark, "t1")
     paths = PL.table_paths(base)
     for part in ST.arrivals(_observations(spark, sf), cuts=CUTS):
-        part.write.mode("append").parquet(f"{base}/incoming")
+        io.append(part, f"{base}/incoming")
         ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF)
     ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF)
     chunks = PL.read_output(spark, paths, "chunks")
@@ -44,7 +44,7 @@ def t2(spark, sf):
     """Change detection over two arrivals equals the batch collapse (V4)."""
     base = io.scratch_path(spark, "t2")
     for part in ST.arrivals(_observations(spark, sf), cuts=CUTS):
-        part.write.mode("append").parquet(f"{base}/incoming")
+        io.append(part, f"{base}/incoming")
         ST.stream_versions(spark, f"{base}/incoming", f"{base}/versions", f"{base}/_checkpoint")
     v = ST.read_versions(spark, f"{base}/versions")
     return v.select("id", "url", "content_hash", ts_str("fetched_at").alias("fetched_at"))
@@ -68,7 +68,7 @@ def t3(spark, sf):
     base = io.scratch_path(spark, "t3")
     paths, incoming, checkpoint = PL.table_paths(base), f"{base}/incoming", f"{base}/_checkpoint"
     for part in ST.arrivals(_observations(spark, sf), cuts=CUTS):
-        part.unionByName(part).write.mode("append").parquet(incoming)
+        io.append(part.unionByName(part), incoming)
         try:
             ST.stream_pipeline(spark, incoming, paths, checkpoint, AS_OF, before_commit=_crash_in(1))
         except StreamingQueryException:
@@ -98,7 +98,7 @@ def t4(spark, sf):
     obs = obs.withColumn("extracted_text", F.when(F.col("id") % 9 == 0, "").otherwise(F.col("extracted_text")))
     obs = obs.withColumn("content_hash", content_hash("extracted_text"))
     for part in ST.arrivals(obs, cuts=CUTS):
-        part.write.mode("append").parquet(f"{base}/incoming")
+        io.append(part, f"{base}/incoming")
         ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF, embedder=no_revised, dim=2)
     dead = PL.read_output(spark, paths, "dead_letters")
     return dead.select("url", "task_name", "error", F.col("attempt_count").cast("long").alias("attempt_count"))

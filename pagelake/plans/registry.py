@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.sources.fixtures import view, with_views
+from pagelake.sources.fixtures import versions_with_html, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,10 +54,12 @@ def page_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_observations(spark: SparkSession, sf: str) -> DataFrame:
     """The log with raw HTML: that of the page table, a plain body for URLs it lacks."""
-    html = V(spark, sf, "pages").select("url", F.col("html").alias("raw_html"))
+    from pagelake.functions.html import content_hash
+
     body = F.concat(F.lit("<html><body>"), "extracted_text", F.lit("</body></html>"))
-    return page_log(spark, sf).join(html, "url", "left").select(
-        "id", "url", F.coalesce("raw_html", body).alias("raw_html"), "extracted_text", "content_hash", "fetched_at")
+    return versions_with_html(spark, sf).select(
+        "id", "url", F.coalesce("raw_html", body).alias("raw_html"), "extracted_text",
+        content_hash("extracted_text").alias("content_hash"), "fetched_at")
 
 
 # Import the query modules so that they register themselves.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelake.session import TABLE_CODEC, shuffles_dropped
 from pagelake.sources.tables import conform
 
 COUNTED = ("pages", "processed", "chunks", "dead_letters")
@@ -59,7 +60,8 @@ class Ledger:
 
     def write(self, df: DataFrame, table: str, epoch: int, schema: T.StructType) -> None:
         """One job, which replaces what an uncommitted run of the epoch left."""
-        conform(df, schema).write.mode("overwrite").parquet(f"{self.path(table)}/epoch={epoch}")
+        with shuffles_dropped(self.spark):
+            conform(df, schema).write.mode("overwrite").option("compression", TABLE_CODEC).parquet(f"{self.path(table)}/epoch={epoch}")
 
     def epochs(self, table: str, schema: T.StructType, epochs) -> DataFrame:
         """Rows of the epochs named; no other folder is listed."""

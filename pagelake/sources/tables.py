@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.session import ensure_checkpoint_dir
+from pagelake.session import TABLE_CODEC, ensure_checkpoint_dir, shuffles_dropped
 
 log = logging.getLogger(__name__)
 
@@ -99,7 +99,8 @@ def conform(df: DataFrame, schema: T.StructType | None) -> DataFrame:
 
 def append(df: DataFrame, path: str, schema: T.StructType | None = None) -> None:
     """Append one batch as one job: the batch becomes visible whole or not at all."""
-    conform(df, schema).write.mode("append").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        conform(df, schema).write.mode("append").option("compression", TABLE_CODEC).parquet(path)
 
 
 def append_pages(df: DataFrame, path: str) -> None:
@@ -134,7 +135,11 @@ def append_dead_letters(df: DataFrame, path: str) -> bool:
 
 def write_dead_letters(df: DataFrame, path: str) -> bool:
     """S5 for one epoch: the same, replacing what an uncommitted run left."""
-    return _quiet(lambda: conform(df, DEAD_LETTER_SCHEMA).write.mode("overwrite").parquet(path), path)
+    def write():
+        with shuffles_dropped(df.sparkSession):
+            conform(df, DEAD_LETTER_SCHEMA).write.mode("overwrite").option("compression", TABLE_CODEC).parquet(path)
+
+    return _quiet(write, path)
 
 
 def reset_table(spark: SparkSession, path: str, schema: T.StructType) -> None:

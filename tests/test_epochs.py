@@ -175,3 +175,34 @@ def test_stream_versions(spark, tmp_path):
         ST.stream_versions(spark, incoming, out, str(tmp_path / "ck"))
     assert sorted(r["id"] for r in ST.read_versions(spark, out).collect()) == [1, 2, 4, 6, 9]
     assert ST.read_versions(spark, out).where(F.col("url") == "v").count() == 2
+
+
+def test_pages_are_shuffled_once_by_id(spark, monkeypatch):
+    from pagelake.operators.versions import heads_of, versions_on_arrival
+
+    rows = obs(spark, FIRST + FIRST + SECOND)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = versions_on_arrival(rows, heads_of(obs(spark, [])))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("fetched_at" in line for line in dealt)
+    assert sum("hashpartitioning(id#" in line for line in dealt) == 2  # the pages, and ids with hashes of late ones
+    assert sorted(r["id"] for r in out.collect()) == [1, 2, 4, 6]
+
+
+def test_a_table_leaves_no_shuffle_files(spark, tmp_path):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    io.append(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path / "t"))
+    assert tracker.shuffleStatuses().size() <= before
+
+
+def test_superseded_records_go_without_a_shuffle_of_the_others(spark):
+    rows = spark.createDataFrame([(1, 10, "a", 1), (2, 10, "b", 2), (3, 11, "c", 1), (None, 12, "d", 1)], "id long, page_id long, text string, processed_at int")
+    out = PL.dedup_by_page(rows)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in out.collect()) == [2, 3]
