@@ -9,6 +9,8 @@ those partial results.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -256,10 +258,10 @@ def keyword_search_table(processed: DataFrame, pages: DataFrame, queries: DataFr
                          literal: bool = False, gram: int = 3) -> DataFrame:
     """R3 (+R4) for a table of queries (column ``query``): the hits of :func:`keyword_search` for each distinct query.
 
-    An inverted index of the current texts, with character n-grams up to ``gram``, is restricted to the n-grams that
-    queries hold.  Of each query the n-gram that the fewest texts hold finds its candidates, and ``ILIKE`` decides on
-    them, so a text meets only the queries that share a rare n-gram with it.  Queries without any literal character
-    meet all texts.  Null and empty queries have no hits."""
+    The texts that hold each character n-gram (up to ``gram``) of a query are counted.  Of each query the n-gram that the
+    fewest texts hold finds its candidates, for which an inverted index of these n-grams alone is written, and ``ILIKE``
+    decides on them, so a text meets only the queries that share a rare n-gram with it.  Queries without any literal
+    character meet all texts.  Null and empty queries have no hits."""
     if not 1 <= limit <= 50:
         raise ValueError("limit must be within 1..50")
     asked = queries.select("query").where(F.coalesce(F.col("query"), F.lit("")) != "").distinct()
@@ -271,15 +273,12 @@ def keyword_search_table(processed: DataFrame, pages: DataFrame, queries: DataFr
                           F.explode(F.when(F.size(grams) > 0, grams).otherwise(F.array(F.lit("")))).alias("gram"))
     wanted = materialize(wanted, "query-grams")
     current = restrict_to_latest(processed, pages)
-    held = F.array_distinct(let(F.split(F.lower("text"), ""), lambda letters: F.concat(
-        F.array(F.lit("")), *[_windows(letters, n) for n in range(1, gram + 1)])))
-    postings = materialize(current.select("id", F.explode(held).alias("gram")).join(
-        wanted.select("gram").distinct(), "gram", "left_semi"), "postings")
-    counts = postings.groupBy("gram").agg(F.count("*").alias("texts"))
+    counts = _held(current, wanted.select("gram").distinct(), gram, count=True)
     # A query with an n-gram that no text holds has no hit.
-    rarest = wanted.join(counts, "gram", "left").groupBy("query", "pattern").agg(
+    rarest = materialize(wanted.join(counts, "gram", "left").groupBy("query", "pattern").agg(
         F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("rare")).select(
-        "query", "pattern", F.col("rare.gram").alias("gram"))
+        "query", "pattern", F.col("rare.gram").alias("gram")), "rarest-grams")
+    postings = materialize(_held(current, rarest.select("gram").distinct(), gram), "postings")
     candidates = rarest.join(postings, "gram").select("query", "pattern", "id")
     hits = candidates.join(current.select("id", "page_id", "text"), "id").where(
         F.ilike(F.col("text"), F.col("pattern"))).select("query", "page_id", "id")
@@ -291,6 +290,48 @@ def keyword_search_table(processed: DataFrame, pages: DataFrame, queries: DataFr
         snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
+def _held(texts: DataFrame, grams: DataFrame, longest: int, count: bool = False, known_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, gram): which of ``grams`` each lower-cased text holds, each once; with ``count`` (gram, texts), how many texts hold it.
+
+    A table of n-grams that is measured to be small goes to every task, where each window of a text is looked up;
+    a larger one is joined to the n-grams of all texts."""
+    if (grams.agg(F.sum(F.octet_length("gram") + 8)).first()[0] or 0) > known_bytes:
+        held = F.array_distinct(let(F.split(F.lower("text"), ""), lambda letters: F.concat(
+            F.array(F.lit("")), *[_windows(letters, n) for n in range(1, longest + 1)])))
+        found = texts.select("id", F.explode(held).alias("gram")).join(grams, "gram", "left_semi")
+        return found.groupBy("gram").agg(F.count("*").alias("texts")) if count else found
+    by_length = {}
+    for r in grams.collect():
+        by_length.setdefault(len(r["gram"]), set()).add(r["gram"])
+
+    def held_in(text):
+        out = []
+        for n, known in by_length.items():
+            if n == 0:
+                out.append("")
+            else:
+                out.extend(known.intersection(map("".join, zip(*(text[k:] for k in range(n)), strict=False)) if n > 1 else text))
+        return out
+
+    def index(it):
+        for batch in it:
+            found = [held_in(t) for t in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([g for f in found for g in f], pa.string())], names=["id", "gram"])
+
+    def counted(it):
+        n = Counter()
+        for batch in it:
+            for t in batch.column(1).to_pylist():
+                n.update(held_in(t))
+        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["gram", "texts"])
+
+    lowered = texts.where("text is not null").select("id", F.lower("text").alias("text"))
+    if count:
+        return lowered.mapInArrow(counted, "gram string, texts long").groupBy("gram").agg(F.sum("texts").alias("texts"))
+    return lowered.mapInArrow(index, T.StructType([texts.schema["id"], T.StructField("gram", T.StringType())]))
+
+
 def _windows(letters: Column, n: int) -> Column:
     """All n-grams of an array of characters, in one pass; at the end also shorter ones."""
     if n == 1:

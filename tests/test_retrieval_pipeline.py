@@ -183,3 +183,13 @@ def test_knn_of_many_queries_shuffles_no_vector(spark):
                                          "array(cast(id as float), 1f) as embedding")
     plan = R.knn(vectors, vectors, k=2, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "explode" not in plan
+
+
+@pytest.mark.parametrize("known", [0, 1 << 20])
+def test_only_wanted_grams_are_held(spark, known):
+    texts = spark.createDataFrame([(1, "The THE"), (2, None), (3, ""), (4, "ätherisch")], "id long, text string")
+    grams = spark.createDataFrame([("the",), ("e",), ("",), ("zz",), ("\u00e4t",)], "gram string")
+    got = sorted((r["id"], r["gram"]) for r in R._held(texts, grams, 3, known_bytes=known).collect())
+    assert got == [(1, ""), (1, "e"), (1, "the"), (3, ""), (4, ""), (4, "e"), (4, "the"), (4, "\u00e4t")]
+    counts = {r["gram"]: r["texts"] for r in R._held(texts, grams, 3, count=True, known_bytes=known).collect()}
+    assert counts == {"": 3, "e": 2, "the": 2, "\u00e4t": 1}
