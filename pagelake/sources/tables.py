@@ -66,6 +66,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt evenly to the shuffle partitions, ahead of expressions that cost much per row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw page table as ``(id, url, raw_html)``."""
     return read_table(spark, sf_dir, "pages").select(

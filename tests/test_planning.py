@@ -148,3 +148,13 @@ def test_backoff_jitter_is_bounded_and_deterministic(spark):
     assert a == b
     for (_, r), c in a.items():
         assert 0 <= c <= min(300, 2 ** r) and c == int(c)
+
+
+def test_made_pages_are_parsed_in_many_tasks(spark, tmp_path):
+    from pagelake.sources.fixtures import view
+
+    spark.range(100).selectExpr("id as p_partkey", "concat('a ', id) as p_name", "'t' as p_type", "'b' as p_brand", "1.5 as p_retailprice") \
+        .coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name, n in (("product_pages", 100), ("listing_pages", 34)):
+        pages = view(spark, str(tmp_path), name)
+        assert pages.rdd.getNumPartitions() == 8 and pages.count() == n
