@@ -140,6 +140,74 @@ def test_line_links_against_brute_force(spark):
     assert all(p in got for n, p in pairs if n >= 20)
 
 
+def groups_of(edges) -> dict:
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    return {x: find(x) for x in root}
+
+
+def linked_as(spark, texts, near):
+    """The groups of line_links, and those of the pairs ``near``, as sets of texts."""
+    distinct = lines.distinct_lines(lines.line_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"))
+    text = {r["number"]: r["line"] for r in distinct.collect()}
+    found = {frozenset((text[r["a"]], text[r["b"]])) for r in lines.line_links(distinct).collect()}
+    assert found <= near
+
+    def sets(pairs):
+        of = {}
+        for x, r in groups_of(sorted(map(sorted, pairs))).items():
+            of.setdefault(r, set()).add(x)
+        return {frozenset(g) for g in of.values()}
+
+    return sets(found), sets(near)
+
+
+def test_short_lines_lose_no_link(spark):
+    """Chains of edited short lines: the connected groups are those of all pairs within the threshold."""
+    rng = random.Random(5)
+    texts = set()
+    for _ in range(40):
+        t = "".join(rng.choices("abcdef", k=rng.randint(10, 60)))
+        for _ in range(5):
+            texts.add(t)
+            for _ in range(rng.randint(1, len(t) // 10)):
+                x = rng.randrange(len(t))
+                t = rng.choice([t[:x] + rng.choice("abcdef") + t[x + 1:], t[:x] + t[x + 1:], t[:x] + rng.choice("abcdef") + t[x:]])
+            if not 10 <= len(t) <= lines.SHORT:
+                break
+    texts = sorted(texts)
+    near = {frozenset((x, y)) for i, x in enumerate(texts) for y in texts[i + 1:]
+            if 10 * abs(len(x) - len(y)) <= max(len(x), len(y)) and 10 * distance(x, y) <= max(len(x), len(y))}
+    found, meant = linked_as(spark, texts, near)
+    assert len(meant) > 20 and found == meant
+
+
+def test_lines_of_different_heads_are_linked(spark):
+    """Chains a, x, y, b in one bucket of many lines: x and y are linked also where a has taken x and b has taken y."""
+    rng = random.Random(6)
+    words = {"".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(4000)}
+    block = spark.createDataFrame([(w,) for w in sorted(words)], "w string").select(
+        "w", F.expr("pmod(pmod(xxhash64(w), 1000003), 6)").alias("b")).collect()
+    same, other = [r["w"] for r in block if r["b"] >= 3], [r["w"] for r in block if r["b"] < 3]
+    fixed, texts = rng.sample(same, 22), []
+    for _ in range(60):
+        w = rng.sample(other, 20)
+        for step in range(4):
+            w = [*w[:5 * step], *(rng.sample(other, 4) if step else w[5 * step:5 * step + 4]), *w[5 * step + 4:]]
+            texts.append(" ".join([*fixed, *w]))
+    near = {frozenset((texts[i], texts[j])) for i in range(len(texts)) for j in range(i // 4 * 4, i)
+            if 10 * distance(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j]))}
+    found, meant = linked_as(spark, texts, near)
+    assert len(near) >= 150 and found == meant
+
+
 def test_common_ends_are_exact(spark):
     rng = random.Random(2)
     made = ["".join(rng.choices("ab é", k=rng.randint(0, 9))) for _ in range(60)]
