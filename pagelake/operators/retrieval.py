@@ -34,8 +34,10 @@ NO_CONTENT_ANSWER = (
 # Rows of a tile of query and of chunk vectors: one matrix product each pair.
 QUERY_TILE = 1024
 CHUNK_TILE = 4096
-# Query tiles up to this many bytes (measured first) go to every task; beyond it, tiles of both sides are written and read in pairs.
+# Query tiles up to this many bytes (measured first) go to every task; beyond it, groups of query tiles meet all chunk tiles.
 BROADCAST_BYTES = 8 << 20
+# Beyond it, the query tiles of a task: this many bytes at most, on the average.
+GROUP_BYTES = 16 << 20
 # A task hands on what it holds when its best candidates exceed this many rows.
 HELD_ROWS = 1 << 20
 
@@ -111,6 +113,17 @@ def _kernel(k: int, dtypes):
     return scan
 
 
+def _paired(q_tiles: DataFrame, c_tiles: DataFrame, k: int, broadcast_bytes: int) -> DataFrame:
+    """Every query tile beside every chunk tile."""
+    size, n_queries = q_tiles.agg(F.coalesce(F.sum(F.length("q_vectors")), F.lit(0)), F.coalesce(F.sum(F.size("q_ids")), F.lit(0))).first()
+    if size <= broadcast_bytes:
+        return c_tiles.crossJoin(F.broadcast(q_tiles))
+    groups = max(-(-size // GROUP_BYTES), -(-2 * n_queries * k // HELD_ROWS), 1)
+    streams = -(-2 * q_tiles.sparkSession.sparkContext.defaultParallelism // groups)
+    # The right side of the product is held by a task, the left one passes by.
+    return materialize(c_tiles, "chunk-tiles").coalesce(streams).hint("shuffle_replicate_nl").crossJoin(q_tiles.repartition(groups))
+
+
 def knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
         payload_cols: tuple[str, ...] = ("page_id", "chunk_index", "chunk_text"),
         broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -118,8 +131,9 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
 
     ``queries``: (query_id, embedding); ``chunks``: (chunk_id, embedding, payload…), chunk ids unique.  Both sides are packed
     as tiles of vectors, and every pair of tiles is one matrix product.  Query tiles of a measured size are broadcast;
-    of larger sets every partition of written query tiles meets every partition of written chunk tiles, so that no vector
-    is shuffled and a query has ``k`` candidates per partition of chunk tiles.  Payload is joined to the top k at the end.  Returns (query_id, rank, chunk_id, distance, payload…)."""
+    of larger sets, groups of query tiles of a bounded size are dealt to the tasks, and the written chunk tiles pass by each
+    group in one stream (in a few, where there are fewer groups than cores).  So the vectors of the queries are shuffled once, those of the
+    chunks never, and a query has ``k`` candidates per stream, however many chunks there are.  Payload is joined to the top k at the end.  Returns (query_id, rank, chunk_id, distance, payload…)."""
     if k < 1:
         raise ValueError("k must be >= 1")
     q_type, c_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
@@ -127,11 +141,7 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
     q_tiles = materialize(_tiles(queries.select("query_id", "embedding").distinct(), "query_id", QUERY_TILE), "query-tiles")
     q_tiles = q_tiles.toDF("q_tile", "q_ids", "q_vectors")
     c_tiles = _tiles(chunks, "chunk_id", CHUNK_TILE)
-    size = q_tiles.agg(F.sum(F.length("q_vectors"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        pairs = c_tiles.crossJoin(F.broadcast(q_tiles))
-    else:
-        pairs = q_tiles.hint("shuffle_replicate_nl").crossJoin(materialize(c_tiles, "chunk-tiles"))
+    pairs = _paired(q_tiles, c_tiles, k, broadcast_bytes)
     dtypes = [np.int64 if isinstance(t, T.LongType) else object for t in (q_type, c_type)]
     cands = pairs.select("q_tile", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_kernel(k, dtypes), out)
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")

@@ -185,6 +185,33 @@ def test_knn_of_many_queries_shuffles_no_vector(spark):
     assert "CartesianProduct" in plan and "explode" not in plan
 
 
+def test_knn_candidates_do_not_grow_with_the_chunks(spark, monkeypatch):
+    """Each query tile meets all chunk tiles in one task, so a query has k candidates, however many files the chunks fill."""
+    monkeypatch.setattr(R, "QUERY_TILE", 1)
+    monkeypatch.setattr(R, "CHUNK_TILE", 4)
+    monkeypatch.setattr(R, "GROUP_BYTES", 16)
+    n = 3 * spark.sparkContext.defaultParallelism
+    vectors = spark.range(n).selectExpr("id as query_id", "id as chunk_id", "id as page_id", "0 as chunk_index", "'t' as chunk_text",
+                                        "array(cast(id as float), 1f) as embedding").repartition(8)
+    handed = []
+    kernel = R._kernel
+
+    def counted(k, dtypes):
+        rows = spark.sparkContext.accumulator(0)
+        handed.append(rows)
+        scan = kernel(k, dtypes)
+
+        def run(it):
+            for batch in scan(it):
+                rows.add(batch.num_rows)
+                yield batch
+        return run
+
+    monkeypatch.setattr(R, "_kernel", counted)
+    found = R.knn(vectors.select("query_id", "embedding"), vectors, k=2, broadcast_bytes=0).collect()
+    assert len(found) == 2 * n and handed[0].value == 2 * n
+
+
 @pytest.mark.parametrize("known", [0, 1 << 20])
 def test_only_wanted_grams_are_held(spark, known):
     texts = spark.createDataFrame([(1, "The THE"), (2, None), (3, ""), (4, "ätherisch")], "id long, text string")
