@@ -123,9 +123,10 @@ class Grams:
         for n in range(2, order + 1):
             self.keys[n] = ts.mix(self.keys[n - 1][self.before] * np.uint64(3) + word) >> np.uint64(64 - BITS)
 
-    def asked(self, n: int) -> np.ndarray:
-        """Sorted distinct hashes that scoring needs."""
-        keys = np.sort(self.wanted(n))
+    def asked(self, n: int, low: int = 0, high: int = 1 << BITS) -> np.ndarray:
+        """Sorted distinct hashes that scoring needs, from ``low`` to below ``high``."""
+        keys = self.wanted(n)
+        keys = np.sort(keys[(keys >= np.uint64(low)) & (keys < np.uint64(high))])
         return keys[runs(keys)]
 
     def wanted(self, n: int) -> np.ndarray:
@@ -398,15 +399,19 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     batches = batched(df, key, text, "lm-batches")
     answers = None
     tables = [model.tables[n].withColumn("n", F.lit(n)) for n in range(1, order + 1)]
-    for turn in range(min(ROUNDS, model.shards)):
+    rounds = min(ROUNDS, model.shards)
+    for turn in range(rounds):
+        # The shards of a round are neighbours, so a batch sorts each of its hashes in one round only.
+        first, end = turn * model.shards // rounds, (turn + 1) * model.shards // rounds
+        low, high = ((s << BITS) // model.shards for s in (first, end))
 
         def ask(rows):
             for row in rows:
                 for batch, sizes, body in zip(row["batch"].to_pylist(), row["sizes"], row["texts"], strict=True):
                     grams, out = Grams(opened(sizes.as_py(), body.as_py()), order), []
                     for n in range(1, order + 1):
-                        keys = grams.asked(n)
-                        out += [(n, shard, batch, pack(keys[part])) for shard, part in by_shard(keys, cuts) if shard % ROUNDS == turn]
+                        keys = grams.asked(n, low, high)
+                        out += [(n, shard, batch, pack(keys[part])) for shard, part in by_shard(keys, cuts)]
                     yield _rows(out, *_ASK)
 
         def answer(asked, held):
@@ -427,7 +432,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         for table in tables[1:]:
             held = held.unionByName(table)
         found = materialize(batches.select("batch", "sizes", "texts").mapInArrow(ask, ASK).groupBy("n", "shard").cogroup(
-            held.where(F.col("shard") % ROUNDS == turn).groupBy("n", "shard")).applyInArrow(answer, ANSWER), f"lm-answers{turn}")
+            held.where(F.col("shard").between(first, end - 1)).groupBy("n", "shard")).applyInArrow(answer, ANSWER), f"lm-answers{turn}")
         answers = found if answers is None else answers.unionByName(found)
 
     def sum_up(held, answered):

@@ -355,6 +355,17 @@ def test_language_model_packing():
     assert (lm.unpack(lm.pack(keys)) == keys).all() and [s for s, _ in lm.by_shard(keys, lm.bounds(4))] == [0, 3]
 
 
+def test_rounds_of_scoring_share_the_hashes(spark):
+    """A batch sorts each hash in one round only; together the rounds ask for all."""
+    import pyarrow as pa
+
+    grams = lm.Grams(pa.array([" ".join(f"w{i * i % 97}" for i in range(500)), None, "a b"], pa.large_string()).fill_null(""), 3)
+    cuts = [0, 1 << 53, 1 << 55, 1 << 56]
+    for n in (1, 2, 3):
+        parts = [grams.asked(n, a, b) for a, b in zip(cuts, cuts[1:])]
+        assert (np.concatenate(parts) == grams.asked(n)).all() and all(len(p) < len(grams.asked(n)) for p in parts)
+
+
 def test_language_model_odd_rows(odd, none):
     model = lm.train(odd)
     assert lm.score(odd, model).count() == 12 and lm.score(none, model).count() == 0
