@@ -26,6 +26,7 @@ HEAD_RE = rf"(?is){_open('head')}.*?(?:</head\s*>|\z)"
 TITLE_RE = rf"(?is){_open('title')}(.*?)</title\s*>"
 
 # Tables, next link and product links.  A cell ends at its end tag, at the next cell or row, or with its table.
+HAS_TABLE_RE = r"(?i)<table"
 TABLE_RE = rf"(?is){_open('table')}(.*?)(?:</table\s*>|\z)"
 TR_SPLIT_RE = rf"(?i){_open('tr')}"
 _CELL_END = r"(?=</?t[hdr]\b|</?t(?:able|body|head|foot)\b|\z)"

@@ -41,7 +41,9 @@ def chunk_windows(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) ->
     def windows(t):
         n = F.length(t)
         last = F.greatest(F.lit(0), F.ceil((n - F.lit(size)) / F.lit(stride)).cast("int"))
-        pieces = F.transform(F.sequence(F.lit(0), last), lambda k: strip_ws(F.substring(t, k * stride + 1, size)))
+        # One pass over the text (a substring would count characters from its start for every window).
+        cut = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{stride}}}"), 1)
+        pieces = F.transform(F.slice(cut, F.lit(1), last + 1), strip_ws)
         return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(pieces, lambda p: p != ""))
 
     return let(strip_ws(_col(text)), windows)

@@ -14,7 +14,7 @@ from pagelake.functions.html import (content_hash, decode_entities, html_text, h
 from pagelake.functions.urls import domain, origin, resolve_url
 
 from pagelake.functions.patterns import (A_HREF_RE, ARTICLE_RE, DEEP_TABLE_RE, DEEP_TD_RE, DEEP_TH_RE,  # noqa: E402
-                                         DEEP_TR_RE, H3_RE, NEXT_LI_RE, TABLE_CUT_RE, TABLE_RE, TABLE_TAG_RE, TD_RE,
+                                         DEEP_TR_RE, H3_RE, HAS_TABLE_RE, NEXT_LI_RE, TABLE_CUT_RE, TABLE_RE, TABLE_TAG_RE, TD_RE,
                                          TH_RE, TR_SPLIT_RE)
 
 
@@ -86,7 +86,12 @@ def tables_column(html) -> Column:
         texts = F.transform(rows, lambda p: F.transform(p, node_text_stripped))
         return _dedup_entries(F.transform(texts, lambda p: F.struct(p[0].alias("key"), p[1].alias("value"))))
 
-    return F.transform(F.filter(let(strip_junk(html), body), lambda t: F.size(t) > 0), facts)
+    def parsed(page):
+        return F.transform(F.filter(let(strip_junk(page), body), lambda t: F.size(t) > 0), facts)
+
+    # Removed junk leaves a blank, so no table tag comes into being by it: a page without one is not parsed.
+    none = F.array().cast("array<array<struct<key:string,value:string>>>")
+    return let(_col(html), lambda page: F.when(~page.rlike(HAS_TABLE_RE), none).otherwise(parsed(page)))
 
 
 def extract_tables(df: DataFrame, html_col: str = "raw_html", out: str = "tables") -> DataFrame:

@@ -10,11 +10,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 from hashlib import md5
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +46,16 @@ def pending(left: DataFrame, done: DataFrame, key: str = "page_id", left_key: st
 RECORD_FIELDS = ("text", "tables")
 
 
+def _text_ok(text: str) -> Column:
+    return F.col(text).isNotNull() & (F.length(text) >= 1)
+
+
+def _fault(text_ok: Column) -> Column:
+    """What is wrong with a rejected record."""
+    return F.when(~text_ok, F.lit("text: String should have at least 1 character")).otherwise(
+        F.lit("tables: keys and values must be strings"))
+
+
 def validate(df: DataFrame, passthrough: tuple[str, ...] = ("id", "page_id")) -> tuple[DataFrame, DataFrame]:
     """Split processed records into (valid, rejected).
 
@@ -55,14 +65,12 @@ def validate(df: DataFrame, passthrough: tuple[str, ...] = ("id", "page_id")) ->
     extra = [c for c in df.columns if c not in RECORD_FIELDS and c not in passthrough]
     if extra:
         raise ValueError(f"processed record has unknown fields: {extra}")
-    text_ok = F.col("text").isNotNull() & (F.length("text") >= 1)
+    text_ok = _text_ok("text")
     tables = F.coalesce(F.col("tables"), F.array())
     tables_ok = F.forall(tables, lambda t: F.forall(t, lambda e: e["key"].isNotNull() & e["value"].isNotNull()))
     ok = text_ok & tables_ok
-    err = (F.when(~text_ok | F.col("text").isNull(), F.lit("text: String should have at least 1 character"))
-           .otherwise(F.lit("tables: keys and values must be strings")))
     valid = df.filter(ok)
-    rejected = df.filter(~F.coalesce(ok, F.lit(False))).withColumn("error", err)
+    rejected = df.filter(~F.coalesce(ok, F.lit(False))).withColumn("error", _fault(text_ok))
     return valid, rejected
 
 
@@ -92,8 +100,28 @@ def chunk_pages(processed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHU
     return unnest(processed, ["page_id"], chunk_column(F.col("text"), F.col("tables"), size, overlap), "chunk_index", "chunk_text")
 
 
-# Buckets of this many distinct tokens are remembered by a task.
-KNOWN_TOKENS = 1 << 18
+# Bytes as tokens have them: ASCII letters in lower case and digits stay, other ASCII becomes a blank, all else is left alone.
+_TOKEN_BYTES = np.array([b if b >= 128 or chr(b).islower() or chr(b).isdigit() else b + 32 if chr(b).isupper() else 32
+                         for b in range(256)], np.uint8)
+
+
+def _token_counts(texts: pa.Array, dim: int) -> np.ndarray:
+    """How many tokens of each text (a row) fall into each of ``dim`` buckets."""
+    def parts(column):
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+        return at - at[0], np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0]: at[-1]]
+
+    at, data = parts(texts.cast(pa.large_binary()))
+    plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(_TOKEN_BYTES[data])])
+    lists = pc.split_pattern(plain, b" ")
+    tokens = lists.flatten().dictionary_encode()
+    ends, data = parts(tokens.dictionary)
+    ends, data = ends.tolist(), data.tobytes()
+    marks = b"".join([md5(data[a:b], usedforsecurity=False).digest() for a, b in zip(ends, ends[1:], strict=False)])
+    # Empty pieces stand between blanks; they go to a bucket of their own.
+    buckets = np.where(np.diff(ends) > 0, np.frombuffer(marks, ">u4")[::4].astype(np.int64) % dim, dim)
+    row = np.repeat(np.arange(len(texts)) * (dim + 1), np.diff(lists.offsets.to_numpy()))
+    return np.bincount(row + buckets[tokens.indices.to_numpy()], minlength=len(texts) * (dim + 1)).reshape(-1, dim + 1)[:, :dim]
 
 
 def hashing_vector(text, dim: int = DEFAULT_DIM) -> Column:
@@ -106,37 +134,22 @@ def hashing_vector(text, dim: int = DEFAULT_DIM) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = {}
-
-        def buckets(tokens):
-            for t in tokens:
-                b = known.get(t)
-                if b is None:
-                    if len(known) >= KNOWN_TOKENS:
-                        known.clear()
-                    b = known[t] = int.from_bytes(md5(t.encode(), usedforsecurity=False).digest()[:4], "big") % dim
-                yield b
-
         def vectors(texts):
-            tokens = [t.split() if t else () for t in texts]
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            at = np.fromiter(buckets(chain.from_iterable(tokens)), np.int64, int(sizes.sum()))
-            at += np.repeat(np.arange(len(tokens)) * dim, sizes)
-            counts = np.bincount(at, minlength=len(tokens) * dim).reshape(len(tokens), dim).astype(np.float64)
+            counts = _token_counts(texts, dim).astype(np.float64)
             length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             return np.divide(counts, length, out=counts, where=length > 0).astype(np.float32).ravel()
 
         for batch in batches:
-            texts = batch.to_pylist()
             missing = batch.is_null().to_numpy(zero_copy_only=False)
             offsets = np.append(np.cumsum(~missing) - ~missing, (~missing).sum()).astype(np.int32) * np.int32(dim)
-            held = [t for t in texts if t is not None]
-            flat = [vectors(held[i:i + rows]) for i in range(0, len(held), rows)]
+            held = batch.drop_null()
+            flat = [vectors(held.slice(i, rows)) for i in range(0, len(held), rows)]
             flat = np.concatenate(flat) if flat else np.empty(0, np.float32)
             yield pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), pa.array(flat, pa.float32()))
 
-    # Tokens hold letters and digits alone, so blanks between them are all that Python cuts at.
-    return counted(F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), TOKEN_SPLIT_RE, " "))
+    # Blanks between tokens are all that Python cuts at; ASCII texts are brought to that form by their bytes, which is much cheaper.
+    plain = lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(F.lower(t), TOKEN_SPLIT_RE, " "))
+    return counted(plain(F.col(text) if isinstance(text, str) else text))
 
 
 def embed(df: DataFrame, col: str = "chunk_text", embedder=None, dim: int = DEFAULT_DIM,
@@ -289,9 +302,13 @@ def run_pipeline(spark: SparkSession, obs: DataFrame, paths: dict[str, str], as_
     epoch = ledger.last() + 1
     pages = ingest(ledger, obs, epoch)
 
-    valid, rejected = validate(process_pages(pages), passthrough=("page_id",))
+    valid, _ = validate(process_pages(pages), passthrough=("page_id",))
     valid = valid.select(F.col("page_id").alias("id"), "page_id", "text", "tables", F.lit(as_of).cast("timestamp").alias("processed_at"))
     ledger.write(valid, "processed", epoch, io.PROCESSED_SCHEMA)
+    # Every page is parsed once: those that are not among the valid ones are rejected.
+    done = ledger.epochs("processed", io.PROCESSED_SCHEMA, [epoch]).select("page_id")
+    rejected = pages.select(F.col("id").alias("page_id"), _text_ok("extracted_text").alias("ok")).join(done, "page_id", "left_anti")
+    rejected = rejected.select("page_id", _fault(F.col("ok")).alias("error"))
     dead = dead_letters(attach_url(rejected, pages), "process_page", as_of)
 
     waiting = ledger.epochs("queue", QUEUE_SCHEMA, [epoch - 1] if epoch else [])

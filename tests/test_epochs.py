@@ -206,3 +206,19 @@ def test_superseded_records_go_without_a_shuffle_of_the_others(spark):
     out = PL.dedup_by_page(rows)
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["id"] for r in out.collect()) == [2, 3]
+
+
+def test_rejected_pages_are_found_without_parsing_html_again(spark, tmp_path, monkeypatch):
+    paths, plans = paths_in(tmp_path), []
+    write = io.write_dead_letters
+
+    def seen(df, path):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, path)
+
+    monkeypatch.setattr(io, "write_dead_letters", seen)
+    PL.run_pipeline(spark, obs(spark, [(1, "u", "", 1), (2, "v", "two", 1), (3, "w", "", 1)]), paths, AS_OF)
+    assert plans and "regexp_replace" not in plans[0]
+    assert rows_of(spark, paths, "dead_letters", "url", "error") == [
+        (u, "text: String should have at least 1 character") for u in ("u", "w")]
+    assert rows_of(spark, paths, "processed", "page_id") == [(2,)]

@@ -79,3 +79,11 @@ def test_links_in_and_out_of_products(spark):
                           X.extract_links(df, scope=scope).orderBy("link_idx").collect()]
     assert urls("product_pod") == ["it's.html", "two.html"]
     assert urls(None) == ["about", "it's.html", "two.html", "no"]
+
+
+def test_pages_without_a_table_are_not_parsed(spark):
+    assert tables_of(spark, "<ta<!-- x -->ble><tr><th>k</th><td>v</td></tr></table>") == []
+    assert tables_of(spark, "<TABLE><tr><th>k</th><td>v</td></tr></TABLE>") == tables_of(
+        spark, "<table><tr><th>k</th><td>v</td></tr></table>") != []
+    plan = X.extract_tables(spark.createDataFrame([("x",)], "raw_html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?i)<table" in plan

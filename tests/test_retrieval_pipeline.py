@@ -220,3 +220,24 @@ def test_only_wanted_grams_are_held(spark, known):
     assert got == [(1, ""), (1, "e"), (1, "the"), (3, ""), (4, ""), (4, "e"), (4, "the"), (4, "\u00e4t")]
     counts = {r["gram"]: r["texts"] for r in R._held(texts, grams, 3, count=True, known_bytes=known).collect()}
     assert counts == {"": 3, "e": 2, "the": 2, "\u00e4t": 1}
+
+
+def test_default_embedder_counts_tokens_of_any_text(spark):
+    import hashlib
+    import re
+
+    texts = ["One two  TWO-three_9", "", None, "Éa ça É straße x", "  ,;  ", "z" * 3000 + " a b", "ǅ Ⅷ ٣ plain Words"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for dim in (5, 20_000):
+        got = {r.i: r.v for r in df.select("i", PL.hashing_vector("t", dim).alias("v")).collect()}
+        for i, t in enumerate(texts):
+            if t is None:
+                assert got[i] is None
+                continue
+            counts = np.zeros(dim)
+            for token in re.findall(r"[^\W_]+", t.lower()):
+                counts[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim] += 1
+            length = np.sqrt((counts * counts).sum())
+            assert got[i] == (counts / (length or 1)).astype(np.float32).tolist()
+    plan = PL.embed(df.select("i", F.col("t").alias("chunk_text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan  # texts of ASCII alone go without the regular expression
