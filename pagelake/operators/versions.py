@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.text import common_prefix_len
 from pagelake.plans.scan import ordered_scan
+from pagelake.session import materialize
+
+# Columns of observations that are rows of files: the file, and the number of the row in it.
+PLACE = ("_file", "_row")
+# Bitmaps (4 KB, for 32,768 rows of a file each) that are broadcast at most: 64 MB.
+MOST_BITMAPS = 1 << 14
 
 
 def latest_ids(pages: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id"),
@@ -78,15 +84,31 @@ def heads_of(stored: DataFrame, key: str = "url", order: tuple[str, ...] = ("fet
     return stored.groupBy(key).agg(best).select(key, *[F.col(f"_m.{c}").alias(c) for c in columns])
 
 
+def rows_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``PLACE`` is one of ``places``, without that; the places travel as bitmaps, a bit for each row of the
+    files, so that no row is shuffled.  Too many bitmaps for a broadcast are joined instead."""
+    file, row = PLACE
+    block, bit = F.bitmap_bucket_number(F.col(row) + 1), F.bitmap_bit_position(F.col(row) + 1)
+    maps = materialize(places.groupBy(file, block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bits")), "places")
+    if maps.count() > MOST_BITMAPS:
+        return rows.join(places.select(*PLACE), [*PLACE], "left_semi").drop(*PLACE)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr(f"CAST(bitmap_bit_position({row} + 1) DIV 8 + 1 AS INT)"), F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_block", block).join(F.broadcast(maps), [file, "_block"])
+    return held.where(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1).drop(*PLACE, "_block", "_bits")
+
+
 def versions_on_arrival(unseen: DataFrame, heads: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id"),
-                        hash_col: str = "content_hash") -> DataFrame:
+                        hash_col: str = "content_hash", whole: DataFrame | None = None) -> DataFrame:
     """The rows of ``unseen`` that become versions, given the ``heads`` (see :func:`heads_of`) before they arrive.
 
     A row is compared with the head on arrival.  Rows older than the stored head (late ones) leave it as it is, so each
     is compared with that head; of the others the first is compared with the head and every further one with its
     predecessor.  Only narrow columns are scanned; wide rows are kept by id at the end, where one shuffle by id serves the
-    join and the choice of one delivery.  Of rows with equal id but other content the least by (key, order, hash) counts."""
-    columns = list(dict.fromkeys([key, *order, "id", hash_col]))
+    join and the choice of one delivery.  Of rows with equal id but other content the least by (key, order, hash) counts.
+
+    Where ``unseen`` tells the ``PLACE`` of its rows, it may be narrow: the versions are then taken from ``whole``, which holds
+    the same places, and no wide row is shuffled."""
+    columns = list(dict.fromkeys([key, *order, "id", hash_col, *(PLACE if whole is not None else ())]))
     narrow = unseen.groupBy("id").agg(F.min(F.struct(*columns)).alias("_r")).select("_r.*")
     known = heads.select(F.col(key), F.col(hash_col).alias("_head_hash"), F.struct(*order).alias("_head"))
     placed = narrow.join(known, key, "left")
@@ -96,6 +118,8 @@ def versions_on_arrival(unseen: DataFrame, heads: DataFrame, key: str = "url", o
     before = F.when(F.col("_rn") == 1, F.col("_head_hash")).otherwise(F.col(f"prev_{hash_col}"))
     kept = scanned.where(before.isNull() | (before != F.col(hash_col))).select(columns)
     kept = kept.unionByName(placed.where(F.col("_late") & (F.col(hash_col) != F.col("_head_hash"))).select(columns))
+    if whole is not None:
+        return rows_at(whole, kept)
     # The other columns are compared as ranges, so that the join, like one_delivery, is by id alone.
     kept = kept.toDF(*[f"_kept_{c}" for c in columns])
     same = [F.col(c).between(F.col(f"_kept_{c}"), F.col(f"_kept_{c}")) for c in columns if c != "id"]

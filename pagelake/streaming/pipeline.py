@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.operators.pipeline import ingest, run_pipeline
+from pagelake.operators.versions import PLACE
 from pagelake.sources import tables as io
 from pagelake.sources.ledger import Ledger
 
@@ -26,11 +27,12 @@ OBS_SCHEMA = io.PAGE_LOG_SCHEMA
 
 
 def read_observations(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Observation files (Parquet, page-log schema) as a stream."""
+    """Observation files (Parquet, page-log schema) as a stream, each row with its place in them (``PLACE``)."""
     r = spark.readStream.schema(OBS_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.parquet(in_dir)
+    file, row = PLACE
+    return r.parquet(in_dir).select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
 
 
 def _drain(obs: DataFrame, each, checkpoint: str):

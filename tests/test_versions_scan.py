@@ -4,6 +4,8 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from pagelake.operators import versions as Vs
 from pagelake.plans.scan import ordered_scan
@@ -112,3 +114,44 @@ def test_late_rows_leave_the_head(spark):
         stored += mine
         want += [r[0] for r in mine]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [1 << 14, 0])
+def test_rows_of_files_are_taken_by_place_without_a_shuffle(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(Vs, "MOST_BITMAPS", most)
+    spark.range(70_000).selectExpr("id", "concat('body ', id) AS raw_html").coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.range(70_000, 70_050).selectExpr("id", "concat('body ', id) AS raw_html").coalesce(1).write.parquet(str(tmp_path / "b"))
+    rows = spark.read.parquet(str(tmp_path / "a"), str(tmp_path / "b")).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    wanted = F.col("id").isin(0, 1, 7, 8, 32_767, 32_768, 32_769, 65_535, 65_536, 69_999, 70_000, 70_049) | (F.col("id") % 977 == 5)
+    found = Vs.rows_at(rows, rows.where(wanted))
+    assert found.columns == ["id", "raw_html"]
+    assert sorted(found.collect()) == sorted(rows.where(wanted).select("id", "raw_html").collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not most or "hashpartitioning" not in plan
+
+
+def test_a_stream_shuffles_no_page(spark, tmp_path, monkeypatch):
+    from pagelake.operators import pipeline as PL
+    from pagelake.sources import tables as io
+    from pagelake.sources.ledger import Ledger
+    from pagelake.streaming import pipeline as ST
+
+    plans, write = {}, Ledger.write
+
+    def seen(self, df, table, *rest):
+        plans.setdefault(table, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, table, *rest)
+
+    monkeypatch.setattr(Ledger, "write", seen)
+    day = lambda k: dt.datetime(2024, 1, 1 + k)
+    parts = [[(1, "u", "<p>1</p>", "a", "a", day(0)), (2, "u", "<p>2</p>", "a", "a", day(1)), (3, "v", "<p>3</p>", "b", "b", day(0)),
+              (3, "v", "<p>3</p>", "b", "b", day(0))],
+             [(4, "u", "<p>4</p>", "c", "c", day(2)), (3, "v", "<p>3</p>", "b", "b", day(0)), (5, "v", "<p>5</p>", "b", "b", day(3))]]
+    paths = PL.table_paths(str(tmp_path / "tables"))
+    for part in parts:
+        io.append(spark.createDataFrame(part, io.PAGE_LOG_SCHEMA).coalesce(1), str(tmp_path / "in"))
+        ST.stream_pipeline(spark, str(tmp_path / "in"), paths, str(tmp_path / "checkpoint"), day(9))
+    assert sorted(tuple(r) for r in PL.read_output(spark, paths, "pages").select("id", "raw_html").collect()) == [
+        (1, "<p>1</p>"), (3, "<p>3</p>"), (4, "<p>4</p>")]
+    assert len(plans["pages"]) == 2 and not any("SortMergeJoin" in p or "hashpartitioning" in p for p in plans["pages"])
