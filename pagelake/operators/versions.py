@@ -118,8 +118,8 @@ def versions_on_arrival(unseen: DataFrame, heads: DataFrame, key: str = "url", o
     before = F.when(F.col("_rn") == 1, F.col("_head_hash")).otherwise(F.col(f"prev_{hash_col}"))
     kept = scanned.where(before.isNull() | (before != F.col(hash_col))).select(columns)
     kept = kept.unionByName(placed.where(F.col("_late") & (F.col(hash_col) != F.col("_head_hash"))).select(columns))
-    if whole is not None:
-        return rows_at(whole, kept)
+    if whole is not None:   # null equals nothing, as in the join below
+        return rows_at(whole, kept.dropna(subset=columns))
     # The other columns are compared as ranges, so that the join, like one_delivery, is by id alone.
     kept = kept.toDF(*[f"_kept_{c}" for c in columns])
     same = [F.col(c).between(F.col(f"_kept_{c}"), F.col(f"_kept_{c}")) for c in columns if c != "id"]

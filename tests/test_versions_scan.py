@@ -155,3 +155,21 @@ def test_a_stream_shuffles_no_page(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in PL.read_output(spark, paths, "pages").select("id", "raw_html").collect()) == [
         (1, "<p>1</p>"), (3, "<p>3</p>"), (4, "<p>4</p>")]
     assert len(plans["pages"]) == 2 and not any("SortMergeJoin" in p or "hashpartitioning" in p for p in plans["pages"])
+
+
+def test_versions_by_place_equal_those_by_id(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        gap = rng.randrange(12)
+        rows.append((None if gap == 0 else rng.randrange(250), None if gap == 1 else f"u{rng.randrange(20)}", f"<p>{i}</p>",
+                     None if gap == 2 else rng.choice("ab"), None if gap == 3 else T0 + dt.timedelta(hours=rng.randrange(400))))
+    schema = "id long, url string, raw_html string, content_hash string, fetched_at timestamp"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    obs = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    heads = spark.createDataFrame([("u1", T0 + dt.timedelta(hours=200), 900, "a")], "url string, fetched_at timestamp, id long, content_hash string")
+    placed = obs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    narrow = ["id", "url", "content_hash", "fetched_at"]
+    whole = Vs.versions_on_arrival(placed.drop("raw_html"), heads, whole=placed)
+    plain = Vs.versions_on_arrival(obs, heads)
+    assert whole.columns == obs.columns
+    assert sorted(whole.select(narrow).collect()) == sorted(plain.select(narrow).collect()) != []
