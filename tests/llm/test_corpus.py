@@ -208,6 +208,64 @@ def test_lines_of_different_heads_are_linked(spark):
     assert len(near) >= 150 and found == meant
 
 
+def test_edit_distances_at_the_limit(spark):
+    """Pieces and stepped limits drop no pair whose edits are just allowed, wherever they are, and take none with one more."""
+    rng = random.Random(21)
+    rows = []
+    for n in (10, 19, 40, 61, 200, 430):
+        most = n // 10
+        for spot in ("even", "start", "any"):
+            for edits in sorted({0, 1, most // 4, most // 2, most, most + 1}):
+                a = [rng.choice("abcdé ") for _ in range(n)]
+                b, at = list(a), {"even": range(2, n, 8), "start": range(n)}.get(spot) or rng.sample(range(n), edits)
+                for i in list(at)[:edits]:
+                    b[i] = "z"
+                rows.append(("".join(a), "".join(b)))
+    rows = [(2 * i, 2 * i + 1, a, b) for i, (a, b) in enumerate(rows)]
+    texts = spark.createDataFrame([(x, a) for x, _, a, _ in rows] + [(y, b) for _, y, _, b in rows], "number long, line string")
+    pairs = spark.createDataFrame([(x, y) for x, y, _, _ in rows], "a long, b long")
+    got = {r["a"] // 2 for r in lines.verified(pairs, texts, 0.9).collect()}
+    assert got == {i for i, (_, _, a, b) in enumerate(rows) if 10 * distance(a, b) <= len(a)} and 0 < len(got) < len(rows)
+
+
+def test_narrow_and_wide_vote_counters_agree(spark):
+    """Lines of up to 255 words have counters of eight bits, which count like those of 32."""
+    rng = random.Random(22)
+    texts = [" ".join(f"w{rng.randrange(k)}" for _ in range(n)) for n in (1, 2, 7, 60, 254, 255, 256, 257, 700) for k in (1, 3, 900)]
+    rows = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)], "number long, line string, size int")
+    words = rows.select("number", "size", F.split("line", " ").alias("words"))
+    wide = {tuple(r) for r in lines.voted(words, 32).collect()}
+    assert {tuple(r) for r in lines.simhashes(rows).collect()} == wide and len(wide) == len(texts)
+    for r in lines.simhashes(rows).collect():
+        assert sum(r[f"t{k}"] for k in range(lines.BLOCKS)) == len(texts[r["number"]].split(" "))
+
+
+def test_buckets_are_shuffled_in_parts(spark, monkeypatch):
+    """A part of the buckets is counted, and its shuffle dropped, before the part is joined; together they find the same links."""
+    rng = random.Random(23)
+    base = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps", "zeta"], k=14)) for _ in range(30)]
+    texts = base + [x + "s" for x in base]
+    distinct = lines.distinct_lines(lines.line_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"))
+    written, write = [], lines.materialize
+
+    def noted(df, name="stage"):
+        out = write(df, name)
+        written.append((name, out))
+        return out
+
+    monkeypatch.setattr(lines, "materialize", noted)
+    linked = {}
+    for parts in (1, lines.PARTS):
+        monkeypatch.setattr(lines, "PARTS", parts)
+        written.clear()
+        linked[parts] = {frozenset(r) for r in lines.line_links(distinct).collect()}
+        names = [n for n, _ in written]
+        assert names.count("line-shared") == names.count("line-buckets") == parts
+        sizes = [d.count() for n, d in written if n == "line-buckets"]
+    assert len(linked) == 2 and len(set(map(frozenset, linked.values()))) == 1 and len(linked[1]) >= 30
+    assert len(sizes) >= 2 and max(sizes) < 0.75 * sum(sizes)
+
+
 def test_common_ends_are_exact(spark):
     rng = random.Random(2)
     made = ["".join(rng.choices("ab é", k=rng.randint(0, 9))) for _ in range(60)]
@@ -366,6 +424,21 @@ def test_rounds_of_scoring_share_the_hashes(spark):
         assert (np.concatenate(parts) == grams.asked(n)).all() and all(len(p) < len(grams.asked(n)) for p in parts)
 
 
+def test_batches_hold_tokens():
+    """Words are cut and hashed once, when a batch is written; later steps read the same tokens."""
+    import pyarrow as pa
+
+    texts = pa.array(["", "b a b", " \n", "É c " * 70_000, "the end"], pa.large_string())
+    keys = pa.array(range(5), pa.int64())
+    held = list(lm.gather([pa.record_batch([keys, texts], names=["key", "text"])], 100))
+    assert sum(len(b["keys"][0]) for b in held) == 5 and len(held) > 1
+    whole = lm.Grams(texts, 3)
+    parts = [lm.opened(b, 0, 3) for b in held]
+    assert np.concatenate([g.count for g in parts]).tolist() == whole.count.tolist()
+    for n in (1, 2, 3):
+        assert (np.concatenate([g.keys[n][: g.n] for g in parts]) == whole.keys[n][: whole.n]).all()
+
+
 def test_language_model_odd_rows(odd, none):
     model = lm.train(odd)
     assert lm.score(odd, model).count() == 12 and lm.score(none, model).count() == 0
