@@ -1,7 +1,7 @@
 """Operator 6: interpolated modified Kneser-Ney language model of any order (``ORDER``, 3 by default).
 
-Texts are cut into batches of a bounded size, written once.  An n-gram is a 56-bit hash, that of its first n-1 words chained
-with that of its last word.  Every batch counts its distinct n-grams of the highest order and sends them, sorted, to shards, which are ranges of
+Texts are cut into batches of a bounded size, written once as tokens: the hashes of a batch's distinct words, and which of them each
+token is.  An n-gram is a 56-bit hash, that of its first n-1 words chained with that of its last word.  Every batch counts its distinct n-grams of the highest order and sends them, sorted, to shards, which are ranges of
 hashes: so no key is hot, whatever its share of the text, and the number of shards follows the input.  A shard adds up what it
 gets into one sorted hash array with its counts (the model), and tells, for each distinct n-gram, its count to one of the
 batches that sent it.  That batch knows the words behind the hash, so it adds the n-gram to the statistics of its first n-1
@@ -40,8 +40,10 @@ BATCH_BYTES = 4 << 20      # text per batch
 SHARD_BYTES = 8 << 20      # text per shard of the model
 ROUNDS = 4                 # scoring asks a part of the shards at a time, so that fewer messages and arrays are on disk at once
 BITS = 56                  # of a hash
+MASK = np.uint64((1 << BITS) - 1)
 END = np.uint64(0x5BD1E9955BD1E9)
 _U8 = np.dtype("<u8")
+CODED = {"texts": "long", "distinct_words": "long", "counts": "binary", "known": "binary", "at": "binary"}    # columns of a batch of tokens
 
 
 def planes(rows) -> bytes:
@@ -78,12 +80,20 @@ def lift(raw: bytes, width: int, n: int) -> np.ndarray:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted hashes as the byte planes of their differences."""
-    return planes([np.diff(keys, prepend=np.uint64(0))])
+    """Sorted hashes: their number and the byte planes of their differences, of which the highest, mostly zeros, is compressed."""
+    import zstandard
+
+    raw = planes([np.diff(keys, prepend=np.uint64(0))])
+    cut = 1 + (raw[0] - 1) * len(keys)
+    return len(keys).to_bytes(4, "little") + raw[:cut] + zstandard.compress(raw[cut:], 1)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(raw, 1, (len(raw) - 1) // raw[0])[0]).astype(np.uint64)
+    import zstandard
+
+    n = int.from_bytes(raw[:4], "little")
+    cut = 5 + (raw[4] - 1) * n
+    return np.cumsum(unplanes(raw[4:cut] + zstandard.decompress(raw[cut:]), 1, n)[0]).astype(np.uint64)
 
 
 def bounds(shards: int) -> np.ndarray:
@@ -98,23 +108,49 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
 
 
+def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text, its end counted, and the hashes of all of them."""
+    words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, off, raw in ts.slices(texts):
+        found = ts.Words(off, ts.LOWER[raw], ts.NOT_BLANK)
+        count = found.per_doc + 1
+        word = np.full(int(count.sum()), END)
+        inner = np.ones(len(word), bool)
+        inner[np.cumsum(count) - 1] = False
+        word[inner] = found.hashes() >> np.uint64(64 - BITS)
+        words.append(word)
+        counts.append(count)
+    return np.concatenate(counts), np.concatenate(words)
+
+
+def coded(count: np.ndarray, word: np.ndarray) -> list:
+    """Tokens compressed: the numbers of texts and of distinct hashes, the tokens of each text, the distinct hashes, the frequent ones first, and the number of each token's hash."""
+    order = np.argsort(word)
+    first = runs(word[order])
+    times = np.diff(first, append=len(word))
+    rank = np.argsort(-times, kind="stable")
+    number = np.empty(len(first), np.int64)
+    number[rank] = np.arange(len(first))
+    at = np.empty(len(word), np.int64)
+    at[order] = np.repeat(number, times)
+    # Hashes are sorted among those that are as frequent, so most differences are small; the others are taken modulo 2^BITS.
+    steps = np.diff(word[order[first[rank]]], prepend=np.uint64(0)) & MASK
+    return [len(count), len(steps), lay([count]), lay([steps]), lay([at])]
+
+
+def decoded(texts: int, distinct: int, counts: bytes, known: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
+    count = lift(counts, 1, texts)[0]
+    hashes = np.cumsum(lift(known, 1, distinct)[0].view(np.uint64)) & MASK
+    return count, hashes[lift(at, 1, int(count.sum()))[0]]
+
+
 class Grams:
     """The n-grams of a batch: ``keys[n][p]`` ends at token p, and the last entry is the n-gram of end symbols alone;
     ``before[p]`` is the token before p, or that last entry."""
 
-    def __init__(self, texts, order: int):
-        words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, off, raw in ts.slices(texts):
-            found = ts.Words(off, ts.LOWER[raw], ts.NOT_BLANK)
-            count = found.per_doc + 1
-            word = np.full(int(count.sum()), END)
-            inner = np.ones(len(word), bool)
-            inner[np.cumsum(count) - 1] = False
-            word[inner] = found.hashes() >> np.uint64(64 - BITS)
-            words.append(word)
-            counts.append(count)
-        self.count = np.concatenate(counts)
-        word = np.concatenate([*words, [END]]).astype(np.uint64)
+    def __init__(self, texts, order: int, held: tuple[np.ndarray, np.ndarray] | None = None):
+        self.count, word = held or tokens(texts)
+        word = np.concatenate([word, [END]]).astype(np.uint64)
         self.n, self.order = len(word) - 1, order
         self.before = np.arange(-1, self.n)
         self.before[(np.cumsum(self.count) - self.count)] = self.n
@@ -195,6 +231,13 @@ def spread(keys: np.ndarray, cuts: np.ndarray, answers: dict[int, bytes], width:
     return out
 
 
+def swapped(values: np.ndarray) -> np.ndarray:
+    """The numbers of a lower order with what was seen once replaced by what the sum has besides it, which is mostly 0 and takes
+    less room; and back again."""
+    values[-3] = values[-4] - values[-3] - 2 * values[-2] - 3 * values[-1]
+    return values
+
+
 def _rows(rows, names, types):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
@@ -244,17 +287,14 @@ def discard(stage: DataFrame) -> None:
 
 
 def gather(rows, most: int):
-    """Rows (key, text) → rows (keys, sizes, texts): batches of at most ``most`` bytes (or one longer text), compressed."""
-    import zstandard
+    """Rows (key, text) → rows (keys, and the columns ``CODED``): batches of at most ``most`` bytes (or one longer text), as ``coded``
+    tokens, so that no later step cuts and hashes the words again."""
 
     def packed(parts):
         keys = pa.concat_arrays([k for k, _ in parts])
         texts = pa.concat_arrays([t for _, t in parts])
-        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
-        body = texts.buffers()[2].to_pybytes()[off[0]: off[-1]] if texts.buffers()[2] is not None else b""
         lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
-        return pa.RecordBatch.from_arrays([lists, pa.array([np.diff(off).astype("<i8").tobytes()], pa.binary()),
-                                           pa.array([zstandard.compress(body, 3)], pa.binary())], names=["keys", "sizes", "texts"])
+        return pa.RecordBatch.from_arrays([lists, *[pa.array([x]) for x in coded(*tokens(texts))]], names=["keys", *CODED])
 
     parts, held = [], 0
     for batch in rows:
@@ -276,21 +316,17 @@ def gather(rows, most: int):
         yield packed(parts)
 
 
-def opened(sizes: bytes, texts: bytes):
-    """The string column of a compressed batch."""
-    import zstandard
-
-    off = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.tobytes()), pa.py_buffer(zstandard.decompress(texts) if off[-1] else b""))
+def opened(batch, i: int, order: int) -> Grams:
+    """The n-grams of row ``i`` of Arrow rows with the columns ``CODED``."""
+    return Grams(None, order, decoded(*[batch[c][i].as_py() for c in CODED]))
 
 
 def batched(df: DataFrame, key: str | None, text: str, name: str) -> DataFrame:
-    """(keys, sizes, texts, batch), written once, so that a batch is the same to every later step."""
+    """(keys, the columns ``CODED``, batch), written once, so that a batch is the same to every later step."""
     most = BATCH_BYTES
     plain = df.select((q(key) if key else F.lit(0)).alias("key"), F.coalesce(q(text), F.lit("")).alias("text"))
-    return materialize(plain.mapInArrow(lambda rows: gather(rows, most), T.StructType([
-        T.StructField("keys", T.ArrayType(plain.schema["key"].dataType)), T.StructField("sizes", T.BinaryType()),
-        T.StructField("texts", T.BinaryType())])).withColumn("batch", F.monotonically_increasing_id()), name)
+    schema = T.StructType([T.StructField("keys", T.ArrayType(plain.schema["key"].dataType)), *[T.StructField(c, T._parse_datatype_string(kind)) for c, kind in CODED.items()]])
+    return materialize(plain.mapInArrow(lambda rows: gather(rows, most), schema).withColumn("batch", F.monotonically_increasing_id()), name)
 
 
 def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
@@ -300,7 +336,7 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     size = texts.agg(F.sum(F.octet_length(q(text)).cast("long"))).first()[0] or 0
     model = Model(order, max(1, -(-int(size) // SHARD_BYTES)))
     cuts = bounds(model.shards)
-    batches = batched(texts, None, text, "lm-train").select("batch", "sizes", "texts")
+    batches = batched(texts, None, text, "lm-train").select("batch", *CODED)
     told = None
 
     def messages(batch: int, grams: Grams, n: int, answers: dict):
@@ -309,8 +345,8 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
 
     def count(rows):
         for row in rows:
-            for batch, sizes, body in zip(row["batch"].to_pylist(), row["sizes"], row["texts"], strict=True):
-                yield _rows(messages(batch, Grams(opened(sizes.as_py(), body.as_py()), order), order, {}), *_MESSAGE)
+            for i, batch in enumerate(row["batch"].to_pylist()):
+                yield _rows(messages(batch, opened(row, i, order), order, {}), *_MESSAGE)
 
     # Every step below is written within its round, so its functions see the round's numbers.
     for n in range(order, 0, -1):
@@ -320,7 +356,7 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             answers: dict = {above: {} for above in range(n + 1, order + 1)}
             for level, shard, v in zip(answered["n"].to_pylist(), answered["shard"].to_pylist(), answered["v"], strict=True):
                 answers[level][shard] = v.as_py()
-            grams = Grams(opened(held["sizes"][0].as_py(), held["texts"][0].as_py()), order)
+            grams = opened(held, 0, order)
             return pa.Table.from_batches([_rows(messages(held["batch"][0].as_py(), grams, n, answers), *_MESSAGE)])
 
         def merge(key, table):
@@ -329,7 +365,7 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             sizes = [len(k) for k in keys]
             values = np.concatenate([lift(v.as_py(), width, s) for v, s in zip(table["v"], sizes, strict=True)], axis=1)
             keys = np.concatenate(keys)
-            order_ = np.argsort(keys)
+            order_ = np.argsort(keys, kind="stable")      # made for sorted runs
             first = runs(keys[order_])
             sums = [np.add.reduceat(v[order_], first) for v in values]
             f = sums[1 if n == 1 else 0]
@@ -407,8 +443,8 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
         def ask(rows):
             for row in rows:
-                for batch, sizes, body in zip(row["batch"].to_pylist(), row["sizes"], row["texts"], strict=True):
-                    grams, out = Grams(opened(sizes.as_py(), body.as_py()), order), []
+                for i, batch in enumerate(row["batch"].to_pylist()):
+                    grams, out = opened(row, i, order), []
                     for n in range(1, order + 1):
                         keys = grams.asked(n, low, high)
                         out += [(n, shard, batch, pack(keys[part])) for shard, part in by_shard(keys, cuts)]
@@ -425,18 +461,18 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
                 if arrays is not None:
                     at = ts.member(keys, arrays[0])
                     got[:, at >= 0] = arrays[1][:, at[at >= 0]]
-                out.append((n, shard, batch, lay(got)))
+                out.append((n, shard, batch, lay(swapped(got) if n < order else got)))
             return pa.Table.from_batches([_rows(out, *_ANSWER)])
 
         held = tables[0]
         for table in tables[1:]:
             held = held.unionByName(table)
-        found = materialize(batches.select("batch", "sizes", "texts").mapInArrow(ask, ASK).groupBy("n", "shard").cogroup(
+        found = materialize(batches.select("batch", *CODED).mapInArrow(ask, ASK).groupBy("n", "shard").cogroup(
             held.where(F.col("shard").between(first, end - 1)).groupBy("n", "shard")).applyInArrow(answer, ANSWER), f"lm-answers{turn}")
         answers = found if answers is None else answers.unionByName(found)
 
     def sum_up(held, answered):
-        grams = Grams(opened(held["sizes"][0].as_py(), held["texts"][0].as_py()), order)
+        grams = opened(held, 0, order)
         given: dict = {n: {} for n in range(1, order + 1)}
         for n, shard, v in zip(answered["n"].to_pylist(), answered["shard"].to_pylist(), answered["v"], strict=True):
             given[n][shard] = v.as_py()
@@ -444,6 +480,8 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         for n in given:
             keys, places[n] = grams.numbered(n)
             values[n] = spread(keys, cuts, given[n], width_of(n, order))
+            if n < order:
+                swapped(values[n])
         times, base, log_p = log_probabilities(grams, places, values, m)
         first = np.cumsum(grams.count) - grams.count
         keys = held["keys"].combine_chunks()
