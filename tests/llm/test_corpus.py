@@ -240,6 +240,16 @@ def test_narrow_and_wide_vote_counters_agree(spark):
         assert sum(r[f"t{k}"] for k in range(lines.BLOCKS)) == len(texts[r["number"]].split(" "))
 
 
+def test_votes_do_not_overflow(spark):
+    """A word that comes 127 to 300 times in a line votes so often on the highest bits, where the long's sign is."""
+    words = ["".join(random.Random(k).choices(string.ascii_lowercase, k=6)) for k in range(64)]
+    texts = [" ".join([w] * n) for w in words for n in (127, 128, 200, 255, 256, 300)]
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "number long, line string, size int")
+    got = {r["number"]: r["simhash"] for r in lines.simhashes(rows).collect()}
+    assert len(got) == len(texts) and min(got.values()) < 0
+    assert all(len({got[i + k] for k in range(6)}) == 1 for i in range(0, len(texts), 6))
+
+
 def test_buckets_are_shuffled_in_parts(spark, monkeypatch):
     """A part of the buckets is counted, and its shuffle dropped, before the part is joined; together they find the same links."""
     rng = random.Random(23)
