@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from pagelake.functions.html import let
 from pagelake.functions.text import highlight, snippet
-from pagelake.operators.versions import latest_ids, restrict_to_latest
+from pagelake.operators.versions import among, latest_ids, restrict_to_latest
 from pagelake.session import materialize
 
 # Default k and the answer given when nothing was retrieved.
@@ -282,7 +282,8 @@ def keyword_search_table(processed: DataFrame, pages: DataFrame, queries: DataFr
     wanted = asked.select("query", _like_pattern(F.col("query"), literal).alias("pattern"),
                           F.explode(F.when(F.size(grams) > 0, grams).otherwise(F.array(F.lit("")))).alias("gram"))
     wanted = materialize(wanted, "query-grams")
-    current = restrict_to_latest(processed, pages)
+    # Read by every step below, so written once; the texts of other versions are never shuffled.
+    current = materialize(among(processed.select("id", "page_id", "text"), "page_id", latest_ids(pages)), "latest-texts")
     counts = _held(current, wanted.select("gram").distinct(), gram, count=True)
     # A query with an n-gram that no text holds has no hit.
     rarest = materialize(wanted.join(counts, "gram", "left").groupBy("query", "pattern").agg(
@@ -290,12 +291,13 @@ def keyword_search_table(processed: DataFrame, pages: DataFrame, queries: DataFr
         "query", "pattern", F.col("rare.gram").alias("gram")), "rarest-grams")
     postings = materialize(_held(current, rarest.select("gram").distinct(), gram), "postings")
     candidates = rarest.join(postings, "gram").select("query", "pattern", "id")
-    hits = candidates.join(current.select("id", "page_id", "text"), "id").where(
-        F.ilike(F.col("text"), F.col("pattern"))).select("query", "page_id", "id")
-    top = hits.withColumn("hit_no", F.row_number().over(Window.partitionBy("query").orderBy("page_id", "id"))).where(
-        F.col("hit_no") <= limit)
+    hits = candidates.join(current, "id").where(F.ilike(F.col("text"), F.col("pattern"))).select("query", "page_id", "id")
+    # At most ``limit`` rows a query: once written, the shuffle of the texts is gone, and only texts of hits are read again.
+    top = materialize(hits.withColumn("hit_no", F.row_number().over(Window.partitionBy("query").orderBy("page_id", "id"))).where(
+        F.col("hit_no") <= limit), "top-hits")
     urls = pages.select(F.col("id").alias("page_id"), "url")
-    return top.join(current.select("id", "text"), "id").join(urls, "page_id").select(
+    texts = among(current.select("id", "text"), "id", top.select("id"))
+    return top.join(texts, "id").join(urls, "page_id").select(
         "query", F.col("hit_no").cast("long").alias("hit_no"), "page_id", "url",
         snippet(F.col("text"), F.col("query")).alias("snippet"))
 

@@ -21,7 +21,7 @@ from pagelake.session import materialize
 
 # Columns of observations that are rows of files: the file, and the number of the row in it.
 PLACE = ("_file", "_row")
-# Bitmaps (4 KB, for 32,768 rows of a file each) that are broadcast at most: 64 MB.
+# Bitmaps (4 KB, for 32,768 rows of a file or ids each) that are broadcast at most: 64 MB.
 MOST_BITMAPS = 1 << 14
 
 
@@ -92,9 +92,27 @@ def rows_at(rows: DataFrame, places: DataFrame) -> DataFrame:
     maps = materialize(places.groupBy(file, block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bits")), "places")
     if maps.count() > MOST_BITMAPS:
         return rows.join(places.select(*PLACE), [*PLACE], "left_semi").drop(*PLACE)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr(f"CAST(bitmap_bit_position({row} + 1) DIV 8 + 1 AS INT)"), F.lit(1))), 16, 10).cast("int")
-    held = rows.withColumn("_block", block).join(F.broadcast(maps), [file, "_block"])
-    return held.where(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1).drop(*PLACE, "_block", "_bits")
+    return _marked(rows.withColumn("_block", block), maps, [file, "_block"], bit).drop(*PLACE)
+
+
+def _marked(rows: DataFrame, maps: DataFrame, keys: list[str], bit: Column) -> DataFrame:
+    """The ``rows`` whose ``bit`` is set in their bitmap among ``maps``, which go to every task."""
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(maps), keys).where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("_block", "_bits")
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` is one of ``ids`` (a column), as a semi-join finds them.  Whole numbers travel as bitmaps, a bit for
+    each, so that no row is shuffled; other ids, and such as need too many bitmaps for a broadcast, are joined."""
+    ids = materialize(ids.toDF(key).distinct(), "ids")
+    whole = {rows.schema[key].dataType.simpleString(), ids.schema[key].dataType.simpleString()} <= {"int", "bigint"}
+    block, bit = F.bitmap_bucket_number(F.col(key)), F.bitmap_bit_position(F.col(key))
+    if not whole or ids.select(block).distinct().limit(MOST_BITMAPS + 1).count() > MOST_BITMAPS:
+        return rows.join(ids, key, "left_semi").select(*rows.columns)
+    # The ids of a block are brought together first, so that each bitmap is made once, whole.
+    maps = materialize(ids.select(block.alias("_block"), bit.alias("_bit")).repartition("_block").groupBy("_block").agg(
+        F.bitmap_construct_agg("_bit").alias("_bits")), "bitmaps")
+    return _marked(rows.withColumn("_block", block), maps, ["_block"], bit).select(*rows.columns)
 
 
 def versions_on_arrival(unseen: DataFrame, heads: DataFrame, key: str = "url", order: tuple[str, ...] = ("fetched_at", "id"),

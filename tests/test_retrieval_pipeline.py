@@ -171,6 +171,17 @@ def test_keyword_query_table_equals_single_searches(spark):
     assert R.keyword_search_table(processed, pages, table.where("1 = 0")).count() == 0
 
 
+def test_keyword_query_table_reads_the_texts_once(spark, tmp_path):
+    """What is left when the result is read needs the texts of hits only: the processed table, and its shuffles, are gone by then."""
+    spark.createDataFrame([(k + 10, k, f"text {k} in kay") for k in range(40)], "id long, page_id long, text string").write.parquet(str(tmp_path / "p"))
+    pages, table = pages_df(spark, [(k, f"u{k % 20}", 1 + k // 20) for k in range(40)]), spark.createDataFrame([("kay",)], "query string")
+    found = R.keyword_search_table(spark.read.parquet(str(tmp_path / "p")), pages, table, limit=3)
+    for part in tmp_path.glob("p/*.parquet"):
+        part.write_bytes(b"not a table any more")
+    assert sorted(tuple(r) for r in found.select("hit_no", "page_id", "url", "snippet").collect()) == [
+        (k, 19 + k, f"u{k - 1}", f"text {19 + k} in kay") for k in (1, 2, 3)]
+
+
 def test_named_entry_points(spark):
     pages = pages_df(spark, [(1, "a", 1), (2, "b", 1)])
     assert [r["url"] for r in R.get_page(pages, 2).collect()] == ["b"] and R.get_page(pages, 9).count() == 0

@@ -173,3 +173,21 @@ def test_versions_by_place_equal_those_by_id(spark, tmp_path):
     plain = Vs.versions_on_arrival(obs, heads)
     assert whole.columns == obs.columns
     assert sorted(whole.select(narrow).collect()) == sorted(plain.select(narrow).collect()) != []
+
+
+@pytest.mark.parametrize("most", [1 << 14, 3])
+def test_rows_among_ids_equal_a_semi_join(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(Vs, "MOST_BITMAPS", most)
+    ids = [None, -(1 << 63), -(1 << 15), -5, -1, 0, 1, 7, 8, 9, 32_767, 32_768, 32_769, 65_536, 65_537, 5_000_000, (1 << 63) - 1]
+    rows = [(i, f"text {k} of {i}") for i in ids for k in range(3)]
+    spark.createDataFrame(rows, "id long, text string").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows")).select("text", "id")
+    for wanted in (ids, ids[::2], ids[1::2], [], [None], [3]):
+        asked = spark.createDataFrame([(i,) for i in wanted * 2], "wanted long")
+        found = Vs.among(table, "id", asked)
+        assert found.columns == ["text", "id"]
+        assert sorted(found.collect()) == sorted((t, i) for i, t in rows if i is not None and i in wanted)
+        if most > 3:
+            assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    words = table.select(F.col("id").cast("string").alias("id"), "text")
+    assert Vs.among(words, "id", spark.createDataFrame([("7",), ("x",)], "id string")).count() == 3
