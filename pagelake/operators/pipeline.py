@@ -23,7 +23,7 @@ from pagelake.functions.html import let, unnest
 from pagelake.functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_windows, serialize_table
 from pagelake.operators.extract import tables_column
 from pagelake.operators.versions import PLACE, heads_of, latest_ids, versions_on_arrival
-from pagelake.session import materialize
+from pagelake.session import drop_stages, materialize, stages_recorded
 from pagelake.sources import tables as io
 from pagelake.sources.ledger import COUNTED, Ledger
 
@@ -265,12 +265,14 @@ def unseen_rows(ledger: Ledger, obs: DataFrame, epoch: int) -> DataFrame:
 
 
 def ingest(ledger: Ledger, obs: DataFrame, epoch: int) -> DataFrame:
-    """The versions among new observations, written with the arrivals and heads of the epoch; reads no stored page.  Where
-    observations tell their place in files (``PLACE``), only narrow columns are compared and shuffled."""
-    placed = set(PLACE) <= set(obs.columns)
-    unseen = unseen_rows(ledger, obs.select("id", "url", "fetched_at", "content_hash", *PLACE) if placed else obs, epoch)
+    """The versions among new observations, written with the arrivals and heads of the epoch; reads no stored page.  Only narrow
+    columns are compared and shuffled: whole observations are taken by their place in files (``PLACE``), if they tell it, or by id."""
+    place = PLACE if set(PLACE) <= set(obs.columns) else ()
+    unseen = unseen_rows(ledger, obs.select("id", "url", "fetched_at", "content_hash", *place), epoch)
     heads = read_heads(ledger, epoch)
-    ledger.write(versions_on_arrival(unseen, heads, whole=obs if placed else None), "pages", epoch, io.PAGE_LOG_SCHEMA)
+    with stages_recorded() as stages:
+        ledger.write(versions_on_arrival(unseen, heads, whole=obs), "pages", epoch, io.PAGE_LOG_SCHEMA)
+    drop_stages(ledger.spark, stages)
     ledger.write(unseen.select("id").distinct(), "arrivals", epoch, ARRIVAL_SCHEMA)
     pages = ledger.epochs("pages", io.PAGE_LOG_SCHEMA, [epoch])
     now = heads_of(heads.unionByName(pages.select(*heads.columns)))

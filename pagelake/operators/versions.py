@@ -124,24 +124,40 @@ def versions_on_arrival(unseen: DataFrame, heads: DataFrame, key: str = "url", o
     predecessor.  Only narrow columns are scanned; wide rows are kept by id at the end, where one shuffle by id serves the
     join and the choice of one delivery.  Of rows with equal id but other content the least by (key, order, hash) counts.
 
-    Where ``unseen`` tells the ``PLACE`` of its rows, it may be narrow: the versions are then taken from ``whole``, which holds
-    the same places, and no wide row is shuffled."""
-    columns = list(dict.fromkeys([key, *order, "id", hash_col, *(PLACE if whole is not None else ())]))
-    narrow = unseen.groupBy("id").agg(F.min(F.struct(*columns)).alias("_r")).select("_r.*")
+    ``unseen`` may be narrow if ``whole`` has the wide rows: the versions are then taken from these.  No wide row is shuffled where
+    ``unseen`` and ``whole`` tell the ``PLACE`` of their rows; else only those are that share their id with another."""
+    placed_rows = whole is not None and set(PLACE) <= set(whole.columns)
+    columns = list(dict.fromkeys([key, *order, "id", hash_col, *(PLACE if placed_rows else ())]))
+    narrow = unseen.groupBy("id").agg(F.min(F.struct(*columns)).alias("_r"), F.count("*").alias("_copies")).select("_r.*", "_copies")
     known = heads.select(F.col(key), F.col(hash_col).alias("_head_hash"), F.struct(*order).alias("_head"))
     placed = narrow.join(known, key, "left")
     late = F.col("_head").isNotNull() & (F.struct(*order) < F.col("_head"))
     placed = placed.withColumn("_late", late)
-    scanned = ordered_scan(placed.where("not _late").select(*columns, "_head_hash"), key=key, order=list(order), lag_cols=[hash_col])
+    scanned = ordered_scan(placed.where("not _late").select(*columns, "_copies", "_head_hash"), key=key, order=list(order), lag_cols=[hash_col])
     before = F.when(F.col("_rn") == 1, F.col("_head_hash")).otherwise(F.col(f"prev_{hash_col}"))
-    kept = scanned.where(before.isNull() | (before != F.col(hash_col))).select(columns)
-    kept = kept.unionByName(placed.where(F.col("_late") & (F.col(hash_col) != F.col("_head_hash"))).select(columns))
-    if whole is not None:   # null equals nothing, as in the join below
-        return rows_at(whole, kept.dropna(subset=columns))
-    # The other columns are compared as ranges, so that the join, like one_delivery, is by id alone.
+    kept = scanned.where(before.isNull() | (before != F.col(hash_col))).select(*columns, "_copies")
+    kept = kept.unionByName(placed.where(F.col("_late") & (F.col(hash_col) != F.col("_head_hash"))).select(*columns, "_copies"))
+    if whole is None:
+        return _same_rows(unseen, kept.select(columns))
+    kept = kept.dropna(subset=columns)   # null equals nothing, as in the join of _same_rows
+    if placed_rows:
+        return rows_at(whole, kept)
+    kept = materialize(kept, "kept")
+    out = among(whole, "id", kept.where("_copies = 1").select("id"))
+    several = kept.where("_copies > 1").select(columns)
+    if several.limit(1).count():
+        out = out.unionByName(_same_rows(among(whole, "id", several.select("id")), several))
+    return out
+
+
+def _same_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """One of the ``rows`` for each id that equals the row of ``kept`` with this id in all columns of that."""
+    # The other columns are compared as ranges, so that the join, like one_delivery, is by id alone.  A semi-join would be pushed
+    # below the joins that ``rows`` come from, and shuffle what these leave out; ids of ``kept`` are distinct, so this is the same.
+    columns = kept.columns
     kept = kept.toDF(*[f"_kept_{c}" for c in columns])
     same = [F.col(c).between(F.col(f"_kept_{c}"), F.col(f"_kept_{c}")) for c in columns if c != "id"]
-    return one_delivery(unseen.join(kept, reduce(and_, same, F.col("id") == F.col("_kept_id")), "left_semi"))
+    return one_delivery(rows.join(kept, reduce(and_, same, F.col("id") == F.col("_kept_id"))).select(*rows.columns))
 
 
 def new_versions(stored: DataFrame, incoming: DataFrame, key: str = "url",

@@ -191,3 +191,28 @@ def test_rows_among_ids_equal_a_semi_join(spark, tmp_path, monkeypatch, most):
             assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     words = table.select(F.col("id").cast("string").alias("id"), "text")
     assert Vs.among(words, "id", spark.createDataFrame([("7",), ("x",)], "id string")).count() == 3
+
+
+def test_versions_of_narrow_rows_equal_those_of_whole_ones(spark, tmp_path, monkeypatch):
+    """Rows without a place in files are taken by id; only those that share their id are shuffled."""
+    rng, rows = random.Random(6), []
+    for i in range(300):
+        gap = rng.randrange(12)
+        rows.append((None if gap == 0 else rng.randrange(400), None if gap == 1 else f"u{rng.randrange(20)}", f"<p>{i}</p>",
+                     None if gap == 2 else rng.choice("ab"), None if gap == 3 else T0 + dt.timedelta(hours=rng.randrange(400))))
+    rows += [r for r in rows if r[0] and r[0] % 7 == 0]
+    schema = "id long, url string, raw_html string, content_hash string, fetched_at timestamp"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    obs = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    heads = spark.createDataFrame([("u1", T0 + dt.timedelta(hours=200), 900, "a")], "url string, fetched_at timestamp, id long, content_hash string")
+    narrow = ["id", "url", "content_hash", "fetched_at"]
+    for some in (obs, obs.where("id % 5 = 0"), obs.where("1 = 0")):
+        whole = Vs.versions_on_arrival(some.select(narrow), heads, whole=obs)
+        plain = Vs.versions_on_arrival(some, heads)
+        assert whole.columns == obs.columns
+        assert sorted(whole.select(narrow).collect()) == sorted(plain.select(narrow).collect())
+        assert {tuple(r) for r in whole.collect()} <= set(rows)
+    once = obs.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id").collect()
+    unique = obs.where(F.col("id").isin([r["id"] for r in once]))
+    plan = Vs.versions_on_arrival(unique.select(narrow), heads, whole=unique)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "raw_html" in plan
