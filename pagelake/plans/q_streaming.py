@@ -12,6 +12,7 @@ from pagelake.operators import pipeline as PL
 from pagelake.plans.q_pipeline import _P10_SQL
 from pagelake.plans.q_versions import _COLLAPSED
 from pagelake.plans.registry import V, page_observations, query, sql_ts, ts_str, with_views
+from pagelake.session import drop_stages, stages_recorded
 from pagelake.sources import tables as io
 from pagelake.streaming import pipeline as ST
 
@@ -24,16 +25,26 @@ def _observations(spark, sf):
     return page_observations(spark, sf)
 
 
+def _arrivals(spark, sf, incoming, made=lambda part: part):
+    """Appends the observations to ``incoming``, a part each step.  What they are made of is dropped when the last part is there."""
+    with stages_recorded() as stages:
+        parts = list(ST.arrivals(_observations(spark, sf), cuts=CUTS))
+    for n, part in enumerate(parts, 1):
+        io.append(made(part), incoming)
+        if n == len(parts):
+            drop_stages(spark, stages)
+        yield
+
+
 @query("T1_stream_pipeline", _P10_SQL)
 def t1(spark, sf):
     """Observations arrive in two parts; each is a micro-batch of the pipeline.
     The stream is then restarted on the same checkpoint (nothing new)."""
     base = io.scratch_path(spark, "t1")
     paths = PL.table_paths(base)
-    for part in ST.arrivals(_observations(spark, sf), cuts=CUTS):
-        io.append(part, f"{base}/incoming")
-        ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF)
-    ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF)
+    for _ in _arrivals(spark, sf, f"{base}/incoming"):
+        ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF, clean=True)
+    ST.stream_pipeline(spark, f"{base}/incoming", paths, f"{base}/_checkpoint", AS_OF, clean=True)
     chunks = PL.read_output(spark, paths, "chunks")
     return chunks.select("page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
 

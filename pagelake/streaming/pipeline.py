@@ -26,9 +26,12 @@ from pagelake.sources.ledger import Ledger
 OBS_SCHEMA = io.PAGE_LOG_SCHEMA
 
 
-def read_observations(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Observation files (Parquet, page-log schema) as a stream, each row with its place in them (``PLACE``)."""
+def read_observations(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None, clean: bool = False) -> DataFrame:
+    """Observation files (Parquet, page-log schema) as a stream, each row with its place in them (``PLACE``).  With ``clean`` the files
+    of a micro-batch that is done are deleted when the next one begins."""
     r = spark.readStream.schema(OBS_SCHEMA)
+    if clean:
+        r = r.option("cleanSource", "delete")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     file, row = PLACE
@@ -44,16 +47,17 @@ def _drain(obs: DataFrame, each, checkpoint: str):
 
 def stream_pipeline(spark: SparkSession, in_dir: str, paths: dict[str, str], checkpoint: str,
                     as_of: dt.datetime, max_files_per_trigger: int | None = None, embedder=None,
-                    dim: int | None = None, before_commit=None):
+                    dim: int | None = None, before_commit=None, clean: bool = False):
     """Run the pipeline over every available observation file
-    (``trigger(availableNow=True)``) and stop; returns the finished query.  The checkpoint folder names the source."""
+    (``trigger(availableNow=True)``) and stop; returns the finished query.  The checkpoint folder names the source.
+    ``clean`` deletes files that an earlier micro-batch is done with, for folders that serve this stream alone."""
     more = {} if dim is None else {"dim": dim}
 
     def each(batch: DataFrame, epoch_id: int) -> None:
         run_pipeline(batch.sparkSession, batch, paths, as_of, embedder=embedder, source=checkpoint, batch=epoch_id,
                      before_commit=before_commit, **more)
 
-    return _drain(read_observations(spark, in_dir, max_files_per_trigger), each, checkpoint)
+    return _drain(read_observations(spark, in_dir, max_files_per_trigger, clean), each, checkpoint)
 
 
 VERSION_SCHEMA = T.StructType([
