@@ -222,3 +222,55 @@ def test_rejected_pages_are_found_without_parsing_html_again(spark, tmp_path, mo
     assert rows_of(spark, paths, "dead_letters", "url", "error") == [
         (u, "text: String should have at least 1 character") for u in ("u", "w")]
     assert rows_of(spark, paths, "processed", "page_id") == [(2,)]
+
+
+def test_an_epoch_shuffles_no_page_and_leaves_no_stage(spark, tmp_path, monkeypatch):
+    from pagelake.session import stages_recorded
+
+    plans, write = {}, Ledger.write
+
+    def seen(self, df, table, *rest):
+        plans.setdefault(table, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, table, *rest)
+
+    monkeypatch.setattr(Ledger, "write", seen)
+    ledger = Ledger(spark, paths_in(tmp_path))
+    for n, rows in enumerate((FIRST, FIRST, SECOND)):
+        with stages_recorded() as stages:
+            PL.ingest(ledger, obs(spark, rows).repartition(2), n)
+        ledger.commit(n, None, None, {}, True)
+        assert stages and not any(os.path.exists(p.removeprefix("file://")) for p in stages)
+    assert sorted(r["id"] for r in ledger.committed("pages", io.PAGE_LOG_SCHEMA).collect()) == [1, 2, 4, 6]
+    assert len(plans["pages"]) == 3 and not any("SortMergeJoin" in p or "hashpartitioning" in p for p in plans["pages"])
+
+
+def test_files_of_done_batches_are_deleted(spark, tmp_path):
+    for clean in (False, True):
+        incoming, paths, checkpoint = (str(tmp_path / f"{name}-{clean}") for name in ("in", "tables", "checkpoint"))
+        paths, arrived = PL.table_paths(paths), []
+        for rows in (FIRST, SECOND, None):
+            if rows is not None:
+                io.append(obs(spark, rows).coalesce(1), incoming)
+                arrived.append(set(glob.glob(f"{incoming}/*.parquet")) - set().union(*arrived))
+            ST.stream_pipeline(spark, incoming, paths, checkpoint, AS_OF, clean=clean)
+        assert [r[0] for r in rows_of(spark, paths, "pages", "id")] == [1, 2, 4, 6]
+        left = set(glob.glob(f"{incoming}/*.parquet"))
+        assert left == (arrived[1] if clean else arrived[0] | arrived[1]) and arrived[0]
+
+
+def test_arrivals_drop_what_they_are_made_of(spark, tmp_path):
+    """The documents joined with their HTML are gone once all observations are in files."""
+    from pagelake.plans.registry import page_observations, q_streaming
+    from pagelake.session import ensure_checkpoint_dir
+
+    spark.createDataFrame([(k, f"text {k}") for k in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, "https://a.example.com/3", "<p>3</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    stages = f"{ensure_checkpoint_dir(spark).removeprefix('file://')}/pagelake-stages/documents-html-*"
+    before, counts = set(glob.glob(stages)), []
+    for _ in q_streaming._arrivals(spark, str(tmp_path), str(tmp_path / "in")):
+        counts.append((len(set(glob.glob(stages)) - before), spark.read.parquet(str(tmp_path / "in")).count()))
+    assert [n for n, _ in counts] == [1, 0] and 0 < counts[0][1] < counts[1][1] == 36
+    want = sorted(tuple(r) for r in page_observations(spark, str(tmp_path)).collect())
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "in")).select("id", "url", "raw_html", "extracted_text", "content_hash", "fetched_at").collect()) == want
+    got = q_streaming.t3(spark, str(tmp_path)).collect()
+    assert len({r["id"] for r in got}) == len(got) > 9
